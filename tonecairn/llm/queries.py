@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .ann_forest import op9_nearest_neighbours
 from .chat_format import op8_chat_formatting
+from .html_text import op7_html_extraction
+from .warc import op10_warc
 
 QUERIES = {
+    "op7_html_extraction": op7_html_extraction,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
+    "op10_warc": op10_warc,
 }
 
 SQL: dict[str, str] = {
@@ -26,4 +32,18 @@ SQL: dict[str, str] = {
                sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
         FROM whole
     """,
+    "op10_warc": """
+        WITH digested AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
+                   sha1(coalesce(html, '')) AS hex
+            FROM pages
+        ), first AS (SELECT hex, min(page_id) AS first_page FROM digested GROUP BY hex)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   ((CAST('0x' || substr(hex, CAST((i // 4) * 5 + 1 AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS INT)) & 31) + 1, 1)), '')
+                   AS payload_digest,
+               CASE WHEN first_page < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN first_page < page_id THEN first_page END AS refers_to
+        FROM digested JOIN first USING (hex)
+    """,
 }
