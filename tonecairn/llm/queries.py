@@ -5,11 +5,13 @@ from __future__ import annotations
 from .ann_forest import op9_nearest_neighbours
 from .chat_format import op8_chat_formatting
 from .html_text import op7_html_extraction
+from .pieces import op6_sentencepiece
 from .quality import op4_quality
 from .warc import op10_warc
 
 QUERIES = {
     "op4_quality": op4_quality,
+    "op6_sentencepiece": op6_sentencepiece,
     "op7_html_extraction": op7_html_extraction,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_nearest_neighbours": op9_nearest_neighbours,

@@ -70,10 +70,13 @@ def lowered(raw: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of a batch: byte bounds, hash, document, and the first word of each document."""
+    """Words of a batch: byte bounds, hash, document, and the first word of each document.
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray) -> None:
-        space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    Words are what is between ``blanks``, by default the bytes x20 and x09 to x0D.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, blanks: np.ndarray | None = None) -> None:
+        space = (raw == 32) | ((raw >= 9) & (raw <= 13)) if blanks is None else blanks
         n, docs = len(raw), len(offsets) - 1
         first = np.empty(n, bool)
         if n:
