@@ -7,10 +7,12 @@ from .chat_format import op8_chat_formatting
 from .html_text import op7_html_extraction
 from .pieces import op6_sentencepiece
 from .quality import op4_quality
+from .substring_dedup import op5_substring_dedup
 from .warc import op10_warc
 
 QUERIES = {
     "op4_quality": op4_quality,
+    "op5_substring_dedup": op5_substring_dedup,
     "op6_sentencepiece": op6_sentencepiece,
     "op7_html_extraction": op7_html_extraction,
     "op8_chat_formatting": op8_chat_formatting,

@@ -20,6 +20,9 @@ _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _WORD_BASE = _U(0xD6E8FEB86659FD93)
 _WORD_INVERSE = _U(pow(int(_WORD_BASE), -1, 1 << 64))
 
+_SECOND = _U(0xA0761D6478BD642F)
+_SECOND_INVERSE = _U(pow(int(_SECOND), -1, 1 << 64))
+
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
@@ -100,6 +103,13 @@ class Words:
         self.bounds = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(docs), np.diff(self.bounds))
 
+    def second_windows(self, raw: np.ndarray, size: int) -> np.ndarray:
+        """Window hashes that share nothing with ``hash``: another base over the bytes, another over the words."""
+        total = np.zeros(len(raw) + 1, _U)
+        np.cumsum((raw.astype(_U) + _U(7)) * powers(_SECOND, len(raw) + 1)[:-1], out=total[1:])
+        words = mix((total[self.stop] - total[self.start]) * _undo(_SECOND_INVERSE, self.start)) + _U(1)
+        return long_window_hashes(words, size)
+
 
 def _undo(inverse: np.uint64, at: np.ndarray) -> np.ndarray:
     return powers(inverse, int(at[-1]) + 1)[at] if len(at) else np.zeros(0, _U)
