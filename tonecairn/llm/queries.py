@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann_forest import op9_nearest_neighbours
 from .chat_format import op8_chat_formatting
+from .decontaminate import op1_decontamination
 from .html_text import op7_html_extraction
 from .pieces import op6_sentencepiece
 from .quality import op4_quality
@@ -11,6 +12,7 @@ from .substring_dedup import op5_substring_dedup
 from .warc import op10_warc
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op4_quality": op4_quality,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sentencepiece": op6_sentencepiece,
