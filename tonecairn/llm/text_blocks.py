@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute
 
 _U = np.uint64
+_CHUNK = 1 << 18
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
 _WORD_BASE = _U(0xD6E8FEB86659FD93)
@@ -96,23 +97,29 @@ class Words:
             self.start, self.stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         else:
             self.start = self.stop = np.zeros(0, np.int64)
-        power = powers(_BASE, n + 1)
-        total = np.zeros(n + 1, _U)
-        np.cumsum((raw.astype(_U) + _U(1)) * power[:n], out=total[1:])
-        self.hash = mix((total[self.stop] - total[self.start]) * _undo(_INVERSE, self.start) + (self.stop - self.start).astype(_U))
+        self.hash = mix(_range_sums(raw, self.start, self.stop, _BASE, _INVERSE) + (self.stop - self.start).astype(_U))
         self.bounds = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(docs), np.diff(self.bounds))
 
     def second_windows(self, raw: np.ndarray, size: int) -> np.ndarray:
         """Window hashes that share nothing with ``hash``: another base over the bytes, another over the words."""
-        total = np.zeros(len(raw) + 1, _U)
-        np.cumsum((raw.astype(_U) + _U(7)) * powers(_SECOND, len(raw) + 1)[:-1], out=total[1:])
-        words = mix((total[self.stop] - total[self.start]) * _undo(_SECOND_INVERSE, self.start)) + _U(1)
+        words = mix(_range_sums(raw, self.start, self.stop, _SECOND, _SECOND_INVERSE)) + _U(1)
         return long_window_hashes(words, size)
 
 
-def _undo(inverse: np.uint64, at: np.ndarray) -> np.ndarray:
-    return powers(inverse, int(at[-1]) + 1)[at] if len(at) else np.zeros(0, _U)
+def _range_sums(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
+    """Polynomial of every byte range, by prefix sums over a quarter of a MB at a time. Ranges ascend."""
+    out = np.empty(len(start), _U)
+    cuts = np.searchsorted(start, np.arange(0, len(raw) + _CHUNK, _CHUNK)) if len(start) else np.zeros(1, int)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a == b:
+            continue
+        low, high = int(start[a]), int(stop[b - 1])
+        total = np.zeros(high - low + 1, _U)
+        np.cumsum((raw[low:high].astype(_U) + _U(1)) * powers(base, high - low), out=total[1:])
+        at = start[a:b] - low
+        out[a:b] = (total[stop[a:b] - low] - total[at]) * powers(inverse, high - low)[at]
+    return out
 
 
 def window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
