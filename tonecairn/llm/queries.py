@@ -10,11 +10,13 @@ from .jaccard_join import op2_jaccard_join
 from .pieces import op6_sentencepiece
 from .quality import op4_quality
 from .substring_dedup import op5_substring_dedup
+from .suffix_dedup import op3_suffix_array_dedup
 from .warc import op10_warc
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_quality": op4_quality,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_sentencepiece": op6_sentencepiece,
