@@ -41,9 +41,9 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
-def part_cuts(hashes: np.ndarray, parts: int) -> np.ndarray:
-    """Bounds of each part in ascending ``hashes``; parts are equal ranges of the hash."""
-    edges = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64) if parts > 1 else np.zeros(0, np.uint64)
+def part_cuts(hashes: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
+    """Bounds of each part in ascending ``hashes`` of ``bits`` bits; parts are equal ranges of the hash."""
+    edges = np.array([(k << bits) // parts for k in range(1, parts)], np.uint64)
     return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
 
 
@@ -54,25 +54,26 @@ def sizes_of(docs: DataFrame) -> tuple[int, int]:
 
 
 def with_batches(docs: DataFrame, batch_bytes: int, total_bytes: int) -> tuple[DataFrame, int]:
-    """(batch, doc_id, text) with a null id as the last one, and the number of batches.
+    """(batch, doc_id, text, rest) with a null id as the last one, and the number of batches.
 
     Batches are ranges of the id: a document of an earlier batch has a smaller
     id. Range bounds are approximate quantiles, one for each batch; equal ids
-    share a batch.
+    share a batch. ``rest`` holds all other columns.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text", rest.alias("rest"))
     count = max(1, -(-total_bytes // batch_bytes))
-    if count == 1:
-        return rows.select(F.lit(0).alias("batch"), "doc_id", "text"), 1
-    shares = [i / count for i in range(1, count)]
-    found = rows.agg(F.percentile_approx("doc_id", shares, 50 * count).alias("cuts")).first()["cuts"]
-    cuts = np.unique(np.array(found, np.int64))
+    cuts = np.zeros(0, np.int64)
+    if count > 1:
+        shares = [i / count for i in range(1, count)]
+        cuts = np.unique(np.array(rows.agg(F.percentile_approx("doc_id", shares, 50 * count).alias("cuts")).first()["cuts"], np.int64))
 
     @pandas_udf("int")
     def batch_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "left").astype(np.int32))
 
-    return rows.select(batch_of("doc_id").alias("batch"), "doc_id", "text"), len(cuts) + 1
+    return rows.select((batch_of("doc_id") if len(cuts) else F.lit(0)).alias("batch"), "doc_id", "text", "rest"), len(cuts) + 1
 
 
 def exchange_table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
