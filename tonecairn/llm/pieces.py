@@ -30,6 +30,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .shared import read_table
 from .text_blocks import Words, bounded, text_bytes
@@ -437,7 +438,7 @@ def with_ids(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFra
             made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, "ids"])
 
-    schema = docs.select(*names).schema.add("ids", "array<int>")
+    schema = docs.select(*names).schema.add("ids", ArrayType(IntegerType()))
     return docs.select(*names, text).mapInArrow(run, schema)
 
 
