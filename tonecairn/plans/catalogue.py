@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
-FLAGSHIP = ""
+from . import signals
+
+PARTS = (signals,)
+QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
+SQL = {name: text for part in PARTS for name, text in part.SQL.items()}
+FLAGSHIP = "set_gain"
