@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import signals
+from . import hits, signals, zones
 
-PARTS = (signals,)
+PARTS = (signals, zones, hits)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in PARTS for name, text in part.SQL.items()}
 FLAGSHIP = "set_gain"
