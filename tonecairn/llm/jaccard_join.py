@@ -89,24 +89,32 @@ def _first_of_class(sets: _Sets) -> np.ndarray:
 def _batched(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int, int]:
     _, total = sizes_of(docs)
     count = max(1, -(-total // batch_bytes))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text")
-    return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("int")), count, total
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(count)).cast("int")), count, total
 
 
 _SHARED = {"batch": pa.int32(), "shingles": pa.binary(), "rarity": pa.binary()}
 
 
-def _shared_shingles(batches: DataFrame, parts: int, size: int) -> DataFrame:
-    """(batch, shingles, rarity): the shingles of each batch that two sets have, and a byte that grows with their number."""
+def _code_bits(total_bytes: int) -> int:
+    """Leading hash bits by which shared shingles are found: so many that one shingle in some thousands is taken for another.
+
+    That costs a little pruning and no link; sets are compared by whole hashes.
+    """
+    return min(64, 10 + max(total_bytes, 1).bit_length())
+
+
+def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> DataFrame:
+    """(batch, shingles, rarity): the shingle codes of each batch that two sets have, and a byte that grows with their number."""
 
     def send(table: pa.Table) -> pa.Table:
         sets = _Sets(table.column("text").combine_chunks(), size)
         one = _first_of_class(sets)[sets.doc]
-        hashes = sets.hash[one]
+        hashes = sets.hash[one] >> _U(64 - bits)
         starts = group_starts(hashes)
         distinct = hashes[starts]
         often = np.minimum(np.diff(np.append(starts, len(hashes))), 255).astype(np.uint8)
-        cuts = part_cuts(distinct, parts).tolist()
+        cuts = part_cuts(distinct, parts, bits).tolist()
         batch = table.column("batch")[0].as_py()
         return exchange_table(
             {
@@ -143,13 +151,13 @@ def _shared_shingles(batches: DataFrame, parts: int, size: int) -> DataFrame:
 
 
 _SETS = {
-    "doc_id": pa.int64(), "n_shingles": pa.int64(), "class": pa.int64(), "shared": pa.binary(), "prefix": pa.binary(),
+    "doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "class": pa.int64(), "shared": pa.binary(), "prefix": pa.binary(),
     "first_position": pa.int32(), "sketch": pa.binary(),
 }
-_SETS_DDL = "doc_id long, n_shingles long, class long, shared binary, prefix binary, first_position int, sketch binary"
+_SETS_DDL = "doc_id long, text_hash long, n_shingles long, class long, shared binary, prefix binary, first_position int, sketch binary"
 
 
-def _classify(size: int, share: tuple[int, int]):
+def _classify(size: int, share: tuple[int, int], bits: int):
     """All documents with size and class; the first of each class also with what the join needs, if it may have a partner."""
 
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -164,7 +172,7 @@ def _classify(size: int, share: tuple[int, int]):
         n_docs = len(sets.size)
         columns: dict[str, list] = {k: [None] * n_docs for k in ("shared", "prefix", "first_position", "sketch")}
         if len(known):
-            distinct = sets.hash[sets.starts]
+            distinct = sets.hash[sets.starts] >> _U(64 - bits)
             at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
             there = known[at] == distinct
             span = np.diff(np.append(sets.starts, len(sets.hash)))
@@ -186,8 +194,8 @@ def _classify(size: int, share: tuple[int, int]):
                 columns["first_position"][d] = int(sets.size[d]) - len(mine)
                 columns["sketch"][d] = None
             every = go[sets.doc]
-            bits = mix(sets.hash[every] ^ _U(0xD1B54A32D192ED03)) >> _U(64 - 10)
-            key = sets.doc[every] * (SKETCH_WORDS * 64) + bits.astype(np.int64)
+            bit = mix(sets.hash[every] ^ _U(0xD1B54A32D192ED03)) >> _U(64 - 10)
+            key = sets.doc[every] * (SKETCH_WORDS * 64) + bit.astype(np.int64)
             odd, times = np.unique(key, return_counts=True)
             odd = odd[times % 2 == 1]
             sketch = np.zeros((n_docs, SKETCH_WORDS), _U)
@@ -195,55 +203,61 @@ def _classify(size: int, share: tuple[int, int]):
             np.bitwise_or.at(flat, odd >> 6, _U(1) << (odd & 63).astype(_U))
             for d in np.flatnonzero(go).tolist():
                 columns["sketch"][d] = sketch[d].tobytes()
-        out = {"doc_id": table.column("doc_id").to_pylist(), "n_shingles": sets.size.tolist(), "class": sets.key.tolist(), **columns}
+        out = {k: table.column(k).to_pylist() for k in ("doc_id", "text_hash")} | {"n_shingles": sets.size.tolist(), "class": sets.key.tolist(), **columns}
         return exchange_table({k: (out[k], t) for k, t in _SETS.items()})
 
     return run
 
 
+_ENTRY = {
+    "class": np.int64, "n_shingles": np.int64, "first_position": np.int32, "label": np.int64, "hub": np.int64, "distance": np.int32,
+}
+
+
 def _entries(classes: DataFrame, parts: int) -> DataFrame:
-    """The index: one row per class and part, with the shingles of its prefix that fall in the part."""
-    names = ["class", "n_shingles", "first_position", "label", "hub", "distance", "sketch"]
+    """The index, packed: for each part that a batch of classes has shingles for, one row with those classes and shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("part", "shingles", "positions", *names)}
-            columns = {k: batch.column(k).to_pylist() for k in names}
-            for i, prefix in enumerate(batch.column("prefix").to_pylist()):
-                shingles = np.frombuffer(prefix, _U)
-                position = columns["first_position"][i] + np.arange(len(shingles), dtype=np.int32)
-                of = (mix(shingles) % _U(parts)).astype(np.int64)
-                order = np.argsort(of, kind="stable")
-                cuts = np.searchsorted(of[order], np.arange(parts + 1)).tolist()
-                for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    if a < b:
-                        rows["part"].append(p)
-                        rows["shingles"].append(shingles[order[a:b]].tobytes())
-                        rows["positions"].append(position[order[a:b]].tobytes())
-                        for k in names:
-                            rows[k].append(columns[k][i])
-            types = {"part": pa.int32(), "shingles": pa.binary(), "positions": pa.binary(), "sketch": pa.binary(), "n_shingles": pa.int64(), "first_position": pa.int32(), "distance": pa.int32()}
-            yield pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int64())) for k, v in rows.items()], names=list(rows))
-
-    return classes.select(*names, "prefix").mapInArrow(
-        run,
-        "part int, shingles binary, positions binary, class long, n_shingles long, first_position int, label long, hub long, distance int, sketch binary",
-    )
+            columns = {k: batch.column(k).to_numpy().astype(t) for k, t in _ENTRY.items()}
+            sketches = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), _U).reshape(-1, SKETCH_WORDS)
+            prefixes = [np.frombuffer(p, _U) for p in batch.column("prefix").to_pylist()]
+            lengths = np.array([len(p) for p in prefixes], np.int64)
+            shingle = np.concatenate(prefixes) if prefixes else np.zeros(0, _U)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            position = columns["first_position"][owner] + np.arange(len(owner)) - (np.cumsum(lengths) - lengths)[owner]
+            of = (mix(shingle) % _U(parts)).astype(np.int64)
+            order = np.argsort(of, kind="stable")
+            cuts = np.searchsorted(of[order], np.arange(parts + 1)).tolist()
+            rows: dict[str, list] = {k: [] for k in ("part", "shingles", "owners", "positions", *_ENTRY, "sketch")}
+            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                if a == b:
+                    continue
+                some, own = np.unique(owner[order[a:b]], return_inverse=True)
+                rows["part"].append(p)
+                rows["shingles"].append(shingle[order[a:b]].tobytes())
+                rows["owners"].append(own.astype(np.int32).tobytes())
+                rows["positions"].append(position[order[a:b]].astype(np.int32).tobytes())
+                for k in _ENTRY:
+                    rows[k].append(columns[k][some].tobytes())
+                rows["sketch"].append(sketches[some].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in rows.items()], names=list(rows))
+
+    ddl = ", ".join(f"{k} binary" for k in ("shingles", "owners", "positions", *_ENTRY, "sketch"))
+    return classes.select(*_ENTRY, "sketch", "prefix").mapInArrow(run, "part int, " + ddl)
 
 
 class _Index:
     """The lists of one part, each sorted by set size."""
 
     def __init__(self, table: pa.Table) -> None:
-        get = lambda name, kind: np.array(column_list(table, name), kind)
-        self.cls, self.size = get("class", np.int64), get("n_shingles", np.int64)
-        self.own, self.label, self.hub = get("first_position", np.int64), get("label", np.int64), get("hub", np.int64)
-        self.distance = get("distance", np.int64)
-        self.sketch = np.frombuffer(b"".join(column_list(table, "sketch")), _U).reshape(-1, SKETCH_WORDS)
-        lists = [np.frombuffer(b, _U) for b in column_list(table, "shingles")]
-        places = [np.frombuffer(b, np.int32) for b in column_list(table, "positions")]
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        shingle, position = np.concatenate(lists), np.concatenate(places).astype(np.int64)
+        joined = lambda name, kind: np.frombuffer(b"".join(column_list(table, name)), kind)
+        self.cls, self.size, self.own, self.label, self.hub, self.distance = (joined(k, t).astype(np.int64) for k, t in _ENTRY.items())
+        self.sketch = joined("sketch", _U).reshape(-1, SKETCH_WORDS)
+        counts = [len(x) // 8 for x in column_list(table, "class")]
+        spans = [len(x) // 4 for x in column_list(table, "owners")]
+        row = joined("owners", np.int32) + np.repeat(np.cumsum(counts) - counts, spans)
+        shingle, position = joined("shingles", _U), joined("positions", np.int32).astype(np.int64)
         order = np.lexsort((self.cls[row], self.size[row], shingle))
         self.row, self.position = row[order], position[order]
         starts = group_starts(shingle[order])
@@ -364,12 +378,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> D
     )
 
 
-def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 12 << 20) -> DataFrame:
-    """doc_id, n_shingles, class, component_id of every document."""
+def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, text_hash, n_shingles, class, component_id and stays of every document.
+
+    ``stays`` holds for the row with the smallest id and hash of its component (rows that repeat it, too).
+    """
     spark = docs.sparkSession
     batches, count, total = _batched(docs, batch_bytes)
-    answers = _shared_shingles(batches, max(1, min(4 * count, -(-total // (20 << 20)))), size)
-    table = keep_table(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_classify(size, share), _SETS_DDL), "sets")
+    bits = _code_bits(total)
+    answers = _shared_shingles(batches, max(1, min(4 * count, -(-total // (20 << 20)))), size, bits)
+    table = keep_table(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_classify(size, share, bits), _SETS_DDL), "sets")
     first = lambda name: F.first(name).alias(name)
     classes = keep_table(
         table.where("shared is not null").groupBy("class").agg(*(first(c) for c in ("n_shingles", "shared", "prefix", "first_position", "sketch"))), "classes"
@@ -389,14 +407,20 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
     crossed = keep_table(_entries(known, parts).groupBy("part").applyInArrow(_cross_pairs(share), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "crossed")
     more = _verified(crossed.where("not sure").select("a", "b"), classes, share).where("linked").select("a", "b")
     labels = connected(links.union(crossed.where("sure").select("a", "b")).union(more))
-    own = table.groupBy("class").agg(F.min("doc_id").alias("least"))
+    row = F.struct("doc_id", "text_hash")
+    own = table.groupBy("class").agg(F.min(row).alias("least"))
     joined = own.join(labels.withColumnRenamed("node", "class"), "class", "left")
-    least = joined.where("label is not null").groupBy("label").agg(F.min("least").alias("component"))
-    of_class = joined.join(least, "label", "left").select("class", F.coalesce("component", "least").alias("component_id"))
-    some = table.where("n_shingles > 0").select("doc_id", "n_shingles", "class").join(of_class, "class", "left")
-    lone = table.where("n_shingles = 0").select("class", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    real = lambda c: F.when(F.col(c) != LAST, F.col(c)).alias(c)
-    return some.unionByName(lone).select(real("doc_id"), "n_shingles", "class", real("component_id"))
+    least = joined.where("label is not null").groupBy("label").agg(F.min("least").alias("first"))
+    of_class = joined.join(least, "label", "left").select("class", F.coalesce("first", "least").alias("first"))
+    some = table.where("n_shingles > 0").join(of_class, "class", "left")
+    lone = table.where("n_shingles = 0").withColumn("first", row)
+    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    names = ["doc_id", "text_hash", "n_shingles", "class", "first"]
+    return (
+        some.select(*names)
+        .unionByName(lone.select(*names))
+        .select(real("doc_id").alias("doc_id"), "text_hash", "n_shingles", "class", real("first.doc_id").alias("component_id"), (row == F.col("first")).alias("stays"))
+    )
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +429,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest id (of rows that repeat it, one)."""
-    kept = similar_components(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    once = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    return once.dropDuplicates(["doc_id"]) if "doc_id" in docs.columns else once
+    """One document of each component stays: that with the smallest id. Of rows that repeat it as a whole, one stays."""
+    kept = keep_table(
+        similar_components(docs).where("stays").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "kept"
+    ).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+    here = docs.withColumn("_text", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
+    once = here.join(kept, same, "left_semi")
+    if kept.where("copies > 1").limit(1).count():
+        once = once.dropDuplicates(["doc_id", "_text"])
+    return once.drop("_text")
