@@ -77,7 +77,7 @@ def kit_assemble(spark, sf_dir):
     by_flavour = T_first(h, ["category", "flavour"], "stem", "id").select("category", "flavour", "id")
     any_ = T_first(h, ["category"], "stem", "id").select("category", F.col("id").alias("any_id"))
     neutral_ = by_flavour.join(F.broadcast(neutral), by_flavour["flavour"] == neutral["n"]).select("category", F.col("id").alias("neutral_id"))
-    kits = flavours.crossJoin(F.broadcast(any_)).join(neutral_, "category", "left")
+    kits = flavours.crossJoin(any_).join(neutral_, "category", "left")
     own = by_flavour.select("category", F.col("flavour").alias("kit"), F.col("id").alias("own_id"))
     return kits.join(own, ["category", "kit"], "left").select(
         "kit", "category", F.coalesce("own_id", "neutral_id", "any_id").alias("id"),
