@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .components import connected
 from .hash_exchange import LAST, column_list, exchange_table, group_starts, merged, pack, part_cuts, sizes_of, unpack
-from .shared import keep_table, read_table, shuffle_width
+from .shared import free_name, keep_table, read_table, shuffle_width
 from .text_blocks import Words, lowered, mix, text_bytes, whole_windows, window_hashes
 
 SHINGLE = 5
@@ -430,12 +430,13 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with the smallest id. Of rows that repeat it as a whole, one stays."""
+    key_id, key_hash, own = (free_name(docs, n) for n in ("_id", "_hash", "_text"))
     kept = keep_table(
         similar_components(docs).where("stays").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "kept"
-    ).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    here = docs.withColumn("_text", F.xxhash64("text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    once = here.join(kept, same, "left_semi")
+    ).withColumnsRenamed({"doc_id": key_id, "text_hash": key_hash})
+    here = docs.withColumn(own, F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key_id)) & (F.col(own) == F.col(key_hash))
+    once = here.join(kept.drop("copies"), same, "left_semi")
     if kept.where("copies > 1").limit(1).count():
-        once = once.dropDuplicates(["doc_id", "_text"])
-    return once.drop("_text")
+        once = once.dropDuplicates(["doc_id", own])
+    return once.drop(own)

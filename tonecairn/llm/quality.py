@@ -15,7 +15,7 @@ Defined results
 * null id: not held out; null label: not learned from; ids that repeat in
   ``labels``: each row is learned from; a repeated document: each is scored;
 * no labels, or one class only: every score is that class's share (0.5 if none);
-* empty ``documents``: no rows; other input columns, even ``score``, are not read.
+* empty ``documents``: no rows; other input columns are not read and come to no harm.
 """
 
 from __future__ import annotations
@@ -223,22 +223,28 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Boos
     return fit(np.stack(rows["statistics"])[order], rows["label"].to_numpy(float)[order])
 
 
-def with_scores(docs: DataFrame, model: Boosted, keep: list[str] | None = None, at_least: float = 0.0) -> DataFrame:
-    """The columns ``keep`` (all, if not given) of the rows that score ``at_least`` so much, with ``score`` put last.
-
-    An input column named ``score`` is replaced.
-    """
-    names = [c for c in (docs.columns if keep is None else keep) if c != "score"]
-    schema = docs.select(*names).schema.add("score", "double")
+def with_scores(docs: DataFrame, model: Boosted, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` of every row, with ``score`` put last."""
+    schema = docs.select(*keep).schema.add("score", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             score = shared.value.score(statistics(batch.column("text")))
-            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(score)], names=[*names, "score"])
-            yield out if at_least <= 0 else out.filter(pa.array(score >= at_least))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
+
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+
+
+def above(docs: DataFrame, model: Boosted, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least so much, with all their columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "text"):
+            yield batch.filter(pa.array(shared.value.score(statistics(batch.column("text"))) >= least))
 
-    return docs.select(*dict.fromkeys([*names, "text"])).mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,4 +262,4 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     model = train(docs, read_table(spark, sf_dir, "labels"))
-    return with_scores(docs, model, at_least=0.5).drop("score")
+    return above(docs, model)

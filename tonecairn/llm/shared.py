@@ -39,3 +39,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def is_held_out(doc_id):
     """crc32 of the id as text, mod 3, is 1; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many leading underscores as make it no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hash_exchange import column_list, exchange_table, group_starts, pack, part_cuts, sizes_of, unpack
-from .shared import keep_table, read_table
+from .shared import keep_table, read_table, shuffle_width
 from .suffix_groups import common_prefixes, suffix_array
 from .text_blocks import _WORD_BASE, _WORD_INVERSE, _range_sums, covered, long_window_hashes, mix, text_bytes, whole_windows
 
@@ -402,7 +402,9 @@ def remove_repeated_strings(docs: DataFrame, size: int = SIZE, with_bytes: bool
     sent = batches.groupBy("batch").applyInArrow(_send_anchors(parts, size), "part int, batch int, anchors binary, contexts binary, often binary")
     fates = keep_table(sent.groupBy("part").applyInArrow(_decide(hot_contexts), "batch int, part int, fates binary"), "fates")
     contexts = batches.groupBy("batch").cogroup(fates.groupBy("batch")).applyInArrow(_send_contexts(parts, size), _SENT)
-    compared = contexts.groupBy("part").applyInArrow(_compare(parts, size), _ANSWER)
+    # a set number of tasks: few bytes make much work here, so small partitions must not be joined
+    tasks = min(parts, 4 * shuffle_width(docs.sparkSession))
+    compared = contexts.repartition(tasks, "part").groupBy("part").applyInArrow(_compare(parts, size), _ANSWER)
     answers = fates.withColumn("strings", F.lit(None).cast("binary")).unionByName(compared.withColumn("fates", F.lit(None).cast("binary")))
     return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_mark(parts, size, with_bytes), _REMOVED)
 
