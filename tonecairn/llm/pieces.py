@@ -21,6 +21,7 @@ Defined results
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import struct
 from collections.abc import Iterator
@@ -85,7 +86,7 @@ class Vocabulary:
                     raise ValueError("only identity normalisation with a dummy prefix and all blanks kept is supported")
             elif field == 2 and dict(_fields(value)).get(3, 1) != 2:
                 raise ValueError("only BPE models are supported")
-        self.size = len(pieces)
+        self.size, self.digest = len(pieces), hashlib.sha256(model).digest()
         normal = []
         for number, (text, score, kind) in enumerate(pieces):
             if kind == 6:
@@ -222,11 +223,11 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.nda
         after[: n - step] = rank[step:] + 1 if n > step else 0
         rank = _ranks(rank * (n + 2) + after)
         step *= 2
-    return np.argsort(rank, kind="stable"), keys
+    return np.argsort(rank), keys
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     sorted_ = keys[order]
     new = np.zeros(len(keys), np.int64)
     new[1:] = sorted_[1:] != sorted_[:-1]
@@ -283,7 +284,7 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray,
     ok = stop <= ends[word[start]]
     start, stop, piece = start[ok], stop[ok], piece[ok]
     reach = stop - starts[word[start]]
-    order = np.argsort(reach, kind="stable")
+    order = np.argsort(reach.astype(np.uint16) if len(reach) and reach.max() < 1 << 16 else reach, kind="stable")  # 16 bits: by radix
     start, stop, piece, reach = start[order], stop[order], piece[order], reach[order]
     begins = start == starts[word[start]]
     cuts = np.flatnonzero(np.diff(reach, prepend=-1, append=-1))
@@ -322,7 +323,7 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray,
 class Encoder:
     """Encodes batches; remembers up to ``most_words`` encoded words between them."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 1 << 18) -> None:
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 1 << 20) -> None:
         self.vocabulary, self.most = vocabulary, most_words
         self._runs: dict[int, np.ndarray] = {0: np.zeros(0, np.int32)}
         self._forget()
@@ -399,6 +400,17 @@ class Encoder:
         return pool[source], doc_bounds
 
 
+_KEPT: dict[bytes, Encoder] = {}
+
+
+def kept_encoder(vocabulary: Vocabulary) -> Encoder:
+    """One encoder per worker process, so its words outlive a task; bounded like any other."""
+    if vocabulary.digest not in _KEPT:
+        _KEPT.clear()
+        _KEPT[vocabulary.digest] = Encoder(vocabulary)
+    return _KEPT[vocabulary.digest]
+
+
 class Decoder:
     """Ids back to text."""
 
@@ -432,8 +444,8 @@ def with_ids(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(read_model(docs.sparkSession, model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value)
-        for batch in bounded(batches, text, 2 << 20):
+        encoder = kept_encoder(shared.value)
+        for batch in bounded(batches, text, 4 << 20):
             ids, offsets = encoder.encode(batch.column(text))
             made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, "ids"])
@@ -461,15 +473,13 @@ def with_text(encoded: DataFrame, model: str = MODEL) -> DataFrame:
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document as count and digest, and the digest of the text that they decode to."""
-    import hashlib
-
     docs = read_table(spark, sf_dir, "documents")
     shared = spark.sparkContext.broadcast(read_model(spark, MODEL))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(shared.value), Decoder(shared.value)
+        encoder, decoder = kept_encoder(shared.value), Decoder(shared.value)
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in bounded(batches, "text", 2 << 20):
+        for batch in bounded(batches, "text", 4 << 20):
             ids, offsets = encoder.encode(batch.column("text"))
             texts = decoder.decode(ids, offsets)
             cuts = offsets.tolist()
