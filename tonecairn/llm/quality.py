@@ -76,12 +76,14 @@ def statistics(column: pa.Array) -> np.ndarray:
     longest = np.zeros(n_docs)
     np.maximum.at(longest, words.doc, length)
 
+    doc_bits = np.uint64(max(n_docs.bit_length(), 1))
+
     def distinct(hashes: np.ndarray, doc: np.ndarray, of: np.ndarray) -> np.ndarray:
-        order = np.lexsort((hashes, doc))
-        h, d = hashes[order], doc[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        return np.bincount(d[new], minlength=n_docs) / of
+        """Different hashes of each document, by one sort of document number and leading hash bits."""
+        keys = np.sort((doc.astype(np.uint64) << (np.uint64(64) - doc_bits)) | (hashes >> doc_bits))
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        return np.bincount((keys[new] >> (np.uint64(64) - doc_bits)).astype(np.int64), minlength=n_docs) / of
 
     pairs = window_hashes(words.hash, 2)
     same = words.doc[1:] == words.doc[:-1]
