@@ -63,12 +63,20 @@ _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?
 _WORD = re.compile(r"[a-z0-9]+")
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
+_ABOUT = frozenset("has with no not without hide is show".split())  # "has-sidebar" says something about what is around
+
+
+def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
     if not attributes or tag in _SAFE:
         return False
     for m in _NAMES.finditer(attributes):
-        if not _BOILERPLATE.isdisjoint(_WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", m[1] or m[2] or m[3] or "").lower())):
-            return True
+        for name in (m[1] or m[2] or m[3] or "").split():
+            words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+            if not words or words[0] in _ABOUT or words[-1] == "free":
+                continue
+            found = _BOILERPLATE.intersection(words)
+            if found and not (in_article and found <= {"header"}):  # an article's own header holds its heading
+                return True
     return bool(_HIDDEN.search(attributes))
 
 
@@ -136,9 +144,10 @@ def parse(page: str) -> _Dom:
         node = len(tag)
         tag.append(name)
         parent.append(stack[-1])
-        gone = dropped[stack[-1]] or name in _DROPPED or _is_boilerplate(name, attributes)
-        if name == "header":  # a page's header; one inside the article holds its heading
-            gone = gone or not any(tag[x] in ("article", "main") for x in stack)
+        gone = dropped[stack[-1]] or name in _DROPPED
+        if not gone and (attributes or name == "header"):
+            inside = any(tag[x] in ("article", "main") for x in stack)
+            gone = _is_boilerplate(name, attributes, inside) or name == "header" and not inside
         dropped.append(gone)
         end.append(node + 1)
         if name in _BLOCKS:
