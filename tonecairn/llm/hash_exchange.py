@@ -81,15 +81,19 @@ def exchange_table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:
 
 
 def merged(blobs: list[bytes], sources: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """All hashes of the blobs in ascending order, each with its source; equal hashes in the order of the sources."""
-    order = np.argsort(np.array(sources), kind="stable")
-    lists = [unpack(blobs[i]) for i in order]
+    """All hashes of the blobs in ascending order, each with its source; equal hashes in any order."""
+    lists = [unpack(b) for b in blobs]
     hashes = np.concatenate(lists) if lists else np.zeros(0, np.uint64)
-    source = np.repeat(np.array(sources, np.int32)[order], [len(x) for x in lists])
-    at = np.argsort(hashes, kind="stable")
+    source = np.repeat(np.array(sources, np.int32), [len(x) for x in lists])
+    at = np.argsort(hashes)
     return hashes[at], source[at]
 
 
+def by_source(source: np.ndarray) -> np.ndarray:
+    """A stable order by source; up to 16 bits numpy sorts by radix."""
+    return np.argsort(source.astype(np.uint16) if len(source) and source.max() < 1 << 16 else source, kind="stable")
+
+
 def group_starts(sorted_: np.ndarray) -> np.ndarray:
     """Index of the first of each run of equal values."""
     return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .hash_exchange import LAST, column_list, exchange_table, group_starts, merged, pack, part_cuts, sizes_of, unpack
+from .hash_exchange import LAST, by_source, column_list, exchange_table, group_starts, merged, pack, part_cuts, sizes_of, unpack
 from .shared import free_name, keep_table, read_table, shuffle_width
 from .text_blocks import Words, lowered, mix, text_bytes, whole_windows, window_hashes
 
@@ -66,10 +66,14 @@ class _Sets:
                 for k in range(length):
                     whole = mix(whole * _U(0x9E3779B97F4A7C15) + run[:, k])
                 hashes, doc = np.concatenate([hashes, whole]), np.concatenate([doc, few])
-        order = np.argsort(doc, kind="stable")
-        hashes, doc = hashes[order], doc[order]
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         hashes, doc = hashes[order], doc[order]
+        tied = np.zeros(len(hashes) + 1, bool)  # equal to the one before
+        tied[1:-1] = hashes[1:] == hashes[:-1]
+        some = np.flatnonzero(tied[:-1] | tied[1:])
+        if len(some):  # documents in order within equal hashes
+            run = np.cumsum(~tied[:-1])[some]
+            doc[some] = np.sort(run * n_docs + doc[some]) % n_docs
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
         self.hash, self.doc = hashes[new], doc[new]
@@ -132,7 +136,7 @@ def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> Da
         hashes = np.concatenate(lists)
         often = np.frombuffer(b"".join(counts), np.uint8).astype(np.int64)
         source = np.repeat(np.array(sources, np.int32), [len(x) for x in lists])
-        order = np.argsort(hashes, kind="stable")
+        order = np.argsort(hashes)
         hashes, often, source = hashes[order], often[order], source[order]
         starts = group_starts(hashes)
         total = np.add.reduceat(often, starts) if len(starts) else often
@@ -140,7 +144,7 @@ def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> Da
         keep = each >= 2
         rarity = np.minimum(8 * np.log2(np.maximum(each, 1)), 255).astype(np.uint8)
         hashes, source, rarity = hashes[keep], source[keep], rarity[keep]
-        order = np.argsort(source, kind="stable")
+        order = by_source(source)
         hashes, source, rarity = hashes[order], source[order], rarity[order]
         cuts = np.append(group_starts(source), len(source)).tolist()
         rows = [(int(source[a]), pack(hashes[a:b]), rarity[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
@@ -167,7 +171,7 @@ def _classify(size: int, share: tuple[int, int], bits: int):
         blobs, codes = column_list(answers, "shingles"), column_list(answers, "rarity")
         known = np.concatenate([unpack(b) for b in blobs]) if blobs else np.zeros(0, _U)
         rarity = np.frombuffer(b"".join(codes), np.uint8)
-        order = np.argsort(known, kind="stable")
+        order = np.argsort(known)
         known, rarity = known[order], rarity[order]
         n_docs = len(sets.size)
         columns: dict[str, list] = {k: [None] * n_docs for k in ("shared", "prefix", "first_position", "sketch")}
@@ -378,7 +382,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> D
     )
 
 
-def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 8 << 20) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, text_hash, n_shingles, class, component_id and stays of every document.
 
     ``stays`` holds for the row with the smallest id and hash of its component (rows that repeat it, too).
