@@ -95,7 +95,8 @@ class _Contexts:
             new[1:] = (anchor[1:] != anchor[:-1]) | (first[1:] != last[:-1] + 1)
             at = np.flatnonzero(new)
             anchor, hashes, first, last = anchor[at], hashes[at], first[at], last[np.append(at[1:], len(new)) - 1]
-        self.anchor, self.hash, self.first, self.last, self.size = anchor, hashes, first, last, size
+        # the least hashes of many are all small: mixed anew they spread evenly over the parts
+        self.anchor, self.hash, self.first, self.last, self.size = anchor, mix(hashes ^ _U(0x2545F4914F6CDD1D)), first, last, size
         shape = mix(((last - first) * 4096 + (anchor - first)).astype(_U) + _U(1))
         self.context = mix(_range_sums(raw, first, last + size, _WORD_BASE, _WORD_INVERSE) + shape)
         self.order = np.lexsort((self.context, self.hash))
@@ -309,7 +310,7 @@ def _compare(parts: int, size: int):
             count = shapes[:, 1].astype(np.int64)
             length = count + size - 1
             base = np.cumsum(length) - length
-            piece_of = np.cumsum(length[by_anchor]) // (8 << 20)
+            piece_of = np.cumsum(length[by_anchor]) // (3 << 20)
             changes = group_starts(hashes[by_anchor])
             piece = np.repeat(piece_of[changes], np.diff(np.append(changes, len(by_anchor))))
             first = np.cumsum(count) - count
@@ -391,7 +392,7 @@ def _positions(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
-def remove_repeated_strings(docs: DataFrame, size: int = SIZE, with_bytes: bool = True, batch_bytes: int = 8 << 20, hot_contexts: int = 20_000) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, size: int = SIZE, with_bytes: bool = True, batch_bytes: int = 6 << 20, hot_contexts: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null without ``with_bytes``) of every document."""
     _, total = sizes_of(docs)
     count = max(1, -(-total // batch_bytes))
