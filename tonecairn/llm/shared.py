@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,9 +26,20 @@ def keep_table(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_dir(spark, label)
     df.write.parquet(path)
+    release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of queries that have ended.
+
+    It does so once the driver has collected the garbage that names them, which on a quiet driver takes long
+    enough for the files of one step to lie beside those of the next.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
