@@ -120,12 +120,13 @@ def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> Da
         often = np.minimum(np.diff(np.append(starts, len(hashes))), 255).astype(np.uint8)
         cuts = part_cuts(distinct, parts, bits).tolist()
         batch = table.column("batch")[0].as_py()
+        full = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
         return exchange_table(
             {
-                "part": (list(range(parts)), pa.int32()),
-                "batch": ([batch] * parts, pa.int32()),
-                "shingles": ([pack(distinct[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()),
-                "often": ([often[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()),
+                "part": ([p for p, _, _ in full], pa.int32()),
+                "batch": ([batch] * len(full), pa.int32()),
+                "shingles": ([pack(distinct[a:b]) for _, a, b in full], pa.binary()),
+                "often": ([often[a:b].tobytes() for _, a, b in full], pa.binary()),
             }
         )
 
@@ -382,7 +383,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> D
     )
 
 
-def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 6 << 20) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, text_hash, n_shingles, class, component_id and stays of every document.
 
     ``stays`` holds for the row with the smallest id and hash of its component (rows that repeat it, too).
@@ -390,7 +391,7 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
     spark = docs.sparkSession
     batches, count, total = _batched(docs, batch_bytes)
     bits = _code_bits(total)
-    answers = _shared_shingles(batches, max(1, min(4 * count, -(-total // (20 << 20)))), size, bits)
+    answers = _shared_shingles(batches, max(1, min(4 * count, -(-total // (10 << 20)))), size, bits)
     table = keep_table(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_classify(size, share, bits), _SETS_DDL), "sets")
     first = lambda name: F.first(name).alias(name)
     classes = keep_table(

@@ -133,14 +133,14 @@ def _send_anchors(parts: int, size: int):
         often = np.minimum(np.diff(np.append(x.starts, len(x.order))), 2).astype(np.uint8)
         cuts = part_cuts(hashes, parts).tolist()
         batch = table.column("batch")[0].as_py()
-        spans = list(zip(cuts, cuts[1:]))
+        full = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
         return exchange_table(
             {
-                "part": (list(range(parts)), pa.int32()),
-                "batch": ([batch] * parts, pa.int32()),
-                "anchors": ([pack(hashes[a:b]) for a, b in spans], pa.binary()),
-                "contexts": ([contexts[a:b].tobytes() for a, b in spans], pa.binary()),
-                "often": ([often[a:b].tobytes() for a, b in spans], pa.binary()),
+                "part": ([p for p, _, _ in full], pa.int32()),
+                "batch": ([batch] * len(full), pa.int32()),
+                "anchors": ([pack(hashes[a:b]) for _, a, b in full], pa.binary()),
+                "contexts": ([contexts[a:b].tobytes() for _, a, b in full], pa.binary()),
+                "often": ([often[a:b].tobytes() for _, a, b in full], pa.binary()),
             }
         )
 
@@ -392,7 +392,7 @@ def _positions(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - count), count)
 
 
-def remove_repeated_strings(docs: DataFrame, size: int = SIZE, with_bytes: bool = True, batch_bytes: int = 6 << 20, hot_contexts: int = 20_000) -> DataFrame:
+def remove_repeated_strings(docs: DataFrame, size: int = SIZE, with_bytes: bool = True, batch_bytes: int = 4 << 20, hot_contexts: int = 20_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null without ``with_bytes``) of every document."""
     _, total = sizes_of(docs)
     count = max(1, -(-total // batch_bytes))
