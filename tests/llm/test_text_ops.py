@@ -231,3 +231,79 @@ def test_archives(spark):
 def test_contract_of_archive_digest():
     assert warc.sha1_base32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert hashlib.sha1(b"").hexdigest().startswith("da39a3ee")
+
+
+def test_sql_equals_queries_on_the_smallest_tables(spark):
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    import duckdb
+
+    from tonecairn.llm import queries
+
+    con = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    for name, sql in queries.SQL.items():
+        frame = queries.QUERIES[name](spark, folder)
+        columns = sorted(frame.columns)
+        theirs = con.sql(sql).select(*(f'"{c}"' for c in columns)).fetchall()
+        assert sorted(map(repr, (tuple(r) for r in frame.select(*columns).collect()))) == sorted(map(repr, theirs)), name
+
+
+def test_pages_of_the_tables_equal_a_plain_reading(spark):
+    """Brute force for the tables' own template: the blocks between the article's tags."""
+    import html
+    import re
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    for row in html_text.op7_html_extraction(spark, folder).join(spark.read.parquet(f"{folder}/pages.parquet").drop("url"), "page_id").collect():
+        inside = row["html"].split("<article>", 1)[1].split("</article>")[0]
+        blocks = (" ".join(html.unescape(re.sub(r"</?b>|<br>", "", b)).split()) for b in re.split(r"</?(?:h1|p)>", inside))
+        assert row["text"] == "\n".join(b for b in blocks if b) and row["n_chars"] == len(row["text"])
+
+
+def test_pipeline_against_plain_steps(spark):
+    """On a small table every stage's result equals the operators' own brute-force rules."""
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    scores = {r["doc_id"]: r["predicted"] for r in quality.op4_quality(spark, folder).collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r["doc_id"]: r["text"] for r in docs.collect()}
+        docs = spark.createDataFrame(stage(spark, docs, folder).collect(), docs.schema)
+        after = {r["doc_id"]: r["text"] for r in docs.collect()}
+        assert docs.columns == columns and set(after) <= set(before)
+        if name.startswith("quality"):
+            assert set(after) == {k for k in before if scores[k]}
+        elif name.startswith("n-gram"):
+            sets = {k: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := t.lower().split()) else set() for k, t in before.items()}
+            like = lambda a, b: 100 * len(a & b) >= 75 * len(a | b) > 0
+            assert not any(like(sets[a], sets[b]) for a in after for b in after if a < b)
+            reached = set(after)
+            while more := {k for k in set(before) - reached if any(like(sets[k], sets[r]) for r in reached)}:
+                reached |= more
+            assert reached == set(before)
+        elif name.startswith("substring"):
+            seen: dict = {}
+            for k in sorted(before):
+                w = before[k].split()
+                gone = [False] * len(w)
+                for i in range(len(w) - 12):
+                    if seen.setdefault(tuple(w[i : i + 13]), k) < k:
+                        gone[i : i + 13] = [True] * 13
+                left = [x for x, g in zip(w, gone, strict=True) if not g]
+                assert (k in after) == (bool(left) or not any(gone))
+                if k in after:
+                    assert after[k] == (before[k] if not any(gone) else " ".join(left))
+        else:
+            assert all(after[k] == before[k] for k in after)
+        counts.append(docs.count())
+    ids = corpus_pipeline.run(spark, folder)
+    assert ids.count() == counts[-1] and ids.where("size(ids) = n_ids").count() == counts[-1]
