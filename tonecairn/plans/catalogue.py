@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import hits, plans, signals, spectral, texts, zones
+from . import hits, plans, rules, signals, spectral, texts, zones
 
-PARTS = (signals, zones, hits, texts, spectral, plans)
+PARTS = (signals, zones, hits, texts, spectral, plans, rules)
 QUERIES = {name: query for part in PARTS for name, query in part.QUERIES.items()}
 SQL = {name: text for part in PARTS for name, text in part.SQL.items()}
 FLAGSHIP = "set_gain"
