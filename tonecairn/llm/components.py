@@ -15,9 +15,9 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     shortens the chains by one join of the labels with themselves. Each round
     is written to the shared folder; nothing but a count reaches the driver.
     """
-    both = keep_table(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links")
+    both = keep_table(links.select("a", "b").union(links.select("b", "a")).where("a <> b").distinct(), "links", release=False)
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least")).select("node", F.least("node", "least").alias("label"))
-    labels = keep_table(labels, "labels")
+    labels = keep_table(labels, "labels", release=False)
     for _ in range(most_rounds):
         near = (
             both.join(labels.select(F.col("node").alias("b"), "label"), "b")
@@ -27,7 +27,7 @@ def connected(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         lower = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
         roots = lower.select(F.col("node").alias("new"), F.col("new").alias("root"))
         jumped = lower.join(roots, "new", "left").select("node", "label", F.least("new", F.coalesce("root", "new")).alias("new"))
-        step = keep_table(jumped, "labels")
+        step = keep_table(jumped, "labels", release=False)
         changed = step.where("new <> label").limit(1).count()
         labels = step.select("node", F.col("new").alias("label"))
         if not changed:

@@ -1,6 +1,6 @@
 """Exchange of 64-bit hashes between batches of documents, in packed columns instead of rows.
 
-Documents are dealt into batches of bounded size (``with_batches``). A batch
+Documents are dealt into batches of bounded size (``packed``). A batch
 sends its distinct hashes, sorted and packed, cut by hash range into parts; the
 task of a part sees every batch's hashes of its range, already combined per
 batch, so a hash that a third of all documents share arrives once per batch.
@@ -12,11 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+
+from .text_blocks import bounded
 
 LAST = 2**63 - 1  # stands for a null id: it sorts last
 
@@ -53,27 +53,58 @@ def sizes_of(docs: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-def with_batches(docs: DataFrame, batch_bytes: int, total_bytes: int) -> tuple[DataFrame, int]:
-    """(batch, doc_id, text, rest) with a null id as the last one, and the number of batches.
+def with_bounds(docs: DataFrame, batch_bytes: int, total_bytes: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, text, rest) with a null id as the last one, and the bounds of the batches.
 
     Batches are ranges of the id: a document of an earlier batch has a smaller
-    id. Range bounds are approximate quantiles, one for each batch; equal ids
-    share a batch. ``rest`` holds all other columns.
+    id. Bounds are approximate quantiles, one for each batch but the last;
+    equal ids share a batch. ``rest`` holds all other columns.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text", rest.alias("rest"))
     count = max(1, -(-total_bytes // batch_bytes))
-    cuts = np.zeros(0, np.int64)
-    if count > 1:
-        shares = [i / count for i in range(1, count)]
-        cuts = np.unique(np.array(rows.agg(F.percentile_approx("doc_id", shares, 50 * count).alias("cuts")).first()["cuts"], np.int64))
+    if count == 1:
+        return rows, np.zeros(0, np.int64)
+    shares = [i / count for i in range(1, count)]
+    return rows, np.unique(np.array(rows.agg(F.percentile_approx("doc_id", shares, 50 * count).alias("cuts")).first()["cuts"], np.int64))
+
 
-    @pandas_udf("int")
-    def batch_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(), "left").astype(np.int32))
+def packed(rows: DataFrame, bounds: np.ndarray | None = None) -> DataFrame:
+    """(batch, payload): the documents of a batch that one task has, as compressed Arrow streams.
 
-    return rows.select((batch_of("doc_id") if len(cuts) else F.lit(0)).alias("batch"), "doc_id", "text", "rest"), len(cuts) + 1
+    The batch is a column, or the range of ``doc_id`` in ``bounds``. A few
+    rows per task and batch are dealt instead of one per document, and texts
+    next to each other compress well.
+    """
+    names = [c for c in rows.columns if c != "batch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for piece in bounded(batches, "text", 4 << 20):
+            pa.default_memory_pool().release_unused()
+            number = piece.column("batch").to_numpy() if bounds is None else np.searchsorted(bounds, piece.column("doc_id").to_numpy(), "left")
+            order = np.argsort(number, kind="stable")
+            cuts = np.append(group_starts(number[order]), len(order)).tolist()
+            documents = pa.Table.from_batches([piece.select(names)])
+            ids, payloads = [], []
+            for a, b in zip(cuts, cuts[1:]):
+                some = documents.take(pa.array(order[a:b])).combine_chunks()
+                for part in bounded(some.to_batches(), "text", 1 << 18):  # rows of a few hundred KB are large objects to the JVM
+                    out = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(out, part.schema, options=options) as stream:
+                        stream.write_batch(part)
+                    ids.append(int(number[order[a]]))
+                    payloads.append(out.getvalue().to_pybytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(payloads, pa.binary())], names=["batch", "payload"])
+
+    return rows.mapInArrow(run, "batch int, payload binary")
+
+
+def unpacked(table: pa.Table) -> pa.Table:
+    """The documents of one batch; there must be some."""
+    pa.default_memory_pool().release_unused()  # what the batch before has left, else workers keep it
+    return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in table.column("payload").combine_chunks()]).combine_chunks()
 
 
 def exchange_table(columns: dict[str, tuple[list, pa.DataType]]) -> pa.Table:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .hash_exchange import LAST, by_source, column_list, exchange_table, group_starts, merged, pack, part_cuts, sizes_of, unpack
+from .hash_exchange import LAST, by_source, column_list, exchange_table, group_starts, pack, packed, part_cuts, sizes_of, unpack, unpacked
 from .shared import free_name, keep_table, read_table, shuffle_width
 from .text_blocks import Words, lowered, mix, text_bytes, whole_windows, window_hashes
 
@@ -112,7 +112,7 @@ def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> Da
     """(batch, shingles, rarity): the shingle codes of each batch that two sets have, and a byte that grows with their number."""
 
     def send(table: pa.Table) -> pa.Table:
-        sets = _Sets(table.column("text").combine_chunks(), size)
+        sets = _Sets(unpacked(table).column("text").combine_chunks(), size)
         one = _first_of_class(sets)[sets.doc]
         hashes = sets.hash[one] >> _U(64 - bits)
         starts = group_starts(hashes)
@@ -168,6 +168,7 @@ def _classify(size: int, share: tuple[int, int], bits: int):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
             return exchange_table({k: ([], t) for k, t in _SETS.items()})
+        table = unpacked(table)
         sets = _Sets(table.column("text").combine_chunks(), size)
         blobs, codes = column_list(answers, "shingles"), column_list(answers, "rarity")
         known = np.concatenate([unpack(b) for b in blobs]) if blobs else np.zeros(0, _U)
@@ -389,7 +390,8 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
     ``stays`` holds for the row with the smallest id and hash of its component (rows that repeat it, too).
     """
     spark = docs.sparkSession
-    batches, count, total = _batched(docs, batch_bytes)
+    rows, count, total = _batched(docs, batch_bytes)
+    batches = packed(rows)
     bits = _code_bits(total)
     answers = _shared_shingles(batches, max(1, min(4 * count, -(-total // (10 << 20)))), size, bits)
     table = keep_table(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_classify(size, share, bits), _SETS_DDL), "sets")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,12 +22,13 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def keep_table(df: DataFrame, label: str) -> DataFrame:
+def keep_table(df: DataFrame, label: str, release: bool = True) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = work_dir(spark, label)
     df.write.parquet(path)
-    release_shuffles(spark)
+    if release:
+        release_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -36,8 +38,10 @@ def release_shuffles(spark: SparkSession) -> None:
     It does so once the driver has collected the garbage that names them, which on a quiet driver takes long
     enough for the files of one step to lie beside those of the next.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first round frees on this side, the second finds on the other
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def shuffle_width(spark: SparkSession) -> int:
