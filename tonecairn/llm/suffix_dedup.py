@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hash_exchange import column_list, exchange_table, group_starts, pack, part_cuts, sizes_of, unpack
+from .hash_exchange import column_list, exchange_table, group_starts, pack, packed, part_cuts, sizes_of, unpack, unpacked
 from .shared import keep_table, read_table, shuffle_width
 from .suffix_groups import common_prefixes, suffix_array
 from .text_blocks import _WORD_BASE, _WORD_INVERSE, _range_sums, covered, long_window_hashes, mix, text_bytes, whole_windows
@@ -128,7 +128,7 @@ class _Contexts:
 
 def _send_anchors(parts: int, size: int):
     def run(table: pa.Table) -> pa.Table:
-        x = _Contexts(table.column("text").combine_chunks(), size)
+        x = _Contexts(unpacked(table).column("text").combine_chunks(), size)
         hashes, contexts = x.hash[x.distinct], x.context[x.distinct]
         often = np.minimum(np.diff(np.append(x.starts, len(x.order))), 2).astype(np.uint8)
         cuts = part_cuts(hashes, parts).tolist()
@@ -204,7 +204,7 @@ def _send_contexts(parts: int, size: int):
         out: dict[str, tuple[list, pa.DataType]] = {k: ([], t) for k, t in (("part", pa.int32()), ("batch", pa.int32()), *((k, pa.binary()) for k in ("anchors", "shapes", "judged", "bytes")))}
         if not table.num_rows or not answers.num_rows:
             return exchange_table(out)
-        x = _Contexts(table.column("text").combine_chunks(), size)
+        x = _Contexts(unpacked(table).column("text").combine_chunks(), size)
         fates, batch = _fates_of(answers), table.column("batch")[0].as_py()
         pick = (fates == _COMPARED) | (fates == _JUDGED)
         which, judged = x.distinct[pick], fates[pick] == _JUDGED
@@ -338,6 +338,7 @@ def _mark(parts: int, size: int, with_bytes: bool):
         names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
         if not table.num_rows:
             return pa.table({k: pa.array([], t) for k, t in zip(names, types, strict=True)})
+        table = unpacked(table)
         x = _Contexts(table.column("text").combine_chunks(), size)
         n = len(x.raw)
         decided = answers.filter(pa.compute.is_valid(answers.column("fates")))
@@ -397,9 +398,10 @@ def remove_repeated_strings(docs: DataFrame, size: int = SIZE, with_bytes: bool
     _, total = sizes_of(docs)
     count = max(1, -(-total // batch_bytes))
     parts = max(1, min(4 * count, -(-total // (16 << 20))))
-    batches = docs.select(
+    rows = docs.select(
         F.pmod(F.xxhash64(F.col("doc_id"), "text"), F.lit(count)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
+    batches = packed(rows)
     sent = batches.groupBy("batch").applyInArrow(_send_anchors(parts, size), "part int, batch int, anchors binary, contexts binary, often binary")
     fates = keep_table(sent.groupBy("part").applyInArrow(_decide(hot_contexts), "batch int, part int, fates binary"), "fates")
     contexts = batches.groupBy("batch").cogroup(fates.groupBy("batch")).applyInArrow(_send_contexts(parts, size), _SENT)
