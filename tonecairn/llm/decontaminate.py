@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table
+from .shared import read_table, text_batches
 from .text_blocks import Words, bounded, text_bytes, whole_windows, window_hashes
 
 SEED = 5
@@ -196,7 +196,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, c
                     names=["doc_id", "item_id", "item_tokens", "covered_tokens", "n_tiles", "longest_tile", "coverage"],
                 )
 
-        made = rows.mapInArrow(run, FOUND)
+        made = text_batches(rows).mapInArrow(run, FOUND)
         out = made if number == 0 else out.unionByName(made)
     return out
 
@@ -212,7 +212,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED
                 keep[[m[0] for m in shared.value.matches(batch.column("text"), coverage)]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = text_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

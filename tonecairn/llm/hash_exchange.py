@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text_blocks import bounded
+from .shared import text_batches
+from .text_blocks import bounded, give_back
 
 LAST = 2**63 - 1  # stands for a null id: it sorts last
 
@@ -82,7 +83,6 @@ def packed(rows: DataFrame, bounds: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
         for piece in bounded(batches, "text", 4 << 20):
-            pa.default_memory_pool().release_unused()
             number = piece.column("batch").to_numpy() if bounds is None else np.searchsorted(bounds, piece.column("doc_id").to_numpy(), "left")
             order = np.argsort(number, kind="stable")
             cuts = np.append(group_starts(number[order]), len(order)).tolist()
@@ -98,12 +98,12 @@ def packed(rows: DataFrame, bounds: np.ndarray | None = None) -> DataFrame:
                     payloads.append(out.getvalue().to_pybytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int32()), pa.array(payloads, pa.binary())], names=["batch", "payload"])
 
-    return rows.mapInArrow(run, "batch int, payload binary")
+    return text_batches(rows).mapInArrow(run, "batch int, payload binary")
 
 
 def unpacked(table: pa.Table) -> pa.Table:
     """The documents of one batch; there must be some."""
-    pa.default_memory_pool().release_unused()  # what the batch before has left, else workers keep it
+    give_back()
     return pa.concat_tables([pa.ipc.open_stream(p.as_buffer()).read_all() for p in table.column("payload").combine_chunks()]).combine_chunks()
 
 

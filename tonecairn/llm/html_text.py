@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .shared import read_table
+from .shared import read_table, text_batches
 
 # Element names of the HTML standard by their part in a page, and customary names of boilerplate.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -264,7 +264,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             )
 
     narrow = pages.selectExpr("cast(page_id as long) page_id", "cast(url as string) url", "cast(html as string) html")
-    return narrow.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return text_batches(narrow).mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,8 +33,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
-from .shared import read_table
-from .text_blocks import Words, bounded, text_bytes
+from .shared import read_table, text_batches
+from .text_blocks import Words, bounded, give_back, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -262,7 +262,7 @@ def occurrences(vocabulary: Vocabulary, codes: np.ndarray) -> tuple[np.ndarray,
     count = np.maximum(high - low, 0)
     first = np.cumsum(count) - count
     at = np.arange(int(count.sum())) - np.repeat(first - low, count)
-    return order[at], np.repeat(vocabulary.pieces, count)
+    return order[at].astype(np.int32), np.repeat(vocabulary.pieces.astype(np.int32), count)
 
 
 def encode_words(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -270,16 +270,16 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray,
     text = np.frombuffer((BLANK + BLANK.join(words)).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(w) + 1 for w in words], np.int64)
     ends = np.cumsum(sizes)
-    starts = ends - sizes
+    starts = (ends - sizes).astype(np.int32)
     place = np.minimum(np.searchsorted(vocabulary.alphabet, text), len(vocabulary.alphabet) - 1)
     known = vocabulary.alphabet[place] == text
     codes = np.where(known, place + 1, 0)
-    word = np.repeat(np.arange(len(words)), sizes)
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
     start, piece = occurrences(vocabulary, codes)
     lone = np.ones(len(text), bool)
     lone[start[vocabulary.length[piece] == 1]] = False
-    lone = np.flatnonzero(lone)
-    start, piece = np.concatenate([start, lone]), np.concatenate([piece, np.full(len(lone), vocabulary.unknown)])
+    lone = np.flatnonzero(lone).astype(np.int32)
+    start, piece = np.concatenate([start, lone]), np.concatenate([piece, np.full(len(lone), vocabulary.unknown, np.int32)])
     stop = start + vocabulary.length[piece]
     ok = stop <= ends[word[start]]
     start, stop, piece = start[ok], stop[ok], piece[ok]
@@ -323,7 +323,7 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray,
 class Encoder:
     """Encodes batches; remembers up to ``most_words`` encoded words between them."""
 
-    def __init__(self, vocabulary: Vocabulary, most_words: int = 1 << 20) -> None:
+    def __init__(self, vocabulary: Vocabulary, most_words: int = 1 << 19) -> None:
         self.vocabulary, self.most = vocabulary, most_words
         self._runs: dict[int, np.ndarray] = {0: np.zeros(0, np.int32)}
         self._forget()
@@ -445,13 +445,14 @@ def with_ids(docs: DataFrame, model: str = MODEL, text: str = "text") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = kept_encoder(shared.value)
-        for batch in bounded(batches, text, 4 << 20):
+        for batch in bounded(batches, text, 3 << 19):
             ids, offsets = encoder.encode(batch.column(text))
+            give_back()
             made = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), made], names=[*names, "ids"])
 
     schema = docs.select(*names).schema.add("ids", ArrayType(IntegerType()))
-    return docs.select(*names, text).mapInArrow(run, schema)
+    return text_batches(docs.select(*names, text)).mapInArrow(run, schema)
 
 
 def with_text(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -479,8 +480,9 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = kept_encoder(shared.value), Decoder(shared.value)
         digest = lambda x: hashlib.sha256(x).hexdigest()
-        for batch in bounded(batches, "text", 4 << 20):
+        for batch in bounded(batches, "text", 3 << 19):
             ids, offsets = encoder.encode(batch.column("text"))
+            give_back()
             texts = decoder.decode(ids, offsets)
             cuts = offsets.tolist()
             yield pa.RecordBatch.from_arrays(
@@ -493,7 +495,7 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
                 names=["doc_id", "n_ids", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
+    return text_batches(docs.select(F.col("doc_id").cast("long"), "text")).mapInArrow(
         run, "doc_id long, n_ids long, ids_sha256 string, decoded_sha256 string"
     )
 

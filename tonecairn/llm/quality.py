@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import is_held_out, read_table
+from .shared import is_held_out, read_table, text_batches
 from .text_blocks import Words, bounded, lowered, text_bytes, window_hashes
 
 STATISTICS = (
@@ -206,7 +206,7 @@ def _statistics_frame(docs: DataFrame, extra: str, kind: str) -> DataFrame:
                 [batch.column(extra), pa.array(list(x), pa.list_(pa.float64()))], names=[extra, "statistics"]
             )
 
-    return docs.select(extra, "text").mapInArrow(run, f"{extra} {kind}, statistics array<double>")
+    return text_batches(docs.select(extra, "text")).mapInArrow(run, f"{extra} {kind}, statistics array<double>")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Boosted:
@@ -235,7 +235,7 @@ def with_scores(docs: DataFrame, model: Boosted, keep: list[str]) -> DataFrame:
             score = shared.value.score(statistics(batch.column("text")))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(score)], names=[*keep, "score"])
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return text_batches(docs.select(*dict.fromkeys([*keep, "text"]))).mapInArrow(run, schema)
 
 
 def above(docs: DataFrame, model: Boosted, least: float = 0.5) -> DataFrame:
@@ -246,7 +246,7 @@ def above(docs: DataFrame, model: Boosted, least: float = 0.5) -> DataFrame:
         for batch in bounded(batches, "text"):
             yield batch.filter(pa.array(shared.value.score(statistics(batch.column("text"))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

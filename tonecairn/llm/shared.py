@@ -63,3 +63,17 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def text_batches(df: DataFrame, most: str = "4m") -> DataFrame:
+    """``df``, in a session that sends texts to Python in small batches: the default of 64 MB costs a task several times as much.
+
+    A session in which the setting was changed keeps it.
+    """
+    conf = df.sparkSession.conf
+    if conf.get(_ARROW_BYTES, "67108864b") in ("67108864b", "67108864"):
+        conf.set(_ARROW_BYTES, most)
+    return df

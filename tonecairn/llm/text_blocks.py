@@ -7,6 +7,7 @@ inputs have equal hashes in every task.
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterable, Iterator
 
@@ -56,6 +57,22 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+@functools.cache
+def _libc():
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        return libc if hasattr(libc, "malloc_trim") else None
+    except OSError:
+        return None
+
+
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on from stage to stage, and what they hold counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
+
+
 def bounded(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most ``most`` bytes of ``column`` (or one row): bounds the kernels' memory."""
     for batch in batches:
@@ -66,6 +83,7 @@ def bounded(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
             stop = max(int(np.searchsorted(size, before + most, "right")), at + 1)
             yield batch.slice(at, stop - at)
             at = stop
+        give_back()
 
 
 def lowered(raw: np.ndarray) -> np.ndarray:

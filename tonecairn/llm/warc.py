@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .shared import read_table, shuffle_width, work_dir
+from .shared import read_table, shuffle_width, text_batches, work_dir
 
 _HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -167,7 +167,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
             out.close()
 
     ready = with_revisits(with_digests(pages), min_revisit_bytes)
-    ready.mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
+    text_batches(ready).mapInArrow(write, INDEX).write.parquet(f"{folder}/index")
     return spark.read.schema(INDEX).parquet(f"{folder}/index").withColumn("folder", F.lit(f"{folder}/archives"))
 
 
