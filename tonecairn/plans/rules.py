@@ -62,12 +62,12 @@ def velocity_collapse(spark, sf_dir):
 
 
 def key_lookup(spark, sf_dir):
-    """The root that plays each octave's C in a preset: an interval lookup in its centred key ranges."""
+    """The root that plays each key in a preset: an interval lookup in its centred key ranges."""
     from .zones import key_ranges_centred
 
-    keys = spark.range(0, 128, 12).select(F.col("id").alias("key"))
-    r = key_ranges_centred(spark, sf_dir).withColumn("key", F.explode(F.expr("filter(sequence(low, high), k -> k % 12 = 0)")))  # rows per range, no theta join
-    return r.join(F.broadcast(keys), "key").select("preset", "key", "note")
+    r = key_ranges_centred(spark, sf_dir).where("low <= high")
+    r = r.withColumn("key", F.explode(F.sequence(F.greatest("low", F.lit(0)), F.least("high", F.lit(127)))))  # rows per range, no theta join
+    return r.select("preset", F.col("key").cast("long").alias("key"), "note")
 
 
 def intent(spark, sf_dir):
