@@ -34,3 +34,18 @@ def test_key_lookup_answers_every_key(spark, whole):
     assert got == whole(rules.ZONES + """, n AS (SELECT DISTINCT preset, note FROM z), c AS (SELECT preset, note, coalesce((lag(note) OVER w + note + 1) // 2, 0) AS low,
         coalesce((note + lead(note) OVER w - 1) // 2, 127) AS high FROM n WINDOW w AS (PARTITION BY preset ORDER BY note))
         SELECT preset, key, note FROM c JOIN range(0, 128) t(key) ON key BETWEEN low AND high""")
+
+
+def test_names_of_whole_texts(spark, whole):
+    assert rows(spark, "sanitise_names", "doc_id", "safe", "spaced") == whole("""WITH h AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS s FROM documents)
+        SELECT doc_id, trim(regexp_replace(regexp_replace(s, '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g'), '_'), trim(regexp_replace(replace(s, '.', ''), '\\s+', ' ', 'g')) FROM h""")
+    assert rows(spark, "xml_names", "doc_id", "escaped", "back") == whole(
+        """SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), true FROM documents"""
+    )
+
+
+def test_said_by_the_whole_item(spark, tmp_path):
+    text = {1: "the and que die ing to the and que", 2: "the and que die ing nothing", 3: "", 4: "the and que die ing tonic"}
+    spark.createDataFrame(list(text.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: (r["named"], r["said"]) for r in catalogue.QUERIES["said_by_tags"](spark, str(tmp_path)).collect()}
+    assert got == {1: (True, True), 2: (True, False), 3: (False, False), 4: (True, False)}

@@ -27,20 +27,20 @@ def derive_tags(spark, sf_dir):
 
 
 def said_by_tags(spark, sf_dir):
-    """Whether all words of a benchmark item's first 20 characters name tags."""
+    """Whether all words of a benchmark item name tags."""
     words = F.array(*(F.lit(w) for w in TAG_OF))
-    b = read(spark, sf_dir, "benchmark").select("item_id", L.tokens(F.substring("text", 1, 20)).alias("t"))
+    b = read(spark, sf_dir, "benchmark").select("item_id", L.tokens(F.col("text")).alias("t"))
     return b.select("item_id", (F.size("t") > 0).alias("named"), ((F.size("t") > 0) & (F.size(F.array_except("t", words)) == 0)).alias("said"))
 
 
 def sanitise_names(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
-    head = F.substring(F.regexp_replace("text", "[^ -~]", "?"), 1, 60)
-    return d.select("doc_id", L.sanitised(head).alias("safe"), L.spaced(head).alias("spaced"))
+    name = F.regexp_replace("text", "[^ -~]", "?")
+    return d.select("doc_id", L.sanitised(name).alias("safe"), L.spaced(name).alias("spaced"))
 
 
 def xml_names(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 200).alias("name"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("name"))
     return d.select("doc_id", L.xml_escaped(F.col("name")).alias("escaped"), (L.xml_unescaped(L.xml_escaped(F.col("name"))) == F.col("name")).alias("back"))
 
 
