@@ -49,3 +49,18 @@ def test_said_by_the_whole_item(spark, tmp_path):
     spark.createDataFrame(list(text.items()), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r["item_id"]: (r["named"], r["said"]) for r in catalogue.QUERIES["said_by_tags"](spark, str(tmp_path)).collect()}
     assert got == {1: (True, True), 2: (True, False), 3: (False, False), 4: (True, False)}
+
+
+def test_every_page_is_matched_against_all_others(spark, whole):
+    got = rows(spark, "suffix_match", "page_id", "found", "parts")
+    assert got == whole("""WITH x AS (SELECT page_id, url, string_split(lower(url), '/') AS parts FROM pages),
+        s AS (SELECT page_id, url, len(parts) - k + 1 AS n, array_to_string(parts[k:], '/') AS tail FROM x, range(1, 40) t(k) WHERE k <= len(parts))
+        SELECT w.page_id, f.url, w.n FROM s w JOIN s f ON w.tail = f.tail AND w.page_id <> f.page_id QUALIFY row_number() OVER (PARTITION BY w.page_id ORDER BY w.n DESC, f.url) = 1""")
+
+
+def test_matches_of_pages_with_equal_tails(spark):
+    from tonecairn.operators.tables import locate_other
+
+    pages = [(10, "a/x/i"), (20, "b/x/i"), (20, "0/x/i"), (30, "c/i"), (40, "c/I"), (50, "alone"), (60, None)]
+    got = {r["k"]: (r["found"], r["parts"]) for r in locate_other(spark.createDataFrame(pages, "k long, path string"), "k").collect()}
+    assert got == {10: ("0/x/i", 2), 20: ("a/x/i", 2), 30: ("c/I", 2), 40: ("c/i", 2)}

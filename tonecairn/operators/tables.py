@@ -52,3 +52,14 @@ def locate(wanted: DataFrame, files: DataFrame, key: str) -> DataFrame:
     best = Window.partitionBy(key).orderBy(F.desc("parts"), "found")
     first = f.groupBy("tail").agg(F.min("found").alias("found"))
     return w.join(first, "tail").withColumn("_k", F.row_number().over(best)).where("_k = 1").select(key, "found", "parts")
+
+
+def locate_other(files: DataFrame, key: str) -> DataFrame:
+    """For every path the path of another key that shares its longest tail, ties to the smallest. (key, path); of a tail two candidates are enough, as one of them is another."""
+    f = files.select(key, F.col("path").alias("found"), F.explode(suffixes(F.lower("path"))).alias("s")).select(key, "found", "s.*")
+    of_key = f.groupBy("tail", F.col(key).alias("other")).agg(F.min("found").alias("found"))
+    # the rank is bounded before the shuffle as well, so a common tail sends two rows from each task
+    two = of_key.withColumn("_k", F.row_number().over(Window.partitionBy("tail").orderBy("found", "other"))).where("_k <= 2").select("tail", "other", "found")
+    met = f.select(key, "parts", "tail").join(two, "tail").where(F.col(key) != F.col("other"))
+    best = met.groupBy(key).agg(F.min(F.struct((-F.col("parts")).alias("parts"), "found")).alias("best"))
+    return best.select(key, "best.found", (-F.col("best.parts")).alias("parts"))

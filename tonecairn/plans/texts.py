@@ -79,10 +79,9 @@ def index_sync(spark, sf_dir):
 
 
 def suffix_match(spark, sf_dir):
-    """For every page whose id is divisible by 10 the other page whose URL shares the longest tail of path parts."""
+    """For every page the other page whose URL shares the longest tail of path parts."""
     p = read(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
-    wanted = p.where("page_id % 10 = 0").withColumn("path", F.upper("path"))
-    return T.locate(wanted, p.where("page_id % 10 <> 0").select("path"), "page_id").select("page_id", "found", F.col("parts").cast("long").alias("parts"))
+    return T.locate_other(p, "page_id").select("page_id", "found", F.col("parts").cast("long").alias("parts"))
 
 
 def scope_inherit(spark, sf_dir):
