@@ -64,3 +64,23 @@ def test_matches_of_pages_with_equal_tails(spark):
     pages = [(10, "a/x/i"), (20, "b/x/i"), (20, "0/x/i"), (30, "c/i"), (40, "c/I"), (50, "alone"), (60, None)]
     got = {r["k"]: (r["found"], r["parts"]) for r in locate_other(spark.createDataFrame(pages, "k long, path string"), "k").collect()}
     assert got == {10: ("0/x/i", 2), 20: ("a/x/i", 2), 30: ("c/I", 2), 40: ("c/i", 2)}
+
+
+def test_distances_of_all_pairs_of_all_labels(spark, monkeypatch):
+    import numpy as np
+
+    from tonecairn.plans import spectral
+
+    monkeypatch.setattr(spectral, "_BLOCK", 7)
+    by_label = {}
+    for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect():
+        by_label.setdefault(r["label"], []).append((r["vec_id"], r["embedding"]))
+    want = {}
+    for group in by_label.values():
+        v = np.array([x for _, x in group], np.float64)
+        z = (v - v.mean(0)) / (v.std(0) + 1e-9)
+        d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+        want |= {(a, b): d[i, j] for i, (a, _) in enumerate(group) for j, (b, _) in enumerate(group) if a < b}
+    got = [((r["a"], r["b"]), r["distance"]) for r in catalogue.QUERIES["zscore_distance"](spark, DATA).collect()]
+    assert len(got) == len(want) and dict(got).keys() == want.keys()
+    assert all(abs(d - want[k]) < 2e-6 for k, d in got)
