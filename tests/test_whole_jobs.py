@@ -84,3 +84,10 @@ def test_distances_of_all_pairs_of_all_labels(spark, monkeypatch):
     got = [((r["a"], r["b"]), r["distance"]) for r in catalogue.QUERIES["zscore_distance"](spark, DATA).collect()]
     assert len(got) == len(want) and dict(got).keys() == want.keys()
     assert all(abs(d - want[k]) < 2e-6 for k, d in got)
+
+
+def test_mixdown_of_all_frames_at_even_offsets(spark, whole):
+    got = rows(spark, "mixdown", "set_id", "place", "x")
+    assert got == whole("""WITH f AS (SELECT user_id, event_type, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+        k AS (SELECT event_type, x, i + 4 * (dense_rank() OVER (PARTITION BY event_type ORDER BY user_id) - 1) AS place FROM f)
+        SELECT event_type, place, CAST(sum(CAST(x AS DECIMAL(18,2))) AS DOUBLE) FROM k GROUP BY 1, 2""")

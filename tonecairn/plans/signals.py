@@ -239,10 +239,15 @@ def bake_crossfade(spark, sf_dir):
 
 
 def mixdown(spark, sf_dir):
-    """The signals of a set laid over each other at evenly spaced offsets."""
-    f = frames(spark, sf_dir).where("i < 16")
-    k = F.dense_rank().over(Window.partitionBy("set_id").orderBy("sample_id")) - 1
-    laid = f.withColumn("place", F.col("i") + 4 * F.pmod(k, F.lit(8)))
+    """The signals of a set laid over each other at evenly spaced offsets, four frames from one to the next."""
+    f = frames(spark, sf_dir)
+    # a signal's place is the number of signals in stretches of ids before its own and its rank in that: no task has all signals of a set
+    s = f.select("set_id", "sample_id").distinct().withColumn("stretch", F.floor(F.col("sample_id") / 1024))
+    s = s.withColumn("rank", F.row_number().over(Window.partitionBy("set_id", "stretch").orderBy("sample_id")) - 1)
+    before = Window.partitionBy("set_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    start = s.groupBy("set_id", "stretch").agg(F.count(F.lit(1)).alias("n")).select("set_id", "stretch", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    k = s.join(start, ["set_id", "stretch"]).select("set_id", "sample_id", (F.col("start") + F.col("rank")).alias("k"))
+    laid = f.join(k, ["set_id", "sample_id"]).withColumn("place", F.col("i") + 4 * F.col("k"))
     return laid.groupBy("set_id", F.col("place").cast("long").alias("place")).agg(F.sum(F.col("x").cast("decimal(18,2)")).cast("double").alias("x"))
 
 
