@@ -17,7 +17,10 @@ verification for each set and not one for each pair:
    distances of both sets to a common hub the answer is often derived (the
    distances bound the pair's); what is left is verified.
 
-The result names the component of every document, with all links kept.
+The result names the component of every document. Links within a component
+that rounds 1 and 2 leave out are not needed for that; where the number of
+links is asked for, all pairs of a component's sets are verified, block by
+block, and counted for each set.
 
 Defined results
 ---------------
@@ -45,6 +48,7 @@ from .text_blocks import Words, lowered, mix, text_bytes, whole_windows, window_
 SHINGLE = 5
 SIMILAR = (75, 100)
 SKETCH_WORDS = 16
+LINK_BLOCK = 256
 _U = np.uint64
 
 
@@ -384,10 +388,75 @@ def _verified(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> D
     )
 
 
-def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 4 << 20) -> DataFrame:
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of one list with all of another, by products of bounded stretches of the incidence matrices."""
+    out = np.zeros((len(left), len(right)), np.int64)
+    a, b = np.concatenate(left), np.concatenate(right)
+    both = np.intersect1d(a, b)
+    sides = []
+    for hashes, sets in ((a, left), (b, right)):
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(both, hashes), max(len(both) - 1, 0))
+        there = both[at] == hashes if len(both) else np.zeros(len(hashes), bool)
+        order = np.argsort(at[there], kind="stable")
+        sides.append((row[there][order], at[there][order]))
+    for start in range(0, len(both), width):
+        stretch = []
+        for (row, at), sets in zip(sides, (left, right), strict=True):
+            i, j = np.searchsorted(at, (start, start + width)).tolist()
+            has = np.zeros((len(sets), min(width, len(both) - start)), np.float32)
+            has[row[i:j], at[i:j] - start] = 1
+            stretch.append(has)
+        out += (stretch[0] @ stretch[1].T).astype(np.int64)
+    return out
+
+
+def _linked_members(share: tuple[int, int]):
+    """(class, n) of every set of two blocks, or of one with itself: how many members the sets linked with it have."""
+
+    def run(table: pa.Table) -> pa.Table:
+        label, cls, size, members, side = (table.column(k).to_numpy() for k in ("label", "class", "n_shingles", "members", "side"))
+        sets = [unpack(s) for s in column_list(table, "shared")]
+        n = np.zeros(len(cls), np.int64)
+        same = table.num_rows == 0 or table.column("p")[0].as_py() == table.column("q")[0].as_py()
+        order = np.argsort(label, kind="stable")
+        cuts = np.append(group_starts(label[order]), len(order)).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            here = order[a:b]
+            left, right = (here, here) if same else (here[side[here] == 0], here[side[here] == 1])
+            if not len(left) or not len(right):
+                continue
+            overlap = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+            linked = overlap * share[1] >= (size[left][:, None] + size[right][None] - overlap) * share[0]
+            if same:
+                np.fill_diagonal(linked, False)
+            else:
+                n[right] += linked.T @ members[left]
+            n[left] += linked @ members[right]
+        return pa.table({"class": cls, "n": n})
+
+    return run
+
+
+def _link_counts(classes: DataFrame, labels: DataFrame, members: DataFrame, share: tuple[int, int], parts: int) -> DataFrame:
+    """(class, others): the documents of other classes that a class is linked with. All links are within components."""
+    of = labels.withColumnRenamed("node", "class")
+    blocks = of.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / LINK_BLOCK).cast("int").alias("blocks"))
+    x = classes.select("class", "n_shingles", "shared").join(of, "class").join(members, "class").join(blocks, "label")
+    x = x.withColumns({"own": F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), "large": F.col("blocks") > 1})
+    # components of one block are dealt together, larger ones by pairs of blocks
+    x = x.withColumn("cell", F.when(F.col("large"), F.col("label")).otherwise(F.pmod(F.xxhash64("label"), F.lit(parts))))
+    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q"))))
+    x = x.select("label", "class", "n_shingles", "members", "shared", "large", "cell", "own", pair.alias("pair"))
+    x = x.select("label", "class", "n_shingles", "members", "shared", "large", "cell", "pair.*", (F.col("own") > F.col("pair.p")).cast("int").alias("side"))
+    return x.groupBy("large", "cell", "p", "q").applyInArrow(_linked_members(share), "class long, n long").groupBy("class").agg(F.sum("n").alias("others"))
+
+
+def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 4 << 20, links: bool = False) -> DataFrame:
     """doc_id, text_hash, n_shingles, class, component_id and stays of every document.
 
-    ``stays`` holds for the row with the smallest id and hash of its component (rows that repeat it, too).
+    ``stays`` holds for the row with the smallest id and hash of its component (rows that repeat it, too). With ``links`` also n_links, the
+    number of other rows that are similar to a row.
     """
     spark = docs.sparkSession
     rows, count, total = _batched(docs, batch_bytes)
@@ -403,8 +472,8 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
     none = classes.withColumns({"label": F.col("class"), "hub": F.col("class"), "distance": F.lit(-1)})
     pairs = _entries(none, parts).groupBy("part").applyInArrow(_hub_pairs(share), "a long, b long").distinct()
     checked = keep_table(_verified(pairs, classes, share), "checked")
-    links = checked.where("linked").select("a", "b")
-    labels = connected(links)
+    first_links = checked.where("linked").select("a", "b")
+    labels = connected(first_links)
     nearest = checked.groupBy("a").agg(F.min_by(F.struct("b", "distance"), F.struct("distance", "b")).alias("near")).select(F.col("a").alias("class"), F.col("near.b").alias("hub"), F.col("near.distance").alias("distance"))
     known = (
         classes.join(labels.withColumnRenamed("node", "class"), "class", "left")
@@ -413,20 +482,23 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
     )
     crossed = keep_table(_entries(known, parts).groupBy("part").applyInArrow(_cross_pairs(share), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "crossed")
     more = _verified(crossed.where("not sure").select("a", "b"), classes, share).where("linked").select("a", "b")
-    labels = connected(links.union(crossed.where("sure").select("a", "b")).union(more))
+    labels = connected(first_links.union(crossed.where("sure").select("a", "b")).union(more))
     row = F.struct("doc_id", "text_hash")
-    own = table.groupBy("class").agg(F.min(row).alias("least"))
+    own = table.groupBy("class").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("members"))
     joined = own.join(labels.withColumnRenamed("node", "class"), "class", "left")
     least = joined.where("label is not null").groupBy("label").agg(F.min("least").alias("first"))
-    of_class = joined.join(least, "label", "left").select("class", F.coalesce("first", "least").alias("first"))
+    of_class = joined.join(least, "label", "left").select("class", F.coalesce("first", "least").alias("first"), (F.col("members") - 1).alias("n_links"))
+    if links:
+        counts = _link_counts(classes, labels, own.select("class", "members"), share, 4 * parts)
+        of_class = of_class.join(counts, "class", "left").withColumn("n_links", F.col("n_links") + F.coalesce("others", F.lit(0)))
     some = table.where("n_shingles > 0").join(of_class, "class", "left")
-    lone = table.where("n_shingles = 0").withColumn("first", row)
+    lone = table.where("n_shingles = 0").withColumns({"first": row, "n_links": F.lit(0).cast("long")})
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    names = ["doc_id", "text_hash", "n_shingles", "class", "first"]
+    names = ["doc_id", "text_hash", "n_shingles", "class", "first", "n_links"]
     return (
         some.select(*names)
         .unionByName(lone.select(*names))
-        .select(real("doc_id").alias("doc_id"), "text_hash", "n_shingles", "class", real("first.doc_id").alias("component_id"), (row == F.col("first")).alias("stays"))
+        .select(real("doc_id").alias("doc_id"), "text_hash", "n_shingles", "class", real("first.doc_id").alias("component_id"), (row == F.col("first")).alias("stays"), *(["n_links"] if links else []))
     )
 
 
@@ -435,6 +507,11 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(read_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document and its number of links: all other documents that are similar to it."""
+    return similar_components(read_table(spark, sf_dir, "documents"), links=True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component stays: that with the smallest id. Of rows that repeat it as a whole, one stays."""
     key_id, key_hash, own = (free_name(docs, n) for n in ("_id", "_hash", "_text"))

@@ -6,7 +6,7 @@ from .ann_forest import op9_nearest_neighbours
 from .chat_format import op8_chat_formatting
 from .decontaminate import op1_decontamination
 from .html_text import op7_html_extraction
-from .jaccard_join import op2_jaccard_join
+from .jaccard_join import op2_jaccard_join, op2_jaccard_links
 from .pieces import op6_sentencepiece
 from .quality import op4_quality
 from .substring_dedup import op5_substring_dedup
@@ -16,6 +16,7 @@ from .warc import op10_warc
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_jaccard_join": op2_jaccard_join,
+    "op2_jaccard_links": op2_jaccard_links,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_quality": op4_quality,
     "op5_substring_dedup": op5_substring_dedup,
