@@ -5,7 +5,8 @@ composite text density is computed from characters, tags, link characters and
 link tags of its subtree; the densities of a node's children are summed, and
 of the subtrees whose density reaches the threshold taken from the path
 between the body and the densest node, the one with the largest density sum
-is the article.
+is the article. An ``article`` or ``main`` around that subtree widens it to
+the outermost such element; one inside never narrows it.
 
 Elements that can't hold article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out of the
@@ -220,12 +221,10 @@ def select(dom: _Dom) -> int:
         at = dom.parent[at]
     kept = [i for i in range(n) if density[i] >= threshold and density[i] > 0]
     chosen = max(kept, key=lambda i: (sums[i], -i)) if kept else 0
+    # an element around the chosen one may widen it to the whole article; one below it never narrows it
     outer = [i for i in named if i <= chosen < dom.end[i]]
     if outer:
         return outer[0]
-    inner = [i for i in named if chosen < i < dom.end[chosen] and not any(j < i < dom.end[j] for j in named)]
-    if len(inner) == 1:
-        return inner[0]
     # one paragraph or a list of the article may be densest: rise while the parent adds text of like density
     while (up := dom.parent[chosen]) > 0 and (dom.tag[chosen] not in _BLOCKS or dom.tag[chosen] in ("p", "li", "td", "tr", "tbody", "ul", "ol", "h1", "h2")):
         chosen = up
