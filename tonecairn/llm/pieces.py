@@ -1,7 +1,7 @@
 """SentencePiece BPE encoding and decoding by suffix-array matching.
 
-A batch's distinct words are concatenated and indexed by a suffix array that
-is sorted to the depth of the longest piece. Every piece is binary-searched for
+The text of a batch, each distinct word of it once, is concatenated and indexed
+by a suffix array that is sorted to the depth of the longest piece. Every piece is binary-searched for
 its range of occurrences; the occurrences become edges, sorted by the position
 at which they end, and are relaxed in that order, all words at once.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from .shared import read_table, text_batches
-from .text_blocks import Words, bounded, give_back, text_bytes
+from .text_blocks import Words, bounded, give_back, same_bytes, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
@@ -283,26 +283,33 @@ def encode_words(vocabulary: Vocabulary, words: list[str]) -> tuple[np.ndarray,
     stop = start + vocabulary.length[piece]
     ok = stop <= ends[word[start]]
     start, stop, piece = start[ok], stop[ok], piece[ok]
-    reach = stop - starts[word[start]]
+    # no merge crosses a place that no piece spans: what is between two such places is encoded by itself
+    wide = stop - start > 1
+    n = len(text)
+    spanned = np.cumsum(np.bincount(start[wide] + 1, minlength=n + 1) - np.bincount(stop[wide], minlength=n + 1))[:n] > 0
+    spanned[starts] = False
+    opens = np.flatnonzero(~spanned).astype(np.int32)
+    segment = np.cumsum(~spanned) - 1
+    reach = stop - opens[segment[start]]
     order = np.argsort(reach.astype(np.uint16) if len(reach) and reach.max() < 1 << 16 else reach, kind="stable")  # 16 bits: by radix
     start, stop, piece, reach = start[order], stop[order], piece[order], reach[order]
-    begins = start == starts[word[start]]
+    begins = ~spanned[start]
     cuts = np.flatnonzero(np.diff(reach, prepend=-1, append=-1))
-    last = np.full(len(text), -1, np.int64)
+    last = np.full(n, -1, np.int64)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         before = np.where(begins[a:b], -2, last[start[a:b] - 1])
         fits = before == -2
         ask = np.flatnonzero(before >= 0)
         fits[ask] = vocabulary.agree(before[ask], piece[a:b][ask])
         last[stop[a:b][fits] - 1] = piece[a:b][fits]
-    made = np.full(len(text), -1, np.int64)
-    at = ends.copy()
-    open_ = np.arange(len(words))
+    made = np.full(n, -1, np.int64)
+    at = np.append(opens[1:], n).astype(np.int64)
+    open_ = np.arange(len(opens))
     while len(open_):
         piece_ = last[at[open_] - 1]
         at[open_] -= vocabulary.length[piece_]
         made[at[open_]] = piece_
-        open_ = open_[at[open_] > starts[open_]]
+        open_ = open_[at[open_] > opens[open_]]
     where = np.flatnonzero(made >= 0)
     ids = vocabulary.ids[made[where]]
     count = np.ones(len(where), np.int64)
@@ -332,31 +339,39 @@ class Encoder:
         self.hash, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.first, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.leads = np.zeros(0, bool)
+        self.raw, self.begin, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, words: Words, raw: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Encode these words and put them in the pool; returns their places."""
+        data = [raw[a:b].tobytes() for a, b in zip(words.start[which].tolist(), words.stop[which].tolist(), strict=True)]
+        flat, offsets = encode_words(self.vocabulary, [x.decode("utf-8", "replace") for x in data])
+        leads = flat[offsets[:-1]] == self.vocabulary.ids[self.vocabulary.blank]
+        base, size = len(self.first), np.array([len(x) for x in data], np.int64)
+        self.first, self.count = np.concatenate([self.first, len(self.pool) + offsets[:-1] + leads]), np.concatenate([self.count, np.diff(offsets) - leads])
+        self.begin, self.size = np.concatenate([self.begin, len(self.raw) + np.cumsum(size) - size]), np.concatenate([self.size, size])
+        self.raw, self.pool, self.leads = np.concatenate([self.raw, np.frombuffer(b"".join(data), np.uint8)]), np.concatenate([self.pool, flat]), np.concatenate([self.leads, leads])
+        return base + np.arange(len(which))
 
     def _learn(self, words: Words, raw: np.ndarray) -> np.ndarray:
-        """Where each word is in the pool."""
+        """Where each word is in the pool. Found by hash, compared by bytes: a word that only shares another's hash gets a place of its own."""
         distinct, first_seen, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.hash) + len(distinct) > self.most:
+        if len(self.first) + len(distinct) > self.most or len(self.raw) > 64 * self.most:
             self._forget()
         at = np.searchsorted(self.hash, distinct)
         known = (at < len(self.hash)) & (self.hash[np.minimum(at, len(self.hash) - 1)] == distinct) if len(self.hash) else np.zeros(len(distinct), bool)
-        new = first_seen[~known]
-        if len(new):
-            texts = [raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(words.start[new].tolist(), words.stop[new].tolist(), strict=True)]
-            flat, offsets = encode_words(self.vocabulary, texts)
-            blank = self.vocabulary.ids[self.vocabulary.blank]
-            leads = flat[offsets[:-1]] == blank
-            first = len(self.pool) + offsets[:-1] + leads
-            count = np.diff(offsets) - leads
-            base = len(self.first)
-            self.pool = np.concatenate([self.pool, flat])
-            self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, count])
-            self.leads = np.concatenate([self.leads, leads])
+        if not known.all():
             hashes = np.concatenate([self.hash, distinct[~known]])
-            places = np.concatenate([self.place, base + np.arange(len(new))])
+            places = np.concatenate([self.place, self._add(words, raw, first_seen[~known])])
             order = np.argsort(hashes, kind="stable")
             self.hash, self.place = hashes[order], places[order]
-        return self.place[np.searchsorted(self.hash, distinct)][inverse]
+        place = self.place[np.searchsorted(self.hash, distinct)][inverse]
+        size = words.stop - words.start
+        same = self.size[place] == size
+        some = np.flatnonzero(same)
+        same[some] = same_bytes(raw, words.start[some], self.raw, self.begin[place[some]], size[some])
+        if not same.all():
+            place[~same] = self._add(words, raw, np.flatnonzero(~same))
+        return place
 
     def _run(self, blanks: int) -> np.ndarray:
         if blanks not in self._runs:

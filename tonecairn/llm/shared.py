@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import time
 import uuid
@@ -9,17 +10,27 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_MADE: dict[str, SparkSession] = {}  # folders of written tables, and the session that wrote them
+_PATH_OF = "_written_to"
+
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Where the setting is absent (tests, a laptop) a folder under the warehouse is set instead.
+    Where the setting is absent a folder under the warehouse is taken, but
+    only by a local session: on a cluster that could be a folder of one
+    machine, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(clean_up)
+    _MADE[path] = spark
+    return path
 
 
 def keep_table(df: DataFrame, label: str, release: bool = True) -> DataFrame:
@@ -29,7 +40,28 @@ def keep_table(df: DataFrame, label: str, release: bool = True) -> DataFrame:
     df.write.parquet(path)
     if release:
         release_shuffles(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    setattr(kept, _PATH_OF, path)
+    return kept
+
+
+def drop_table(kept: DataFrame) -> None:
+    """Delete what ``keep_table`` wrote, once nothing reads it any more."""
+    _delete(getattr(kept, _PATH_OF))
+
+
+def _delete(path: str) -> None:
+    spark = _MADE.pop(path)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean_up() -> None:
+    """Delete all written tables of this process. Results that still read them are void; called when the process ends, too."""
+    for path, spark in list(_MADE.items()):
+        if spark.sparkContext._jsc is not None:
+            _delete(path)
+    _MADE.clear()
 
 
 def release_shuffles(spark: SparkSession) -> None:

@@ -1,7 +1,9 @@
 """Vectorised numpy kernels over an Arrow column of texts: words, word hashes, hashes of word windows.
 
 A whole batch is one byte array; no Python code runs per word or per document.
-Hashes are 64-bit polynomials modulo 2**64 followed by a finaliser; equal
+Words are hashed eight bytes at a time by a step that is not linear in any
+ring, long ones by BLAKE2b; windows chain the hashes of their words the same
+way. A second family shares neither step nor constants with the first. Equal
 inputs have equal hashes in every task.
 """
 
@@ -9,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -17,14 +20,10 @@ import pyarrow.compute
 
 _U = np.uint64
 _CHUNK = 1 << 18
-_BASE = _U(0x9E3779B97F4A7C15 | 1)
-_INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_LONG = 256  # bytes from which a word is hashed by itself
 _WORD_BASE = _U(0xD6E8FEB86659FD93)
 _WORD_INVERSE = _U(pow(int(_WORD_BASE), -1, 1 << 64))
 
-_SECOND = _U(0xA0761D6478BD642F)
-_SECOND_INVERSE = _U(pow(int(_SECOND), -1, 1 << 64))
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
@@ -115,14 +114,70 @@ class Words:
             self.start, self.stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         else:
             self.start = self.stop = np.zeros(0, np.int64)
-        self.hash = mix(_range_sums(raw, self.start, self.stop, _BASE, _INVERSE) + (self.stop - self.start).astype(_U))
+        self.hash = range_hashes(raw, self.start, self.stop)
         self.bounds = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(docs), np.diff(self.bounds))
 
     def second_windows(self, raw: np.ndarray, size: int) -> np.ndarray:
-        """Window hashes that share nothing with ``hash``: another base over the bytes, another over the words."""
-        words = mix(_range_sums(raw, self.start, self.stop, _SECOND, _SECOND_INVERSE)) + _U(1)
-        return long_window_hashes(words, size)
+        """Window hashes of the second family, over the bytes and over the words."""
+        return window_hashes(range_hashes(raw, self.start, self.stop, second=True), size, second=True)
+
+
+def mix_second(x: np.ndarray) -> np.ndarray:
+    """Another bijective finaliser."""
+    x = x * _U(0xA0761D6478BD642F)
+    x = (x << _U(27)) | (x >> _U(37))
+    x = x ^ (x >> _U(31))
+    x = x * _U(0xE7037ED1A0B428DB)
+    return x ^ (x >> _U(33))
+
+
+_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+
+
+def eight_bytes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number, zeros after the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), _U, padded, strides=(1,))
+
+
+def range_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, second: bool = False) -> np.ndarray:
+    """Hash of every byte range, of one of two families."""
+    length = stop - start
+    step = mix_second if second else mix
+    out = step(length.astype(_U) + _U(0x9E3779B97F4A7C15))
+    view = eight_bytes(raw)
+    for a in range(0, len(start), _CHUNK):
+        size = length[a : a + _CHUNK]
+        live = np.flatnonzero((size > 0) & (size < _LONG))
+        at, left, value = start[a : a + _CHUNK][live], size[live], out[a : a + _CHUNK][live]
+        while len(live):
+            chunk = view[at] & _TAIL[np.minimum(left, 8)]
+            value = step(value + chunk) if second else step(value ^ chunk)
+            more = left > 8
+            out[a + live[~more]] = value[~more]
+            live, at, left, value = live[more], at[more] + 8, left[more] - 8, value[more]
+    for i in np.flatnonzero(length >= _LONG).tolist():
+        digest = hashlib.blake2b(raw[start[i] : stop[i]], digest_size=16).digest()
+        out[i] = int.from_bytes(digest[8:] if second else digest[:8], "little")
+    return out
+
+
+def same_bytes(raw: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the ranges of ``raw`` equal those of ``other``, byte by byte."""
+    out = np.ones(len(start), bool)
+    view, there = eight_bytes(raw), eight_bytes(other)
+    live = np.flatnonzero((length > 0) & (length < _LONG))
+    at, to, left = start[live], other_start[live], length[live]
+    while len(live):
+        equal = (view[at] ^ there[to]) & _TAIL[np.minimum(left, 8)] == 0
+        out[live[~equal]] = False
+        more = equal & (left > 8)
+        live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
+    for i in np.flatnonzero(length >= _LONG).tolist():
+        out[i] = np.array_equal(raw[start[i] : start[i] + length[i]], other[other_start[i] : other_start[i] + length[i]])
+    return out
 
 
 def _range_sums(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
@@ -140,20 +195,21 @@ def _range_sums(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, base: np.u
     return out
 
 
-def window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(symbols: np.ndarray, size: int, second: bool = False) -> np.ndarray:
     """Hash of ``symbols[i : i + size]`` for every i; windows may cross documents, see ``whole_windows``."""
     n = len(symbols) - size + 1
     if n <= 0:
         return np.zeros(0, _U)
-    out = symbols[:n].copy()
+    out, base, shift = symbols[:n].copy(), _U(0x8EBC6AF09C88C6E3) if second else _WORD_BASE, _U(25) if second else _U(32)
     for k in range(1, size):
-        out *= _WORD_BASE
+        out ^= out >> shift
+        out *= base
         out += symbols[k : n + k]
-    return mix(out)
+    return mix_second(out) if second else mix(out)
 
 
 def long_window_hashes(symbols: np.ndarray, size: int) -> np.ndarray:
-    """The same use as ``window_hashes``, by prefix sums: its cost doesn't depend on ``size``."""
+    """Polynomials modulo 2**64 by prefix sums, at a cost that doesn't depend on ``size``: only to route or to preselect, decisions compare symbols."""
     n = len(symbols) - size + 1
     if n <= 0:
         return np.zeros(0, _U)
