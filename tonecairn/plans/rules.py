@@ -177,7 +177,7 @@ SQL = {
     "velocity_collapse": ZONES + """, d AS (SELECT *, dense_rank() OVER (PARTITION BY preset, note ORDER BY velocity DESC) AS layer FROM z), m AS (SELECT *, max(layer) OVER (PARTITION BY preset, note) AS layers FROM d)
         SELECT preset, note, velocity, min(rr) AS rr FROM m WHERE layer = least(2, layers) GROUP BY 1, 2, 3""",
     "key_lookup": ZONES + """, n AS (SELECT DISTINCT preset, note FROM z), c AS (SELECT preset, note, coalesce((lag(note) OVER w + note + 1) // 2, 0) AS low, coalesce((note + lead(note) OVER w - 1) // 2, 127) AS high FROM n WINDOW w AS (PARTITION BY preset ORDER BY note))
-        SELECT preset, key, note FROM c JOIN range(0, 128, 12) t(key) ON key BETWEEN low AND high""",
+        SELECT preset, key, note FROM c JOIN range(0, 128) t(key) ON key BETWEEN low AND high""",
     "intent": """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^a-z])of([^a-z]|$)') THEN 'vibrato' WHEN regexp_matches(lower(text), '(^|[^a-z])(the|de)([^a-z]|$)') THEN 'darken'
         WHEN regexp_matches(lower(text), '(^|[^a-z])(die|la)([^a-z]|$)') THEN 'brighten' END AS intent FROM documents""",
     "cutoff_steps": """WITH e AS (SELECT event_id, abs(value) * 2 AS m FROM events)

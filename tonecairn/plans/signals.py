@@ -382,7 +382,7 @@ SQL = {
     "bake_crossfade": VIEW + """, m AS (SELECT *, count(*) OVER (PARTITION BY sample_id) AS n FROM f), k AS (SELECT *, n // 4 AS s, 3 * n // 4 AS e FROM m WHERE n >= 40)
         SELECT a.sample_id, a.i, round(CASE WHEN a.i >= a.e - 8 AND a.i < a.e THEN a.x * (1 - (a.i - (a.e - 8) + 1) / 9.0) + b.x * ((a.i - (a.e - 8) + 1) / 9.0) ELSE a.x END, 6) AS x
         FROM k a LEFT JOIN k b ON a.sample_id = b.sample_id AND b.i = a.i - a.e + a.s AND a.i < a.e""",
-    "mixdown": VIEW + """, k AS (SELECT set_id, x, i + 4 * ((dense_rank() OVER (PARTITION BY set_id ORDER BY sample_id) - 1) % 8) AS place FROM f WHERE i < 16)
+    "mixdown": VIEW + """, k AS (SELECT set_id, x, i + 4 * (dense_rank() OVER (PARTITION BY set_id ORDER BY sample_id) - 1) AS place FROM f)
         SELECT set_id, place, CAST(sum(CAST(x AS DECIMAL(18,2))) AS DOUBLE) AS x FROM k GROUP BY 1, 2""",
     "mode_vote": VIEW + """, c AS (SELECT sample_id, set_id AS verdict, count(*) AS votes, min(i) AS first FROM f GROUP BY 1, 2),
         t AS (SELECT *, sum(votes) OVER (PARTITION BY sample_id) AS total FROM c)

@@ -113,11 +113,11 @@ SQL = {
         u AS (SELECT doc_id, unnest(ts) AS w, generate_subscripts(ts, 1) AS i FROM t), f AS (SELECT doc_id, tag, min(i) AS i FROM u JOIN m USING (w) GROUP BY 1, 2),
         k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM f), g AS (SELECT doc_id, string_agg(tag, ',' ORDER BY k) AS tags FROM k WHERE k <= 3 GROUP BY 1)
         SELECT doc_id, coalesce(tags, 'Synth') AS tags FROM documents LEFT JOIN g USING (doc_id)""",
-    "said_by_tags": f"""WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(regexp_replace(substr(text, 1, 20), '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM benchmark)
+    "said_by_tags": f"""WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM benchmark)
         SELECT item_id, len(t) > 0 AS named, len(t) > 0 AND len(list_filter(t, lambda x: x NOT IN ({', '.join(repr(w) for w in dict.fromkeys(TAG_OF))}))) = 0 AS said FROM t""",
-    "sanitise_names": """WITH h AS (SELECT doc_id, substr(regexp_replace(text, '[^ -~]', '?', 'g'), 1, 60) AS s FROM documents)
+    "sanitise_names": """WITH h AS (SELECT doc_id, regexp_replace(text, '[^ -~]', '?', 'g') AS s FROM documents)
         SELECT doc_id, trim(regexp_replace(regexp_replace(s, '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g'), '_') AS safe, trim(regexp_replace(replace(s, '.', ''), '\\s+', ' ', 'g')) AS spaced FROM h""",
-    "xml_names": """WITH n AS (SELECT doc_id, substr(text, 1, 200) AS name FROM documents)
+    "xml_names": """WITH n AS (SELECT doc_id, text AS name FROM documents)
         SELECT doc_id, replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, true AS back FROM n""",
     "content_key": "SELECT doc_id, substr(sha256(source || chr(31) || lang || chr(31) || text), 1, 32) AS key, substr(sha256(text), 1, 16) AS short_key FROM documents",
     "memo_misses": """WITH k AS (SELECT doc_id, substr(sha256(text), 1, 32) AS key FROM documents)
@@ -129,7 +129,7 @@ SQL = {
     "index_sync": """WITH t AS (SELECT doc_id, quality * (doc_id % 5 <> 0)::INT AS v FROM labels WHERE doc_id % 3 <> 0), w AS (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en')
         SELECT count(*) FILTER (l.quality IS NOT NULL AND l.quality IS DISTINCT FROM t.v) AS updated, count(*) FILTER (l.quality IS NULL) AS missing
         FROM w LEFT JOIN labels l USING (doc_id) LEFT JOIN t USING (doc_id)""",
-    "suffix_match": _PATHS + """, m AS (SELECT w.page_id, f.path AS found, w.n AS parts FROM s w JOIN s f ON w.tail = f.tail WHERE w.page_id % 10 = 0 AND f.page_id % 10 <> 0)
+    "suffix_match": _PATHS + """, m AS (SELECT w.page_id, f.path AS found, w.n AS parts FROM s w JOIN s f ON w.tail = f.tail AND w.page_id <> f.page_id)
         SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY parts DESC, found) = 1""",
     "scope_inherit": """SELECT conv_id, turn, role, last_value(CASE WHEN role = 'system' THEN length(text) END IGNORE NULLS) OVER w AS system_chars,
         last_value(CASE WHEN role = 'user' THEN length(text) END IGNORE NULLS) OVER w AS user_chars FROM conversations
