@@ -5,18 +5,26 @@ composite text density is computed from characters, tags, link characters and
 link tags of its subtree; the densities of a node's children are summed, and
 of the subtrees whose density reaches the threshold taken from the path
 between the body and the densest node, the one with the largest density sum
-is the article. An ``article`` or ``main`` around that subtree widens it to
-the outermost such element; one inside never narrows it.
+is the article. Two things soften the sum over direct children, which would
+cut an article of several sections down to its longest one: an ``article`` or
+``main`` element counts the sums of the nodes below it as its own (a prior
+inside the densities: it still loses to a denser subtree elsewhere), and from
+the chosen subtree the choice rises to the parent as long as the text that
+this adds is mostly of like density.
 
 Elements that can't hold article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) are left out of the
-tree, by element name or by a whole word of ``class``, ``id`` or ``role``.
+tree: by element name, by ARIA role, by being hidden, and block containers by
+a ``class`` or ``id`` all of whose words are customary names of boilerplate or
+of layout. Headings and text elements are never left out by name, nor are
+sections of an article by their ``id``, which is often a slug of their title.
 
 Defined results
 ---------------
 * null or empty html, or html without text: ``text`` is '' and ``n_chars`` 0;
 * unclosed and stray end tags, truncated pages: handled as a browser would,
   with implied end tags; text outside any element belongs to the body;
+* white space is what Unicode calls so, no-break spaces included;
 * ties between subtrees: the outermost, then the first in page order;
 * rows are handled one by one: repeated rows give repeated results; an empty
   table gives no rows; other input columns are not read.
@@ -38,7 +46,7 @@ from .shared import read_table, text_batches
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _DROPPED = frozenset(
-    "aside button canvas dialog footer form head iframe input label math menu nav noembed noframes noscript object "
+    "aside button canvas dialog footer form head iframe input label menu nav noembed noframes noscript object "
     "option script select style svg template textarea title video audio xmp".split()
 )
 _BLOCKS = frozenset(
@@ -56,29 +64,50 @@ _BOILERPLATE = frozenset(
     "share sharing social related recommended recommendations toolbar pagination pager copyright disclaimer "
     "complementary contentinfo search skip".split()
 )
+# Words that names of boilerplate have beside those, saying where or what kind of box it is.
+_LAYOUT = frozenset(
+    "area bar block bottom box button buttons container content contents elem element entry fixed form global group head holder icons id inline inner item items "
+    "js left link links list main message mobile module outer page panel policy popular post posts primary recent right row section secondary site slot "
+    "sticky tags text this top unit view wrap wrapper zone amp".split()
+)
+_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar toolbar".split())
 _SAFE = frozenset("html body article main".split())
+_CONTAINERS = frozenset("div section aside ul ol dl li nav table header footer figure form details center fieldset".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?until)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[a-z0-9]+")
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_WORD = re.compile(r"[a-z]+")
+_ABOUT = frozenset("has with no not without hide is show".split())  # "has-sidebar" says something about what is around
 
 
-_ABOUT = frozenset("has with no not without hide is show".split())  # "has-sidebar" says something about what is around
+def _named_so(value: str, in_article: bool) -> bool:
+    """Whether one of the names in a class or id is that of boilerplate."""
+    for name in value.split():
+        words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
+        found = _BOILERPLATE.intersection(words)
+        if not found or words[0] in _ABOUT or in_article and found <= {"header"}:  # an article's own header holds its heading
+            continue
+        if all(w in found or w in _LAYOUT or len(w) == 1 for w in words):
+            return True
+    return False
 
 
 def _is_boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
-    if not attributes or tag in _SAFE:
+    if tag in _SAFE:
         return False
-    for m in _NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").split():
-            words = _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())
-            if not words or words[0] in _ABOUT or words[-1] == "free":
-                continue
-            found = _BOILERPLATE.intersection(words)
-            if found and not (in_article and found <= {"header"}):  # an article's own header holds its heading
+    if "-" in tag and _named_so(tag, in_article):
+        return True
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name == "hidden" and value.lower() != "until-found" or name == "aria-hidden" and value.strip().lower() == "true":
+            return True
+        if name == "style" and _INVISIBLE.search(value) or name == "role" and value.strip().lower() in _ROLES:
+            return True
+        if name == "class" and (tag in _CONTAINERS or tag == "p" and not in_article) or name == "id" and tag in _CONTAINERS and not (in_article and tag == "section"):
+            if _named_so(value, in_article):
                 return True
-    return bool(_HIDDEN.search(attributes))
+    return False
 
 
 class _Dom:
@@ -146,7 +175,7 @@ def parse(page: str) -> _Dom:
         tag.append(name)
         parent.append(stack[-1])
         gone = dropped[stack[-1]] or name in _DROPPED
-        if not gone and (attributes or name == "header"):
+        if not gone and (attributes or name == "header" or "-" in name):
             inside = any(tag[x] in ("article", "main") for x in stack)
             gone = _is_boilerplate(name, attributes, inside) or name == "header" and not inside
         dropped.append(gone)
@@ -170,8 +199,8 @@ def parse(page: str) -> _Dom:
     return dom
 
 
-def _densities(dom: _Dom) -> tuple[list[float], list[float]]:
-    """Composite text density of every node, and the sum over its children."""
+def _densities(dom: _Dom) -> tuple[list[float], list[float], list[int], list[int]]:
+    """Composite text density of every node, the sum over its children, and the characters of its subtree, all and those in links."""
     n = len(dom.tag)
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -202,16 +231,22 @@ def _densities(dom: _Dom) -> tuple[list[float], list[float]]:
         base = math.log(c / plain * lc + ratio * c + math.e)
         value = c / t * (c / lc) * (t / lt)
         density[i] = c / t * math.log(max(value, 1.0), max(base, 1.0 + 1e-9)) if value > 0 else 0.0
-    sums = [0.0] * n
-    for i in range(1, n):
-        sums[dom.parent[i]] += density[i]
-    return density, sums
+    own, below = [0.0] * n, [0.0] * n
+    for i in range(n - 1, 0, -1):
+        up = dom.parent[i]
+        own[up] += density[i]
+        below[up] += below[i] + own[i]
+    sums = [own[i] + below[i] if dom.tag[i] in ("article", "main") else own[i] for i in range(n)]
+    return density, sums, chars, link_chars
+
+
+_TEXT_PARTS = frozenset("p li td th tr tbody thead tfoot table ul ol dl dd dt pre blockquote h1 h2 h3 h4 h5 h6".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 
 
 def select(dom: _Dom) -> int:
     """The node that holds the article."""
-    named = [i for i, t in enumerate(dom.tag) if t in ("article", "main") and not dom.dropped[i]]
-    density, sums = _densities(dom)
+    density, sums, chars, link_chars = _densities(dom)
     n = len(dom.tag)
     best = max(range(n), key=lambda i: (sums[i], -i))
     threshold, at = density[best], best
@@ -221,14 +256,20 @@ def select(dom: _Dom) -> int:
         at = dom.parent[at]
     kept = [i for i in range(n) if density[i] >= threshold and density[i] > 0]
     chosen = max(kept, key=lambda i: (sums[i], -i)) if kept else 0
-    # an element around the chosen one may widen it to the whole article; one below it never narrows it
-    outer = [i for i in named if i <= chosen < dom.end[i]]
-    if outer:
-        return outer[0]
-    # one paragraph or a list of the article may be densest: rise while the parent adds text of like density
-    while (up := dom.parent[chosen]) > 0 and (dom.tag[chosen] not in _BLOCKS or dom.tag[chosen] in ("p", "li", "td", "tr", "tbody", "ul", "ol", "h1", "h2")):
+    children: dict[int, list[int]] = {}
+    for i in range(1, n):
+        if chars[i] and not dom.dropped[i]:
+            children.setdefault(dom.parent[i], []).append(i)
+    while chosen:
+        up = dom.parent[chosen]
+        if dom.tag[chosen] in _BLOCKS and dom.tag[chosen] not in _TEXT_PARTS:
+            others = [i for i in children.get(up, ()) if i != chosen]
+            own = chars[up] - chars[chosen] - sum(chars[i] for i in others)
+            like = own + sum(chars[i] for i in others if 2 * density[i] >= density[chosen] and 2 * link_chars[i] < chars[i] or dom.tag[i] in _HEADINGS)
+            if 2 * like <= chars[up] - chars[chosen] or dom.tag[chosen] in ("article", "main") and up == 0:
+                break
         chosen = up
-    return 0 if chosen == 0 else chosen
+    return chosen
 
 
 def extract(page: str | None) -> str:
@@ -245,9 +286,9 @@ def extract(page: str | None) -> str:
                 blocks.append("".join(parts))
                 parts = []
         elif root <= node < last and not dom.dropped[node]:
-            parts.append(text)
+            parts.append(_html.unescape(text) if "&" in text else text)
     blocks.append("".join(parts))
-    clean = (" ".join(_html.unescape(b).split()) for b in blocks)
+    clean = (" ".join(b.split()) for b in blocks)
     return "\n".join(b for b in clean if b)
 
 
