@@ -44,7 +44,7 @@ def test_tiling_equals_the_slow_way():
     r = random.Random(4)
     for _ in range(200):
         doc, item = [r.randint(0, 3) for _ in range(25)], [r.randint(0, 3) for _ in range(12)]
-        assert sum(t[2] for t in decontaminate.tile(doc, item, 2)) == sum(t[2] for t in tiles_by_hand(doc, item, 2))
+        assert decontaminate.tile(np.array(doc, np.uint64), np.array(item, np.uint64), 2) == tiles_by_hand(doc, item, 2)
 
 
 def test_contaminated_documents(spark):
@@ -65,6 +65,36 @@ def test_contaminated_documents(spark):
     assert decontaminate.find_contaminated(docs, benchmark.limit(0)).count() == 0
 
 
+def test_whole_operator_against_brute_force(spark):
+    """Repetitive texts in which seeds occur many times on both sides."""
+    r = random.Random(12)
+    sentence = lambda n: " ".join(r.choice("abcd") for _ in range(n))
+    items = [(k, sentence(r.randint(1, 30))) for k in range(25)]
+    docs = [(k, " ".join(r.choice([sentence(9), r.choice(items)[1], "x"]) for _ in range(r.randint(0, 6)))) for k in range(60)]
+    want = {}
+    for d, text in docs:
+        for i, item in items:
+            tiles = tiles_by_hand(text.split(), item.split(), 5) if len(item.split()) >= 5 else []
+            if tiles and sum(t[2] for t in tiles) >= 0.5 * len(item.split()):
+                want[d, i] = (len(item.split()), sum(t[2] for t in tiles), len(tiles), max(t[2] for t in tiles))
+    made = lambda rows, name: spark.createDataFrame(rows, f"{name} long, text string").repartition(2)
+    for block_bytes in (1 << 20, 300):
+        found = decontaminate.find_contaminated(made(docs, "doc_id"), made(items, "item_id"), block_bytes=block_bytes).collect()
+        assert {(x["doc_id"], x["item_id"]): (x["item_tokens"], x["covered_tokens"], x["n_tiles"], x["longest_tile"]) for x in found} == want
+        left = decontaminate.without_contaminated(made(docs, "doc_id"), made(items, "item_id"), block_bytes=block_bytes).collect()
+        assert {x["doc_id"] for x in left} == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_four_megabytes_of_one_token():
+    import time
+
+    items = decontaminate.Items([1, 2], pa.array([" ".join(["a"] * 60), " ".join(f"w{k}" for k in range(40))]), 5)
+    text = pa.array(["a " * (2 << 20), " ".join(["a"] * 80 + [f"w{k}" for k in range(20)] * 3)])
+    began = time.monotonic()
+    assert [m[:3] for m in items.matches(text, 0.5)] == [(0, 0, 60), (1, 0, 60), (1, 1, 20)]
+    assert time.monotonic() - began < 30
+
+
 def test_boosting_learns_and_is_defined_without_labels():
     r = np.random.default_rng(0)
     x = r.standard_normal((3000, 6))

@@ -11,7 +11,8 @@ passage whose sentences were put in another order is still found.
 
 The benchmark is the stated query set: it is cut into blocks of a bounded
 number of bytes, each block is broadcast and all documents are read against
-it; nothing is shuffled.
+it; nothing is shuffled. Of several blocks one is broadcast at a time: what is
+found is written to the shared folder before the next one is sent.
 
 Defined results
 ---------------
@@ -24,6 +25,7 @@ Defined results
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import read_table, text_batches
-from .text_blocks import Words, bounded, text_bytes, whole_windows, window_hashes
+from .hash_exchange import group_starts
+from .shared import keep_table, read_table, text_batches
+from .text_blocks import Words, bounded, long_window_hashes, text_bytes, whole_windows, window_hashes
 
 SEED = 5
 COVERAGE = 0.5
+_ENTRIES = 1 << 20  # seeds of items that are looked at at a time
 _TOKEN = np.zeros(256, bool)
 _TOKEN[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 FOUND = "doc_id long, item_id long, item_tokens int, covered_tokens int, n_tiles int, longest_tile int, coverage double"
@@ -47,65 +51,73 @@ def tokens(column: pa.Array) -> Words:
     return Words(raw, offsets, ~_TOKEN[raw])
 
 
-def tile(document: list[int], item: list[int], seed: int) -> list[tuple[int, int, int]]:
+def _free_windows(tokens_: np.ndarray, free: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, running Karp-Rabin hash) of every window without a marked token."""
+    marked = np.concatenate([[0], np.cumsum(~free)])
+    at = np.flatnonzero(marked[size:] == marked[:-size]) if len(free) >= size else np.zeros(0, np.int64)
+    return at, long_window_hashes(tokens_, size)[at]
+
+
+def tile(document: np.ndarray, item: np.ndarray, seed: int, gaps: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (document position, item position, length), none overlapping, longest first.
 
-    A token below 0 matches nothing.
+    Lengths go down from the longest that can be; at each, the hashes of all unmarked windows of both sides are
+    compared and matches marked from left to right, so nothing longer is left when the next length begins. A window
+    whose hash agrees is compared token by token. ``gaps`` masks document positions that match nothing.
     """
-    free_d, free_i = [x >= 0 for x in document], [x >= 0 for x in item]
+    free_d, free_i = np.ones(len(document), bool), np.ones(len(item), bool)
+    if gaps is not None:
+        free_d[gaps] = False
     tiles: list[tuple[int, int, int]] = []
-    length = len(item)
-    modulus, base = (1 << 61) - 1, 1_000_003
-
-    def rolled(tokens_: list[int], free: list[bool], size: int) -> Iterator[tuple[int, int]]:
-        """(position, hash) of every window without a marked token."""
-        lead, value, run = pow(base, size, modulus), 0, 0
-        for end, token in enumerate(tokens_):
-            if not free[end]:
-                value = run = 0
-                continue
-            value = (value * base + token) % modulus
-            run += 1
-            if run > size:
-                value = (value - tokens_[end - size] * lead) % modulus
-            if run >= size:
-                yield end - size + 1, value
 
+    def matches(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions and hashes of the windows of document and item that the other side has as well."""
+        there, own = _free_windows(document, free_d, length)
+        where, hashes = _free_windows(item, free_i, length)
+        common = np.intersect1d(own, hashes)
+        some, here = np.isin(own, common), np.isin(hashes, common)
+        return there[some], own[some], where[here], hashes[here]
+
+    length = min(len(item), _longest_run(free_d))
     while length >= seed:
-        at: dict[int, list[int]] = {}
-        for i, value in rolled(item, free_i, length):
-            at.setdefault(value, []).append(i)
-        found = []
-        for d, value in rolled(document, free_d, length) if at else ():
-            for i in at.get(value, ()):
-                size = 0
-                while d + size < len(document) and i + size < len(item) and free_d[d + size] and free_i[i + size] and document[d + size] == item[i + size]:
-                    size += 1
-                if size >= length:
-                    found.append((-size, d, i))
-        shorter = 0
-        for size, d, i in sorted(found):
-            if all(free_d[d : d - size]) and all(free_i[i : i - size]):
-                free_d[d : d - size] = [False] * -size
-                free_i[i : i - size] = [False] * -size
-                tiles.append((d, i, -size))
+        nexts, values, where, hashes = matches(length)
+        if not len(nexts):  # a shorter match exists wherever a longer one does: search for the longest
+            low, high = seed - 1, length - 1
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if len(matches(middle)[0]) else (low, middle - 1)
+            length = low
+            continue
+        places: dict[int, list[int]] = {}  # of a hash: positions in the item, the first last
+        for value, i in zip(hashes[::-1].tolist(), where[::-1].tolist(), strict=True):
+            places.setdefault(value, []).append(i)
+        values, k = values.tolist(), 0
+        while k < len(values) and places:
+            d, value = int(nexts[k]), values[k]
+            left, other, found = places.get(value, []), [], False
+            while left and not found:
+                i = left.pop()
+                if not free_i[i : i + length].all():
+                    continue  # marked for good
+                found = np.array_equal(item[i : i + length], document[d : d + length])
+                if not found:
+                    other.append(i)  # only the hash agrees
+            left.extend(reversed(other))
+            if not left:
+                places.pop(value, None)
+            if found:
+                free_d[d : d + length] = free_i[i : i + length] = False
+                tiles.append((d, i, length))
+                k = int(np.searchsorted(nexts, d + length))
             else:
-                shorter = 1
-        if length == seed and not shorter:
-            break
-        if not shorter:  # nothing of this length is left: go to the longest that can be
-            length = max(seed, min(length - 1, max((b for b in _runs(free_i)), default=0)))
-            if length == seed and max(_runs(free_i), default=0) < seed:
-                break
+                k += 1
+        length = min(length - 1, _longest_run(free_i), _longest_run(free_d))
     return tiles
 
 
-def _runs(free: list[bool]) -> list[int]:
-    out, run = [0], 0
-    for x in free:
-        run = run + 1 if x else 0
-        out.append(run)
-    return out
+def _longest_run(free: np.ndarray) -> int:
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    return int((edges[1::2] - edges[::2]).max()) if len(edges) else 0
 
 
 class Items:
@@ -120,6 +132,8 @@ class Items:
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.at = seeds[order], at[order]
         self.item = words.doc[self.at] if len(at) else self.at
+        by_place = np.argsort(self.at)
+        self.positions, self.first_of = self.at[by_place], np.searchsorted(self.seeds, self.seeds, "left")[by_place]
         self.size = np.diff(words.bounds)
 
     def matches(self, column: pa.Array, coverage: float) -> list[tuple[int, int, int, int, int]]:
@@ -132,88 +146,121 @@ class Items:
         low = np.searchsorted(self.seeds, hashes, "left")
         near = np.minimum(low, len(self.seeds) - 1)
         hit = np.flatnonzero((self.seeds[near] == hashes) & whole_windows(words.bounds, seed))
-        low = low[hit]
-        count = np.searchsorted(self.seeds, hashes[hit], "right") - low
-        first = np.cumsum(count) - count
-        entry = np.arange(int(count.sum())) - np.repeat(first - low, count)
-        place = np.repeat(hit, count)
-        doc, item, where = words.doc[place], self.item[entry], self.at[entry]
+        out: list[tuple[int, int, int, int, int]] = []
+        # a few documents at a time, so that what their seeds lead to stays bounded
+        doc = words.doc[hit]
+        new = np.ones(len(hit), bool)
+        order = np.lexsort((low[hit], doc))
+        new[1:] = (doc[order][1:] != doc[order][:-1]) | (low[hit][order][1:] != low[hit][order][:-1])
+        first = order[new]  # one of each seed of a document: how often it has it doesn't matter yet
+        entries = np.searchsorted(self.seeds, hashes[hit[first]], "right") - low[hit[first]]
+        piece = (np.cumsum(entries) - entries) // _ENTRIES
+        piece = np.maximum.accumulate(np.where(np.diff(doc[first], prepend=-1) != 0, piece, 0))  # whole documents
+        cuts = np.append(group_starts(piece), len(first)).tolist()
+        for a, b in zip(cuts, cuts[1:]):
+            out += self._tiled(words, hit, doc, low[hit], first[a:b], entries[a:b], coverage)
+        return out
+
+    def _tiled(self, words: Words, hit: np.ndarray, doc: np.ndarray, low: np.ndarray, first: np.ndarray, entries: np.ndarray, coverage: float) -> list[tuple[int, int, int, int, int]]:
+        seed = self.seed
+        entry = np.arange(int(entries.sum())) - np.repeat(np.cumsum(entries) - entries - low[first], entries)
+        pair = np.stack([np.repeat(doc[first], entries), self.item[entry], self.at[entry]], 1)
+        pair = pair[np.lexsort((pair[:, 2], pair[:, 1], pair[:, 0]))]
         # tokens of the item under any shared seed: no tiling covers more
-        marks = np.unique(np.stack([np.repeat(doc, seed), np.repeat(item, seed), (where[:, None] + np.arange(seed)).ravel()], 1), axis=0) if len(doc) else np.zeros((0, 3), int)
-        pairs, most = np.unique(marks[:, :2], axis=0, return_counts=True) if len(marks) else (np.zeros((0, 2), int), np.zeros(0, int))
-        hopeful = pairs[most >= coverage * self.size[pairs[:, 1]]]
-        if not len(hopeful):
-            return []
-        order = np.lexsort((place, item, doc))
-        doc, item, place = doc[order], item[order], place[order]
-        key, wanted = doc * len(self.ids) + item, hopeful[:, 0] * len(self.ids) + hopeful[:, 1]
-        a, b = np.searchsorted(key, wanted, "left"), np.searchsorted(key, wanted, "right")
-        out = []
-        for (d, i), x, y in zip(hopeful.tolist(), a.tolist(), b.tolist(), strict=True):
-            shared = np.unique((np.unique(place[x:y])[:, None] + np.arange(seed)).ravel())
-            text = words.hash[shared] >> np.uint64(3)
-            gaps = np.flatnonzero(np.diff(shared) > 1) + 1
-            document = np.insert(text.astype(np.int64), gaps, -1).tolist()
-            tiles = tile(document, (self.hash[self.bounds[i] : self.bounds[i + 1]] >> np.uint64(3)).astype(np.int64).tolist(), seed)
+        new = np.ones(len(pair), bool)
+        new[1:] = (pair[1:, :2] != pair[:-1, :2]).any(1)
+        adds = np.full(len(pair), seed)
+        adds[:-1] = np.where(new[1:], seed, np.minimum(pair[1:, 2] - pair[:-1, 2], seed))
+        starts = np.flatnonzero(new)
+        most = np.add.reduceat(adds, starts) if len(starts) else adds
+        stops = np.append(starts[1:], len(pair))
+        out, of = [], -1
+        for k in np.flatnonzero(most >= coverage * self.size[pair[starts, 1]]).tolist():
+            d, i = pair[starts[k], :2].tolist()
+            if d != of:  # the document's positions with a seed of any item, by seed
+                of, (a, b) = d, np.searchsorted(doc, (d, d + 1))
+                order = np.argsort(low[a:b], kind="stable")
+                by_seed, at_seed = hit[a:b][order], low[a:b][order]
+            shared = np.unique(self.seeds_at(pair[starts[k] : stops[k], 2]))
+            x, y = np.searchsorted(at_seed, shared, "left"), np.searchsorted(at_seed, shared, "right")
+            place = np.sort(by_seed[np.arange(int((y - x).sum())) + np.repeat(x - (np.cumsum(y - x) - (y - x)), y - x)])
+            covers = np.zeros(int(place[-1] - place[0]) + seed + 1, np.int32)
+            np.add.at(covers, place - place[0], 1)
+            np.add.at(covers, place - place[0] + seed, -1)
+            at = np.flatnonzero(np.cumsum(covers) > 0) + place[0]
+            breaks = np.flatnonzero(np.diff(at) > 1) + 1
+            document = np.insert(words.hash[at], breaks, 0)
+            tiles = tile(document, self.hash[self.bounds[i] : self.bounds[i + 1]], seed, breaks + np.arange(len(breaks)))
             covered = sum(t[2] for t in tiles)
             if tiles and covered >= coverage * self.size[i]:
                 out.append((d, i, covered, len(tiles), max(t[2] for t in tiles)))
         return out
 
+    def seeds_at(self, positions: np.ndarray) -> np.ndarray:
+        """The first entry with the seed that starts at each position of the block."""
+        return self.first_of[np.searchsorted(self.positions, positions)]
 
-def item_blocks(benchmark: DataFrame, seed: int, block_bytes: int) -> Iterator[Items]:
-    """The benchmark in blocks of about ``block_bytes`` of text, one in the driver's memory at a time."""
+
+def item_blocks(benchmark: DataFrame, seed: int, block_bytes: int) -> Iterator[tuple[Items, bool]]:
+    """The benchmark in blocks of about ``block_bytes`` of text, one in the driver's memory at a time; and whether it is the last."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     count = max(1, -(-total // block_bytes))
     for k in range(count):
         part = rows if count == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == k)
         table = part.orderBy("item_id", "text").toArrow()
-        yield Items(table.column("item_id").to_pylist(), table.column("text").combine_chunks(), seed)
+        yield Items(table.column("item_id").to_pylist(), table.column("text").combine_chunks(), seed), k == count - 1
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block_bytes: int = 8 << 20) -> DataFrame:
     """Pairs of a document and an item of which the document has at least the share ``coverage``."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    out = docs.sparkSession.createDataFrame([], FOUND)
-    for number, block in enumerate(item_blocks(benchmark, seed, block_bytes)):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
+    rows, found_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), []
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in bounded(batches, "text"):
-                found = items.matches(batch.column("text"), coverage)
-                ids = batch.column("doc_id").to_pylist()
-                columns = [
-                    ([ids[d] for d, *_ in found], pa.int64()),
-                    ([items.ids[i] for _, i, *_ in found], pa.int64()),
-                    ([int(items.size[i]) for _, i, *_ in found], pa.int32()),
-                    *([f[k] for f in found] for k in (2, 3, 4)),
-                    ([f[2] / int(items.size[f[1]]) for f in found], pa.float64()),
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(*c) if isinstance(c, tuple) else pa.array(c, pa.int32()) for c in columns],
-                    names=["doc_id", "item_id", "item_tokens", "covered_tokens", "n_tiles", "longest_tile", "coverage"],
-                )
-
-        made = text_batches(rows).mapInArrow(run, FOUND)
-        out = made if number == 0 else out.unionByName(made)
-    return out
+    def found(items: Items, batch: pa.RecordBatch) -> pa.RecordBatch:
+        pairs = items.matches(batch.column("text"), coverage)
+        ids = batch.column("doc_id").to_pylist()
+        columns = [
+            ([ids[d] for d, *_ in pairs], pa.int64()),
+            ([items.ids[i] for _, i, *_ in pairs], pa.int64()),
+            ([int(items.size[i]) for _, i, *_ in pairs], pa.int32()),
+            *(([p[k] for p in pairs], pa.int32()) for k in (2, 3, 4)),
+            ([p[2] / int(items.size[p[1]]) for p in pairs], pa.float64()),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(*c) for c in columns], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    for made, last in _each_block(rows, benchmark, found, FOUND, seed, block_bytes):
+        found_in.append(made if last else keep_table(made, "found", release=False))
+    return functools.reduce(DataFrame.unionByName, found_in)
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block_bytes: int = 8 << 20) -> DataFrame:
     """The rows of ``docs`` that reach ``coverage`` of no item."""
-    for block in item_blocks(benchmark, seed, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def clean(items: Items, batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = np.ones(batch.num_rows, bool)
+        keep[[m[0] for m in items.matches(batch.column("text"), coverage)]] = False
+        return batch.filter(pa.array(keep))
+
+    left = [docs]
+    for made, last in _each_block(left, benchmark, clean, docs.schema, seed, block_bytes):
+        left[0] = made if last else keep_table(made, "clean", release=False)
+    return left[0]
+
+
+def _each_block(rows: DataFrame | list[DataFrame], benchmark: DataFrame, run, schema, seed: int, block_bytes: int) -> Iterator[tuple[DataFrame, bool]]:
+    """(what ``run`` makes of the rows with one block, whether it is the last); a block is dropped when the next one is asked for."""
+    shared = None
+    for block, last in item_blocks(benchmark, seed, block_bytes):
+        if shared is not None:
+            shared.destroy()
+        now = rows[0] if isinstance(rows, list) else rows
+        shared = now.sparkSession.sparkContext.broadcast(block)
+
+        def over(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in bounded(batches, "text"):
-                keep = np.ones(batch.num_rows, bool)
-                keep[[m[0] for m in shared.value.matches(batch.column("text"), coverage)]] = False
-                yield batch.filter(pa.array(keep))
+                yield run(shared.value, batch)
 
-        docs = text_batches(docs).mapInArrow(run, docs.schema)
-    return docs
+        yield text_batches(now).mapInArrow(over, schema), last
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
