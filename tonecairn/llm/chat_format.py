@@ -10,6 +10,8 @@ instead of one row per turn.
 
 Defined results
 ---------------
+* one conversation is one row of the result, as its digest needs: it must fit
+  one task, and nothing else has to;
 * null text or role: the empty string; an unknown role is formatted and makes
   the conversation invalid;
 * null ``conv_id``: a conversation of its own; null ``turn``: sorts first;
@@ -168,9 +170,9 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = done.select(
         "conv_id",
         "valid",
+        "final_state",
         F.length("formatted").cast("long").alias("formatted_chars"),
         read_back(F.col("formatted")).alias("turns"),
-        F.concat_ws("", F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: s["text"])).alias("masked"),
         F.filter("segments", lambda s: s["loss"]).alias("under_loss"),
     )
     loss = F.concat_ws("", F.transform("under_loss", lambda s: unescape(s["text"])))
@@ -181,4 +183,6 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),
         "formatted_chars",
+        "valid",
+        "final_state",
     )

@@ -79,11 +79,15 @@ SQL: dict[str, str] = {
                    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
                    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
                    sum(length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) + length(role)
-                       + length('<|im_start|>') + length('<|im_end|>') + 2) AS formatted_chars
+                       + length('<|im_start|>') + length('<|im_end|>') + 2) AS formatted_chars,
+                   list_reduce(['start'] || list(role ORDER BY turn, role, text), lambda state, role: coalesce(MAP {
+                       'start>system': 'system', 'start>user': 'user', 'system>user': 'user', 'user>assistant': 'assistant', 'assistant>user': 'user',
+                       'assistant>tool': 'tool', 'tool>assistant': 'assistant', 'tool>tool': 'tool'}[state || '>' || role], 'error')) AS final_state
             FROM rows GROUP BY conv_id
         )
         SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-               sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+               sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars,
+               final_state = 'assistant' AS valid, final_state
         FROM whole
     """,
     "op10_warc": """
