@@ -3,6 +3,7 @@
 import hashlib
 import os
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -258,6 +259,24 @@ def test_archives(spark):
     assert warc.read_records(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def test_records_are_named_once_and_digests_equal_plain_ones(spark):
+    import gzip
+
+    from pyspark.sql import functions as F
+
+    texts = [None, "", "a", "é€", "x" * 70_000, "<p>x</p>"]
+    got = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, html string").select("k", warc.base32_digest(F.coalesce("html", F.lit(""))).alias("d"))
+    assert {r["k"]: r["d"] for r in got.collect()} == {k: warc.sha1_base32((t or "").encode()) for k, t in enumerate(texts)}
+    pages = spark.createDataFrame([(1, "u", "same"), (1, "u", "same"), (2, "u", "same"), (None, None, None)], "page_id long, url string, html string").repartition(2)
+    names = set()
+    for row in warc.write_archives(pages).collect():
+        files, root = warc._file_system(row["folder"])
+        with files.open_input_file(f"{root}/{row['archive']}") as f:
+            head = gzip.decompress(f.read_at(row["length"], row["offset"])).decode()
+        names.add(re.search("WARC-Record-ID: (.*)", head)[1])
+    assert len(names) == 4
+
+
 def test_contract_of_archive_digest():
     assert warc.sha1_base32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
     assert hashlib.sha1(b"").hexdigest().startswith("da39a3ee")

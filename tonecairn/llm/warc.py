@@ -24,15 +24,15 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import os
 import re
 import urllib.parse
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from .shared import read_table, shuffle_width, text_batches, work_dir
 
@@ -51,15 +51,21 @@ def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def with_digests(pages: DataFrame) -> DataFrame:
-    """Adds ``payload_digest`` and ``payload_bytes``; the html stays in the JVM-side row."""
+# The digits of base 32 as numbers are written and as RFC 4648 has them.
+_DIGITS = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+
+
+def base32_digest(text: Column) -> Column:
+    """SHA-1 of the text in base 32: forty bits of it are eight digits."""
+    hexadecimal = F.sha1(text)
+    digits = [F.lpad(F.conv(F.substring(hexadecimal, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*digits), *_DIGITS)
 
-    @pandas_udf("string")
-    def digest(html):
-        return html.map(lambda x: sha1_base32((x or "").encode()))
 
+def with_digests(pages: DataFrame) -> DataFrame:
+    """Adds ``payload_digest`` and ``payload_bytes``."""
     return pages.select("page_id", "url", "html").withColumns(
-        {"payload_digest": digest("html"), "payload_bytes": F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")}
+        {"payload_digest": base32_digest(F.coalesce("html", F.lit(""))), "payload_bytes": F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")}
     )
 
 
@@ -83,25 +89,27 @@ def with_revisits(digested: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
     return joined.withColumn("refers_to", F.when(revisits, F.col("first_page"))).drop("first_page")
 
 
-def encode_record(page_id, url, html, digest: str, refers_to) -> bytes:
-    """One WARC/1.1 record with its closing blank lines, not compressed."""
+def encode_record(record: str, page_id, url, html, digest: str, refers_to) -> bytes:
+    """One WARC/1.1 record with its closing blank lines, not compressed. ``record`` names it alone."""
     payload = (html or "").encode()
     kind = "response" if refers_to is None else "revisit"
     body = _HEAD + payload if refers_to is None else _HEAD
     lines = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <urn:record:{record}>",
         f"WARC-Date: {_DATE}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
     ]
+    if page_id is not None:
+        lines.append(f"X-Page-ID: {page_id}")
     if url is not None:
         lines.append("WARC-Target-URI: " + _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url))
     if refers_to is not None:
-        lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {_PROFILE}"]
+        lines += [f"X-Refers-To-Page: {refers_to}", f"WARC-Profile: {_PROFILE}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
 
 
@@ -111,22 +119,30 @@ def decode_record(raw: bytes) -> dict:
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
     body = rest[: int(fields["Content-Length"])]
     payload = body[len(_HEAD) :] if fields["WARC-Type"] == "response" else None
-    number = lambda name: int(x) if (x := fields.get(name, "<urn:page:>")[10:-1]) else None
+    number = lambda name: int(fields[name]) if name in fields else None
     return {
-        "page_id": number("WARC-Record-ID"),
+        "page_id": number("X-Page-ID"),
         "url": urllib.parse.unquote(fields["WARC-Target-URI"]) if "WARC-Target-URI" in fields else None,
         "payload_bytes": int(fields["X-Payload-Length"]) if payload is None else len(payload),
         "payload_digest": fields["WARC-Payload-Digest"][5:] if payload is None else sha1_base32(payload),
         "record_type": fields["WARC-Type"],
-        "refers_to": number("WARC-Refers-To"),
+        "refers_to": number("X-Refers-To-Page"),
         "payload": payload,
     }
 
 
+# Schemes of Hadoop file systems that Arrow has under another name.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _file_system(folder: str):
+    """Arrow's file system for a folder that Spark names by URI or path, and the folder's path in it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith(("file:", "/")) else "/" + folder)
+    scheme, colon, rest = folder.partition("://")
+    if colon:
+        return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}://{rest}")
+    return fs.FileSystem.from_uri(folder if folder.startswith("file:") else os.path.abspath(folder))
 
 
 def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
@@ -146,7 +162,7 @@ def write_archives(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
                 out = files.open_output_stream(f"{root}/{name}", compression=None)
             rows = []
             for row in batch.to_pylist():
-                raw = encode_record(row["page_id"], row["url"], row["html"], row["payload_digest"], row["refers_to"])
+                raw = encode_record(f"{name[:32]}:{offset}", row["page_id"], row["url"], row["html"], row["payload_digest"], row["refers_to"])
                 member = gzip.compress(raw, 4, mtime=0)
                 out.write(member)
                 kind = "response" if row["refers_to"] is None else "revisit"
