@@ -239,6 +239,29 @@ def test_neighbours(spark):
     assert ann_forest.nearest(few.limit(0), few).count() == 0
 
 
+def test_recall_on_the_tables(spark):
+    """Recall of at least 0.9 against brute force, while much less than a block is scored."""
+    folder = "/root/testdata/check_s" if os.path.isdir("/root/testdata/check_s") else "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{folder}/embeddings.parquet")
+    v, ids = np.array(table.column("embedding").to_pylist(), float), table.column("vec_id").to_numpy()
+    asked = np.flatnonzero(ids % 20 == 0)[::8]
+    forest, hits = ann_forest.Forest(v), 0
+    scores = v @ v[asked].T
+    for q, rows, _ in forest.search(v[asked], 21, 4096):
+        best = np.argpartition(-scores[:, q], 20)[:21]
+        hits += np.isin(best, rows).sum() - 1
+    assert hits >= 0.93 * 20 * len(asked)
+    low, high = forest.ranges(v[asked], 4096)
+    share = []
+    for q in range(0, len(asked), 4):
+        share.append(len(np.unique(np.concatenate([o[a:b] for o, a, b in zip(forest.order, low[:, q], high[:, q])]))) / len(v))
+    assert folder.endswith("sf0.1") or np.mean(share) < 0.4
+
+
 def test_archives(spark):
     rows = [(3, "http://a/ b\r\n%41", "<p>x</p>"), (1, None, "<p>x</p>"), (1, "u", "<p>x</p>"), (2, "u", None), (5, "u", ""), (None, "u", "<p>x</p>"), (6, "é", "ü" * 100_000 + "\r\n\r\n"), (7, "u", "once")]
     pages = spark.createDataFrame([(*r, "k") for r in rows], "page_id long, url string, html string, archive string").repartition(3)

@@ -1,11 +1,14 @@
 """Nearest neighbours by a hash-prefix forest.
 
-Vectors get one long bit string per tree (signs of random projections after a
-reduction of inner product to angle). A tree is the array of its strings in
-sorted order. A query descends every tree to its longest common prefix by
-binary search, then all trees ascend together, one bit at a time, until the
-prefix ranges hold enough candidates; the candidates are scored exactly in
-double precision.
+After a reduction of inner product to angle, vectors get hash symbols: the
+largest coordinate, with its sign, of a random projection (cross-polytope
+hashing). A tree has one long hash string per vector, the symbols of a few
+projections in its own random choice; all trees share one pool of projections.
+A tree is the array of its strings in sorted order. A query descends every
+tree to its longest common prefix by binary search, then all trees ascend
+together, one bit at a time, until the prefix ranges hold enough entries (the
+level where that is the case is found by bisection, as ranges only grow); the
+candidates are scored exactly in double precision.
 
 The rows are dealt into blocks of about ``block_rows`` distinct vectors; each
 task builds the forest of one block and streams all queries through it, so
@@ -21,8 +24,9 @@ Defined results
   ``k`` candidates: all of them; repeated rows (same id and vector) count once;
 * empty table: no rows; other input columns are not read.
 
-Recall depends on ``ascend_to``, the share of a block that the ranges must
-hold before the ascent stops. Embeddings without structure need a large one.
+Recall depends on ``entries``, which all ranges together must hold before the
+ascent stops, and on the number of trees. What is scored is at most that plus
+one more level, whatever the size of a block.
 """
 
 from __future__ import annotations
@@ -40,56 +44,72 @@ FOUND = "query_id long, vec_ids array<long>, scores array<double>"
 
 
 class Forest:
-    """Sorted arrays of ``bits``-long hash strings over the rows of ``vectors``."""
-
-    def __init__(self, vectors: np.ndarray, trees: int = 32, bits: int = 32, seed: int = 20240229) -> None:
-        self.vectors, self.bits = vectors, bits
-        rng = np.random.default_rng(seed)
-        self.planes = rng.standard_normal((trees, vectors.shape[1] + 1, bits))
+    """Sorted arrays of long hash strings over the rows of ``vectors``: ``symbols`` symbols of one of ``pool`` projections each."""
+
+    def __init__(self, vectors: np.ndarray, trees: int = 512, symbols: int = 4, pool: int = 384, seed: int = 20240229) -> None:
+        self.vectors, rng = vectors, np.random.default_rng(seed)
+        dim = vectors.shape[1] + 1
+        self.faces = min(32, dim)
+        self.symbol_bits = (2 * self.faces - 1).bit_length()
+        self.bits = symbols * self.symbol_bits
+        self.planes = rng.standard_normal((pool, dim, self.faces)).astype(np.float32)
+        self.names = np.stack([rng.permutation(1 << self.symbol_bits) for _ in range(pool)]).astype(np.uint32)  # which faces a shorter prefix merges
+        self.of_tree = np.stack([rng.choice(pool, symbols, replace=False) for _ in range(trees)])
         norms = np.einsum("ij,ij->i", vectors, vectors)
-        self.top = float(norms.max())
-        lifted = np.hstack([vectors, np.sqrt(np.maximum(self.top - norms, 0))[:, None]])
-        codes = [self._codes(lifted, t) for t in range(trees)]
-        self.order = [np.argsort(c, kind="stable") for c in codes]
-        self.codes = [c[o] for c, o in zip(codes, self.order, strict=True)]
-
-    def _codes(self, lifted: np.ndarray, tree: int) -> np.ndarray:
-        signs = lifted @ self.planes[tree] > 0
-        return signs @ (np.uint64(1) << np.arange(self.bits - 1, -1, -1, dtype=np.uint64))
-
-    def ranges(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        codes = self._codes(np.hstack([vectors, np.sqrt(np.maximum(float(norms.max()) - norms, 0))[:, None]]))
+        self.order = np.argsort(codes, axis=1, kind="stable").astype(np.int32)
+        self.codes = np.take_along_axis(codes, self.order, 1)
+
+    def _codes(self, lifted: np.ndarray) -> np.ndarray:
+        """(trees, rows) hash strings as numbers."""
+        lifted = lifted / np.sqrt((lifted**2).sum(1, keepdims=True))  # a length says nothing about an angle, and may be out of a float's range
+        lifted, rows = lifted.astype(np.float32), np.arange(len(lifted))
+        symbols = np.empty((len(self.planes), len(lifted)), np.uint32)
+        for k, (plane, names) in enumerate(zip(self.planes, self.names, strict=True)):
+            x = lifted @ plane
+            face = np.abs(x).argmax(1)
+            symbols[k] = names[2 * face + (x[rows, face] > 0)]
+        out = np.zeros((len(self.of_tree), len(lifted)), np.uint32)
+        for picked in self.of_tree.T:
+            out = (out << np.uint32(self.symbol_bits)) | symbols[picked]
+        return out
+
+    def ranges(self, queries: np.ndarray, entries: int) -> tuple[np.ndarray, np.ndarray]:
         """First and past-the-end positions, (trees, queries), where the common ascent stopped."""
-        lifted = np.hstack([queries, np.zeros((len(queries), 1))])
-        shape = (len(self.codes), len(queries))
-        low, high = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
-        codes = [self._codes(lifted, t) for t in range(shape[0])]
-        open_ = np.arange(len(queries))
-        for level in range(self.bits, -1, -1):
-            drop = np.uint64(self.bits - level)
-            for t, sorted_codes in enumerate(self.codes):
-                prefix = codes[t][open_] >> drop << drop
-                low[t, open_] = np.searchsorted(sorted_codes, prefix, "left")
-                high[t, open_] = np.searchsorted(sorted_codes, prefix | ((np.uint64(1) << drop) - np.uint64(1)), "right")
-            enough = (high[:, open_] - low[:, open_]).sum(0) >= wanted
-            open_ = open_[~enough]
-            if not len(open_):
-                break
-        return low, high
-
-    def search(self, queries: np.ndarray, k: int, ascend_to: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        codes = self._codes(np.hstack([queries, np.zeros((len(queries), 1))]))
+
+        def at(level: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            rest = ((np.uint64(1) << (self.bits - level).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+            least = codes[:, which] & ~rest
+            low = np.stack([np.searchsorted(c, x, "left") for c, x in zip(self.codes, least, strict=True)])
+            return low, np.stack([np.searchsorted(c, x, "right") for c, x in zip(self.codes, least | rest, strict=True)])
+
+        deep, flat = np.full(len(queries), self.bits), np.zeros(len(queries), int)  # the level looked for is in flat .. deep
+        while len(open_ := np.flatnonzero(flat < deep)):
+            level = (flat[open_] + deep[open_] + 1) // 2
+            low, high = at(level, open_)
+            enough = (high - low).sum(0) >= entries
+            flat[open_[enough]] = level[enough]
+            deep[open_[~enough]] = level[~enough] - 1
+        return at(flat, np.arange(len(queries)))
+
+    def search(self, queries: np.ndarray, k: int, entries: int, step: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, rows, scores): at least the ``k`` best candidates of each query with all ties of the last."""
-        n = len(self.vectors)
-        low, high = self.ranges(queries, max(4 * k, int(ascend_to * n)))
-        for q in range(len(queries)):
-            seen = np.zeros(n, bool)
-            for order, a, b in zip(self.order, low[:, q], high[:, q], strict=True):
-                seen[order[a:b]] = True
-            rows = np.flatnonzero(seen)
-            scores = self.vectors[rows] @ queries[q] if 3 * len(rows) < n else (self.vectors @ queries[q])[rows]
-            if len(rows) > k:
-                keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
-                rows, scores = rows[keep], scores[keep]
-            yield q, rows, scores
+        n, flat = len(self.vectors), self.order.reshape(-1)
+        start = np.arange(len(self.order))[:, None] * n
+        for first in range(0, len(queries), step):
+            low, high = self.ranges(queries[first : first + step], max(4 * k, entries))
+            low, high = low + start, high + start
+            for q in range(low.shape[1]):
+                size = high[:, q] - low[:, q]
+                seen = np.zeros(n, bool)
+                seen[flat[np.arange(int(size.sum())) + np.repeat(low[:, q] - (np.cumsum(size) - size), size)]] = True
+                rows = np.flatnonzero(seen)
+                scores = self.vectors[rows] @ queries[first + q]
+                if len(rows) > k:
+                    keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
+                    rows, scores = rows[keep], scores[keep]
+                yield first + q, rows, scores
 
 
 def usable(column: str):
@@ -102,22 +122,21 @@ def nearest(
     vectors: DataFrame,
     queries: DataFrame,
     k: int = 20,
-    trees: int = 32,
-    bits: int = 32,
-    ascend_to: float = 1.5,
+    trees: int = 512,
+    symbols: int = 4,
+    entries: int = 4096,
     block_rows: int = 16384,
-    query_rows: int = 512,
 ) -> DataFrame:
     """query_id, rank, vec_id, score. Both inputs: vec_id long, embedding array<float>.
 
-    ``ascend_to`` counts a candidate once for every tree that finds it.
+    ``entries`` counts a candidate once for every tree that finds it.
     """
     pick = lambda df: df.selectExpr("cast(vec_id as long) vec_id", "cast(embedding as array<double>) embedding").where(
         usable("embedding") & F.col("vec_id").isNotNull()
     )
     rows = pick(vectors)
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
-    entries = (
+    once = (
         rows.distinct()
         .withColumn("rank", F.row_number().over(smallest))
         .where(F.col("rank") <= k + 1)
@@ -126,7 +145,7 @@ def nearest(
     )
     sizes = {r["dim"]: r["n"] for r in rows.groupBy(F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks_of = F.coalesce(*[F.when(F.col("dim") == d, F.lit(-(-n // block_rows))) for d, n in sizes.items()], F.lit(1))
-    entries = entries.withColumn("dim", F.size("embedding")).withColumn(
+    once = once.withColumn("dim", F.size("embedding")).withColumn(
         "block", F.pmod(F.xxhash64(F.col("ids")[0]), blocks_of).cast("int")
     )
     asked = (
@@ -135,7 +154,7 @@ def nearest(
         .withColumn("dim", F.size("embedding"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), (blocks_of - 1).cast("int"))))
     )
-    mixed = entries.selectExpr("dim", "block", "0 kind", "ids", "embedding").unionByName(
+    mixed = once.selectExpr("dim", "block", "0 kind", "ids", "embedding").unionByName(
         asked.selectExpr("dim", "block", "1 kind", "array(vec_id) ids", "embedding")
     )
     total = sum(-(-n // block_rows) for n in sizes.values())
@@ -162,11 +181,11 @@ def nearest(
                 if forest is None:
                     if not parts:
                         continue
-                    forest, parts = Forest(np.concatenate(parts), trees, bits), []
+                    forest, parts = Forest(np.concatenate(parts), trees, symbols), []
                 own = piece.column("ids").flatten().to_numpy()
                 wanted = matrix(piece.column("embedding"), dim)
                 out_ids, out_scores = [], []
-                for q, found, scores in forest.search(wanted, k + 1, ascend_to):
+                for q, found, scores in forest.search(wanted, k + 1, entries):
                     pairs = [(-s, i) for r, s in zip(found.tolist(), scores.tolist(), strict=True) for i in ids[r] if i != own[q]]
                     pairs.sort()
                     out_ids.append([i for _, i in pairs[:k]])
