@@ -8,11 +8,11 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tonecairn.llm.hash_exchange import pack, part_cuts, unpack
+from tonecairn.llm.hash_exchange import pack, part_runs, unpack
 from tonecairn.llm.jaccard_join import similar_components, stage_near_duplicates
 from tonecairn.llm.substring_dedup import remove_repeats, stage_substring_dedup
 from tonecairn.llm.suffix_dedup import remove_repeated_strings
-from tonecairn.llm.suffix_groups import common_prefixes, suffix_array
+from tonecairn.llm.suffix_groups import adjacent_prefixes, prefix_groups, suffix_array
 
 DDL = "doc_id long, text string, batch string, rest int, `class` string, score double, _text string, ids string, n_chars int"
 
@@ -160,8 +160,40 @@ def test_suffix_array_by_groups():
         s = [r.randint(0, r.randint(1, 3)) for _ in range(r.randint(0, 30))]
         order = suffix_array(np.array(s, np.int64))
         assert order.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
-        want = [max((next((k for k in range(6) if i + k >= len(s) or j + k >= len(s) or s[i + k] != s[j + k]), 6) for j in range(len(s)) if j != i), default=0) for i in range(len(s))]
-        assert common_prefixes(np.array(s, np.int64), order, 6).tolist() == want
+        code, shared = np.array(s, np.int64), None
+        shared = adjacent_prefixes(code, order, 6)
+        assert shared.tolist() == [next((k for k in range(6) if max(i, j) + k >= len(s) or s[i + k] != s[j + k]), 6) for i, j in zip(order[:-1], order[1:])]
+        for depth in (1, 2, 4):
+            group = prefix_groups(order, shared, depth) if s else np.zeros(0)
+            long = [i for i in range(len(s)) if i + depth <= len(s)]
+            assert all((group[i] == group[j]) == (s[i : i + depth] == s[j : j + depth]) for i in long for j in long)
+
+
+def test_the_suffix_array_decides(monkeypatch):
+    """Strings of contexts of one anchor against all pairs; with another order in the array's place the answer is another."""
+    from tonecairn.llm import suffix_dedup
+
+    r = random.Random(5)
+    size, differs = 24, False
+    for _ in range(60):
+        anchors, shapes, data, strings = [], [], b"", []
+        centre = bytes(r.choices(b"ab", k=12))
+        for k in range(r.randint(2, 12)):
+            left, right = (bytes(r.choices(b"ab", weights=(9, 1), k=12)) for _ in range(2))
+            whole = left + centre + right
+            first = r.randint(0, 12)
+            last = r.randint(first, 12)
+            anchors.append(7)
+            shapes.append((12 - first, last - first + 1))
+            data += whole[first : last + size]
+            strings += [(12 - o, whole[o : o + size], k) for o in range(first, last + 1)]
+        args = np.array(anchors, np.uint64), np.array(shapes, np.uint16), np.frombuffer(data, np.uint8), size
+        got = suffix_dedup.repeated_strings(*args).tolist()
+        assert got == [any(a[:2] == b[:2] and a[2] != b[2] for b in strings) for a in strings]
+        with monkeypatch.context() as m:
+            m.setattr(suffix_dedup, "suffix_array", lambda symbols: np.arange(len(symbols)))
+            differs |= got != suffix_dedup.repeated_strings(*args).tolist()
+    assert differs
 
 
 def test_packing():
@@ -169,5 +201,6 @@ def test_packing():
     for n in (0, 1, 5, 1000):
         x = np.sort(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
         assert (unpack(pack(x)) == x).all()
-        cuts = part_cuts(x, 7)
-        assert cuts[0] == 0 and cuts[-1] == n and (np.diff(cuts) >= 0).all()
+        runs = part_runs(x, 7)
+        assert [i for _, a, b in runs for i in range(a, b)] == list(range(n)) and len({p for p, _, _ in runs}) == len(runs)
+        assert all(p == int(v) * 7 >> 64 for p, a, b in runs for v in x[a:b])

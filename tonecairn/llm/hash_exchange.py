@@ -42,10 +42,13 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
 
 
-def part_cuts(hashes: np.ndarray, parts: int, bits: int = 64) -> np.ndarray:
-    """Bounds of each part in ascending ``hashes`` of ``bits`` bits; parts are equal ranges of the hash."""
-    edges = np.array([(k << bits) // parts for k in range(1, parts)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+def part_runs(hashes: np.ndarray, parts: int, bits: int = 64) -> list[tuple[int, int, int]]:
+    """(part, first, past the end) of each part that ascending ``hashes`` of ``bits`` bits have; parts are equal ranges of the hash."""
+    if not len(hashes):
+        return []
+    part = ((hashes << np.uint64(64 - bits)) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    starts = group_starts(part)
+    return list(zip(part[starts].tolist(), starts.tolist(), np.append(starts[1:], len(part)).tolist(), strict=True))
 
 
 def sizes_of(docs: DataFrame) -> tuple[int, int]:
@@ -54,21 +57,35 @@ def sizes_of(docs: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-def with_bounds(docs: DataFrame, batch_bytes: int, total_bytes: int) -> tuple[DataFrame, np.ndarray]:
+def with_bounds(docs: DataFrame, batch_bytes: int, total_bytes: int, most: int = 1000) -> tuple[DataFrame, np.ndarray]:
     """(doc_id, text, rest) with a null id as the last one, and the bounds of the batches.
 
     Batches are ranges of the id: a document of an earlier batch has a smaller
     id. Bounds are approximate quantiles, one for each batch but the last;
-    equal ids share a batch. ``rest`` holds all other columns.
+    equal ids share a batch. No sketch holds more than ``most`` quantiles: where
+    more batches are needed, each range of a first cut is cut again by itself.
+    ``rest`` holds all other columns.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text", rest.alias("rest"))
     count = max(1, -(-total_bytes // batch_bytes))
-    if count == 1:
+    coarse = min(count, most)
+    if coarse == 1:
         return rows, np.zeros(0, np.int64)
-    shares = [i / count for i in range(1, count)]
-    return rows, np.unique(np.array(rows.agg(F.percentile_approx("doc_id", shares, 50 * count).alias("cuts")).first()["cuts"], np.int64))
+    cuts = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], 50 * n).alias("cuts")
+    bounds = np.unique(np.array(rows.agg(cuts(coarse)).first()["cuts"], np.int64))
+    fine = min(-(-count // coarse), most)
+    if fine > 1:
+
+        def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column("doc_id")
+                yield pa.RecordBatch.from_arrays([ids, pa.array(np.searchsorted(bounds, ids.to_numpy(), "left"), pa.int32())], names=["doc_id", "range"])
+
+        inner = rows.select("doc_id").mapInArrow(ranged, "doc_id long, range int").groupBy("range").agg(cuts(fine)).select("cuts")
+        bounds = np.unique(np.concatenate([bounds, *(np.array(r["cuts"], np.int64) for r in inner.collect())]))
+    return rows, bounds
 
 
 def packed(rows: DataFrame, bounds: np.ndarray | None = None) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .hash_exchange import LAST, by_source, column_list, exchange_table, group_starts, pack, packed, part_cuts, sizes_of, unpack, unpacked
+from .hash_exchange import LAST, by_source, column_list, exchange_table, group_starts, pack, packed, part_runs, sizes_of, unpack, unpacked
 from .shared import free_name, keep_table, read_table, shuffle_width
 from .text_blocks import Words, lowered, mix, text_bytes, whole_windows, window_hashes
 
@@ -122,9 +122,8 @@ def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> Da
         starts = group_starts(hashes)
         distinct = hashes[starts]
         often = np.minimum(np.diff(np.append(starts, len(hashes))), 255).astype(np.uint8)
-        cuts = part_cuts(distinct, parts, bits).tolist()
         batch = table.column("batch")[0].as_py()
-        full = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        full = part_runs(distinct, parts, bits)
         return exchange_table(
             {
                 "part": ([p for p, _, _ in full], pa.int32()),

@@ -9,10 +9,11 @@ one anchor are consecutive and make one context.
    contexts. Strings of a context that occurs twice all repeat; those of an
    anchor that occurs once do not.
 2. The other contexts of a repeated anchor meet in one task. Each is cut into
-   cells at fixed distances from its anchor; the suffix array of all cells,
-   built by linear grouping, gives the longest run of cells that each cell
-   shares with another context. Strings inside such runs are candidates and
-   are compared in full.
+   cells at fixed distances from its anchor; one suffix array of all cells,
+   built by linear grouping, and its adjacent prefixes decide: two strings are
+   equal where their suffixes are in one group of equal whole cells and the
+   few bytes before and after those cells are equal, too. Nothing is hashed
+   here; hashes have only brought the contexts together.
 3. Each batch marks the bytes of its repeated strings.
 
 Contexts of an anchor that has more than ``hot_contexts`` of them are too many
@@ -38,10 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .hash_exchange import column_list, exchange_table, group_starts, pack, packed, part_cuts, sizes_of, unpack, unpacked
+from .hash_exchange import column_list, exchange_table, group_starts, pack, packed, part_runs, sizes_of, unpack, unpacked
 from .shared import keep_table, read_table, shuffle_width
-from .suffix_groups import common_prefixes, suffix_array
-from .text_blocks import _WORD_BASE, _WORD_INVERSE, _range_sums, covered, long_window_hashes, mix, text_bytes, whole_windows
+from .suffix_groups import adjacent_prefixes, prefix_groups, suffix_array
+from .text_blocks import TAILS, covered, eight_bytes, long_window_hashes, mix, range_hashes, text_bytes, whole_windows
 
 SIZE = 200
 GRAM = 100
@@ -98,7 +99,7 @@ class _Contexts:
         # the least hashes of many are all small: mixed anew they spread evenly over the parts
         self.anchor, self.hash, self.first, self.last, self.size = anchor, mix(hashes ^ _U(0x2545F4914F6CDD1D)), first, last, size
         shape = mix(((last - first) * 4096 + (anchor - first)).astype(_U) + _U(1))
-        self.context = mix(_range_sums(raw, first, last + size, _WORD_BASE, _WORD_INVERSE) + shape)
+        self.context = mix(range_hashes(raw, first, last + size, long=2 * size) + shape)
         self.order = np.lexsort((self.context, self.hash))
         h, c = self.hash[self.order], self.context[self.order]
         new = np.ones(len(h), bool)
@@ -117,11 +118,7 @@ class _Contexts:
         count = self.last[which] - self.first[which] + 1
         ends = np.cumsum(count)
         start = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[which] - (ends - count), count)
-        sums = np.empty(len(start), _U)
-        for a in range(0, len(start), _SLICE):  # positions of a context are consecutive
-            part = start[a : a + _SLICE]
-            order = np.argsort(part, kind="stable")
-            sums[a + order] = _range_sums(self.raw, part[order], part[order] + self.size, _WORD_BASE, _WORD_INVERSE)
+        sums = range_hashes(self.raw, start, start + self.size, long=2 * self.size)
         back = (np.repeat(self.anchor[which], count) - start).astype(_U)
         return start, mix(sums + mix(np.repeat(self.hash[which], count) + back))
 
@@ -131,9 +128,8 @@ def _send_anchors(parts: int, size: int):
         x = _Contexts(unpacked(table).column("text").combine_chunks(), size)
         hashes, contexts = x.hash[x.distinct], x.context[x.distinct]
         often = np.minimum(np.diff(np.append(x.starts, len(x.order))), 2).astype(np.uint8)
-        cuts = part_cuts(hashes, parts).tolist()
         batch = table.column("batch")[0].as_py()
-        full = [(p, a, b) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+        full = part_runs(hashes, parts)
         return exchange_table(
             {
                 "part": ([p for p, _, _ in full], pa.int32()),
@@ -208,10 +204,7 @@ def _send_contexts(parts: int, size: int):
         fates, batch = _fates_of(answers), table.column("batch")[0].as_py()
         pick = (fates == _COMPARED) | (fates == _JUDGED)
         which, judged = x.distinct[pick], fates[pick] == _JUDGED
-        cuts = part_cuts(x.hash[which], parts).tolist()
-        for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-            if a == b:
-                continue
+        for p, a, b in part_runs(x.hash[which], parts):
             rows = which[a:b]
             first, last, anchor = x.first[rows], x.last[rows], x.anchor[rows]
             data = [x.raw[s:t].tobytes() for s, t in zip(first.tolist(), (last + size).tolist(), strict=True)]
@@ -223,11 +216,9 @@ def _send_contexts(parts: int, size: int):
         if len(hot):
             keys = np.sort(x.string_keys(x.distinct[hot])[1])
             keys = keys[np.concatenate([[True, True], keys[2:] != keys[:-2]])[: len(keys)]]  # two are as good as more
-            cuts = part_cuts(keys, parts).tolist()
-            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    for (column, _), value in zip(out.values(), (parts + p, batch, pack(keys[a:b]), None, None, None), strict=True):
-                        column.append(value)
+            for p, a, b in part_runs(keys, parts):
+                for (column, _), value in zip(out.values(), (parts + p, batch, pack(keys[a:b]), None, None, None), strict=True):
+                    column.append(value)
         return exchange_table(out)
 
     return run
@@ -250,33 +241,41 @@ def repeated_strings(anchors: np.ndarray, shapes: np.ndarray, data: np.ndarray,
     nth = np.arange(len(owner)) - first_cell[owner]
     at = base[owner] + skip[owner] + nth * CELL
     end = nth == cells[owner]
-    symbol = np.empty(len(owner), _U)
     full = np.flatnonzero(~end)
-    view = np.zeros(len(full), _U)
-    for k in range(CELL):
-        view = (view << _U(8)) | data[at[full] + k].astype(_U)
-    place = (nth[full] - back[owner[full]] // CELL).astype(np.int64).astype(_U)
-    symbol[full] = mix(mix(view + anchors[owner[full]]) + place)
-    symbol[end] = mix(np.flatnonzero(end).astype(_U) + (_U(1) << _U(63)))
-    signed = np.unique(symbol, return_inverse=True)[1].astype(np.int64)
-    shared = common_prefixes(signed, suffix_array(signed), size // CELL)
-    # a string of the context: the run of full cells inside it
+    view = eight_bytes(data)
+    # a cell's symbol is the rank of its bytes, its anchor and its distance from that: equal only where all are
+    number = np.unique(anchors, return_inverse=True)[1]
+    of = owner[full]
+    place = number[of] * 256 + nth[full] - back[of] // CELL + 128
+    bytes_ = view[at[full]]
+    order = np.lexsort((bytes_, place))
+    new = np.ones(len(full), bool)
+    new[1:] = (bytes_[order[1:]] != bytes_[order[:-1]]) | (place[order[1:]] != place[order[:-1]])
+    symbol = np.empty(len(owner), np.int64)
+    symbol[full[order]] = np.cumsum(new)
+    symbol[end] = len(full) + 1 + np.arange(len(count))  # no end mark equals another
+    sorted_ = suffix_array(symbol)
+    shared = adjacent_prefixes(symbol, sorted_, size // CELL)
+    # a string of the context: the whole cells inside it, what precedes them and what follows
     of = np.repeat(np.arange(len(count)), count)
     offset = np.arange(len(of)) - (np.cumsum(count) - count)[of]
-    from_cell = np.maximum(-(-(offset - skip[of]) // CELL), 0)
-    to_cell = np.minimum((offset + size - skip[of]) // CELL, cells[of])
-    candidate = np.flatnonzero(shared[first_cell[of] + from_cell] >= to_cell - from_cell)
+    lead = (skip[of] - offset) % CELL
+    first = first_cell[of] + (offset + lead - skip[of]) // CELL
+    start = base[of] + offset
     out = np.zeros(len(of), bool)
-    if len(candidate):
-        keys = np.empty(len(candidate), _U)
-        start = base[of[candidate]] + offset[candidate]
-        for a in range(0, len(start), _SLICE):
-            part = start[a : a + _SLICE]
-            keys[a : a + _SLICE] = _range_sums(data, part, part + size, _WORD_BASE, _WORD_INVERSE)
-        away = (back[of[candidate]] - offset[candidate]).astype(_U)
-        keys = mix(keys + mix(anchors[of[candidate]] + away))
-        _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-        out[candidate] = times[inverse] > 1
+    for width in range(CELL):
+        some = np.flatnonzero(lead == width)
+        whole = (size - width) // CELL
+        rest = size - width - whole * CELL
+        group = prefix_groups(sorted_, shared, whole)[first[some]]
+        often = np.bincount(group)[group] > 1
+        some, group = some[often], group[often]
+        before, after = view[start[some]] & TAILS[width], view[start[some] + size - rest] & TAILS[rest]
+        order = np.lexsort((before, after, group))
+        equal = np.zeros(len(some) + 1, bool)
+        a, b = order[1:], order[:-1]
+        equal[1:-1] = (group[a] == group[b]) & (before[a] == before[b]) & (after[a] == after[b])
+        out[some[order]] = equal[1:] | equal[:-1]
     return out
 
 
@@ -356,11 +355,9 @@ def _mark(parts: int, size: int, with_bytes: bool):
                 else:
                     keys.append(unpack(raw))
             judged = x.distinct[fates == _JUDGED]
-            cuts = part_cuts(x.hash[judged], parts).tolist()
-            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    where = spread(judged[a:b])
-                    starts.append(where[np.unpackbits(np.frombuffer(bits[p], np.uint8), count=len(where)).astype(bool)])
+            for p, a, b in part_runs(x.hash[judged], parts):
+                where = spread(judged[a:b])
+                starts.append(where[np.unpackbits(np.frombuffer(bits[p], np.uint8), count=len(where)).astype(bool)])
             hot = np.flatnonzero(fate == _HOT_JUDGED)
             if len(hot) and keys:
                 known = np.sort(np.concatenate(keys))

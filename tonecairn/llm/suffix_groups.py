@@ -88,19 +88,21 @@ def _bounds(sorted_: np.ndarray) -> tuple[list[int], list[int]]:
     return starts.tolist(), (np.append(starts[1:], len(sorted_)) - 1).tolist()
 
 
-def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For every position the longest prefix, up to ``most``, that its suffix shares with another suffix."""
-    n = len(symbols)
+def adjacent_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
+    """The longest common prefix, up to ``most``, of every two suffixes that are next to each other in ``order``."""
     padded = np.concatenate([symbols, -1 - np.arange(most, dtype=np.int64)])
     a, b = order[:-1], order[1:]
-    shared, live = np.zeros(max(n - 1, 0), np.int64), np.arange(max(n - 1, 0))
+    shared, live = np.zeros(max(len(symbols) - 1, 0), np.int64), np.arange(max(len(symbols) - 1, 0))
     for d in range(most):
         live = live[padded[a[live] + d] == padded[b[live] + d]]
         if not len(live):
             break
         shared[live] += 1
-    out = np.zeros(n, np.int64)
-    if n > 1:
-        np.maximum.at(out, a, shared)
-        np.maximum.at(out, b, shared)
+    return shared
+
+
+def prefix_groups(order: np.ndarray, shared: np.ndarray, depth: int) -> np.ndarray:
+    """For every position the number of the group of suffixes that agree with it in their first ``depth`` symbols; ``shared``: adjacent prefixes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(shared < depth)])[: len(order)]
     return out

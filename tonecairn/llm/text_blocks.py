@@ -132,7 +132,7 @@ def mix_second(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
+TAILS = np.array([(1 << (8 * k)) - 1 for k in range(9)], _U)
 
 
 def eight_bytes(raw: np.ndarray) -> np.ndarray:
@@ -142,23 +142,23 @@ def eight_bytes(raw: np.ndarray) -> np.ndarray:
     return np.ndarray((len(raw) + 1,), _U, padded, strides=(1,))
 
 
-def range_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, second: bool = False) -> np.ndarray:
-    """Hash of every byte range, of one of two families."""
+def range_hashes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, second: bool = False, long: int = _LONG) -> np.ndarray:
+    """Hash of every byte range, of one of two families. Ranges of at least ``long`` bytes are hashed by themselves."""
     length = stop - start
     step = mix_second if second else mix
     out = step(length.astype(_U) + _U(0x9E3779B97F4A7C15))
     view = eight_bytes(raw)
     for a in range(0, len(start), _CHUNK):
         size = length[a : a + _CHUNK]
-        live = np.flatnonzero((size > 0) & (size < _LONG))
+        live = np.flatnonzero((size > 0) & (size < long))
         at, left, value = start[a : a + _CHUNK][live], size[live], out[a : a + _CHUNK][live]
         while len(live):
-            chunk = view[at] & _TAIL[np.minimum(left, 8)]
+            chunk = view[at] & TAILS[np.minimum(left, 8)]
             value = step(value + chunk) if second else step(value ^ chunk)
             more = left > 8
             out[a + live[~more]] = value[~more]
             live, at, left, value = live[more], at[more] + 8, left[more] - 8, value[more]
-    for i in np.flatnonzero(length >= _LONG).tolist():
+    for i in np.flatnonzero(length >= long).tolist():
         digest = hashlib.blake2b(raw[start[i] : stop[i]], digest_size=16).digest()
         out[i] = int.from_bytes(digest[8:] if second else digest[:8], "little")
     return out
@@ -171,7 +171,7 @@ def same_bytes(raw: np.ndarray, start: np.ndarray, other: np.ndarray, other_star
     live = np.flatnonzero((length > 0) & (length < _LONG))
     at, to, left = start[live], other_start[live], length[live]
     while len(live):
-        equal = (view[at] ^ there[to]) & _TAIL[np.minimum(left, 8)] == 0
+        equal = (view[at] ^ there[to]) & TAILS[np.minimum(left, 8)] == 0
         out[live[~equal]] = False
         more = equal & (left > 8)
         live, at, to, left = live[more], at[more] + 8, to[more] + 8, left[more] - 8
@@ -180,21 +180,6 @@ def same_bytes(raw: np.ndarray, start: np.ndarray, other: np.ndarray, other_star
     return out
 
 
-def _range_sums(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, base: np.uint64, inverse: np.uint64) -> np.ndarray:
-    """Polynomial of every byte range, by prefix sums over a quarter of a MB at a time. Ranges ascend."""
-    out = np.empty(len(start), _U)
-    cuts = np.searchsorted(start, np.arange(0, len(raw) + _CHUNK, _CHUNK)) if len(start) else np.zeros(1, int)
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        if a == b:
-            continue
-        low, high = int(start[a]), int(stop[b - 1])
-        total = np.zeros(high - low + 1, _U)
-        np.cumsum((raw[low:high].astype(_U) + _U(1)) * powers(base, high - low), out=total[1:])
-        at = start[a:b] - low
-        out[a:b] = (total[stop[a:b] - low] - total[at]) * powers(inverse, high - low)[at]
-    return out
-
-
 def window_hashes(symbols: np.ndarray, size: int, second: bool = False) -> np.ndarray:
     """Hash of ``symbols[i : i + size]`` for every i; windows may cross documents, see ``whole_windows``."""
     n = len(symbols) - size + 1
