@@ -2,7 +2,7 @@ import numpy as np
 
 from tonecairn.operators import sets
 
-RATE = 8000
+RATE = 16000  # with whole lags, a rate of 8000 is too coarse for the pitch of these tones
 T = np.arange(4 * RATE) / RATE
 
 

@@ -54,7 +54,51 @@ def test_sfz_scopes_skips_and_macros():
 """
     zones = mappings.sfz_zones(text)
     assert [(z["file"], z["root"], z["vel_high"], z["gain_db"]) for z in zones] == [("a b.wav", 60, 90, -3.0), ("c.wav", 51, 127, 2.0)]
-    assert (zones[0]["loop_start"], zones[0]["loop_stop"]) == (5, 100)
+    assert (zones[0]["loop_start"], zones[0]["loop_stop"]) == (5, 99)
+
+
+def test_sfz_rules_of_zones():
+    files = {"a.inc": '#include "b.inc"\n<region> sample=in.wav key=60', "b.inc": '#include "a.inc"\n#define $X 7\n<region> sample=deep$X.wav'}
+    text = """<control> default_path=S\\ sw_default=c1
+/* #define $N 1 */ #define $N 50
+#define $NN 70
+#include "a.inc"
+<global> sw_last=c1
+<region> sample=kept.wav lokey=10 hikey=20 key=$NN // key wins
+<region> sample=other.wav sw_last=d1
+<region> sample=one.wav lokey=$N hikey=$N
+<region> sample=wide.wav hikey=40 lovel=12.0 end=99 offset=3 pan=-250 transpose=1 tune=5 seq_position=2 loopmode=loop_sustain loopstart=1 loopend=8 loop_crossfade=0.5 pitch_keytrack=0 direction=reverse
+<region> sample=file.wav loop_mode=loop_continuous loop_crossfade=2
+<region> sample=off.wav end=-1
+<region> sample=bad.wav key=h9
+<region> sample=bad.wav lovel=x
+<region> sample=rel.wav trigger=release_key
+"""
+    zones = mappings.sfz_zones(text, files.get, lambda f: (2, 9) if f.endswith("file.wav") else None)
+    assert [(z["file"], z["root"], z["key_low"], z["key_high"]) for z in zones] == [
+        ("S/deep7.wav", 60, 0, 127), ("S/in.wav", 60, 60, 60), ("S/kept.wav", 70, 70, 70), ("S/one.wav", 50, 50, 50), ("S/wide.wav", 60, 0, 40), ("S/file.wav", 60, 0, 127),
+    ]
+    wide, looped = zones[4], zones[5]
+    assert (wide["vel_low"], wide["sample_start"], wide["sample_stop"], wide["pan"], wide["tune_cents"], wide["group"]) == (12, 3, 100, -1.0, 105.0, 2005)
+    assert (wide["loop_start"], wide["loop_stop"], wide["loop_fade_s"], wide["track"], wide["reverse"]) == (1, 8, 0.5, False, True)
+    assert (looped["loop_start"], looped["loop_stop"], looped["loop_fade_s"]) == (2, 9, 2.0)
+    assert mappings.sfz_zones("<region> sample=x.wav sw_last=c1") == []  # no default switch
+    assert [mappings.sfz_note(v) for v in ("60", "12.7", "C4", "db2", "F#-1", "x", "", None)] == [60, 12, 60, 37, 6, None, None, None]
+
+
+def test_blocks_that_are_cut_short():
+    for block in (bytes([2]) + b"ab", bytes([2]) + b"abc" + bytes([4 << 5])):
+        with pytest.raises(ValueError):
+            mappings.fastlz(block, 9)
+    with pytest.raises(ValueError):
+        mappings.fastlz(bytes([2]) + b"abc" + bytes([(4 << 5) | 0, 2]), 5)
+
+
+def test_headers_and_rates_that_a_device_refuses():
+    form = riff.wav_format(riff.encode(48000, tone(), 24))
+    assert riff.violations(form) == []
+    assert riff.violations(form._replace(extensible=True, channels=0) if hasattr(form, "_replace") else __import__("dataclasses").replace(form, extensible=True, channels=0)) == ["header", "channels"]
+    assert [riff.fitting_rate(r) for r in (192001, 384003, 4999, 96000, 1)] == [96000, 96000, 9998, 96000, 8192]
 
 
 def archive(xml):
@@ -86,14 +130,17 @@ def test_readers_over_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.wav").write_bytes(riff.encode(48000, tone(), 16, loop=(3, 90)))
     (tmp_path / "in/bad.WAV").write_bytes(b"nothing")
-    (tmp_path / "in/k.sfz").write_text("<region> sample=a.wav key=60")
+    (tmp_path / "in/k.sfz").write_text('#include "Parts/x.inc"\n<region> sample=gone.wav key=61')
+    (tmp_path / "in/parts").mkdir()
+    (tmp_path / "in/parts/X.inc").write_text("<region> sample=A.WAV key=60 loop_mode=loop_continuous")
     rows = {r["path"].rsplit("/", 1)[-1]: r for r in readers.wav_headers(spark, str(tmp_path / "in")).collect()}
     assert (rows["a.wav"]["frames"], rows["a.wav"]["loop_end"], rows["a.wav"]["broken"]) == (800, 90, "")
     assert rows["bad.WAV"]["broken"] == "no WAV file"
     errors = {r["path"].rsplit("/", 1)[-1]: r["error"] for r in readers.samples(spark, str(tmp_path / "in")).collect()}
     assert errors["a.wav"] is None and errors["bad.WAV"]
-    (zone,) = readers.zones(spark, str(tmp_path / "in"), "*.sfz").collect()
-    assert zone["root"] == 60 and zone["error"] is None
+    zone, missing = sorted(readers.zones(spark, str(tmp_path / "in"), "*.sfz").collect(), key=lambda r: r["root"])
+    assert zone["root"] == 60 and zone["error"] is None and zone["file"].endswith("in/a.wav") and (zone["loop_start"], zone["loop_stop"]) == (3, 90)
+    assert missing["error"] == "no such sample"
     files = spark.read.format("binaryFile").load(str(tmp_path / "in/a.wav"))
     assert sinks.conformed(files).collect()[0]["ratio"] == 1.0
 

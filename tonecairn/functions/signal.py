@@ -60,11 +60,11 @@ def thousandths(fraction: Column) -> Column:
 
 
 def fitted_rate(rate: Column, low: int = 5000, high: int = 96000) -> Column:
-    """The rate halved or doubled until it lies from ``low`` to ``high``."""
-    r = rate.cast("double")
-    halvings = F.greatest(F.ceil(F.log2(r / float(high))), F.lit(0))
-    doublings = F.greatest(F.ceil(F.log2(F.lit(float(low)) / r)), F.lit(0))
-    return r * F.pow(F.lit(2.0), (doublings - halvings).cast("double"))
+    """The rate halved, in whole numbers, or doubled until it lies from ``low`` to ``high``; null where it is less than 1."""
+    r = rate.cast("long")
+    halved = F.aggregate(F.sequence(F.lit(1), F.lit(63)), r, lambda x, _: F.when(x > high, F.shiftright(x, 1)).otherwise(x))
+    doubled = F.aggregate(F.sequence(F.lit(1), F.lit(63)), halved, lambda x, _: F.when(x < low, x * 2).otherwise(x))
+    return F.when(r >= 1, doubled).cast("double")
 
 
 def crossfade_ms(amplitude_step: Column, slope_step: Column, hz: Column, floor: float = 0.0) -> Column:

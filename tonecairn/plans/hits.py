@@ -110,9 +110,11 @@ def fold_singletons(spark, sf_dir):
 
 def _stems(spark, sf_dir) -> DataFrame:
     letter = F.element_at(F.array(*(F.lit(x) for x in ("C#", "Db", "A", "Bb", "F", "Cb"))), (F.col("size") % 6 + 1).cast("int"))
-    octave = (F.col("id") % 11 - 1).cast("string")
-    end = F.concat(F.col("flavour"), F.lit("_"), letter, octave)
-    return hits(spark, sf_dir).select("id", F.when(F.col("id") % 3 == 0, F.concat(end, F.lit("_0002"))).when(F.col("id") % 3 == 1, end).otherwise(F.concat(letter, octave, F.lit(" "), F.col("flavour"))).alias("stem"))
+    letter = F.when(F.col("id") % 5 == 0, F.lower(letter)).otherwise(letter)
+    octave = (F.col("id") % 13 - 1).cast("string")
+    end, kind = F.concat(F.col("flavour"), F.lit("_"), letter, octave), F.col("id") % 4
+    shapes = F.when(kind == 0, F.concat(end, F.lit("_0002"))).when(kind == 1, end).when(kind == 2, F.concat(letter, octave, F.lit(" "), F.col("flavour"))).otherwise(F.concat(end, F.lit("-93E2")))
+    return hits(spark, sf_dir).select("id", shapes.alias("stem"))
 
 
 def note_parse(spark, sf_dir):
@@ -181,10 +183,11 @@ SQL = {
     "fold_singletons": VIEW + """, n AS (SELECT brand, size, category, count(*) AS n FROM h GROUP BY 1, 2, 3),
         m AS (SELECT *, count(*) FILTER (n > 1) OVER (PARTITION BY brand, size) AS many, first_value(category) OVER (PARTITION BY brand, size ORDER BY n DESC, category) AS main FROM n)
         SELECT brand, size, CASE WHEN many >= 2 AND n = 1 THEN main ELSE category END AS category, CAST(sum(n) AS BIGINT) AS n FROM m GROUP BY 1, 2, 3""",
-    "note_parse": VIEW + f""", t AS (SELECT id, flavour, {_LETTERS}[size % 6 + 1] AS letter, id % 11 - 1 AS octave FROM h),
-        s AS (SELECT id, letter, octave, CASE id % 3 WHEN 0 THEN flavour || '_' || letter || octave || '_0002' WHEN 1 THEN flavour || '_' || letter || octave ELSE letter || octave || ' ' || flavour END AS stem FROM t),
+    "note_parse": VIEW + f""", t AS (SELECT id, flavour, {_LETTERS}[size % 6 + 1] AS letter, id % 13 - 1 AS octave FROM h),
+        w AS (SELECT *, CASE WHEN id % 5 = 0 THEN lower(letter) ELSE letter END || octave AS shown FROM t),
+        s AS (SELECT id, letter, octave, CASE id % 4 WHEN 0 THEN flavour || '_' || shown || '_0002' WHEN 1 THEN flavour || '_' || shown WHEN 2 THEN shown || ' ' || flavour ELSE flavour || '_' || shown || '-93E2' END AS stem FROM w),
         n AS (SELECT id, stem, (octave + 1) * 12 + {_PLACES}[letter] AS note FROM s)
-        SELECT id, stem, CASE WHEN note BETWEEN 0 AND 127 THEN note END AS note, CASE WHEN note BETWEEN 0 AND 127 THEN CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END END AS take FROM n""",
+        SELECT id, stem, CASE WHEN note BETWEEN 0 AND 127 THEN note END AS note, CASE WHEN note BETWEEN 0 AND 127 THEN CASE WHEN id % 4 = 0 THEN 2 ELSE 1 END END AS take FROM n""",
     "note_name": VIEW + """ SELECT id, ['C', 'C#', 'D', 'D#', 'E', 'F', 'F#', 'G', 'G#', 'A', 'A#', 'B'][id % 128 % 12 + 1] || (id % 128 // 12 - 1) AS name,
         CASE WHEN (id % 12 + 1) * 12 + 9 BETWEEN 0 AND 127 THEN (id % 12 + 1) * 12 + 9 END AS a_of_octave FROM h""",
     "rule_violations": VIEW + """, r AS (SELECT id, size * 4000 AS rate, id % 4 * 8 + 8 AS bits, size % 3 + 1 AS channels FROM h)

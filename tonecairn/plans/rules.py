@@ -70,11 +70,26 @@ def key_lookup(spark, sf_dir):
     return r.select("preset", F.col("key").cast("long").alias("key"), "note")
 
 
+# What a free text on a controller asks for, in the order in which the intents are tried.
+_VIBRATO = "vibrato|waver|warble"
+_DARKEN = "cutoff down|close filter|darken|soften|softer|dampen|warmer"
+_BRIGHTEN = "cutoff|filter|bright|presence"
+_NOT_BRIGHTEN = "filter (fm|mod|lfo|env)"
+_USAGES = ("Cutoff down", "Filter", "Filter Env depth", "WARBLE + cutoff", "brightness", "warmer", "Volume", "presence, vibrato", "filter lfo", "Close Filter")
+
+
+def intent_of(text, controller):
+    """vibrato for any controller; of the wheel (MW) darken before brighten, and no brighten for the filter's own modulators."""
+    says = lambda words: F.lower(text).rlike(words)
+    wheel = F.when(says(_DARKEN), "darken").when(says(_BRIGHTEN) & ~says(_NOT_BRIGHTEN), "brighten")
+    return F.when(says(_VIBRATO), "vibrato").when(controller == "MW", wheel)
+
+
 def intent(spark, sf_dir):
-    """What a text asks a knob to do: vibrato before darker before brighter."""
-    d = read(spark, sf_dir, "documents")
-    word = lambda w: F.lower("text").rlike(f"(^|[^a-z])({w})([^a-z]|$)")
-    return d.select("doc_id", F.when(word("of"), "vibrato").when(word("the|de"), "darken").when(word("die|la"), "brighten").alias("intent"))
+    """What the usage line of each event asks its controller to do."""
+    usages = F.array(*(F.lit(u) for u in _USAGES))
+    e = read(spark, sf_dir, "events").select("event_id", F.element_at(usages, (F.col("event_id") % len(_USAGES) + 1).cast("int")).alias("usage"), F.when(F.col("user_id") % 2 == 0, "MW").otherwise("AT").alias("controller"))
+    return e.select("event_id", "usage", "controller", intent_of(F.col("usage"), F.col("controller")).alias("intent"))
 
 
 def cutoff_steps(spark, sf_dir):
@@ -178,8 +193,9 @@ SQL = {
         SELECT preset, note, velocity, min(rr) AS rr FROM m WHERE layer = least(2, layers) GROUP BY 1, 2, 3""",
     "key_lookup": ZONES + """, n AS (SELECT DISTINCT preset, note FROM z), c AS (SELECT preset, note, coalesce((lag(note) OVER w + note + 1) // 2, 0) AS low, coalesce((note + lead(note) OVER w - 1) // 2, 127) AS high FROM n WINDOW w AS (PARTITION BY preset ORDER BY note))
         SELECT preset, key, note FROM c JOIN range(0, 128) t(key) ON key BETWEEN low AND high""",
-    "intent": """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '(^|[^a-z])of([^a-z]|$)') THEN 'vibrato' WHEN regexp_matches(lower(text), '(^|[^a-z])(the|de)([^a-z]|$)') THEN 'darken'
-        WHEN regexp_matches(lower(text), '(^|[^a-z])(die|la)([^a-z]|$)') THEN 'brighten' END AS intent FROM documents""",
+    "intent": f"""WITH u AS (SELECT event_id, {list(_USAGES)}[event_id % {len(_USAGES)} + 1] AS usage, CASE WHEN user_id % 2 = 0 THEN 'MW' ELSE 'AT' END AS controller FROM events)
+        SELECT event_id, usage, controller, CASE WHEN regexp_matches(lower(usage), '{_VIBRATO}') THEN 'vibrato' WHEN controller <> 'MW' THEN NULL WHEN regexp_matches(lower(usage), '{_DARKEN}') THEN 'darken'
+        WHEN regexp_matches(lower(usage), '{_BRIGHTEN}') AND NOT regexp_matches(lower(usage), '{_NOT_BRIGHTEN}') THEN 'brighten' END AS intent FROM u""",
     "cutoff_steps": """WITH e AS (SELECT event_id, abs(value) * 2 AS m FROM events)
         SELECT event_id, CASE WHEN m > 150 THEN 0.55 WHEN m > 50 THEN 0.30 ELSE 0.15 END::DOUBLE AS rate,
                round(least(CASE WHEN m > 150 THEN 0.75 WHEN m > 50 THEN 0.60 ELSE 0.45 END::DOUBLE, 1.0::DOUBLE - (event_id % 10) / 10.0::DOUBLE), 6) AS depth, round(least(greatest(0.35 + m / 600, 0.05), 0.95), 6) AS cutoff FROM e""",

@@ -11,7 +11,8 @@ from . import mappings, riff
 
 HEADERS = "path string, codec int, channels int, rate int, bits int, extensible boolean, frames long, loop_start long, loop_end long, broken string"
 ZONES = (
-    "path string, file string, root int, key_low int, key_high int, vel_low int, vel_high int, gain_db double, loop_start long, loop_stop long, error string"
+    "path string, file string, root int, key_low int, key_high int, vel_low int, vel_high int, gain_db double, pan double, tune_cents double, track boolean, reverse boolean, "
+    "sample_start long, sample_stop long, loop_start long, loop_stop long, loop_fade_s double, group long, error string"
 )
 SAMPLES = "path string, sample_rate int, ch0 array<float>, ch1 array<float>, error string"
 
@@ -54,11 +55,60 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     return _files(spark, folder, "*.[wW][aA][vV]").mapInArrow(run, SAMPLES)
 
 
+class Beside:
+    """Files next to a mapping, by names whose case may differ; folders are listed once."""
+
+    def __init__(self, uri: str) -> None:
+        from pyarrow import fs
+
+        scheme, colon, rest = uri.partition("://")
+        uri = f"{'s3' if scheme in ('s3a', 's3n') else scheme}{colon}{rest}" if colon else uri
+        self.files, path = fs.FileSystem.from_uri(uri)
+        self.folder, self.listed = path.rpartition("/")[0], {}
+
+    def find(self, name: str) -> str | None:
+        """The path of a file, each part of it as given or in another case."""
+        from pyarrow import fs
+
+        at = self.folder
+        for part in name.replace("\\", "/").split("/"):
+            if part == "..":
+                at = at.rpartition("/")[0]
+            elif part not in ("", "."):
+                if at not in self.listed:
+                    self.listed[at] = sorted(f.base_name for f in self.files.get_file_info(fs.FileSelector(at, allow_not_found=True)))
+                names = self.listed[at]
+                found = part if part in names else next((n for n in names if n.lower() == part.lower()), None)
+                if found is None:
+                    return None
+                at = f"{at}/{found}"
+        return at if self.files.get_file_info(at).type == fs.FileType.File else None
+
+    def read(self, name: str) -> bytes | None:
+        path = self.find(name)
+        if path is None:
+            return None
+        with self.files.open_input_stream(path, compression=None) as f:
+            return f.read()
+
+
+def _sfz_rows(uri: str, raw: bytes) -> list[dict]:
+    beside = Beside(uri)
+    text = lambda name: None if (found := beside.read(name)) is None else found.decode("utf-8", "replace")
+    rows = mappings.sfz_zones(raw.decode("utf-8", "replace"), text, lambda file: riff.loop_points(beside.read(file) or b""))
+    for z in rows:
+        found = beside.find(z["file"])
+        z["file"], z["error"] = (found, None) if found else (z["file"], "no such sample")
+    return rows
+
+
 def zones(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Zones of all SFZ texts or multisample archives of a folder; one that can't be read gives a row with its error."""
-    parse: Callable[[bytes], list[dict]] = (
-        (lambda raw: mappings.sfz_zones(raw.decode("utf-8", "replace"))) if pattern.lower().endswith(".sfz") else mappings.multisample_zones
-    )
+    """Zones of all SFZ texts or multisample archives of a folder.
+
+    A mapping that can't be read gives one row with its error, and so does a zone whose sample isn't there. Includes of
+    an SFZ text and samples are looked for next to it; ``file`` of its zones is the path found.
+    """
+    sfz = pattern.lower().endswith(".sfz")
     names = [x.split()[0] for x in ZONES.split(", ")][1:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +116,7 @@ def zones(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
             rows = []
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    rows += [(path, *(z.get(n) for n in names), None) for z in parse(raw)]
+                    rows += [(path, *(z.get(n) for n in names), z.get("error")) for z in (_sfz_rows(path, raw) if sfz else mappings.multisample_zones(raw))]
                 except Exception as e:  # one bad file must not end the scan
                     rows.append((path, *[None] * len(names), f"{type(e).__name__}: {e}"))
             yield _batch(rows, ZONES)

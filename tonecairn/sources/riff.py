@@ -133,24 +133,27 @@ def encode(rate: int, x: np.ndarray, bits: int = 24, codec: int = PCM, loop: tup
 
 
 def violations(form: WavFormat, rules: Rules = Rules()) -> list[str]:
-    out = []
+    """What the device refuses in a file: header, format, channels or rate."""
+    out = ["header"] if form.extensible else []
     allowed = rules.pcm_bits if form.codec == PCM else rules.float_bits if form.codec == FLOAT else ()
     if form.bits not in allowed:
         out.append("format")
-    if form.channels > rules.max_channels:
+    if not 1 <= form.channels <= rules.max_channels:
         out.append("channels")
     if not rules.min_rate <= form.rate <= rules.max_rate:
         out.append("rate")
     return out
 
 
-def fitting_rate(rate: int, rules: Rules = Rules()) -> float:
-    fit = float(rate)
-    while fit > rules.max_rate:
-        fit /= 2
-    while fit < rules.min_rate:
-        fit *= 2
-    return fit
+def fitting_rate(rate: int, rules: Rules = Rules()) -> int:
+    """Halved, in whole numbers, or doubled until it is in the device's range. A rate of 0 never is."""
+    if rate < 1:
+        raise ValueError("no rate")
+    while rate > rules.max_rate:
+        rate //= 2
+    while rate < rules.min_rate:
+        rate *= 2
+    return rate
 
 
 def resampled(x: np.ndarray, ratio: float) -> np.ndarray:
@@ -174,22 +177,25 @@ def conform(raw: bytes, rules: Rules = Rules()) -> tuple[bytes, float]:
     if form is None:
         raise ValueError("not a WAV file")
     broken = violations(form, rules)
-    if not broken and not form.extensible:
-        return raw, 1.0
     if not broken:
+        return raw, 1.0
+    if broken == ["header"]:
         plain = struct.pack("<H", form.codec) + raw[form.fmt_offset + 2 : form.fmt_offset + 16]
         head = raw[: form.fmt_offset - 4] + struct.pack("<I", 16) + plain
         out = head + raw[form.fmt_offset + form.fmt_size :]
         return out[:4] + struct.pack("<I", len(out) - 8) + out[8:], 1.0
     body = chunk(raw, b"data") or b""
     mono = [decode(encode_channel(form, body, c))[1][0] for c in range(form.channels)]
+    if not mono:
+        raise ValueError("no channels")
     left, right = np.mean(mono[::2], 0), np.mean(mono[1::2] or mono[::2], 0)
     x = np.stack([left, right]) if form.channels > 1 else left[None]
-    ratio = fitting_rate(form.rate, rules) / form.rate
+    rate = fitting_rate(form.rate, rules)
+    ratio = rate / form.rate
     if ratio != 1.0:
         x = resampled(x, ratio)
     bits = form.bits if form.codec == PCM and form.bits in rules.pcm_bits else max(rules.pcm_bits[:2])
-    return encode(int(form.rate * ratio), x, bits), ratio
+    return encode(rate, x, bits), ratio
 
 
 def encode_channel(form: WavFormat, body: bytes, channel: int) -> bytes:
