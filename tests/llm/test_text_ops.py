@@ -234,6 +234,9 @@ def test_neighbours(spark):
         assert [a[0] for a in answer] == list(range(1, 21)) and q not in {a[1] for a in answer}
         assert all(abs(scores[a[1]] - a[2]) < 1e-9 for a in answer)
     assert hits / (20 * len(found)) >= 0.9
+    close = v[500] + 1e-6 * r.standard_normal((12, 8))  # found by all trees, yet too few
+    near = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.concatenate([v[:100], v[300:], close]))], "vec_id long, embedding array<double>")
+    assert near.sparkSession is spark and ann_forest.nearest(near, near.where("vec_id = 400")).count() == 20
     few = spark.createDataFrame([(20, [1.0, 0.0]), (21, [1.0, 1.0]), (22, [0.5, 0.5])], "vec_id long, embedding array<double>")
     assert [(x["vec_id"], x["rank"]) for x in ann_forest.nearest(few, few.where("vec_id = 20")).orderBy("rank").collect()] == [(21, 1), (22, 2)]
     assert ann_forest.nearest(few.limit(0), few).count() == 0
@@ -255,10 +258,7 @@ def test_recall_on_the_tables(spark):
         best = np.argpartition(-scores[:, q], 20)[:21]
         hits += np.isin(best, rows).sum() - 1
     assert hits >= 0.93 * 20 * len(asked)
-    low, high = forest.ranges(v[asked], 4096)
-    share = []
-    for q in range(0, len(asked), 4):
-        share.append(len(np.unique(np.concatenate([o[a:b] for o, a, b in zip(forest.order, low[:, q], high[:, q])]))) / len(v))
+    share = [len(rows) / len(v) for _, rows in forest.candidates(v[asked], 4096)]
     assert folder.endswith("sf0.1") or np.mean(share) < 0.4
 
 

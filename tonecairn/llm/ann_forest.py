@@ -25,8 +25,8 @@ Defined results
 * empty table: no rows; other input columns are not read.
 
 Recall depends on ``entries``, which all ranges together must hold before the
-ascent stops, and on the number of trees. What is scored is at most that plus
-one more level, whatever the size of a block.
+ascent stops, a quarter of them different rows, and on the number of trees.
+What is scored does not grow with a block.
 """
 
 from __future__ import annotations
@@ -74,42 +74,54 @@ class Forest:
             out = (out << np.uint32(self.symbol_bits)) | symbols[picked]
         return out
 
-    def ranges(self, queries: np.ndarray, entries: int) -> tuple[np.ndarray, np.ndarray]:
-        """First and past-the-end positions, (trees, queries), where the common ascent stopped."""
-        codes = self._codes(np.hstack([queries, np.zeros((len(queries), 1))]))
+    def ranges(self, codes: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and past-the-end positions, (trees, queries), of the strings that agree with each query's in ``level`` bits."""
+        rest = ((np.uint64(1) << (self.bits - level).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
+        least = codes & ~rest
+        low = np.stack([np.searchsorted(c, x, "left") for c, x in zip(self.codes, least, strict=True)])
+        return low, np.stack([np.searchsorted(c, x, "right") for c, x in zip(self.codes, least | rest, strict=True)])
 
-        def at(level: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            rest = ((np.uint64(1) << (self.bits - level).astype(np.uint64)) - np.uint64(1)).astype(np.uint32)
-            least = codes[:, which] & ~rest
-            low = np.stack([np.searchsorted(c, x, "left") for c, x in zip(self.codes, least, strict=True)])
-            return low, np.stack([np.searchsorted(c, x, "right") for c, x in zip(self.codes, least | rest, strict=True)])
-
-        deep, flat = np.full(len(queries), self.bits), np.zeros(len(queries), int)  # the level looked for is in flat .. deep
+    def levels(self, codes: np.ndarray, entries: int) -> np.ndarray:
+        """Where the common ascent of each query stops: the deepest level at which all ranges hold ``entries``."""
+        deep, flat = np.full(codes.shape[1], self.bits), np.zeros(codes.shape[1], int)  # the level looked for is in flat .. deep
         while len(open_ := np.flatnonzero(flat < deep)):
             level = (flat[open_] + deep[open_] + 1) // 2
-            low, high = at(level, open_)
+            low, high = self.ranges(codes[:, open_], level)
             enough = (high - low).sum(0) >= entries
             flat[open_[enough]] = level[enough]
             deep[open_[~enough]] = level[~enough] - 1
-        return at(flat, np.arange(len(queries)))
+        return flat
 
-    def search(self, queries: np.ndarray, k: int, entries: int, step: int = 256) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(query, rows, scores): at least the ``k`` best candidates of each query with all ties of the last."""
+    def candidates(self, queries: np.ndarray, entries: int, step: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+        """(query, rows), in any order: ascends on for a query whose entries are a few rows that many trees have found, up to a quarter as many different ones."""
         n, flat = len(self.vectors), self.order.reshape(-1)
         start = np.arange(len(self.order))[:, None] * n
         for first in range(0, len(queries), step):
-            low, high = self.ranges(queries[first : first + step], max(4 * k, entries))
-            low, high = low + start, high + start
-            for q in range(low.shape[1]):
-                size = high[:, q] - low[:, q]
-                seen = np.zeros(n, bool)
-                seen[flat[np.arange(int(size.sum())) + np.repeat(low[:, q] - (np.cumsum(size) - size), size)]] = True
-                rows = np.flatnonzero(seen)
-                scores = self.vectors[rows] @ queries[first + q]
-                if len(rows) > k:
-                    keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
-                    rows, scores = rows[keep], scores[keep]
-                yield first + q, rows, scores
+            some = queries[first : first + step]
+            codes = self._codes(np.hstack([some, np.zeros((len(some), 1))]))
+            level, open_ = self.levels(codes, entries), np.arange(len(some))
+            while len(open_):
+                low, high = self.ranges(codes[:, open_], level[open_])
+                size, low, again = high - low, low + start, []
+                for k, q in enumerate(open_.tolist()):
+                    seen = np.zeros(n, bool)
+                    seen[flat[np.arange(int(size[:, k].sum())) + np.repeat(low[:, k] - (np.cumsum(size[:, k]) - size[:, k]), size[:, k])]] = True
+                    rows = np.flatnonzero(seen)
+                    if level[q] and 4 * len(rows) < entries:
+                        again.append(q)
+                    else:
+                        yield first + q, rows
+                open_ = np.array(again, int)
+                level[open_] -= 1
+
+    def search(self, queries: np.ndarray, k: int, entries: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(query, rows, scores): at least the ``k`` best candidates of each query with all ties of the last."""
+        for q, rows in self.candidates(queries, max(4 * k, entries)):
+            scores = self.vectors[rows] @ queries[q]
+            if len(rows) > k:
+                keep = scores >= np.partition(scores, len(rows) - k)[len(rows) - k]
+                rows, scores = rows[keep], scores[keep]
+            yield q, rows, scores
 
 
 def usable(column: str):
@@ -184,12 +196,11 @@ def nearest(
                     forest, parts = Forest(np.concatenate(parts), trees, symbols), []
                 own = piece.column("ids").flatten().to_numpy()
                 wanted = matrix(piece.column("embedding"), dim)
-                out_ids, out_scores = [], []
+                out_ids, out_scores = [[]] * len(own), [[]] * len(own)
                 for q, found, scores in forest.search(wanted, k + 1, entries):
                     pairs = [(-s, i) for r, s in zip(found.tolist(), scores.tolist(), strict=True) for i in ids[r] if i != own[q]]
                     pairs.sort()
-                    out_ids.append([i for _, i in pairs[:k]])
-                    out_scores.append([-s for s, _ in pairs[:k]])
+                    out_ids[q], out_scores[q] = [i for _, i in pairs[:k]], [-s for s, _ in pairs[:k]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(own, pa.int64()), pa.array(out_ids, pa.list_(pa.int64())), pa.array(out_scores, pa.list_(pa.float64()))],
                     names=["query_id", "vec_ids", "scores"],
