@@ -65,9 +65,9 @@ def components(rows):
     return sorted((key(r[0]), len(s), least[c]) for r, s, c in zip(rows, sets, of, strict=True)), len(set(of))
 
 
-@pytest.mark.parametrize("batch_bytes", [1 << 22, 2000])
-def test_components_equal_brute_force(docs, batch_bytes):
-    got = similar_components(docs, batch_bytes=batch_bytes).select("doc_id", "n_shingles", "component_id").collect()
+@pytest.mark.parametrize("batch_bytes,part_bytes,list_sets", [(1 << 22, 8 << 20, 4096), (2000, 500, 3)])
+def test_components_equal_brute_force(docs, batch_bytes, part_bytes, list_sets):
+    got = similar_components(docs, batch_bytes=batch_bytes, part_bytes=part_bytes, list_sets=list_sets).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted((key(r[0]), r[1], key(r[2])) for r in got) == components(corpus())[0]
 
 

@@ -13,7 +13,8 @@ verification for each set and not one for each pair:
 
 1. each list's sets are verified against its hub, the set with the smallest
    share of shingles of its own;
-2. pairs of sets in different components so far are decided. From the known
+2. pairs of sets in different components so far are decided; the sets of a long
+   list are parted into blocks, and its pairs of blocks are lists of their own. From the known
    distances of both sets to a common hub the answer is often derived (the
    distances bound the pair's); what is left is verified.
 
@@ -112,6 +113,15 @@ def _code_bits(total_bytes: int) -> int:
     return min(64, 10 + max(total_bytes, 1).bit_length())
 
 
+def _level(count: np.ndarray) -> np.ndarray:
+    """A count as one byte, an eighth of a doubling to a step; exact up to 2."""
+    return np.minimum(np.rint(8 * np.log2(np.maximum(count, 1))), 255).astype(np.uint8)
+
+
+def _count(level: np.ndarray) -> np.ndarray:
+    return 2.0 ** (level / 8)
+
+
 def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> DataFrame:
     """(batch, shingles, rarity): the shingle codes of each batch that two sets have, and a byte that grows with their number."""
 
@@ -121,7 +131,7 @@ def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> Da
         hashes = sets.hash[one] >> _U(64 - bits)
         starts = group_starts(hashes)
         distinct = hashes[starts]
-        often = np.minimum(np.diff(np.append(starts, len(hashes))), 255).astype(np.uint8)
+        often = _level(np.diff(np.append(starts, len(hashes))))
         batch = table.column("batch")[0].as_py()
         full = part_runs(distinct, parts, bits)
         return exchange_table(
@@ -138,15 +148,15 @@ def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> Da
         blobs, counts = column_list(table, "shingles"), column_list(table, "often")
         lists = [unpack(b) for b in blobs]
         hashes = np.concatenate(lists)
-        often = np.frombuffer(b"".join(counts), np.uint8).astype(np.int64)
+        often = _count(np.frombuffer(b"".join(counts), np.uint8))
         source = np.repeat(np.array(sources, np.int32), [len(x) for x in lists])
         order = np.argsort(hashes)
         hashes, often, source = hashes[order], often[order], source[order]
         starts = group_starts(hashes)
         total = np.add.reduceat(often, starts) if len(starts) else often
         each = np.repeat(total, np.diff(np.append(starts, len(hashes))))
-        keep = each >= 2
-        rarity = np.minimum(8 * np.log2(np.maximum(each, 1)), 255).astype(np.uint8)
+        keep = each > 1.5
+        rarity = _level(each)
         hashes, source, rarity = hashes[keep], source[keep], rarity[keep]
         order = by_source(source)
         hashes, source, rarity = hashes[order], source[order], rarity[order]
@@ -159,10 +169,10 @@ def _shared_shingles(batches: DataFrame, parts: int, size: int, bits: int) -> Da
 
 
 _SETS = {
-    "doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "class": pa.int64(), "shared": pa.binary(), "prefix": pa.binary(),
+    "doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "class": pa.int64(), "shared": pa.binary(), "prefix": pa.binary(), "rarity": pa.binary(),
     "first_position": pa.int32(), "sketch": pa.binary(),
 }
-_SETS_DDL = "doc_id long, text_hash long, n_shingles long, class long, shared binary, prefix binary, first_position int, sketch binary"
+_SETS_DDL = "doc_id long, text_hash long, n_shingles long, class long, shared binary, prefix binary, rarity binary, first_position int, sketch binary"
 
 
 def _classify(size: int, share: tuple[int, int], bits: int):
@@ -179,7 +189,7 @@ def _classify(size: int, share: tuple[int, int], bits: int):
         order = np.argsort(known)
         known, rarity = known[order], rarity[order]
         n_docs = len(sets.size)
-        columns: dict[str, list] = {k: [None] * n_docs for k in ("shared", "prefix", "first_position", "sketch")}
+        columns: dict[str, list] = {k: [None] * n_docs for k in ("shared", "prefix", "rarity", "first_position", "sketch")}
         if len(known):
             distinct = sets.hash[sets.starts] >> _U(64 - bits)
             at = np.minimum(np.searchsorted(known, distinct), len(known) - 1)
@@ -199,9 +209,9 @@ def _classify(size: int, share: tuple[int, int], bits: int):
                 mine = hashes[cuts[d] : cuts[d + 1]]
                 by_rarity = np.argsort(rare[cuts[d] : cuts[d + 1]], kind="stable")
                 columns["shared"][d] = pack(mine)
-                columns["prefix"][d] = mine[by_rarity[: len(mine) - int(wanted[d]) + 1]].tobytes()
+                picked = by_rarity[: len(mine) - int(wanted[d]) + 1]
+                columns["prefix"][d], columns["rarity"][d] = mine[picked].tobytes(), rare[cuts[d] + picked].tobytes()
                 columns["first_position"][d] = int(sets.size[d]) - len(mine)
-                columns["sketch"][d] = None
             every = go[sets.doc]
             bit = mix(sets.hash[every] ^ _U(0xD1B54A32D192ED03)) >> _U(64 - 10)
             key = sets.doc[every] * (SKETCH_WORDS * 64) + bit.astype(np.int64)
@@ -223,8 +233,18 @@ _ENTRY = {
 }
 
 
-def _entries(classes: DataFrame, parts: int) -> DataFrame:
-    """The index, packed: for each part that a batch of classes has shingles for, one row with those classes and shingles."""
+def _lists_of(shingle: np.ndarray, block: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """The key of an index list: a shingle, or a pair of blocks of a long shingle's sets."""
+    return np.where((block == 0) & (other == 0), shingle, mix(shingle ^ mix((block.astype(_U) << _U(32)) + other.astype(_U))))
+
+
+def _entries(classes: DataFrame, parts: int, most: int, paired: bool) -> DataFrame:
+    """The index, packed: for each part that a batch of classes has list entries for, one row with those classes and entries.
+
+    A shingle with more than ``most`` sets has several lists. For the first round its sets are only parted into blocks
+    (by a bound on their number), for the second (``paired``) a set goes to every pair of blocks that its own is in (by
+    their number, which round 1 has counted: ``long`` holds the shingles and numbers of the long lists that a class is in).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,25 +255,44 @@ def _entries(classes: DataFrame, parts: int) -> DataFrame:
             shingle = np.concatenate(prefixes) if prefixes else np.zeros(0, _U)
             owner = np.repeat(np.arange(len(lengths)), lengths)
             position = columns["first_position"][owner] + np.arange(len(owner)) - (np.cumsum(lengths) - lengths)[owner]
-            of = (mix(shingle) % _U(parts)).astype(np.int64)
+            count = _count(np.frombuffer(b"".join(batch.column("rarity").to_pylist()), np.uint8))
+            if paired:
+                exact = dict(zip(shingle[count > most].tolist(), [1] * int((count > most).sum())))
+                for row in batch.column("long").to_pylist():
+                    exact.update((x["shingle"] & (1 << 64) - 1, x["n"]) for x in row or ())
+                hot = np.flatnonzero(count > most)
+                count[hot] = [exact[x] for x in shingle[hot].tolist()]
+            blocks = np.maximum(np.ceil(count / most), 1).astype(np.int64)
+            own = (mix(columns["class"].astype(_U) ^ _U(0xA24BAED4963EE407))[owner] % blocks.astype(_U)).astype(np.int64)
+            if paired:
+                at = np.repeat(np.arange(len(owner)), blocks)
+                other = np.arange(len(at)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+                side = np.where(own[at] == other, 0, np.where(own[at] < other, 1, 2))
+                lists = _lists_of(shingle[at], np.minimum(own[at], other), np.maximum(own[at], other))
+                owner, position = owner[at], position[at]
+            else:
+                # with the numbers of its blocks a list is told from that of the shingle itself
+                lists, side = np.where(blocks > 1, _lists_of(shingle, own, blocks), shingle), np.where(blocks > 1, 1, 0)
+            of = (mix(lists) % _U(parts)).astype(np.int64)
             order = np.argsort(of, kind="stable")
-            cuts = np.searchsorted(of[order], np.arange(parts + 1)).tolist()
-            rows: dict[str, list] = {k: [] for k in ("part", "shingles", "owners", "positions", *_ENTRY, "sketch")}
-            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a == b:
-                    continue
-                some, own = np.unique(owner[order[a:b]], return_inverse=True)
-                rows["part"].append(p)
-                rows["shingles"].append(shingle[order[a:b]].tobytes())
-                rows["owners"].append(own.astype(np.int32).tobytes())
-                rows["positions"].append(position[order[a:b]].astype(np.int32).tobytes())
+            starts = group_starts(of[order])
+            rows: dict[str, list] = {k: [] for k in ("part", "lists", "sides", "owners", "positions", "shingles", *_ENTRY, "sketch")}
+            for a, b in zip(starts.tolist(), np.append(starts[1:], len(order)).tolist()):
+                here = order[a:b]
+                some, who = np.unique(owner[here], return_inverse=True)
+                rows["part"].append(int(of[here[0]]))
+                rows["lists"].append(lists[here].tobytes())
+                rows["sides"].append(side[here].astype(np.uint8).tobytes())
+                rows["owners"].append(who.astype(np.int32).tobytes())
+                rows["positions"].append(position[here].astype(np.int32).tobytes())
+                rows["shingles"].append(None if paired else shingle[here[side[here] > 0]].tobytes())
                 for k in _ENTRY:
                     rows[k].append(columns[k][some].tobytes())
                 rows["sketch"].append(sketches[some].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if k == "part" else pa.binary()) for k, v in rows.items()], names=list(rows))
 
-    ddl = ", ".join(f"{k} binary" for k in ("shingles", "owners", "positions", *_ENTRY, "sketch"))
-    return classes.select(*_ENTRY, "sketch", "prefix").mapInArrow(run, "part int, " + ddl)
+    ddl = ", ".join(f"{k} binary" for k in ("lists", "sides", "owners", "positions", "shingles", *_ENTRY, "sketch"))
+    return classes.select(*_ENTRY, "sketch", "prefix", "rarity", *(["long"] if paired else [])).mapInArrow(run, "part int, " + ddl)
 
 
 class _Index:
@@ -266,10 +305,10 @@ class _Index:
         counts = [len(x) // 8 for x in column_list(table, "class")]
         spans = [len(x) // 4 for x in column_list(table, "owners")]
         row = joined("owners", np.int32) + np.repeat(np.cumsum(counts) - counts, spans)
-        shingle, position = joined("shingles", _U), joined("positions", np.int32).astype(np.int64)
-        order = np.lexsort((self.cls[row], self.size[row], shingle))
-        self.row, self.position = row[order], position[order]
-        starts = group_starts(shingle[order])
+        lists, position, side = joined("lists", _U), joined("positions", np.int32).astype(np.int64), joined("sides", np.uint8)
+        order = np.lexsort((self.cls[row], self.size[row], lists))
+        self.row, self.position, self.side = row[order], position[order], side[order]
+        starts = group_starts(lists[order])
         stops = np.append(starts[1:], len(order))
         many = stops - starts > 1
         self.lists = list(zip(starts[many].tolist(), stops[many].tolist(), strict=True))
@@ -297,7 +336,7 @@ def _may_link(x: _Index, i: np.ndarray, j: np.ndarray, at_i: np.ndarray, at_j: n
 
 
 def _hub_pairs(share: tuple[int, int]):
-    """Round 1: (a, b) with b the hub of a list that a is in."""
+    """Round 1: (a, b) with b the hub of a list that a is in; or a shingle, null and the number of its sets in a block."""
 
     def run(table: pa.Table) -> pa.Table:
         x = _Index(table)
@@ -310,7 +349,10 @@ def _hub_pairs(share: tuple[int, int]):
             ok = _may_link(x, i, j, at[other], np.full(len(i), at[hub]), share)
             found.append(np.stack([x.cls[i[ok]], x.cls[j[ok]]], 1))
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        # how many sets each shingle has here whose sets are parted into blocks
+        long, n = np.unique(np.frombuffer(b"".join(column_list(table, "shingles")), np.int64), return_counts=True)
+        b = pa.concat_arrays([pa.array(pairs[:, 1], pa.int64()), pa.nulls(len(long), pa.int64())])
+        return pa.table({"a": np.concatenate([pairs[:, 0], long]), "b": b, "n": np.concatenate([np.zeros(len(pairs), np.int64), n])})
 
     return run
 
@@ -336,7 +378,8 @@ def _cross_pairs(share: tuple[int, int], block: int = 512):
                     if most * (share[0] + share[1]) < (size[a] + size[c]) * share[0]:
                         continue  # every pair of the two blocks meets too late in its sets
                     i, j = np.meshgrid(np.arange(a, b), np.arange(c, d), indexing="ij")
-                    go = (x.label[rows[i]] != x.label[rows[j]]) & (i < j)
+                    side = x.side[start:stop]
+                    go = (x.label[rows[i]] != x.label[rows[j]]) & (i < j) & ((side[i] == 0) | (side[i] != side[j]))
                     i, j = i[go], j[go]
                     if not len(i):
                         continue
@@ -358,6 +401,18 @@ def _cross_pairs(share: tuple[int, int], block: int = 512):
     return run
 
 
+def _long_prefixes(classes: DataFrame, most: int) -> DataFrame:
+    """(class, shingle) of the prefix shingles that may have more than ``most`` sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hot = [np.frombuffer(p, np.int64)[_count(np.frombuffer(r, np.uint8)) > most] for p, r in zip(batch.column("prefix").to_pylist(), batch.column("rarity").to_pylist(), strict=True)]
+            owner = np.repeat(batch.column("class").to_numpy(), [len(x) for x in hot])
+            yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate(hot) if hot else np.zeros(0, np.int64))], names=["class", "shingle"])
+
+    return classes.select("class", "prefix", "rarity").mapInArrow(run, "class long, shingle long")
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, share: tuple[int, int]) -> DataFrame:
     """(a, b, overlap, distance, linked) by intersecting the sets."""
     left = classes.select(F.col("class").alias("a"), F.col("n_shingles").alias("size_a"), F.col("shared").alias("set_a"))
@@ -451,11 +506,12 @@ def _link_counts(classes: DataFrame, labels: DataFrame, members: DataFrame, shar
     return x.groupBy("large", "cell", "p", "q").applyInArrow(_linked_members(share), "class long, n long").groupBy("class").agg(F.sum("n").alias("others"))
 
 
-def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 4 << 20, links: bool = False) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, int] = SIMILAR, batch_bytes: int = 4 << 20, links: bool = False, part_bytes: int = 8 << 20, list_sets: int = 4096) -> DataFrame:
     """doc_id, text_hash, n_shingles, class, component_id and stays of every document.
 
     ``stays`` holds for the row with the smallest id and hash of its component (rows that repeat it, too). With ``links`` also n_links, the
-    number of other rows that are similar to a row.
+    number of other rows that are similar to a row. A task holds about ``part_bytes`` of index lists, of at most about
+    ``list_sets`` sets each.
     """
     spark = docs.sparkSession
     rows, count, total = _batched(docs, batch_bytes)
@@ -465,12 +521,13 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
     table = keep_table(batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(_classify(size, share, bits), _SETS_DDL), "sets")
     first = lambda name: F.first(name).alias(name)
     classes = keep_table(
-        table.where("shared is not null").groupBy("class").agg(*(first(c) for c in ("n_shingles", "shared", "prefix", "first_position", "sketch"))), "classes"
+        table.where("shared is not null").groupBy("class").agg(*(first(c) for c in ("n_shingles", "shared", "prefix", "rarity", "first_position", "sketch"))), "classes"
     )
-    parts = shuffle_width(spark)
+    row_bytes = F.octet_length("prefix") * 2 + 8 * (SKETCH_WORDS + len(_ENTRY))
+    parts = max(1, -(-(classes.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]) // part_bytes))
     none = classes.withColumns({"label": F.col("class"), "hub": F.col("class"), "distance": F.lit(-1)})
-    pairs = _entries(none, parts).groupBy("part").applyInArrow(_hub_pairs(share), "a long, b long").distinct()
-    checked = keep_table(_verified(pairs, classes, share), "checked")
+    hubs = keep_table(_entries(none, parts, list_sets, False).groupBy("part").applyInArrow(_hub_pairs(share), "a long, b long, n long"), "hubs", release=False)
+    checked = keep_table(_verified(hubs.where("b is not null").select("a", "b").distinct(), classes, share), "checked")
     first_links = checked.where("linked").select("a", "b")
     labels = connected(first_links)
     nearest = checked.groupBy("a").agg(F.min_by(F.struct("b", "distance"), F.struct("distance", "b")).alias("near")).select(F.col("a").alias("class"), F.col("near.b").alias("hub"), F.col("near.distance").alias("distance"))
@@ -479,7 +536,11 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
         .join(nearest, "class", "left")
         .withColumns({"label": F.coalesce("label", "class"), "hub": F.coalesce("hub", "class"), "distance": F.coalesce("distance", F.lit(-1))})
     )
-    crossed = keep_table(_entries(known, parts).groupBy("part").applyInArrow(_cross_pairs(share), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "crossed")
+    # the long lists that each class is in, with their number of sets
+    sets_of = hubs.where("b is null").groupBy(F.col("a").alias("shingle")).agg(F.sum("n").alias("n")).where(F.col("n") > list_sets)
+    long = _long_prefixes(classes, list_sets).join(sets_of, "shingle").groupBy("class").agg(F.collect_list(F.struct("shingle", "n")).alias("long"))
+    known = known.join(long, "class", "left")
+    crossed = keep_table(_entries(known, parts, list_sets, True).groupBy("part").applyInArrow(_cross_pairs(share), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "crossed")
     more = _verified(crossed.where("not sure").select("a", "b"), classes, share).where("linked").select("a", "b")
     labels = connected(first_links.union(crossed.where("sure").select("a", "b")).union(more))
     row = F.struct("doc_id", "text_hash")
@@ -488,7 +549,7 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
     least = joined.where("label is not null").groupBy("label").agg(F.min("least").alias("first"))
     of_class = joined.join(least, "label", "left").select("class", F.coalesce("first", "least").alias("first"), (F.col("members") - 1).alias("n_links"))
     if links:
-        counts = _link_counts(classes, labels, own.select("class", "members"), share, 4 * parts)
+        counts = _link_counts(classes, labels, own.select("class", "members"), share, max(4 * parts, shuffle_width(spark)))
         of_class = of_class.join(counts, "class", "left").withColumn("n_links", F.col("n_links") + F.coalesce("others", F.lit(0)))
     some = table.where("n_shingles > 0").join(of_class, "class", "left")
     lone = table.where("n_shingles = 0").withColumns({"first": row, "n_links": F.lit(0).cast("long")})

@@ -105,3 +105,7 @@ SQL: dict[str, str] = {
         FROM digested JOIN first USING (hex)
     """,
 }
+SQL["op2_jaccard_links"] = (
+    SQL["op2_jaccard_join"].replace("AS component_id", "AS component_id, coalesce(k.n_links, 0) AS n_links").rstrip()
+    + " LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY 1) k USING (doc_id)"
+)
