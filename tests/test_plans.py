@@ -73,3 +73,13 @@ def test_pitch_of_a_sine():
 
     assert pitch_lag(np.sin(2 * np.pi * np.arange(4000) / 100)) in (99, 100, 101)
     assert pitch_lag(np.zeros(100)) is None
+
+
+def test_names_without_what_their_labels_say():
+    from tonecairn.functions.labels import _without_echo
+
+    cases = [
+        ("Orchestral Brass Full Ensemble", "Orchestral Brass", "Full Ensemble"), ("MS20 Fuzz Mod Vinyl Synths C0", "Vinyl Synths from Mars", "MS20 Fuzz Mod C0"),
+        ("HS Bass Nine", "1 Bass", "HS Bass Nine"), ("Bass - Nine", "bass", "Nine"), ("Nine_Bass", "Bass", "Nine"), ("Bass", "Bass", "Bass"), ("A B", ["C", "B"], "A"), (None, "x", None), ("x y", None, "x y"), ("", "a", ""),
+    ]
+    assert _without_echo([c[0] for c in cases], [c[1] for c in cases]) == [c[2] for c in cases]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +65,45 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(parted), "[^a-z0-9]+"), lambda t: t != "")
 
 
+def _without_echo(names, labels):
+    """Names without the runs of words that their labels begin with; ``labels`` holds one label each, or a list of them."""
+    word, gap = "[0-9A-Za-z']", "[^0-9A-Za-z']"
+
+    def less(name: str, run: list[str]) -> str:
+        """The name without the run: two words or more anywhere, a single one at an end only."""
+        words = re.findall(word + "+", name.lower())
+        if len(words) <= len(run):
+            return name
+        said = f"{gap}+".join(map(re.escape, run))
+        if len(run) > 1:
+            left = re.sub(f"(?<!{word}){said}(?!{word})", "", name, flags=re.I)
+        elif words[0] == run[0]:
+            left = re.sub(f"^{said}{gap}*", "", name, flags=re.I)
+        elif words[-1] == run[0]:
+            left = re.sub(f"{gap}*{said}$", "", name, flags=re.I)
+        else:
+            return name
+        return re.sub(r"\s{2,}", " ", left).strip(" -_") or name
+
+    def free(name, own):
+        for label in [] if name is None else [own] if isinstance(own, str) else [] if own is None else own:
+            words = re.findall(word + "+", label.lower())
+            name = next((x for n in range(len(words), 0, -1) if (x := less(name, words[:n])) != name), name)
+        return name
+
+    return [free(n, own) for n, own in zip(names, labels, strict=True)]
+
+
+def without_echo(name: Column, label: Column) -> Column:
+    """``name`` without what ``label``, a label or an array of labels, already says."""
+
+    @F.pandas_udf("string")
+    def run(names: pd.Series, labels: pd.Series) -> pd.Series:
+        return pd.Series(_without_echo(names, labels), dtype=object)
+
+    return run(name, label)
+
+
 def xml_escaped(text: Column) -> Column:
     out = F.replace(text, F.lit("&"), F.lit("&amp;"))
     for raw, name in (("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
