@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import posixpath
 from collections.abc import Iterator
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import sanitised
-from .readers import _files
+from .readers import _files, plain_path
 
 # What a plan has that says nothing else, by section.
 DEFAULTS = {
@@ -105,7 +104,7 @@ def plans(spark: SparkSession, folder: str, pattern: str = "*.yaml") -> DataFram
         for batch in batches:
             rows = []
             for uri, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                path = unquote(urlparse(uri).path) if uri.startswith("file:") else uri
+                path = plain_path(uri)
                 try:
                     rows.append(plan_row(path, yaml.safe_load(raw)))
                 except Exception as e:  # one bad file must not end the scan

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mappings, riff
+from . import mappings, programs, riff
 
 HEADERS = "path string, codec int, channels int, rate int, bits int, extensible boolean, frames long, loop_start long, loop_end long, broken string"
 ZONES = (
@@ -55,6 +56,11 @@ def samples(spark: SparkSession, folder: str) -> DataFrame:
     return _files(spark, folder, "*.[wW][aA][vV]").mapInArrow(run, SAMPLES)
 
 
+def plain_path(uri: str) -> str:
+    """The path of a local file that Spark names; any other URI as it is."""
+    return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
+
+
 class Beside:
     """Files next to a mapping, by names whose case may differ; folders are listed once."""
 
@@ -62,9 +68,11 @@ class Beside:
         from pyarrow import fs
 
         scheme, colon, rest = uri.partition("://")
-        uri = f"{'s3' if scheme in ('s3a', 's3n') else scheme}{colon}{rest}" if colon else uri
-        self.files, path = fs.FileSystem.from_uri(uri)
-        self.folder, self.listed = path.rpartition("/")[0], {}
+        if uri.startswith("file:") or not colon:  # Spark's paths are not percent-encoded
+            self.files, path = fs.LocalFileSystem(), plain_path(uri)
+        else:
+            self.files, path = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{quote(rest, safe='/:@')}")
+        self.folder, self.listed, self.below = path.rpartition("/")[0], {}, None
 
     def find(self, name: str) -> str | None:
         """The path of a file, each part of it as given or in another case."""
@@ -84,6 +92,15 @@ class Beside:
                 at = f"{at}/{found}"
         return at if self.files.get_file_info(at).type == fs.FileType.File else None
 
+    def anywhere(self, name: str) -> str | None:
+        """A file of that name, in any case, in the folder above or below it: the first by path."""
+        from pyarrow import fs
+
+        if self.below is None:
+            found = self.files.get_file_info(fs.FileSelector(self.folder.rpartition("/")[0] or self.folder, recursive=True, allow_not_found=True))
+            self.below = {f.base_name.lower(): f.path for f in sorted(found, key=lambda f: f.path, reverse=True) if f.type == fs.FileType.File}
+        return self.below.get(name.lower())
+
     def read(self, name: str) -> bytes | None:
         path = self.find(name)
         if path is None:
@@ -102,13 +119,26 @@ def _sfz_rows(uri: str, raw: bytes) -> list[dict]:
     return rows
 
 
+def _program_rows(uri: str, raw: bytes) -> list[dict]:
+    beside = Beside(uri)
+    bases = ("", "../")
+
+    def locate(path: str, absolute: bool) -> str | None:
+        """As given beside the program, else by ever shorter ends of the path there and one folder up, else by its name anywhere there."""
+        direct, ends = None if absolute else beside.find(path), programs.tails(path)
+        direct = direct or next((found for base in bases for end in ends if (found := beside.find(base + end))), None)
+        return direct or (beside.anywhere(ends[-1]) if ends else None)
+
+    return programs.program_zones(raw, locate)
+
+
 def zones(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    """Zones of all SFZ texts or multisample archives of a folder.
+    """Zones of all SFZ texts (``*.sfz``), programs (``*.nki``) or else multisample archives of a folder.
 
-    A mapping that can't be read gives one row with its error, and so does a zone whose sample isn't there. Includes of
-    an SFZ text and samples are looked for next to it; ``file`` of its zones is the path found.
+    A mapping that can't be read gives one row with its error, and so does a zone of an SFZ text whose sample isn't there.
+    Includes and samples are looked for next to the mapping; ``file`` of its zones is the path found.
     """
-    sfz = pattern.lower().endswith(".sfz")
+    parse = {".sfz": _sfz_rows, ".nki": _program_rows}.get(pattern.lower()[-4:], lambda uri, raw: mappings.multisample_zones(raw))
     names = [x.split()[0] for x in ZONES.split(", ")][1:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +146,7 @@ def zones(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
             rows = []
             for path, raw in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
-                    rows += [(path, *(z.get(n) for n in names), z.get("error")) for z in (_sfz_rows(path, raw) if sfz else mappings.multisample_zones(raw))]
+                    rows += [(path, *(z.get(n) for n in names), z.get("error")) for z in parse(path, raw)]
                 except Exception as e:  # one bad file must not end the scan
                     rows.append((path, *[None] * len(names), f"{type(e).__name__}: {e}"))
             yield _batch(rows, ZONES)
