@@ -48,6 +48,14 @@ def test_climb_ends_with_unique_names(spark):
     assert {r["id"]: r["name"] for r in climb(rows, "scope").collect()} == {1: "1 a", 2: "2 a", 3: "c", 4: "a"}
 
 
+def test_climb_of_long_ladders(spark):
+    from tonecairn.operators.naming import climb
+
+    rows = spark.createDataFrame([(k, "s", [f"r{i}" for i in range(k, 14)] + [f"own{k}"]) for k in range(14)] + [(20, "s", ["r0"] * 12), (21, "s", None)], "id long, scope string, rungs array<string>")
+    got = {r["id"]: r["name"] for r in climb(rows, "scope").collect()}
+    assert len({got[k] for k in range(14)}) == 14 and got[21] is None
+
+
 def test_greedy_match_equals_plain_loop():
     import numpy as np
 

@@ -5,20 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import cut
 
-def climb(rows: DataFrame, scope: str, most_rounds: int = 8) -> DataFrame:
+
+def climb(rows: DataFrame, scope: str) -> DataFrame:
     """(id, scope, name, rung) for rows (id, scope, rungs): all members of a clash step up until names are unique or rungs end.
 
-    A bounded number of rounds, each one window over the scope; no state leaves the executors.
+    Each round is one window over the scope and the next name, ended by a count of those that moved; what a round made is
+    checkpointed where ``spark.checkpoint.dir`` is set. A row moves at most once for each of its rungs, so it ends.
     """
-    current = rows.withColumn("rung", F.lit(0))
     name = F.element_at("rungs", F.col("rung") + 1)
-    for _ in range(most_rounds):
-        clash = F.count(F.lit(1)).over(Window.partitionBy(scope, "name"))
-        current = (
-            current.withColumn("name", name)
-            .withColumn("_clash", clash)
-            .withColumn("rung", F.when((F.col("_clash") > 1) & (F.col("rung") + 1 < F.size("rungs")), F.col("rung") + 1).otherwise(F.col("rung")))
-            .drop("name", "_clash")
-        )
-    return current.select("id", scope, name.alias("name"), F.col("rung").cast("long").alias("rung"))
+    clash = F.count(F.lit(1)).over(Window.partitionBy(scope, "_name"))
+    current = rows.withColumn("rung", F.lit(0))
+    while True:
+        up = (F.col("_clash") > 1) & (F.col("rung") + 1 < F.size("rungs"))
+        stepped = cut(current.withColumn("_name", name).withColumn("_clash", clash).withColumn("_up", F.coalesce(up, F.lit(False))))
+        moved = stepped.where("_up").limit(1).count()
+        current = stepped.withColumn("rung", F.col("rung") + F.col("_up").cast("int")).drop("_name", "_clash", "_up")
+        if not moved:
+            return current.select("id", scope, name.alias("name"), F.col("rung").cast("long").alias("rung"))

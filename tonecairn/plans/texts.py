@@ -21,8 +21,10 @@ def first_of(rows: DataFrame, keys: list[str], *order) -> DataFrame:
 def derive_tags(spark, sf_dir):
     """Up to three tags of a document in the order in which its words first name them; without any, Synth."""
     tag = F.create_map(*(F.lit(x) for pair in TAG_OF.items() for x in pair))
-    d = read(spark, sf_dir, "documents").select("doc_id", L.tokens(F.col("text")).alias("tokens"))
-    named = F.array_distinct(F.array_compact(F.transform("tokens", lambda t: F.try_element_at(tag, t))))
+    # the few words that name a tag, in their order, by one hash lookup a token; only these are mapped
+    naming = F.array_intersect(L.tokens(F.col("text")), F.array(*(F.lit(w) for w in TAG_OF)))
+    named = F.array_distinct(F.transform("naming", lambda t: F.element_at(tag, t)))
+    d = read(spark, sf_dir, "documents").select("doc_id", naming.alias("naming"))
     return d.select("doc_id", F.array_join(F.when(F.size(named) > 0, F.slice(named, 1, 3)).otherwise(F.array(F.lit("Synth"))), ",").alias("tags"))
 
 
