@@ -61,17 +61,21 @@ def plain_path(uri: str) -> str:
     return "/" + uri[5:].lstrip("/") if uri.startswith("file:") else uri
 
 
+def file_system(uri: str):
+    """Arrow's file system for what Spark names by path or URI, and the path in it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = uri.partition("://")
+    if uri.startswith("file:") or not colon:  # Spark's paths are not percent-encoded
+        return fs.LocalFileSystem(), plain_path(uri)
+    return fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{quote(rest, safe='/:@')}")
+
+
 class Beside:
     """Files next to a mapping, by names whose case may differ; folders are listed once."""
 
     def __init__(self, uri: str) -> None:
-        from pyarrow import fs
-
-        scheme, colon, rest = uri.partition("://")
-        if uri.startswith("file:") or not colon:  # Spark's paths are not percent-encoded
-            self.files, path = fs.LocalFileSystem(), plain_path(uri)
-        else:
-            self.files, path = fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{quote(rest, safe='/:@')}")
+        self.files, path = file_system(uri)
         self.folder, self.listed, self.below = path.rpartition("/")[0], {}, None
 
     def find(self, name: str) -> str | None:

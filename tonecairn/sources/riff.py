@@ -51,11 +51,15 @@ def chunk(raw: bytes, name: bytes) -> bytes | None:
     return next((raw[a : a + n] for k, a, n in chunks(raw) if k == name), None)
 
 
-def with_chunk(raw: bytes, name: bytes, body: bytes) -> bytes:
-    """The file with a chunk put last, an older one of that name left out."""
-    parts = [raw[a - 8 : a + n] + b"\0" * (n & 1) for k, a, n in chunks(raw) if k != name]
-    parts.append(name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1))
-    data = b"WAVE" + b"".join(parts)
+def with_chunk(raw: bytes, name: bytes, body: bytes, before: bytes | None = None) -> bytes:
+    """The file with a chunk put last, or ahead of the chunk ``before``; an older one of that name is left out."""
+    new, parts = name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1), []
+    for k, a, n in chunks(raw):
+        if k == before and new not in parts:
+            parts.append(new)
+        if k != name:
+            parts.append(raw[a - 8 : a + n] + b"\0" * (n & 1))
+    data = b"WAVE" + b"".join(parts if new in parts else [*parts, new])
     return b"RIFF" + struct.pack("<I", len(data)) + data
 
 
