@@ -164,7 +164,13 @@ _LETTERS = "['C#','Db','A','Bb','F','Cb']"
 _PLACES = "map {'C': 0, 'C#': 1, 'D': 2, 'D#': 3, 'E': 4, 'F': 5, 'F#': 6, 'G': 7, 'G#': 8, 'A': 9, 'A#': 10, 'B': 11, 'Db': 1, 'Eb': 3, 'Gb': 6, 'Ab': 8, 'Bb': 10}"
 _SAFE = "trim(regexp_replace(regexp_replace(stem, '[^A-Za-z0-9_]', '_', 'g'), '_+', '_', 'g'), '_')"
 
+# every round lifts all members of a clash by a rung; four rungs settle well within as many rounds as are written out
+_ROUNDS = 12
+_LADDER = VIEW + """, l AS (SELECT id, brand, [category, flavour || ' ' || category, flavour || ' ' || category || ' ' || size, flavour || ' ' || category || ' ' || id] AS rungs FROM h),
+    r0 AS (SELECT *, 1 AS rung FROM l)""" + "".join(f", r{k + 1} AS (SELECT id, brand, rungs, rung + CASE WHEN rung < 4 AND count(*) OVER (PARTITION BY brand, rungs[rung]) > 1 THEN 1 ELSE 0 END AS rung FROM r{k})" for k in range(_ROUNDS))
+
 SQL = {
+    "name_ladder": _LADDER + f" SELECT id, brand, rungs[rung] AS name, CAST(rung - 1 AS BIGINT) AS rung FROM r{_ROUNDS}",
     "round_robin_limit": VIEW + """, t AS (SELECT *, row_number() OVER (PARTITION BY brand, category ORDER BY size, id) AS turn FROM h),
         s AS (SELECT brand, category, id, row_number() OVER (PARTITION BY brand ORDER BY turn, category, id) AS slot FROM t) SELECT brand, slot, category, id FROM s WHERE slot <= 16""",
     "output_collision": VIEW + f" SELECT lower(brand) || '/' || {_SAFE} AS path, count(*) AS claims, min(id) AS first FROM h GROUP BY 1 HAVING count(*) > 1",
@@ -198,4 +204,4 @@ SQL = {
     "bounded_probe": VIEW + """, k AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY brand, size ORDER BY id) <= 3), m AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY brand ORDER BY size, id) <= 48)
         SELECT brand, count(*) AS probed, bool_or(size >= 40) AS large FROM m GROUP BY 1""",
 }
-QUERIES = {k: f for k, f in list(globals().items()) if k in SQL} | {"name_ladder": name_ladder}
+QUERIES = {k: f for k, f in list(globals().items()) if k in SQL}

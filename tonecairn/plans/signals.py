@@ -301,6 +301,18 @@ _CANDIDATES = VIEW + """, n AS (SELECT sample_id, count(*) AS n FROM f GROUP BY
 ), d AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY sample_id, "start", "end" ORDER BY source) = 1)"""
 
 SQL = {
+    "fft_features": VIEW + """, n AS (SELECT sample_id, i, x, count(*) OVER w AS n, avg(x) OVER w AS mean FROM f WINDOW w AS (PARTITION BY sample_id)),
+        y AS (SELECT sample_id, i, n, (x - mean) * (CASE WHEN n > 1 THEN 0.5 - 0.5 * cos(2 * pi() * i / (n - 1)) ELSE 1 END) AS y FROM n),
+        r AS (SELECT a.sample_id, b.i - a.i AS lag, a.n, sum(a.y * b.y) AS r FROM y a JOIN y b ON a.sample_id = b.sample_id AND b.i >= a.i AND 2 * (b.i - a.i) <= a.n GROUP BY 1, 2, 3),
+        z AS (SELECT sample_id, r AS zero FROM r WHERE lag = 0),
+        l AS (SELECT sample_id, lag, r FROM r WHERE lag >= 2 AND lag < n // 2 QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY r DESC, lag) = 1),
+        d AS (SELECT sample_id, k, n // 2 + 1 AS m, CASE WHEN k = 0 THEN 0 ELSE pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2) END AS p
+              FROM n, range(0, 200) t(k) WHERE k <= n // 2 GROUP BY sample_id, k, n),
+        b AS (SELECT *, CASE WHEN k < m % 3 * (m // 3 + 1) THEN k // (m // 3 + 1) ELSE m % 3 + (k - m % 3 * (m // 3 + 1)) // greatest(m // 3, 1) END AS band FROM d),
+        g AS (SELECT sample_id, sum(p) AS total, sum(p) FILTER (band = 0) AS b0, sum(p) FILTER (band = 1) AS b1, sum(p) FILTER (band = 2) AS b2, sum(sqrt(p) * k) / nullif(sum(sqrt(p)), 0) AS c FROM b GROUP BY 1)
+        SELECT sample_id, CASE WHEN zero > 0 AND r / zero >= 0.3 THEN lag END AS lag,
+               list_transform([b0, b1, b2], lambda v: CASE WHEN total > 0 THEN round(coalesce(v, 0) / total, 6) ELSE 0.0 END) AS bands, round(c, 6) AS centroid
+        FROM g JOIN z USING (sample_id) LEFT JOIN l USING (sample_id)""",
     "set_gain": """WITH p AS (SELECT event_type AS set_id, user_id AS sample_id, max(abs(value)) AS peak FROM events GROUP BY 1, 2),
         q AS (SELECT *, max(peak) OVER (PARTITION BY set_id) AS set_peak FROM p),
         g AS (SELECT *, CASE WHEN set_peak > 0 THEN pow(10.0, -0.05) / set_peak ELSE 1 END AS g FROM q)
@@ -401,4 +413,4 @@ SQL = {
         SELECT o_orderkey, lpad(to_hex(a & 4294967295), 8, '0') AS coded, lpad(to_hex(b & 4294967295), 8, '0') AS cable FROM v""",
 }
 
-QUERIES = {k: f for k, f in list(globals().items()) if k in SQL} | {"fft_features": fft_features}
+QUERIES = {k: f for k, f in list(globals().items()) if k in SQL}
