@@ -31,3 +31,15 @@ def test_number_of_links(spark, monkeypatch, block):
     assert got == want
     large = [n for d, n in want if d < 40]
     assert min(large) < max(large)
+
+
+def test_overlaps_derived_from_one_set_equal_plain_ones():
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    for _ in range(40):
+        base = r.choice(200, 60, replace=False)
+        sets = [np.unique(np.concatenate([r.choice(base, r.integers(0, 60), replace=False), r.choice(200, r.integers(0, 9))])).astype(np.uint64) for _ in range(r.integers(2, 12))]
+        left, right = sets[: len(sets) // 2 + 1], sets[len(sets) // 2 :]
+        want = [[len(set(a.tolist()) & set(b.tolist())) for b in right] for a in left]
+        assert jaccard_join._derived_overlaps(left, right).tolist() == want == jaccard_join._overlaps(left, right).tolist()

@@ -20,8 +20,10 @@ verification for each set and not one for each pair:
 
 The result names the component of every document. Links within a component
 that rounds 1 and 2 leave out are not needed for that; where the number of
-links is asked for, all pairs of a component's sets are verified, block by
-block, and counted for each set.
+links is asked for, all pairs of a component's sets are decided, block by
+block, and counted for each set: the answers of one set of a block are
+computed and those of the others derived from them by the differences of the
+sets, which are small where sets are similar.
 
 Defined results
 ---------------
@@ -465,6 +467,26 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], width: int = 4096
     return out
 
 
+def _derived_overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The same as ``_overlaps``, derived from the answers of one set H that is like the others.
+
+    H's overlap with a set X is the size of H less that of H - X. Two other sets share what H has and neither lacks, and
+    what both have beyond H: only their differences to H are compared, and those of similar sets are small.
+    """
+    hub = left[0]
+    lacks, more = [], []
+    for sets in (left, right):
+        there = [np.isin(hub, x, assume_unique=True) for x in sets]
+        lacks.append([hub[~t] for t in there])
+        more.append([x[~np.isin(x, hub, assume_unique=True)] for x in sets])
+    answers = [len(hub) - np.array([len(x) for x in side], np.int64) for side in lacks]
+    out = answers[0][:, None] + answers[1][None] - len(hub)
+    for a, b in (lacks, more):
+        if any(map(len, a)) and any(map(len, b)):
+            out += _overlaps(a, b)
+    return out
+
+
 def _linked_members(share: tuple[int, int]):
     """(class, n) of every set of two blocks, or of one with itself: how many members the sets linked with it have."""
 
@@ -480,7 +502,7 @@ def _linked_members(share: tuple[int, int]):
             left, right = (here, here) if same else (here[side[here] == 0], here[side[here] == 1])
             if not len(left) or not len(right):
                 continue
-            overlap = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+            overlap = _derived_overlaps([sets[i] for i in left], [sets[i] for i in right])
             linked = overlap * share[1] >= (size[left][:, None] + size[right][None] - overlap) * share[0]
             if same:
                 np.fill_diagonal(linked, False)
