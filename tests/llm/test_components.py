@@ -26,6 +26,34 @@ def test_a_long_path_settles_in_few_rounds(spark, monkeypatch):
     assert rounds <= 2 * math.log2(n)
 
 
+def test_stars_of_one_task():
+    import numpy as np
+
+    r = random.Random(1)
+    for _ in range(60):
+        n = r.randint(2, 60)
+        links = [(r.randrange(n) * 7 - 50, r.randrange(n) * 7 - 50) for _ in range(r.randint(1, 60))]
+        of = {x: {x} for p in links for x in p}
+        for a, b in links:
+            both = of[a] | of[b]
+            of.update(dict.fromkeys(both, both))
+        u, v = components.stars(*np.array(links).T)
+        assert dict(zip(u.tolist(), v.tolist())) == {x: min(s) for x, s in of.items() if x != min(s)}
+    nodes = list(range(200_000))
+    r.shuffle(nodes)
+    u, v = components.stars(np.array(nodes[1:]), np.array(nodes[:-1]))
+    assert len(u) == 199_999 and not v.any()
+
+
+def test_rounds_without_the_first_step(spark, monkeypatch):
+    monkeypatch.setattr(components, "_contracted", lambda links: links)
+    n = 3000
+    nodes = list(range(n))
+    random.Random(5).shuffle(nodes)
+    got, rounds = labels(spark, monkeypatch, list(zip(nodes, nodes[1:])))
+    assert got == dict.fromkeys(range(n), 0) and rounds <= 2 * math.log2(n)
+
+
 def test_components_of_random_links(spark, monkeypatch):
     r = random.Random(8)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(7, 7), (1, 2), (2, 1)]
