@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import envelope, loops, preview, sets
-from ..sources import configs, deluge, mappings, programs, riff
+from ..sources import configs, containers, deluge, mappings, programs, riff, sinks
 from ..sources.tables import read
 from .hits import VIEW as HITS
 from .hits import hits
@@ -131,6 +131,58 @@ def program_files(spark, sf_dir):
     return each_row(read(spark, sf_dir, "supplier").select("s_suppkey"), kernel, ddl)
 
 
+def _container(k: int) -> bytes:
+    """A newer program with one group and one zone, whose values follow from ``k``."""
+    counted = lambda body: struct.pack("<I", len(body)) + body
+    whole = lambda body: struct.pack("<Q", len(body) + 8) + body
+    text = lambda t: struct.pack("<I", len(t)) + t.encode("utf-16-le")
+    chunk = lambda kind, body: struct.pack("<H", kind) + counted(body)
+    held = lambda public, inner=b"": b"\x01" + struct.pack("<H", 0x99) + counted(b"") + counted(public) + counted(inner)
+    loop = struct.pack("<HHiII9xI", 1, containers.LOOP_RECORD, k % 4, k % 50, k % 70 + 2, 0)
+    zone = struct.pack("<III4H8xH3f", k % 20, k % 30, 0, 1, 127, 10, 90, k % 128, 0.5, 0.25, 2.0) + struct.pack("<I9xI", 0, 1000)
+    group = text("g") + struct.pack("<3f3B15x2B", 2.0, 0.5, 0.5, k % 5 != 0, 0, k % 6 == 0, k % 7 == 0, 0)
+    inner = chunk(containers.GROUPS, struct.pack("<I", 1) + held(group)) + chunk(containers.ZONES, struct.pack("<II", 1, 0) + held(zone, chunk(containers.LOOPS, loop)))
+    program = chunk(containers.PROGRAM, held(text("P") + bytes(9) + struct.pack("<3f", 1.0, (k % 9 - 4) / 4, 1.0) + bytes(23), inner))
+    files = struct.pack("<ii", 0, 1) + struct.pack("<I", 2) + b"\x03" + b"\x04" + text(f"n{k}.wav")
+    tree = program + chunk(containers.FILES, files)
+    preset = struct.pack("<8xII4x", 1, len(tree)) + tree
+    parts = whole(struct.pack("<III", 0, containers.PRESET, 1) + whole(struct.pack("<III", 0, containers.END, 1)) + preset)
+    return whole(struct.pack("<I4s24x", 1, b"hsin") + parts + bytes(8))
+
+
+def container_files(spark, sf_dir):
+    """Newer programs of suppliers: groups that don't sound, loops by length, frames cut from the end."""
+
+    def kernel(r: dict) -> dict:
+        found = containers.container_zones(_container(r["s_suppkey"]))
+        z = found[0] if found else {}
+        return {**r, "zones": len(found), **{c: z.get(c) for c in ("file", "root", "track", "sample_start", "sample_stop", "loop_start", "loop_stop", "pan", "gain_db")}}
+
+    ddl = "s_suppkey long, zones int, file string, root int, track boolean, sample_start long, sample_stop long, loop_start long, loop_stop long, pan double, gain_db double"
+    return each_row(read(spark, sf_dir, "supplier").select("s_suppkey"), kernel, ddl)
+
+
+def tag_index_lines(spark, sf_dir):
+    """The tag index of parts as XML lines, read back."""
+    index = read(spark, sf_dir, "part").select(F.concat("p_name", F.lit(' <"&> '), "p_brand").alias("path"), F.array("p_type", F.concat(F.lit("A & "), "p_brand")).alias("tags"), "p_partkey")
+    lines = sinks.index_lines(index.select(F.concat(F.col("p_partkey").cast("string"), F.lit("|"), "path").alias("path"), "tags"))
+    back = sinks.read_index_lines(lines)
+    key = F.substring_index("path", "|", 1).cast("long")
+    return back.select(key.alias("p_partkey"), F.substr("path", F.length(F.substring_index("path", "|", 1)) + 2).alias("path"), F.array_join("tags", ";").alias("tags"))
+
+
+def velocity_shift(spark, sf_dir):
+    """How far the spectral centre of a signal (an even id) is from that of the next one, and whether that is a change of timbre."""
+    s = _signals(spark, sf_dir)
+    pairs = s.where("sample_id % 2 = 0").join(s.select((F.col("sample_id") - 1).alias("sample_id"), F.col("xs").alias("loud")), "sample_id")
+
+    def kernel(r: dict) -> dict:
+        shift = envelope.centroid_shift(np.array(r["xs"]), np.array(r["loud"]))
+        return {"sample_id": r["sample_id"], "shift": round(shift, 6), "sensitive": bool(shift >= 0.03)}
+
+    return each_row(pairs, kernel, "sample_id long, shift double, sensitive boolean")
+
+
 _PROFILES = ("drums", "pad", "pluck", "synth")
 
 
@@ -271,6 +323,15 @@ SQL = {
         SELECT k AS s_suppkey, CAST(ok AS INT) AS zones, CASE WHEN NOT ok THEN NULL WHEN k % 2 = 1 THEN '../WAV/n ' || k || '.wav' ELSE 'C:/x/' || k || '.wav' END AS file, CASE WHEN ok THEN CAST(k % 128 AS INT) END AS root, CASE WHEN ok THEN k % 5 <> 0 END AS track,
                CASE WHEN ok THEN CASE WHEN k % 20 < 10 THEN k % 20 ELSE 0 END END AS sample_start, CASE WHEN ok THEN CASE WHEN k % 20 < 10 THEN 10 ELSE 0 END END AS sample_stop, CASE WHEN ok AND k % 3 > 0 THEN k % 50 END AS loop_start,
                CASE WHEN ok AND k % 3 > 0 THEN k % 50 + k % 70 + 1 END AS loop_stop, CASE WHEN ok THEN round(20 * log10(1 + k % 4), 6) END AS gain_db, CASE WHEN ok THEN 1200.0 * (k % 3) END::DOUBLE AS tune_cents, CASE WHEN ok THEN least(greatest((k % 9 - 4) / 4 + 0.25, -1.0), 1.0) END::DOUBLE AS pan FROM s""",
+    "container_files": """WITH s AS (SELECT s_suppkey AS k, s_suppkey % 6 <> 0 AND s_suppkey % 7 <> 0 AS ok, s_suppkey % 4 IN (1, 2) AS looped FROM supplier)
+        SELECT k AS s_suppkey, CAST(ok AS INT) AS zones, CASE WHEN ok THEN '../n' || k || '.wav' END AS file, CASE WHEN ok THEN CAST(k % 128 AS INT) END AS root, CASE WHEN ok THEN k % 5 <> 0 END AS track, CASE WHEN ok THEN k % 20 END AS sample_start,
+               CASE WHEN ok THEN CASE WHEN k % 30 > 0 THEN 1000 - k % 30 ELSE 0 END END AS sample_stop, CASE WHEN ok AND looped THEN k % 50 END AS loop_start, CASE WHEN ok AND looped THEN k % 50 + k % 70 + 1 END AS loop_stop,
+               CASE WHEN ok THEN least(greatest(0.75 + (k % 9 - 4) / 4, -1.0), 1.0) END::DOUBLE AS pan, CASE WHEN ok THEN 0.0 END::DOUBLE AS gain_db FROM s""",
+    "tag_index_lines": """SELECT p_partkey, p_name || ' <"&> ' || p_brand AS path, p_type || ';A & ' || p_brand AS tags FROM part""",
+    "velocity_shift": FRAMES + """, n AS (SELECT sample_id, i, x, count(*) OVER (PARTITION BY sample_id) AS n FROM f),
+        d AS (SELECT sample_id, k, n // 2 + 1 AS m, CASE WHEN k = 0 THEN 0 ELSE sqrt(pow(sum(x * cos(2 * pi() * k * i / n)), 2) + pow(sum(x * sin(2 * pi() * k * i / n)), 2)) END AS a FROM n, range(0, 200) t(k) WHERE k <= n // 2 GROUP BY sample_id, k, n),
+        c AS (SELECT sample_id, coalesce(sum(a * k) / nullif(sum(a), 0) / any_value(m), 0.0) AS c FROM d GROUP BY 1)
+        SELECT a.sample_id, round(abs(b.c - a.c), 6) AS shift, abs(b.c - a.c) >= 0.03 AS sensitive FROM c a JOIN c b ON b.sample_id = a.sample_id + 1 WHERE a.sample_id % 2 = 0""",
     "plan_rows": """WITH c AS (SELECT c_custkey AS k, c_custkey % 4 AS p FROM customer)
         SELECT k AS c_custkey, CASE WHEN p = 0 THEN 'drum' ELSE 'synth' END AS category, '/plans/l/' || k || '.sfz' AS source_path, CAST(CASE WHEN k % 3 = 0 THEN k % 7 + 1 WHEN p = 0 THEN 1 ELSE 3 END AS INT) AS note_step, CAST(CASE WHEN p = 1 THEN 24 ELSE 21 END AS INT) AS low,
                CAST(CASE WHEN p = 1 THEN 96 ELSE 108 END AS INT) AS high, [2.0, 8.0, 2.0, 4.0][p + 1]::DOUBLE AS duration_s, CASE WHEN k % 5 = 0 THEN k % 10 = 5 ELSE p IN (1, 3) END AS loop, CASE WHEN p = 0 THEN 'per_sample' ELSE 'per_set' END AS normalize,

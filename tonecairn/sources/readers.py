@@ -8,7 +8,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mappings, programs, riff
+from . import containers, mappings, programs, riff
 
 HEADERS = "path string, codec int, channels int, rate int, bits int, extensible boolean, frames long, loop_start long, loop_end long, broken string"
 ZONES = (
@@ -133,7 +133,8 @@ def _program_rows(uri: str, raw: bytes) -> list[dict]:
         direct = direct or next((found for base in bases for end in ends if (found := beside.find(base + end))), None)
         return direct or (beside.anywhere(ends[-1]) if ends else None)
 
-    return programs.program_zones(raw, locate)
+    newer = raw[12:16] == programs.ITEM_CONTAINER
+    return containers.container_zones(raw, locate) if newer else programs.program_zones(raw, locate)
 
 
 def zones(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
