@@ -2,7 +2,7 @@
 
 from xml.etree import ElementTree
 
-from tonecairn.sources import deluge
+from tonecairn.sources import bento, deluge
 
 
 def sample(note, **more):
@@ -60,3 +60,47 @@ def test_documents_of_presets(spark):
     assert [r.get("fileName") for r in pad.iter("sampleRange")] == ["SAMPLES/C/pad/60_97_1.wav", "SAMPLES/C/pad/62_100_1.wav"] and pad.find("osc1").get("loopMode") == "2"
     assert pad.find("defaultParams/envelope1").get("release") == deluge.fraction(28 / 50) and done["pad"]["path"] == "SYNTHS/C/pad.xml"
     assert done["k"]["path"] == "KITS/C/k.xml" and done["w"]["document"] and done["bare"]["error"] and done["g"]["error"]
+
+
+def cells(document):
+    return [(c.get("type"), c.find("params").attrib, [(m.get("dest"), m.get("src"), m.get("slot"), m.get("amount")) for m in c.findall("modsource")]) for c in ElementTree.fromstring(document.encode()).iter("cell")]
+
+
+def test_instruments_of_the_other_device():
+    both = [sample(48, velocity=40, take=1, loop_start=5, loop_stop=2000), sample(48, velocity=120, take=2), sample(48, velocity=120, take=1, frames=7), sample(60, velocity=100, loop_start=1, loop_stop=9)]
+    found = cells(bento.instrument(both, release=300))
+    assert [k for k, _, _ in found] == ["saminst", "samasst", "samasst", "samasst", "noteseq"]
+    inst, low, high, lone, seq = (p for _, p, _ in found)
+    assert (inst["samtrigtype"], inst["loopmodes"], inst["loopfadeamt"], inst["envrel"], inst["polymode"], inst["multisammode"]) == ("1", "1", "200", "300", "4", "1")
+    assert (low["keyrangebottom"], low["keyrangetop"], lone["keyrangebottom"], lone["keyrangetop"]) == ("0", "53", "54", "127")
+    assert (low["velroot"], low["velrangebottom"], low["velrangetop"], high["velrangebottom"], high["velrangetop"], lone["velroot"], lone["velrangetop"]) == ("40", "0", "79", "80", "127", "63", "127")
+    assert (low["loopstart"], low["loopend"], high["loopend"], high["samlen"]) == ("5", "1000", "7", "7") and "notestepcount" not in seq
+    assert 'cellname="Track 1"' in bento.instrument(both) and "outputbus" in bento.instrument(both)
+    authored = [s | {"authored": True} for s in both]
+    assert cells(bento.instrument(authored))[0][1]["loopfadeamt"] == "0" and cells(bento.instrument([sample(1, velocity=1)]))[0][1]["loopmodes"] == "0"
+
+
+def test_kits_tables_and_grains_of_the_other_device():
+    pads = [sample(36, category="kick", place=8), sample(42, category="hat_closed", place=0, loop_start=3, loop_stop=9)]
+    found = cells(bento.kit(pads))
+    assert [(p["celldisppos"], p["chokegrp"]) for k, p, _ in found if k == "saminst"] == [("8", "0"), ("0", "1")]
+    assert [(p["rootnote"], p["velrangetop"], p["loopstart"], p["loopend"]) for k, p, _ in found if k == "samasst"] == [("0", "0", "0", "1000")] * 2 and found[-1][1]["notestepcount"] == "16"
+    assert bento.table_sweep(0.5, 0.9) == (191, 250) and bento.table_sweep(-1, 0.2) == (26, 100)
+    shape = dict.fromkeys(("wt_position", "lfo2_depth", "attack", "decay", "sustain", "release", "filter_cutoff", "lfo2_rate"), 0.4)
+    lone, pair = cells(bento.wavetable("x/a.wav", shape)), cells(bento.wavetable("x/a.wav", shape, "x/b.wav"))
+    order = ["wavetable", "wavetable", "osc", "filter", "filter", "env", "env", "lfo", "lfo", "seqmod", "partparms", "flangerdist", "delay", "fxlemon"]
+    assert [k for k, _, _ in lone] == [k for k, _, _ in pair] == order
+    assert [c[1]["filename"] for c in pair[:2]] == ["a.wav", "b.wav"] and [c[2] for c in lone[:2]] == [[("wavepos", "lfo1", "0", "200")], [("wavepos", "lfo1", "0", "-200")]]
+    assert [m[2] for m in pair[3][2]] == ["0", "1", "2"] and pair[6][1]["envsus"] == "300" and pair[8][2] == [("lfoamount", "modwheel", "0", "400")] and not lone[8][2]
+    grains = cells(bento.granular("a.wav", "b.wav", 0.25))
+    assert [k for k, _, _ in grains] == ["grainosc", "grainosc", "osc", "filter", "filter", "env", "env", "lfo", "lfo", "seqmod", "partparms", "chorus", "reverb", "fxlemon"]
+    assert (grains[0][1]["grainfreezepos"], grains[1][1]["grainfreezepos"], grains[1][1]["pitch"]) == ("250", "70", "0") and len(grains[0][2]) == 4 and "quantsize" not in grains[9][1]
+
+
+def test_documents_of_the_other_device(spark):
+    ddl = "preset string, category string, note int, velocity int, take int, file string, frames long, loop_start long, loop_stop long, authored boolean, hit string, place int, shape map<string,double>"
+    row = lambda preset, category, note, file, place=None, shape=None, velocity=100: (preset, category, note, velocity, 1, file, 99, None, None, None, "snare", place, shape)
+    rows = [row("p", "synth", 60, "a.wav"), row("k", "drum", 1, "b.wav", 3), row("k", "drum", 2, "c.wav", 9), row("w", "wavetable", 60, "t.wav", shape={"attack": 1.0}), row("g", "granular", 1, "x.wav"), row("g", "granular", 2, "y.wav"), row("n", "synth", 60, "z.wav", velocity=None)]
+    done = {r["preset"]: r for r in bento.documents(spark.createDataFrame(rows, ddl)).collect()}
+    assert [done[p]["path"].split("/")[1] for p in "pkwg"] == ["SampInst", "OneShots", "Wavetable", "Granular"]
+    assert done["p"]["document"] and len(cells(done["k"]["document"])) == 5 and "KeyError" in done["w"]["error"] and [c[1].get("filename") for c in cells(done["g"]["document"])[:2]] == ["x.wav", "y.wav"] and done["n"]["error"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import envelope, loops, preview, sets
-from ..sources import configs, containers, deluge, mappings, programs, riff, sinks
+from ..sources import bento, configs, containers, deluge, mappings, programs, riff, sinks
 from ..sources.tables import read
 from .hits import VIEW as HITS
 from .hits import hits
@@ -285,6 +285,18 @@ def device_ranges(spark, sf_dir):
     return d.select("preset", "path", all_of('rangeTopNote="(\\d+)"').alias("tops"), all_of('transpose="(-?\\d+)">').alias("transposed"), all_of('fileName="([^"]*)"').alias("files"), all_of('endLoopPos="(\\d+)"').alias("loop_ends"))
 
 
+def patch_ranges(spark, sf_dir):
+    """Patch documents of brands, read back: roots, key ranges and files of all cells."""
+    none = lambda kind: F.lit(None).cast(kind)
+    f = hits(spark, sf_dir).select(
+        F.col("brand").alias("preset"), F.lit("synth").alias("category"), F.col("size").cast("int").alias("note"), F.lit(100).alias("velocity"), F.col("id").cast("int").alias("take"), F.concat(F.lit("x/"), F.col("id").cast("string")).alias("file"),
+        F.lit(50).cast("long").alias("frames"), F.when(F.col("size") % 4 == 0, F.lit(5)).cast("long").alias("loop_start"), F.when(F.col("size") % 4 == 0, F.lit(90)).cast("long").alias("loop_stop"), F.lit(False).alias("authored"),
+        none("string").alias("hit"), none("int").alias("place"), none("map<string,double>").alias("shape"),
+    )
+    all_of = lambda name: F.array_join(F.regexp_extract_all("document", F.lit(name + '="([^"]*)"'), 1), ",")
+    return bento.documents(f).select("preset", "path", *(all_of(n).alias(c) for n, c in (("rootnote", "roots"), ("keyrangebottom", "lows"), ("keyrangetop", "highs"), ("filename", "files"), ("loopstart", "starts"), ("loopend", "ends"))))
+
+
 _CANON = ("ring", "bolt")
 
 
@@ -356,6 +368,10 @@ SQL = {
         t AS (SELECT *, coalesce(lead(note) OVER (PARTITION BY set_id ORDER BY note) - 1, note + 6) AS top FROM k)
         SELECT set_id AS preset, 'SYNTHS/C/' || set_id || '.xml' AS path, string_agg(top, ',' ORDER BY note) AS tops, string_agg(48 - note, ',' ORDER BY note) AS transposed, string_agg(substr(file, 4), ',' ORDER BY note) AS files,
                coalesce(string_agg(900, ',' ORDER BY note) FILTER (note % 2 = 0), '') AS loop_ends FROM t GROUP BY set_id""",
+    "patch_ranges": HITS + """, n AS (SELECT brand, size AS note, min(id) AS id FROM h GROUP BY 1, 2),
+        r AS (SELECT *, coalesce((lag(note) OVER w + note + 1) // 2, 0) AS low, coalesce((note + lead(note) OVER w + 1) // 2 - 1, 127) AS high FROM n WINDOW w AS (PARTITION BY brand ORDER BY note))
+        SELECT brand AS preset, 'UserPatches/SampInst/' || brand || '/patch.xml' AS path, string_agg(note, ',' ORDER BY note) AS roots, string_agg(low, ',' ORDER BY note) AS lows, string_agg(high, ',' ORDER BY note) AS highs,
+               string_agg(id, ',' ORDER BY note) AS files, string_agg(CASE WHEN note % 4 = 0 THEN 5 ELSE 0 END, ',' ORDER BY note) AS starts, string_agg(50, ',' ORDER BY note) AS ends FROM r GROUP BY brand""",
     "ordered_rows": HITS + f""" SELECT id, row_number() OVER (PARTITION BY brand ORDER BY CASE WHEN category IN {_CANON} THEN 0 ELSE 1 END, id) AS canonical,
         row_number() OVER (PARTITION BY brand ORDER BY price, size DESC, id) AS fallback, row_number() OVER (PARTITION BY brand ORDER BY stem, id) AS emitted FROM h""",
     "longest_steady": HITS + " SELECT brand, id, size FROM h WHERE price < 1500 QUALIFY row_number() OVER (PARTITION BY brand ORDER BY size DESC, price, id) = 1",
