@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann_forest import op9_nearest_neighbours
 from .chat_format import op8_chat_formatting
 from .decontaminate import op1_decontamination
+from .filter_audit import op12_filter_audit
 from .html_text import op7_html_extraction
 from .jaccard_join import op2_jaccard_join, op2_jaccard_links
 from .pieces import op6_sentencepiece
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_warc": op10_warc,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 SQL: dict[str, str] = {
@@ -104,6 +106,32 @@ SQL: dict[str, str] = {
                CASE WHEN first_page < page_id THEN first_page END AS refers_to
         FROM digested JOIN first USING (hex)
     """,
+    "op12_filter_audit": r"""
+        WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        known AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        d AS (
+            SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, [x[1] FOR x IN [
+                ('A', len(ws) < 200), ('B', 100 * len(list_distinct(ws)) < 50 * len(ws)), ('C', 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text)),
+                ('D', regexp_matches(text, '[#$%&*|]')), ('E', coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY text), false))] IF x[2]] AS fails
+            FROM w LEFT JOIN known USING (doc_id)
+        ),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        o AS (SELECT [a.x, b.x, c.x, d.x, e.x] AS o FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+        s AS (SELECT o, step, o[step] AS x, o[: step - 1] AS before FROM o, range(1, 6) t(step)),
+        n AS (
+            SELECT part, array_to_string(o, '') AS filter_order, CAST(step AS INT) AS step, x,
+                   count(*) FILTER (NOT list_contains(fails, x) AND NOT list_has_any(fails, before)) AS kept,
+                   count(*) FILTER (list_contains(fails, x) AND NOT list_has_any(fails, before)) AS removed,
+                   count(*) FILTER (list_contains(fails, x) AND list_has_any(fails, before)) AS redundant,
+                   count(*) FILTER (fails = [x]) AS unique_fails,
+                   count(*) FILTER (good AND list_contains(fails, x) AND NOT list_has_any(fails, before)) AS good_lost,
+                   count(*) FILTER (toxic AND list_contains(fails, x) AND NOT list_has_any(fails, before)) AS toxic_lost
+            FROM d, s GROUP BY part, o, step, x
+        )
+        SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+        FROM n
+    """,
 }
 SQL["op2_jaccard_links"] = (
     SQL["op2_jaccard_join"].replace("AS component_id", "AS component_id, coalesce(k.n_links, 0) AS n_links").rstrip()
