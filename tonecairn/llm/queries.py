@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann_forest import op9_nearest_neighbours
 from .chat_format import op8_chat_formatting
+from .conversation_trie import op11_prefix_trie
 from .decontaminate import op1_decontamination
 from .filter_audit import op12_filter_audit
 from .html_text import op7_html_extraction
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_warc": op10_warc,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_filter_audit": op12_filter_audit,
 }
 
@@ -106,6 +108,38 @@ SQL: dict[str, str] = {
                CASE WHEN first_page < page_id THEN first_page END AS refers_to
         FROM digested JOIN first USING (hex)
     """,
+    "op11_prefix_trie": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), m AS (
+            SELECT DISTINCT conv_id AS c, conv_id - conv_id % 20 AS base, xor(list_reduce(
+                [4294967295::BIGINT] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT),
+                lambda c, b: list_reduce([xor(c, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+            FROM t
+        ), r AS (
+            SELECT c, 0 AS own, i, role, text FROM m JOIN t ON t.conv_id = base WHERE i < h
+            UNION ALL SELECT c, 1, i, role, text FROM m JOIN t ON t.conv_id = c WHERE i >= h
+        ), p AS (
+            SELECT c, text, row_number() OVER o AS depth, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER o) AS k
+            FROM r WINDOW o AS (PARTITION BY c ORDER BY own, i)
+        ), q AS (
+            SELECT c, depth, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY depth), '') AS above, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+                   depth = max(depth) OVER (PARTITION BY c) AS ends
+            FROM p
+            UNION ALL SELECT c, 0, '', NULL, 0, c NOT IN (SELECT c FROM r) FROM m
+        ), n AS (
+            SELECT depth, k, min(above) AS above, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(words) AS saved,
+                   sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+            FROM q GROUP BY depth, k
+        ), f AS (SELECT n.*, u.conv_id AS parent_conv_id, (SELECT count(*) FROM n x WHERE x.above = n.k AND x.depth = n.depth + 1) AS n_children
+                 FROM n LEFT JOIN n u ON u.k = n.above AND u.depth = n.depth - 1),
+        b AS (SELECT q.depth, q.k, sum(f.saved) AS saved, count(*) FILTER (f.n_children = 0) AS leaves
+              FROM q JOIN f ON f.conv_id = q.c AND f.depth >= q.depth GROUP BY q.depth, q.k)
+        SELECT conv_id, depth, parent_conv_id, n_convs, n_children, leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, ends_sha256
+        FROM f JOIN b USING (depth, k)
+    """,
     "op12_filter_audit": r"""
         WITH w AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         known AS (SELECT doc_id, max(quality = 1) AS good, max(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
