@@ -217,7 +217,7 @@ def ending_digests(family: DataFrame) -> DataFrame:
 
 
 def prefix_trie(conversations: DataFrame, stretch: int = STRETCH) -> DataFrame:
-    """One row per distinct prefix of the rebuilt conversations."""
+    """One row per distinct prefix of the rebuilt conversations; ``stretch`` is at least ``HEAD``, so what is inherited is in the first."""
     turns = numbered_turns(conversations)
     convs = members(turns)
     heads = _placed(turns.where((F.col("conv_id") % FAMILY == 0) & (F.col("at") < HEAD)).withColumnRenamed("conv_id", "base"), F.col("at"))

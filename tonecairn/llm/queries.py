@@ -13,6 +13,7 @@ from .pieces import op6_sentencepiece
 from .quality import op4_quality
 from .substring_dedup import op5_substring_dedup
 from .suffix_dedup import op3_suffix_array_dedup
+from .toxicity import op13_toxicity
 from .warc import op10_warc
 
 QUERIES = {
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_warc": op10_warc,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 
 SQL: dict[str, str] = {
