@@ -74,3 +74,49 @@ def test_tables_of_pages_without_article_elements():
     if os.path.exists(path):
         for page in pq.read_table(path).column("html").to_pylist()[:200]:
             assert html_text.extract(page.replace("<article", "<div").replace("</article", "</div")) == html_text.extract(page)
+
+
+PAGES_WITHOUT = "<body><nav><a href=/>Home</a></nav>{}<div><a href=/1>One</a> <a href=/2>Two</a></div><footer>end</footer></body>"
+TEXT = "".join(f"<p>{p}</p>" for p in LONG)
+STAYS = [
+    ("<article>{text}<section class='discussion'><h2>Discussion</h2><p>Found here.</p></section></article>", "Found here."),
+    ("<article>{text}<div id='discussion'><h2>Discussion</h2><p>Found here.</p></div></article>", "Found here."),
+    ("<main>{text}<div class='discussion'><p>Found here.</p></div></main>", "Found here."),
+    ("<div class=x><div>{text}</div><div><p>Found here.</p></div></div>", "Found here."),
+    ("<div id='search'>{text}<p>Found here.</p></div>", "Found here."),
+    ("<div class='page search'><div>{text}<p>Found here.</p></div></div>", "Found here."),
+    ("<div class='main-header'><h1>Found here.</h1></div><div>{text}</div>", "Found here."),
+    ("<div class='post-header'><h1>Found here.</h1></div><div>{text}</div>", "Found here."),
+    ("<article><div class='header'><h1>Found here.</h1></div>{text}</article>", "Found here."),
+    ("<article><header><h1>Found here.</h1></header>{text}</article>", "Found here."),
+    ("<article>{text}<div class='related-content'><p>Found here.</p></div></article>", "Found here."),
+    ("<article>{text}<section class='related'><h3>Related work</h3><p>Found here.</p></section></article>", "Found here."),
+    ("<article>{text}<p>Found <label>here</label>.</p></article>", "Found here."),
+    ("<article>{text}<p>Press <button>Found here.</button></p></article>", "Press Found here."),
+    ("<article>{text}<div class='search-results'><p>Found here.</p></div></article>", "Found here."),
+    ("<article>{text}<div class='reviews'><p>Found here.</p></div></article>", "Found here."),
+    ("<article>{text}<div class='book-review'><p>Found here.</p></div></article>", "Found here."),
+    ("<div class='content has-sidebar'>{text}<p>Found here.</p></div>", "Found here."),
+    ("<div class='sidebar'><article>{text}<p>Found here.</p></article></div>", "Found here."),
+    ("<article>{text}<div class='recommended'><p>Found here.</p></div></article>", "Found here."),
+]
+GOES = [
+    "<div class='user-reviews'><p>Gone.</p></div>", "<div class='customer-reviews'><div class=review><p>Gone.</p></div></div>", "<div class='reader-comments'><p>Gone.</p></div>",
+    "<div id='comments'><p>Gone.</p></div>", "<div class='discussion'><div class='comment'><p>Gone.</p></div></div>", "<div class='discussion'><p>Gone.</p><textarea></textarea></div>",
+    "<div class='related'><ul><li><a href=/x>Gone.</a></li></ul></div>", "<div class='related-posts'>Gone.</div>", "<div class='search'><form><p>Gone.</p></form></div>", "<div class='site-notice'><p>Gone.</p></div>",
+    "<div class='alert'>Gone.</div>", "<div class='ad'>Gone.</div>", "<button>Gone.</button>", "<div class='newsletter-signup'><p>Gone.</p></div>", "<ul class='pagination'><li>Gone.</li></ul>",
+    "<div class='recommended'><a href=/x>Gone.</a></div>", "<div class='replies'><p class='reply'>Gone.</p></div>", "<form><label>Gone.</label></form>",
+]
+
+
+def test_what_a_container_holds_outweighs_its_name():
+    for shape, kept in STAYS:
+        got = html_text.extract(PAGES_WITHOUT.format(shape.format(text=TEXT))).split("\n")
+        assert [x for x in got if x in LONG] == LONG and [x for x in got if x not in LONG and x != "Discussion" and x != "Related work"] == [kept], shape
+
+
+def test_boilerplate_inside_the_text_goes():
+    for junk in GOES:
+        for around in ("article", "main", "div"):
+            page = PAGES_WITHOUT.format(f"<{around}>{TEXT}{junk}<p>Last.</p></{around}>")
+            assert html_text.extract(page).split("\n") == [*LONG, "Last."], (junk, around)
