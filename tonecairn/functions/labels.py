@@ -55,8 +55,13 @@ def sanitised(name: Column) -> Column:
 
 
 def spaced(name: Column) -> Column:
-    """Full stops gone, white space as one blank."""
-    return F.trim(F.regexp_replace(F.replace(name, F.lit("."), F.lit("")), _BLANKS, " "))
+    """Full stops as blanks, white space as one blank."""
+    return F.trim(F.regexp_replace(F.replace(name, F.lit("."), F.lit(" ")), _BLANKS, " "))
+
+
+def path_component(name: Column) -> Column:
+    """A name that is one component of a path: no white space around it, separators as _."""
+    return F.translate(F.regexp_replace(name, f"^{_BLANKS}|{_BLANKS}$", ""), "/\\", "__")
 
 
 def tokens(text: Column) -> Column:
@@ -65,43 +70,56 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(parted), "[^a-z0-9]+"), lambda t: t != "")
 
 
-def _without_echo(names, labels):
-    """Names without the runs of words that their labels begin with; ``labels`` holds one label each, or a list of them."""
-    word, gap = "[0-9A-Za-z']", "[^0-9A-Za-z']"
-
-    def less(name: str, run: list[str]) -> str:
-        """The name without the run: two words or more anywhere, a single one at an end only."""
-        words = re.findall(word + "+", name.lower())
-        if len(words) <= len(run):
-            return name
-        said = f"{gap}+".join(map(re.escape, run))
-        if len(run) > 1:
-            left = re.sub(f"(?<!{word}){said}(?!{word})", "", name, flags=re.I)
-        elif words[0] == run[0]:
-            left = re.sub(f"^{said}{gap}*", "", name, flags=re.I)
-        elif words[-1] == run[0]:
-            left = re.sub(f"{gap}*{said}$", "", name, flags=re.I)
-        else:
-            return name
-        return re.sub(r"\s{2,}", " ", left).strip(" -_") or name
-
-    def free(name, own):
-        for label in [] if name is None else [own] if isinstance(own, str) else [] if own is None else own:
-            words = re.findall(word + "+", label.lower())
-            name = next((x for n in range(len(words), 0, -1) if (x := less(name, words[:n])) != name), name)
-        return name
-
-    return [free(n, own) for n, own in zip(names, labels, strict=True)]
-
-
-def without_echo(name: Column, label: Column) -> Column:
-    """``name`` without what ``label``, a label or an array of labels, already says."""
+# What a word of a label is made of.
+SPOKEN = "[0-9A-Za-z']+"
+_spoken = re.compile(SPOKEN)
+
+
+def _echoes(said: list[tuple[str, int, int]], run: list[str], size: int) -> list[tuple[int, int]]:
+    """Where a name of ``size`` characters and the words ``said`` (word, start, stop) says ``run``; a run of one word counts at the name's ends only."""
+    if len(said) <= len(run):
+        return []
+    if len(run) > 1:
+        words, found, at = [w for w, _, _ in said], [], 0
+        while at + len(run) <= len(words):
+            if words[at : at + len(run)] == run:
+                found.append((said[at][1], said[at + len(run) - 1][2]))
+                at += len(run)
+            else:
+                at += 1
+        return found
+    (first, start, _), (last, _, stop) = said[0], said[-1]
+    if first == run[0]:
+        return [(0, said[1][1])] if start == 0 else []
+    return [(said[-2][2], size)] if last == run[0] and stop == size else []
+
+
+def _echo_free(name: str | None, labels: list[str]) -> str | None:
+    """``name`` without the longest beginning of each label that it says, label by label."""
+    for label in labels if name is not None else ():
+        run = _spoken.findall(label.lower())
+        while run:
+            said = [(m[0].lower(), m.start(), m.end()) for m in _spoken.finditer(name)]
+            kept, at = [], 0
+            for start, stop in _echoes(said, run, len(name)):
+                kept.append(name[at:start])
+                at = stop
+            left = re.sub(r"\s{2,}", " ", "".join(kept) + name[at:]).strip(" -_") if at else ""
+            if left and left != name:
+                name = left
+                break
+            run.pop()
+    return name
+
+
+def without_echo(name: Column, labels: Column) -> Column:
+    """``name`` without what ``labels``, an array, already say."""
 
     @F.pandas_udf("string")
-    def run(names: pd.Series, labels: pd.Series) -> pd.Series:
-        return pd.Series(_without_echo(names, labels), dtype=object)
+    def run(names: pd.Series, own: pd.Series) -> pd.Series:
+        return pd.Series([_echo_free(n, [] if own_labels is None else list(own_labels)) for n, own_labels in zip(names, own, strict=True)], dtype=object)
 
-    return run(name, label)
+    return run(name, labels)
 
 
 def xml_escaped(text: Column) -> Column:

@@ -119,7 +119,7 @@ def chroma_movement(spark, sf_dir):
 def echo_free_names(spark, sf_dir):
     """Names without what the folder's label already says."""
     h = hits(spark, sf_dir).select("id", F.concat_ws(" ", "brand", "stem").alias("name"), F.col("brand").alias("label"))
-    return h.select("id", "name", L.without_echo(F.col("name"), F.col("label")).alias("short"))
+    return h.select("id", "name", L.without_echo(F.col("name"), F.array("label")).alias("short"))
 
 
 _CHUNK = "encode(left(s_name, greatest(length(s_name) - 1, 0)))"

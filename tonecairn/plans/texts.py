@@ -117,7 +117,7 @@ SQL = {
     "said_by_tags": f"""WITH t AS (SELECT item_id, list_filter(regexp_split_to_array(lower(regexp_replace(text, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM benchmark)
         SELECT item_id, len(t) > 0 AS named, len(t) > 0 AND len(list_filter(t, lambda x: x NOT IN ({', '.join(repr(w) for w in dict.fromkeys(TAG_OF))}))) = 0 AS said FROM t""",
     "sanitise_names": r"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}_]', '_', 'g'), '_+', '_', 'g'), '_') AS safe,
-        trim(regexp_replace(replace(text, '.', ''), '[\x09-\x0D\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')) AS spaced FROM documents""",
+        trim(regexp_replace(replace(text, '.', ' '), '[\x09-\x0D\x1C-\x1F\x{85}\p{Z}]+', ' ', 'g')) AS spaced FROM documents""",
     "xml_names": """WITH n AS (SELECT doc_id, text AS name FROM documents)
         SELECT doc_id, replace(replace(replace(replace(name, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped, true AS back FROM n""",
     "content_key": "SELECT doc_id, substr(sha256(source || chr(31) || lang || chr(31) || text), 1, 32) AS key, substr(sha256(text), 1, 16) AS short_key FROM documents",
