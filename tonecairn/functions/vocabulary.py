@@ -11,9 +11,13 @@ from . import labels as L
 KIT_ORDER = """kick snare hat_closed hat_open clap snap rim cowbell claves maracas tambourine shaker triangle block guiro bell cymbal_crash cymbal_ride
 tom_low tom_mid tom_high conga_low conga_mid conga_high other""".split()
 # Words that name a category, in the order in which they are tried.
-DIRECT = """BASSDRUM:kick BD:kick KICK:kick KCK:kick SNAREDRUM:snare SD:snare SNARE:snare SNR:snare SNAR:snare HANDCLAP:clap CLAP:clap SNAP:snap RIMSHOT:rim RIM:rim
-COWBELL:cowbell COWB:cowbell CLAVES:claves CLAVE:claves CLAV:claves MARACA:maracas MARACAS:maracas TAMBOURINE:tambourine TAMB:tambourine SHAKER:shaker CABASA:shaker
-TRIANGLE:triangle TRIA:triangle WOODBLOCK:block BLOCK:block GUIRO:guiro BELL:bell CRASH:cymbal_crash CRAS:cymbal_crash CHINA:cymbal_crash SPLASH:cymbal_crash RIDE:cymbal_ride"""
+DIRECT = {
+    "BASSDRUM": "kick", "BD": "kick", "KICK": "kick", "KCK": "kick", "SNAREDRUM": "snare", "SD": "snare", "SNARE": "snare", "SNR": "snare", "SNAR": "snare",
+    "HANDCLAP": "clap", "CLAP": "clap", "SNAP": "snap", "RIMSHOT": "rim", "RIM": "rim", "COWBELL": "cowbell", "COWB": "cowbell", "CLAVES": "claves",
+    "CLAVE": "claves", "CLAV": "claves", "MARACA": "maracas", "MARACAS": "maracas", "TAMBOURINE": "tambourine", "TAMB": "tambourine", "SHAKER": "shaker",
+    "CABASA": "shaker", "TRIANGLE": "triangle", "TRIA": "triangle", "WOODBLOCK": "block", "BLOCK": "block", "GUIRO": "guiro", "BELL": "bell",
+    "CRASH": "cymbal_crash", "CRAS": "cymbal_crash", "CHINA": "cymbal_crash", "SPLASH": "cymbal_crash", "RIDE": "cymbal_ride",
+}
 # Words of families whose member a modifier tells.
 HATS, TOMS = "CH OH HH HAT HIHAT HATS HIHATS".split(), "TOM TOML TOMM TOMH".split()
 CONGAS, CYMBALS = "CONGA CONGAS CONL CONM CONH BONGO BONGOS".split(), "CYM CYMBAL".split()
@@ -44,7 +48,7 @@ def drum_category(name: Column) -> Column:
     words = F.regexp_extract_all(F.upper(name), F.lit("[A-Z0-9#]+"), 0)
     all_ = F.array_union(words, F.transform(words, lambda w: F.regexp_replace(w, "[0-9]+$", "")))
     has = lambda some: F.arrays_overlap(all_, F.array(*(F.lit(x) for x in some)))
-    direct = [p.split(":") for p in DIRECT.split()]
+    direct = list(DIRECT.items())
     place = F.array_min(F.transform(F.array_intersect(F.array(*(F.lit(w) for w, _ in direct)), all_), lambda w: F.array_position(F.array(*(F.lit(x) for x, _ in direct)), w)))
     of = lambda family: F.when(has(LOW), f"{family}_low").when(has(HIGH), f"{family}_high").otherwise(f"{family}_mid")
     return (

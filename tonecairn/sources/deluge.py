@@ -14,23 +14,42 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Fixed values of the format: one element to a line, its name, then its attributes.
-_ROOT = "firmwareVersion=4.1.3 earliestCompatibleFirmware=4.1.0-alpha"
-_LFOS = {"plain": "lfo1 type=triangle syncLevel=0\nlfo2 type=triangle", "synced": "lfo1 type=triangle syncLevel=0\nlfo2 type=triangle syncLevel=0"}
-_EFFECTS = "delay pingPong=1 analog=0 syncLevel=7\ncompressor syncLevel=6 attack=327244 release=936"
-_SAMPLE_OSC = "type=sample loopMode={mode} reversed=0 timeStretchEnable=0 timeStretchAmount=0"
-_EQUALIZER = "equalizer bass=0x00000000 treble=0x00000000 bassFrequency=0x00000000 trebleFrequency=0x00000000"
-_ARPEGGIATOR = "arpeggiator mode=off numOctaves=2 syncLevel=7"
-_PARAMS = """arpeggiatorGate=0x00000000 portamento=0x80000000 compressorShape=0xDC28F5B2 oscAVolume=0x19999999 oscAPulseWidth=0x00000000 oscBVolume=0x80000000
-oscBPulseWidth=0x00000000 noiseVolume=0x80000000 volume=0x4CCCCCA8 pan=0x00000000 lpfFrequency=0x7FFFFFFF lpfResonance=0x80000000 hpfFrequency=0x80000000
-hpfResonance=0x80000000 lfo1Rate=0x1999997E lfo2Rate=0x00000000 modFXRate=0x00000000 modFXDepth=0x00000000 delayRate=0x00000000 delayFeedback=0x80000000
-reverbAmount=0x80000000 arpeggiatorRate=0x00000000 stutterRate=0x00000000 sampleRateReduction=0x80000000 bitCrush=0x80000000 modFXOffset=0x00000000 modFXFeedback=0x00000000"""
-_KIT_PARAMS = """reverbAmount=0x80000000 volume=0x3504F334 pan=0x00000000 sidechainCompressorShape=0xDC28F5B2 modFXDepth=0x00000000 modFXRate=0xE0000000
-stutterRate=0x00000000 sampleRateReduction=0x80000000 bitCrush=0x80000000 modFXOffset=0x00000000 modFXFeedback=0x80000000"""
-_KIT_FILTERS = "delay rate=0x00000000 feedback=0x80000000\nlpf frequency=0x7FFFFFFF resonance=0x80000000\nhpf frequency=0x80000000 resonance=0x80000000"
-_ENVELOPE_2 = "envelope2 attack=0xE6666654 decay=0xE6666654 sustain=0xFFFFFFE9 release=0xE6666654"
-_KNOBS = """pan volumePostFX lpfResonance lpfFrequency env1Release env1Attack delayFeedback delayRate reverbAmount volumePostReverbSend:compressor
-pitch:lfo1 lfo1Rate portamento stutterRate bitcrushAmount sampleRateReduction"""
+# Fixed values of the format: attributes of elements, and elements that stand together.
+_ROOT = {"firmwareVersion": "4.1.3", "earliestCompatibleFirmware": "4.1.0-alpha"}
+_LFOS = [("lfo1", {"type": "triangle", "syncLevel": "0"}), ("lfo2", {"type": "triangle"})]
+_SYNCED_LFOS = [("lfo1", {"type": "triangle", "syncLevel": "0"}), ("lfo2", {"type": "triangle", "syncLevel": "0"})]
+_UNISON = [("unison", {"num": "1", "detune": "8"})]
+_EFFECTS = [("delay", {"pingPong": "1", "analog": "0", "syncLevel": "7"}), ("compressor", {"syncLevel": "6", "attack": "327244", "release": "936"})]
+_SAMPLE_OSC = {"type": "sample", "loopMode": "0", "reversed": "0", "timeStretchEnable": "0", "timeStretchAmount": "0"}
+_EQUALIZER = [("equalizer", {"bass": "0x00000000", "treble": "0x00000000", "bassFrequency": "0x00000000", "trebleFrequency": "0x00000000"})]
+_ARPEGGIATOR = [("arpeggiator", {"mode": "off", "numOctaves": "2", "syncLevel": "7"})]
+_PARAMS = {
+    "arpeggiatorGate": "0x00000000", "portamento": "0x80000000", "compressorShape": "0xDC28F5B2", "oscAVolume": "0x19999999", "oscAPulseWidth": "0x00000000",
+    "oscBVolume": "0x80000000", "oscBPulseWidth": "0x00000000", "noiseVolume": "0x80000000", "volume": "0x4CCCCCA8", "pan": "0x00000000", "lpfFrequency": "0x7FFFFFFF",
+    "lpfResonance": "0x80000000", "hpfFrequency": "0x80000000", "hpfResonance": "0x80000000", "lfo1Rate": "0x1999997E", "lfo2Rate": "0x00000000",
+    "modFXRate": "0x00000000", "modFXDepth": "0x00000000", "delayRate": "0x00000000", "delayFeedback": "0x80000000", "reverbAmount": "0x80000000",
+    "arpeggiatorRate": "0x00000000", "stutterRate": "0x00000000", "sampleRateReduction": "0x80000000", "bitCrush": "0x80000000", "modFXOffset": "0x00000000",
+    "modFXFeedback": "0x00000000",
+}
+_KIT_PARAMS = {
+    "reverbAmount": "0x80000000", "volume": "0x3504F334", "pan": "0x00000000", "sidechainCompressorShape": "0xDC28F5B2", "modFXDepth": "0x00000000",
+    "modFXRate": "0xE0000000", "stutterRate": "0x00000000", "sampleRateReduction": "0x80000000", "bitCrush": "0x80000000", "modFXOffset": "0x00000000",
+    "modFXFeedback": "0x80000000",
+}
+_KIT_FILTERS = [
+    ("delay", {"rate": "0x00000000", "feedback": "0x80000000"}),
+    ("lpf", {"frequency": "0x7FFFFFFF", "resonance": "0x80000000"}),
+    ("hpf", {"frequency": "0x80000000", "resonance": "0x80000000"}),
+]
+_ENVELOPE_1 = {"attack": "0x80000000", "decay": "0xE6666654", "sustain": "0x7FFFFFFF"}
+_ENVELOPE_2 = [("envelope2", {"attack": "0xE6666654", "decay": "0xE6666654", "sustain": "0xFFFFFFE9", "release": "0xE6666654"})]
+# What the sixteen knobs turn, and for one the source whose amount it turns.
+_KNOBS = (
+    ("pan", None), ("volumePostFX", None), ("lpfResonance", None), ("lpfFrequency", None),
+    ("env1Release", None), ("env1Attack", None), ("delayFeedback", None), ("delayRate", None),
+    ("reverbAmount", None), ("volumePostReverbSend", "compressor"), ("pitch", "lfo1"), ("lfo1Rate", None),
+    ("portamento", None), ("stutterRate", None), ("bitcrushAmount", None), ("sampleRateReduction", None),
+)
 _CABLES = (("velocity", "volume", "0x3FFFFFE8"), ("aftertouch", "volume", "0x2A3D7094"), ("y", "lpfFrequency", "0x19999990"))
 # A filter that opens with velocity, a wheel that darkens, a vibrato at full pressure, the release of what has none to measure.
 VELOCITY_FILTER = {"lpfMode": "12dB", "lpfFrequency": "0x4CCCCCA8", "cable": "0x19999990"}
@@ -48,14 +67,13 @@ def cable_amount(units: float) -> str:
     return f"0x{round(min(max(units, -50.0), 50.0) / 50 * 2**30) & 0xFFFFFFFF:08X}"
 
 
-def _pairs(text: str) -> dict[str, str]:
-    return dict(p.split("=", 1) for p in text.split())
+def _add(parent: ElementTree.Element, elements: list[tuple[str, dict[str, str]]]) -> None:
+    for name, attributes in elements:
+        ElementTree.SubElement(parent, name, attributes)
 
 
-def _lines(parent: ElementTree.Element, text: str) -> None:
-    for line in text.split("\n"):
-        name, _, rest = line.partition(" ")
-        ElementTree.SubElement(parent, name, _pairs(rest))
+def _sample_osc(mode: int) -> dict[str, str]:
+    return {**_SAMPLE_OSC, "loopMode": str(mode)}
 
 
 def _text(root: ElementTree.Element) -> str:
@@ -93,34 +111,34 @@ def _cables(parent: ElementTree.Element, extra: list[tuple] = (), wheel: str = _
 
 def _knobs(parent: ElementTree.Element, other: dict[int, str]) -> None:
     box = ElementTree.SubElement(parent, "modKnobs")
-    for k, knob in enumerate(_KNOBS.split()):
-        name, _, source = other.get(k, knob).partition(":")
+    for k, (name, source) in enumerate(_KNOBS):
+        name = other.get(k, name)
         ElementTree.SubElement(box, "modKnob", {"controlsParam": name} | ({"patchAmountFromSource": source} if source else {}))
 
 
 def _sound(tag: str, **attributes: str) -> ElementTree.Element:
-    return ElementTree.Element(tag, {**(_pairs(_ROOT) if "name" not in attributes else {}), **attributes})
+    return ElementTree.Element(tag, {**(_ROOT if "name" not in attributes else {}), **attributes})
 
 
 def multisample(samples: list[dict], voice: Voice = Voice(), through: set[int] | None = None) -> str:
     """One range for each note up to the next one, the last up to six semitones more. ``through``: notes that loop through their release, if all loop."""
     root = _sound("sound", polyphonic=voice.polyphonic, voicePriority="1", mode="subtractive", lpfMode=VELOCITY_FILTER["lpfMode"] if voice.velocity_filter else "24dB", modFXType="none")
-    osc = ElementTree.SubElement(root, "osc1", _pairs(_SAMPLE_OSC.format(mode=0 if through is None else 2)))
+    osc = ElementTree.SubElement(root, "osc1", _sample_osc(0 if through is None else 2))
     ranges, by_note = ElementTree.SubElement(osc, "sampleRanges"), sorted(samples, key=lambda s: s["note"])
     tops = [s["note"] - 1 for s in by_note[1:]] + [by_note[-1]["note"] + 6] if by_note else []
     for s, top in zip(by_note, tops, strict=True):
         one = ElementTree.SubElement(ranges, "sampleRange", {"rangeTopNote": str(top), "fileName": s["file"], "transpose": str(48 - s["note"])})
         _zone(one, s, through is not None and s["note"] in through)
-    _lines(root, "osc2 type=square transpose=0 cents=0 retrigPhase=-1\n" + _LFOS["plain"] + "\nunison num=1 detune=8\n" + _EFFECTS)
+    _add(root, [("osc2", {"type": "square", "transpose": "0", "cents": "0", "retrigPhase": "-1"}), *_LFOS, *_UNISON, *_EFFECTS])
     own = {"portamento": fraction(voice.glide)} if voice.glide > 0 else {}
     own |= {"lpfFrequency": VELOCITY_FILTER["lpfFrequency"]} if voice.velocity_filter else {}
-    params = ElementTree.SubElement(root, "defaultParams", _pairs(_PARAMS) | own)
-    _lines(params, f"envelope1 attack=0x80000000 decay=0xE6666654 sustain=0x7FFFFFFF release={voice.release}\n" + _ENVELOPE_2)
+    params = ElementTree.SubElement(root, "defaultParams", _PARAMS | own)
+    _add(params, [("envelope1", {**_ENVELOPE_1, "release": voice.release}), *_ENVELOPE_2])
     extra = [("velocity", "lpfFrequency", VELOCITY_FILTER["cable"])] if voice.velocity_filter else []
     extra += [("lfo1", "pitch", cable_amount(VIBRATO_UNITS), "aftertouch", FULL_DEPTH)] if voice.vibrato else []
     _cables(params, extra, cable_amount(DARKEN_UNITS) if voice.darken else _CABLES[2][2])
-    _lines(params, _EQUALIZER)
-    _lines(root, _ARPEGGIATOR)
+    _add(params, _EQUALIZER)
+    _add(root, _ARPEGGIATOR)
     return _text(root)
 
 
@@ -132,8 +150,8 @@ def wavetable(file: str, shape: dict) -> str:
     root = _sound("sound", polyphonic="poly", voicePriority="1", mode="subtractive", lpfMode="24dB", modFXType="none")
     for name, cents in (("osc1", -DETUNE_CENTS), ("osc2", DETUNE_CENTS)):
         ElementTree.SubElement(root, name, {"type": "wavetable", "transpose": "0", "cents": str(cents), "retrigPhase": "-1", "fileName": file})
-    _lines(root, _LFOS["synced"] + "\nunison num=1 detune=8\n" + _EFFECTS)
-    at, base = fraction(shape["wt_position"]), _pairs(_PARAMS)
+    _add(root, [*_SYNCED_LFOS, *_UNISON, *_EFFECTS])
+    at, base = fraction(shape["wt_position"]), dict(_PARAMS)
     base |= {"oscAVolume": fraction(1), "oscBVolume": fraction(1), "lpfFrequency": fraction(shape["filter_cutoff"]), "lfo2Rate": fraction(shape["lfo2_rate"])}
     ordered = {}
     for k, v in base.items():  # a position stands after its oscillator's pulse width
@@ -141,11 +159,11 @@ def wavetable(file: str, shape: dict) -> str:
         if k.endswith("PulseWidth"):
             ordered[k.replace("PulseWidth", "WavetablePosition")] = at
     params = ElementTree.SubElement(root, "defaultParams", ordered)
-    _lines(params, "envelope1 " + " ".join(f"{k}={fraction(shape[k])}" for k in ("attack", "decay", "sustain", "release")) + "\n" + _ENVELOPE_2)
+    _add(params, [("envelope1", {k: fraction(shape[k]) for k in ("attack", "decay", "sustain", "release")}), *_ENVELOPE_2])
     sweep = min(max(shape["lfo2_depth"], 0.0), 1.0) * 50
     _cables(params, [("lfo2", "oscAWavetablePosition", cable_amount(sweep)), ("lfo2", "oscBWavetablePosition", cable_amount(-sweep))])
-    _lines(params, _EQUALIZER)
-    _lines(root, _ARPEGGIATOR)
+    _add(params, _EQUALIZER)
+    _add(root, _ARPEGGIATOR)
     _knobs(root, {14: "oscBWavetablePosition", 15: "oscAWavetablePosition"})
     return _text(root)
 
@@ -153,8 +171,8 @@ def wavetable(file: str, shape: dict) -> str:
 def kit(samples: list[dict]) -> str:
     """One sound for each hit, in the order of notes: hats choke each other, kicks duck the mix, all play to their end."""
     root = _sound("kit", lpfMode="24dB", modFXType="flanger", modFXCurrentParam="feedback", currentFilterType="lpf")
-    _lines(root, _EFFECTS)
-    _lines(ElementTree.SubElement(root, "defaultParams", _pairs(_KIT_PARAMS)), _KIT_FILTERS + "\n" + _EQUALIZER)
+    _add(root, _EFFECTS)
+    _add(ElementTree.SubElement(root, "defaultParams", _KIT_PARAMS), [*_KIT_FILTERS, *_EQUALIZER])
     box = ElementTree.SubElement(root, "soundSources")
     for s in sorted(samples, key=lambda s: s["note"]):
         category = s.get("category")
@@ -162,11 +180,11 @@ def kit(samples: list[dict]) -> str:
         name = s.get("instrument") or f"note{s['note']:03d}"
         sound = _sound("sound", name=name, polyphonic="choke" if category in CHOKED else "auto", voicePriority="1", **sends, mode="subtractive", lpfMode="24dB", modFXType="none")
         box.append(sound)
-        _zone(ElementTree.SubElement(sound, "osc1", _pairs(_SAMPLE_OSC.format(mode=1)) | {"fileName": s["file"]}), s, False)
-        _lines(sound, "osc2 " + _SAMPLE_OSC.format(mode=0) + "\n" + _LFOS["plain"] + "\nunison num=1 detune=8\n" + _EFFECTS)
-        params = ElementTree.SubElement(sound, "defaultParams", _pairs(_PARAMS) | {"oscAVolume": "0x7FFFFFFF"})
-        _lines(params, _EQUALIZER)
-        _lines(sound, _ARPEGGIATOR)
+        _zone(ElementTree.SubElement(sound, "osc1", _sample_osc(1) | {"fileName": s["file"]}), s, False)
+        _add(sound, [("osc2", _sample_osc(0)), *_LFOS, *_UNISON, *_EFFECTS])
+        params = ElementTree.SubElement(sound, "defaultParams", _PARAMS | {"oscAVolume": "0x7FFFFFFF"})
+        _add(params, _EQUALIZER)
+        _add(sound, _ARPEGGIATOR)
         _cables(params)
     ElementTree.SubElement(root, "selectedDrumIndex").text = "1"
     return _text(root)
