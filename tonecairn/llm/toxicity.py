@@ -148,12 +148,25 @@ class BlockMaxIndex:
         cell = np.repeat(query, count) * self.block + self.at[posting]
         return np.bincount(cell, np.repeat(weights, count) * self.weight[posting], n * self.block).reshape(n, self.block)
 
-    def search(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
-        """The ``k`` best rows (-1: none) and scores above 0 of each query, ties to smaller rows; and how many blocks were scored."""
+    def search(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, at_once: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
+        """The ``k`` best rows (-1: none) and scores above 0 of each query, ties to smaller rows; and how many blocks were scored.
+
+        ``at_once`` bounds the memory: so many queries are compared with the blocks' bounds at a time.
+        """
+        n = len(bounds) - 1
+        parts = []
+        for a in range(0, n, at_once):
+            own = bounds[a : a + at_once + 1]
+            parts.append(self._search(own - own[0], terms[own[0] : own[-1]], weights[own[0] : own[-1]], k))
+        if not parts:
+            return np.full((0, k), -1), np.zeros((0, k)), 0
+        return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts]), sum(p[2] for p in parts)
+
+    def _search(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
         n = len(bounds) - 1
         query = np.repeat(np.arange(n), np.diff(bounds))
         best, score = np.full((n, k), self.n), np.zeros((n, k))
-        if not self.n or not n:
+        if not self.n:
             return np.where(score > 0, best, -1), score, 0
         reach = self._reach(query, terms, weights, n) * (1 + 1e-12)  # sums in another order may differ in the last digits
         order, visited = np.argsort(-reach, 1, kind="stable"), 0
