@@ -107,3 +107,12 @@ def test_pieces_of_words_with_equal_hashes(monkeypatch):
         for _ in range(2):
             ids, offsets = encoder.encode(pa.array(texts))
             assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:])] == [library.encode(t or "") for t in texts]
+
+
+def test_the_largest_id_is_no_null(spark):
+    from tonecairn.llm.jaccard_join import similar_components
+
+    last, text = 2**63 - 1, "one two three four five six"
+    docs = spark.createDataFrame([(last, text), (None, text), (None, "lone words"), (last - 1, "")], "doc_id long, text string")
+    got = [(r["doc_id"], r["n_shingles"], r["component_id"], r["stays"]) for r in similar_components(docs).collect()]
+    assert sorted(got, key=str) == sorted([(last, 2, last, True), (None, 2, last, False), (None, 1, None, True), (last - 1, 0, last - 1, True)], key=str)

@@ -10,17 +10,18 @@ Answers return to the batches the same way.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_batches
+from .shared import drop_table, keep_table, shuffle_width, text_batches
 from .text_blocks import bounded, give_back
 
-LAST = 2**63 - 1  # stands for a null id: it sorts last
-
 
 def pack(values: np.ndarray) -> bytes:
     """Ascending uint64 values as one width byte and differences of that width."""
@@ -57,41 +58,74 @@ def sizes_of(docs: DataFrame) -> tuple[int, int]:
     return row["n"], row["b"]
 
 
-def with_bounds(docs: DataFrame, batch_bytes: int, total_bytes: int, most: int = 1000) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, text, rest) with a null id as the last one, and the bounds of the batches.
+@dataclass
+class Ranges:
+    """Batches as ranges of the id, null after all ids. Each range is one batch but where one id alone exceeds a batch: it has several."""
+
+    last: np.ndarray  # the last id of each range, ascending; a range of nulls comes after these
+    pieces: np.ndarray  # batches of each range
+    quantum: int = 1 << 18
+
+    def __post_init__(self) -> None:
+        self.first = np.cumsum(self.pieces) - self.pieces
+        self.order = np.repeat(np.arange(len(self.pieces)), self.pieces).astype(np.int32)  # the range of each batch
+
+    def __len__(self) -> int:
+        return len(self.order)
+
+    def batches(self, ids: pa.Array, sizes: np.ndarray, before: int) -> np.ndarray:
+        """The batch of each row. Rows of an id that has several are dealt to them by the bytes that went ``before`` in the task."""
+        at = np.where(ids.is_null().to_numpy(zero_copy_only=False), len(self.last), np.searchsorted(self.last, ids.fill_null(0).to_numpy(zero_copy_only=False), "left"))
+        turn = (before + np.cumsum(sizes) - sizes) // self.quantum
+        return self.first[at] + turn % self.pieces[at]
+
+
+def id_ranges(docs: DataFrame, batch_bytes: int) -> tuple[Ranges, int]:
+    """Ranges of about ``batch_bytes`` of text, and the bytes of all texts.
 
-    Batches are ranges of the id: a document of an earlier batch has a smaller
-    id. Bounds are approximate quantiles, one for each batch but the last;
-    equal ids share a batch. No sketch holds more than ``most`` quantiles: where
-    more batches are needed, each range of a first cut is cut again by itself.
-    ``rest`` holds all other columns.
+    Ids with their bytes are sorted by range; every task cuts its ids by
+    running sums. One row for each range reaches the driver.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.struct(*others) if others else F.lit(None).cast("struct<none:int>")
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text", rest.alias("rest"))
-    count = max(1, -(-total_bytes // batch_bytes))
-    coarse = min(count, most)
-    if coarse == 1:
-        return rows, np.zeros(0, np.int64)
-    cuts = lambda n: F.percentile_approx("doc_id", [i / n for i in range(1, n)], 50 * n).alias("cuts")
-    bounds = np.unique(np.array(rows.agg(cuts(coarse)).first()["cuts"], np.int64))
-    fine = min(-(-count // coarse), most)
-    if fine > 1:
-
-        def ranged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ids = batch.column("doc_id")
-                yield pa.RecordBatch.from_arrays([ids, pa.array(np.searchsorted(bounds, ids.to_numpy(), "left"), pa.int32())], names=["doc_id", "range"])
-
-        inner = rows.select("doc_id").mapInArrow(ranged, "doc_id long, range int").groupBy("range").agg(cuts(fine)).select("cuts")
-        bounds = np.unique(np.concatenate([bounds, *(np.array(r["cuts"], np.int64) for r in inner.collect())]))
-    return rows, bounds
-
-
-def packed(rows: DataFrame, bounds: np.ndarray | None = None) -> DataFrame:
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    of_id = keep_table(docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum(size).alias("bytes")), "sizes", release=False)
+    total = of_id.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cuts: list[tuple[int | None, int]] = []
+        held, last = 0, None
+        for batch in batches:
+            ids, nulls = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False), batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            sizes = batch.column("bytes").to_numpy()
+            cuts += [(None, max(1, -(-int(n) // batch_bytes))) for n in sizes[nulls]]
+            ids, sizes = ids[~nulls], sizes[~nulls]
+            sums, at, before = np.cumsum(sizes), 0, 0
+            while at < len(ids):
+                stop = int(np.searchsorted(sums, before + batch_bytes - held, "right"))
+                if stop > at:
+                    held, last = held + int(sums[stop - 1] - before), int(ids[stop - 1])
+                    before, at = int(sums[stop - 1]), stop
+                elif last is not None:
+                    cuts.append((last, 1))
+                    held, last = 0, None
+                else:
+                    cuts.append((int(ids[at]), -(-int(sizes[at]) // batch_bytes)))
+                    before, at = int(sums[at]), at + 1
+        if last is not None:
+            cuts.append((last, 1))
+        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int64()), pa.array([c[1] for c in cuts], pa.int32())], names=["last", "pieces"])
+
+    width = min(shuffle_width(docs.sparkSession), max(1, -(-total // batch_bytes)))
+    cuts = of_id.repartitionByRange(width, "doc_id").sortWithinPartitions("doc_id").mapInArrow(cut, "last long, pieces int").toArrow()
+    drop_table(of_id)
+    nulls, some = cuts.filter(pc.is_null(cuts.column("last"))), cuts.filter(pc.is_valid(cuts.column("last"))).sort_by("last")
+    pieces = np.concatenate([t.column("pieces").to_numpy() for t in (some, nulls)]).astype(np.int64)
+    return Ranges(some.column("last").to_numpy(), pieces, max(1, batch_bytes // 8)), total
+
+
+def packed(rows: DataFrame, ranges: Ranges | None = None) -> DataFrame:
     """(batch, payload): the documents of a batch that one task has, as compressed Arrow streams.
 
-    The batch is a column, or the range of ``doc_id`` in ``bounds``. A few
+    The batch is a column, or follows from ``doc_id`` by ``ranges``. A few
     rows per task and batch are dealt instead of one per document, and texts
     next to each other compress well.
     """
@@ -99,8 +133,14 @@ def packed(rows: DataFrame, bounds: np.ndarray | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = pa.ipc.IpcWriteOptions(compression="zstd")
+        before = TaskContext.get().partitionId() * 0x9E3779B1  # tasks begin at different batches of an id that has several
         for piece in bounded(batches, "text", 4 << 20):
-            number = piece.column("batch").to_numpy() if bounds is None else np.searchsorted(bounds, piece.column("doc_id").to_numpy(), "left")
+            if ranges is None:
+                number = piece.column("batch").to_numpy()
+            else:
+                sizes = pc.binary_length(piece.column("text")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                number = ranges.batches(piece.column("doc_id"), sizes, before)
+                before += int(sizes.sum())
             order = np.argsort(number, kind="stable")
             cuts = np.append(group_starts(number[order]), len(order)).tolist()
             documents = pa.Table.from_batches([piece.select(names)])

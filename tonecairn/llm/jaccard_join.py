@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected
-from .hash_exchange import LAST, by_source, column_list, exchange_table, group_starts, pack, packed, part_runs, sizes_of, unpack, unpacked
+from .hash_exchange import by_source, column_list, exchange_table, group_starts, pack, packed, part_runs, sizes_of, unpack, unpacked
 from .shared import free_name, keep_table, read_table, shuffle_width
 from .text_blocks import Words, lowered, mix, text_bytes, whole_windows, window_hashes
 
@@ -100,7 +100,7 @@ def _first_of_class(sets: _Sets) -> np.ndarray:
 def _batched(docs: DataFrame, batch_bytes: int) -> tuple[DataFrame, int, int]:
     _, total = sizes_of(docs)
     count = max(1, -(-total // batch_bytes))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     return rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(count)).cast("int")), count, total
 
 
@@ -565,7 +565,7 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
     crossed = keep_table(_entries(known, parts, list_sets, True).groupBy("part").applyInArrow(_cross_pairs(share), "a long, b long, sure boolean").groupBy("a", "b").agg(F.max("sure").alias("sure")), "crossed")
     more = _verified(crossed.where("not sure").select("a", "b"), classes, share).where("linked").select("a", "b")
     labels = connected(first_links.union(crossed.where("sure").select("a", "b")).union(more))
-    row = F.struct("doc_id", "text_hash")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")  # a null id comes after all others
     own = table.groupBy("class").agg(F.min(row).alias("least"), F.count(F.lit(1)).alias("members"))
     joined = own.join(labels.withColumnRenamed("node", "class"), "class", "left")
     least = joined.where("label is not null").groupBy("label").agg(F.min("least").alias("first"))
@@ -575,12 +575,11 @@ def similar_components(docs: DataFrame, size: int = SHINGLE, share: tuple[int, i
         of_class = of_class.join(counts, "class", "left").withColumn("n_links", F.col("n_links") + F.coalesce("others", F.lit(0)))
     some = table.where("n_shingles > 0").join(of_class, "class", "left")
     lone = table.where("n_shingles = 0").withColumns({"first": row, "n_links": F.lit(0).cast("long")})
-    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
     names = ["doc_id", "text_hash", "n_shingles", "class", "first", "n_links"]
     return (
         some.select(*names)
         .unionByName(lone.select(*names))
-        .select(real("doc_id").alias("doc_id"), "text_hash", "n_shingles", "class", real("first.doc_id").alias("component_id"), (row == F.col("first")).alias("stays"), *(["n_links"] if links else []))
+        .select("doc_id", "text_hash", "n_shingles", "class", F.col("first.doc_id").alias("component_id"), row.eqNullSafe(F.col("first")).alias("stays"), *(["n_links"] if links else []))
     )
 
 

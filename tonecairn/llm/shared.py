@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,13 +31,22 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return path
 
 
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep_table(df: DataFrame, label: str, release: bool = True) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    With ``release`` Spark deletes the shuffle files of the write when it has ended, and not some time later.
+    """
     spark = df.sparkSession
     path = work_dir(spark, label)
-    df.write.parquet(path)
-    if release:
-        release_shuffles(spark)
+    before = spark.conf.get(_CLEAN_SHUFFLES, "false")
+    spark.conf.set(_CLEAN_SHUFFLES, "true" if release else before)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_SHUFFLES, before)
     kept = spark.read.schema(df.schema).parquet(path)
     setattr(kept, _PATH_OF, path)
     return kept
@@ -64,18 +71,6 @@ def clean_up() -> None:
     _MADE.clear()
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of queries that have ended.
-
-    It does so once the driver has collected the garbage that names them, which on a quiet driver takes long
-    enough for the files of one step to lie beside those of the next.
-    """
-    for _ in range(2):  # what the first round frees on this side, the second finds on the other
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

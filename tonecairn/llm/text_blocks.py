@@ -96,7 +96,7 @@ class Words:
     Words are what is between ``blanks``, by default the bytes x20 and x09 to x0D.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, blanks: np.ndarray | None = None) -> None:
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, blanks: np.ndarray | None = None, hashes: bool = True) -> None:
         space = (raw == 32) | ((raw >= 9) & (raw <= 13)) if blanks is None else blanks
         n, docs = len(raw), len(offsets) - 1
         first = np.empty(n, bool)
@@ -114,7 +114,8 @@ class Words:
             self.start, self.stop = np.flatnonzero(first), np.flatnonzero(last) + 1
         else:
             self.start = self.stop = np.zeros(0, np.int64)
-        self.hash = range_hashes(raw, self.start, self.stop)
+        if hashes:
+            self.hash = range_hashes(raw, self.start, self.stop)
         self.bounds = np.searchsorted(self.start, offsets)
         self.doc = np.repeat(np.arange(docs), np.diff(self.bounds))
 
