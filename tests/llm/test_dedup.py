@@ -204,3 +204,30 @@ def test_packing():
         runs = part_runs(x, 7)
         assert [i for _, a, b in runs for i in range(a, b)] == list(range(n)) and len({p for p, _, _ in runs}) == len(runs)
         assert all(p == int(v) * 7 >> 64 for p, a, b in runs for v in x[a:b])
+
+
+@pytest.mark.parametrize("hot", [20_000, 1])
+def test_equal_hashes_of_one_family_remove_nothing(monkeypatch, hot):
+    """All hashes of the first family that name contexts and strings are equal: the second and the bytes still tell them apart."""
+    import pyarrow as pa
+
+    from tonecairn.llm import suffix_dedup as sd
+
+    plain = sd.range_hashes
+    blind = lambda raw, start, stop, second=False, long=256: plain(raw, start, stop, True, long) if second else np.zeros(len(start), np.uint64)
+    r = random.Random(4)
+    text = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    centre, whole = text(120), text(260)
+    rows = [(k, text(120) + centre + text(120)) for k in range(6)] + [(10, whole), (11, "x" + whole), (12, None)]
+    stream = pa.BufferOutputStream()
+    with pa.ipc.new_stream(stream, pa.schema([("doc_id", pa.int64()), ("text", pa.string())])) as out:
+        out.write_table(pa.table({"doc_id": pa.array([i for i, _ in rows]), "text": pa.array([t for _, t in rows])}))
+    table = pa.table({"batch": pa.array([0], pa.int32()), "payload": pa.array([stream.getvalue().to_pybytes()], pa.binary())})
+    for hashes in (plain, blind):
+        monkeypatch.setattr(sd, "range_hashes", hashes)
+        fates = sd._decide(hot)(sd._send_anchors(1, 200)(table))
+        sent = sd._send_contexts(1, 200)(table, fates)
+        compared = [sd._compare(1, 200)(sent.filter(pa.compute.equal(sent.column("part"), p))) for p in set(sent.column("part").to_pylist())]
+        answers = pa.concat_tables([fates, *compared], promote_options="default")
+        got = [tuple(x.values())[:5] for x in sd._mark(1, 200, False)(table, answers).to_pylist()]
+        assert sorted(got) == strings_removed(rows) and [x[2] for x in got] == [0] * 6 + [260, 260, 0]

@@ -6,8 +6,9 @@ offsets, so a string can only repeat where its anchor repeats. The strings of
 one anchor are consecutive and make one context.
 
 1. Batches of documents exchange the hashes of their distinct anchors and
-   contexts. Strings of a context that occurs twice all repeat; those of an
-   anchor that occurs once do not.
+   contexts, a context by hashes of two families. Strings of a context that
+   occurs twice, with equal hashes of anchor and both families, all repeat;
+   those of an anchor that occurs once do not.
 2. The other contexts of a repeated anchor meet in one task. Each is cut into
    cells at fixed distances from its anchor; one suffix array of all cells,
    built by linear grouping, and its adjacent prefixes decide: two strings are
@@ -17,13 +18,13 @@ one anchor are consecutive and make one context.
 3. Each batch marks the bytes of its repeated strings.
 
 Contexts of an anchor that has more than ``hot_contexts`` of them are too many
-for one task: their strings are exchanged by their own hashes, which spread
-over all tasks, and compared that way.
+for one task: their strings are exchanged by their own hashes, of two
+families, which spread over all tasks, and compared that way.
 
 Defined results
 ---------------
 * null or empty text: no bytes, nothing removed, the digest of no bytes;
-* texts shorter than ``size`` keep all; matches never cross documents;
+* texts shorter than ``size`` keep all; matches never cross documents; very long texts are scanned whole, in a batch of at least their size;
 * every copy of a repeated string is removed, also in rows that repeat a
   document as a whole and within one document;
 * ids play no part but to be returned: null and equal ids are kept as they are;
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .hash_exchange import column_list, exchange_table, group_starts, pack, packed, part_runs, sizes_of, unpack, unpacked
 from .shared import keep_table, read_table, shuffle_width
 from .suffix_groups import adjacent_prefixes, prefix_groups, suffix_array
-from .text_blocks import TAILS, covered, eight_bytes, long_window_hashes, mix, range_hashes, text_bytes, whole_windows
+from .text_blocks import TAILS, covered, eight_bytes, long_window_hashes, mix, mix_second, range_hashes, text_bytes, whole_windows
 
 SIZE = 200
 GRAM = 100
@@ -100,10 +101,11 @@ class _Contexts:
         self.anchor, self.hash, self.first, self.last, self.size = anchor, mix(hashes ^ _U(0x2545F4914F6CDD1D)), first, last, size
         shape = mix(((last - first) * 4096 + (anchor - first)).astype(_U) + _U(1))
         self.context = mix(range_hashes(raw, first, last + size, long=2 * size) + shape)
-        self.order = np.lexsort((self.context, self.hash))
-        h, c = self.hash[self.order], self.context[self.order]
+        self.second = mix_second(range_hashes(raw, first, last + size, second=True, long=2 * size) + shape)
+        self.order = np.lexsort((self.second, self.context, self.hash))
+        h, c, d = self.hash[self.order], self.context[self.order], self.second[self.order]
         new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+        new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1])
         self.starts = np.flatnonzero(new)
         self.distinct = self.order[self.starts]
 
@@ -113,20 +115,20 @@ class _Contexts:
         out[self.order] = np.repeat(values, np.diff(np.append(self.starts, len(self.order))))
         return out
 
-    def string_keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(position, key) of all strings of the contexts ``which``; a key holds the string, its anchor and their distance."""
+    def string_keys(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(position, key, second key) of all strings of the contexts ``which``; keys hold the string, its anchor and their distance."""
         count = self.last[which] - self.first[which] + 1
         ends = np.cumsum(count)
         start = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.first[which] - (ends - count), count)
-        sums = range_hashes(self.raw, start, start + self.size, long=2 * self.size)
-        back = (np.repeat(self.anchor[which], count) - start).astype(_U)
-        return start, mix(sums + mix(np.repeat(self.hash[which], count) + back))
+        sums, more = (range_hashes(self.raw, start, start + self.size, second, 2 * self.size) for second in (False, True))
+        where = np.repeat(self.hash[which], count) + (np.repeat(self.anchor[which], count) - start).astype(_U)
+        return start, mix(sums + mix(where)), mix_second(more + mix_second(where))
 
 
 def _send_anchors(parts: int, size: int):
     def run(table: pa.Table) -> pa.Table:
         x = _Contexts(unpacked(table).column("text").combine_chunks(), size)
-        hashes, contexts = x.hash[x.distinct], x.context[x.distinct]
+        hashes, contexts, seconds = (v[x.distinct] for v in (x.hash, x.context, x.second))
         often = np.minimum(np.diff(np.append(x.starts, len(x.order))), 2).astype(np.uint8)
         batch = table.column("batch")[0].as_py()
         full = part_runs(hashes, parts)
@@ -136,6 +138,7 @@ def _send_anchors(parts: int, size: int):
                 "batch": ([batch] * len(full), pa.int32()),
                 "anchors": ([pack(hashes[a:b]) for _, a, b in full], pa.binary()),
                 "contexts": ([contexts[a:b].tobytes() for _, a, b in full], pa.binary()),
+                "seconds": ([seconds[a:b].tobytes() for _, a, b in full], pa.binary()),
                 "often": ([often[a:b].tobytes() for _, a, b in full], pa.binary()),
             }
         )
@@ -150,14 +153,14 @@ def _decide(hot_contexts: int):
         lists = [unpack(b) for b in column_list(table, "anchors")]
         sizes = [len(x) for x in lists]
         anchors = np.concatenate(lists)
-        contexts = np.frombuffer(b"".join(column_list(table, "contexts")), _U)
+        contexts, seconds = (np.frombuffer(b"".join(column_list(table, k)), _U) for k in ("contexts", "seconds"))
         often = np.frombuffer(b"".join(column_list(table, "often")), np.uint8).astype(np.int64)
-        order = np.lexsort((contexts, anchors))
-        a, c, o = anchors[order], contexts[order], often[order]
+        order = np.lexsort((seconds, contexts, anchors))
+        a, c, d, o = anchors[order], contexts[order], seconds[order], often[order]
         fate = np.zeros(len(order), np.uint8)
         if len(order):
             new_a = np.concatenate([[True], a[1:] != a[:-1]])
-            new_c = new_a | np.concatenate([[True], c[1:] != c[:-1]])
+            new_c = new_a | np.concatenate([[True], (c[1:] != c[:-1]) | (d[1:] != d[:-1])])
             start_c = np.flatnonzero(new_c)
             each = np.add.reduceat(o, start_c)
             single = each == 1
@@ -214,10 +217,13 @@ def _send_contexts(parts: int, size: int):
                 column.append(value)
         hot = np.flatnonzero((fates == _HOT_COMPARED) | (fates == _HOT_JUDGED))
         if len(hot):
-            keys = np.sort(x.string_keys(x.distinct[hot])[1])
-            keys = keys[np.concatenate([[True, True], keys[2:] != keys[:-2]])[: len(keys)]]  # two are as good as more
+            _, keys, more = x.string_keys(x.distinct[hot])
+            order = np.lexsort((more, keys))
+            keys, more = keys[order], more[order]
+            few = np.concatenate([[True, True], (keys[2:] != keys[:-2]) | (more[2:] != more[:-2])])[: len(keys)]  # two are as good as more
+            keys, more = keys[few], more[few]
             for p, a, b in part_runs(keys, parts):
-                for (column, _), value in zip(out.values(), (parts + p, batch, pack(keys[a:b]), None, None, None), strict=True):
+                for (column, _), value in zip(out.values(), (parts + p, batch, pack(keys[a:b]), None, None, more[a:b].tobytes()), strict=True):
                     column.append(value)
         return exchange_table(out)
 
@@ -293,13 +299,15 @@ def _compare(parts: int, size: int):
         sizes = np.array([len(x) for x in lists])
         hashes = np.concatenate(lists)
         if part >= parts:
-            at = np.argsort(hashes, kind="stable")
-            starts = group_starts(hashes[at])
-            times = np.diff(np.append(starts, len(hashes)))
+            more = np.frombuffer(b"".join(column_list(table, "bytes")), _U)
+            at = np.lexsort((more, hashes))
+            new = np.ones(len(at), bool)
+            new[1:] = (hashes[at][1:] != hashes[at][:-1]) | (more[at][1:] != more[at][:-1])
+            times = np.diff(np.append(np.flatnonzero(new), len(at)))
             many = np.empty(len(hashes), bool)
             many[at] = np.repeat(times > 1, times)
             cuts = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-            answers = [pack(hashes[a:b][many[a:b]]) for a, b in zip(cuts, cuts[1:])]
+            answers = [np.stack([v[a:b][many[a:b]] for v in (hashes, more)]).tobytes() for a, b in zip(cuts, cuts[1:])]
         else:
             shapes = np.frombuffer(b"".join(column_list(table, "shapes")), np.uint16).reshape(-1, 2)
             judged = np.frombuffer(b"".join(column_list(table, "judged")), bool)
@@ -353,18 +361,22 @@ def _mark(parts: int, size: int, with_bytes: bool):
                 if part < parts:
                     bits[part] = raw
                 else:
-                    keys.append(unpack(raw))
+                    keys.append(np.frombuffer(raw, _U).reshape(2, -1))
             judged = x.distinct[fates == _JUDGED]
             for p, a, b in part_runs(x.hash[judged], parts):
                 where = spread(judged[a:b])
                 starts.append(where[np.unpackbits(np.frombuffer(bits[p], np.uint8), count=len(where)).astype(bool)])
             hot = np.flatnonzero(fate == _HOT_JUDGED)
             if len(hot) and keys:
-                known = np.sort(np.concatenate(keys))
-                where, own = x.string_keys(hot)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    starts.append(where[known[at] == own])
+                known = np.hstack(keys)
+                known = known[:, np.lexsort(known[::-1])]
+                where, own, more = x.string_keys(hot)
+                at, stop = (np.searchsorted(known[0], own, side) for side in ("left", "right"))
+                again, open_ = np.zeros(len(own), bool), np.arange(len(own))
+                while len(open_ := open_[(at[open_] < stop[open_]) & ~again[open_]]):  # equal first keys stand next to each other
+                    again[open_] = known[1][at[open_]] == more[open_]
+                    at[open_] += 1
+                starts.append(where[again])
         gone = covered(np.concatenate(starts), size, n)
         total = np.concatenate([[0], np.cumsum(gone)])
         begins = gone.copy()
@@ -399,7 +411,7 @@ def remove_repeated_strings(docs: DataFrame, size: int = SIZE, with_bytes: bool
         F.pmod(F.xxhash64(F.col("doc_id"), "text"), F.lit(count)).cast("int").alias("batch"), F.col("doc_id").cast("long").alias("doc_id"), "text"
     )
     batches = packed(rows)
-    sent = batches.groupBy("batch").applyInArrow(_send_anchors(parts, size), "part int, batch int, anchors binary, contexts binary, often binary")
+    sent = batches.groupBy("batch").applyInArrow(_send_anchors(parts, size), "part int, batch int, anchors binary, contexts binary, seconds binary, often binary")
     fates = keep_table(sent.groupBy("part").applyInArrow(_decide(hot_contexts), "batch int, part int, fates binary"), "fates")
     contexts = batches.groupBy("batch").cogroup(fates.groupBy("batch")).applyInArrow(_send_contexts(parts, size), _SENT)
     # a set number of tasks: few bytes make much work here, so small partitions must not be joined
