@@ -68,3 +68,75 @@ def test_stages_on_odd_rows(spark, folder):
     got = {str(r["doc_id"]): r["n_ids"] for r in encoded.collect()}
     assert encoded.count() == 6 and got["2"] == got["None"] == 0 and got["4"] > 0
     assert pieces.stage_encode(spark, docs.limit(0), folder).count() == 0
+
+
+def grown(x, y, trees, depth, bins, rate, shrink, leaf_rows):
+    """The scores of boosting written with plain loops."""
+    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(x.shape[1])]
+    margin = np.full(len(x), math.log(y.mean() / (1 - y.mean())))
+
+    def value(rows, grad, hess):
+        return -rate * sum(grad[i] for i in rows) / (sum(hess[i] for i in rows) + shrink)
+
+    def split(rows, grad, hess, level):
+        if level == depth:
+            return [(rows, value(rows, grad, hess))]
+        worth = lambda some: sum(grad[i] for i in some) ** 2 / (sum(hess[i] for i in some) + shrink)
+        best = (1e-6, None)
+        for j, cuts in enumerate(edges):
+            for cut in cuts:
+                low, high = [i for i in rows if x[i, j] <= cut], [i for i in rows if x[i, j] > cut]
+                if min(len(low), len(high)) >= leaf_rows and (gain := worth(low) + worth(high) - worth(rows)) > best[0] + 1e-9:
+                    best = (gain, (low, high))
+        if best[1] is None:
+            return [(rows, value(rows, grad, hess))]
+        return [leaf for side in best[1] for leaf in split(side, grad, hess, level + 1)]
+
+    for _ in range(trees):
+        prob = 1 / (1 + np.exp(-margin))
+        step = np.zeros(len(x))
+        for rows, v in split(list(range(len(x))), prob - y, prob * (1 - prob), 0):
+            step[rows] = v
+        margin = margin + step
+    return 1 / (1 + np.exp(-margin))
+
+
+def test_the_trainer_equals_plain_loops():
+    r = np.random.default_rng(7)
+    x = r.standard_normal((150, 3))
+    y = ((x[:, 0] + 0.5 * x[:, 1] * x[:, 2] + 0.3 * r.standard_normal(150)) > 0).astype(float)
+    how = dict(trees=4, depth=3, bins=8, rate=0.3, shrink=1.0, leaf_rows=6)
+    assert np.allclose(quality.fit(x, y, **how).score(x), grown(x, y, **how))
+
+
+def test_held_out_is_the_crc_of_the_decimal_id(spark):
+    import zlib
+
+    from pyspark.sql import functions as F
+
+    from tonecairn.llm.shared import is_held_out
+
+    ids = [0, 1, -1, 12345, 2**63 - 1, -(2**63), *range(100, 200), None]
+    got = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in ids], "i long").select("i", is_held_out(F.col("i")).alias("h")).collect()}
+    assert got == {i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1 for i in ids}
+
+
+def test_the_sample_is_bounded_where_ids_repeat(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda x, y, **_: seen.append(len(y)))
+    docs = spark.createDataFrame([(k % 3, f"text {k}") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    quality.train(docs, labels, sample_rows=15)
+    assert seen == [15]
+
+
+def test_roles_of_any_characters_come_back(spark):
+    from pyspark.sql import functions as F
+
+    from tonecairn.llm import chat_format
+
+    odd = ["a\0b", "a\\b", "\\", "\\n", "\\s", "\\\\s\n", "\n", "<|im_end|>", "<\\|", "<\\\\|x", "\0", "\\\0n", "é\\n\0", ""]
+    rows = [(k, t, role, text) for k, role in enumerate(odd) for t, text in enumerate(odd)]
+    done = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in done.select("conv_id", chat_format.read_back(F.col("formatted")).alias("back")).collect():
+        assert [(x["role"], x["text"]) for x in r["back"]] == [(odd[r["conv_id"]], t) for t in odd]

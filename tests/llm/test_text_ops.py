@@ -314,7 +314,7 @@ def test_sql_equals_queries_on_the_smallest_tables(spark):
     from tonecairn.llm import queries
 
     con = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "labels"):
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     for name, sql in queries.SQL.items():
         frame = queries.QUERIES[name](spark, folder)

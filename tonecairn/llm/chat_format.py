@@ -16,6 +16,8 @@ Defined results
   the conversation invalid;
 * null ``conv_id``: a conversation of its own; null ``turn``: sorts first;
 * repeated turns (ties): ordered by turn, role, text; every row is kept;
+* any character may be in a text or role, NUL, backslashes and control strings of the template included: all come back;
+* very long texts are formatted whole;
 * empty table: no rows; other columns of the input are not read.
 """
 
@@ -65,12 +67,12 @@ def unescape(text: Column) -> Column:
 
 
 def _escape_role(role: Column) -> Column:
-    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
+    r"""A backslash as ``\s``, a line break as ``\n``: a backslash of the result is followed by one of these, so either can be undone by itself."""
+    return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\s")), F.lit("\n"), F.lit("\\n")))
 
 
 def _unescape_role(role: Column) -> Column:
-    plain = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    return F.replace(F.replace(unescape(role), F.lit("\\n"), F.lit("\n")), F.lit("\\s"), F.lit("\\"))
 
 
 def _around(pattern: str, role: Column) -> Column:

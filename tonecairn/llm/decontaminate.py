@@ -20,22 +20,28 @@ Defined results
   match nothing;
 * items with equal texts each have rows of their own; repeated documents too;
 * ties between tiles of one length: the first in the document, then in the item;
+* very long texts: matched whole, one text at a time if one exceeds a batch;
 * an empty table gives no rows; other input columns are not read.
+
+A block's index has six numbers of eight bytes for a token, which is about twelve
+times the block's text: ``block_bytes`` bounds what is broadcast.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hash_exchange import group_starts
-from .shared import keep_table, read_table, text_batches
+from .shared import free_name, keep_table, read_table, text_batches
 from .text_blocks import Words, bounded, long_window_hashes, text_bytes, whole_windows, window_hashes
 
 SEED = 5
@@ -234,33 +240,57 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, c
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` that reach ``coverage`` of no item."""
+    """The rows of ``docs`` that reach ``coverage`` of no item.
+
+    The last block of the benchmark filters the rows as they are read. Of
+    those before it only digests of the texts that contain an item are
+    written, and such texts are left out by an anti-join at the end.
+    """
 
     def clean(items: Items, batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = np.ones(batch.num_rows, bool)
         keep[[m[0] for m in items.matches(batch.column("text"), coverage)]] = False
         return batch.filter(pa.array(keep))
 
-    left = [docs]
-    for made, last in _each_block(left, benchmark, clean, docs.schema, seed, block_bytes):
-        left[0] = made if last else keep_table(made, "clean", release=False)
-    return left[0]
+    def named(items: Items, batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts = batch.column("text")
+        rows = sorted({m[0] for m in items.matches(texts, coverage)})
+        digests = {hashlib.sha256(texts[d].as_py().encode()).hexdigest() for d in rows}
+        return pa.RecordBatch.from_arrays([pa.array(sorted(digests), pa.string())], names=["digest"])
+
+    texts, bad, left = docs.select("text"), [], docs
+    for block, last in item_blocks(benchmark, seed, block_bytes):
+        if last:
+            left = _with_block(docs, block, clean, docs.schema)[0]
+        else:
+            made, shared = _with_block(texts, block, named, "digest string")
+            bad.append(keep_table(made.distinct(), "named", release=False))
+            shared.destroy()
+    if not bad:
+        return left
+    gone = functools.reduce(DataFrame.union, bad).distinct().withColumnRenamed("digest", own := free_name(docs, "_digest"))
+    return left.withColumn(own, F.sha2(F.col("text").cast("binary"), 256)).join(gone, own, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+
 
+def _with_block(rows: DataFrame, block: Items, run, schema) -> tuple[DataFrame, Broadcast]:
+    """What ``run`` makes of the rows with a block, and the broadcast block."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
-def _each_block(rows: DataFrame | list[DataFrame], benchmark: DataFrame, run, schema, seed: int, block_bytes: int) -> Iterator[tuple[DataFrame, bool]]:
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches, "text"):
+            yield run(shared.value, batch)
+
+    return text_batches(rows).mapInArrow(over, schema), shared
+
+
+def _each_block(rows: DataFrame, benchmark: DataFrame, run, schema, seed: int, block_bytes: int) -> Iterator[tuple[DataFrame, bool]]:
     """(what ``run`` makes of the rows with one block, whether it is the last); a block is dropped when the next one is asked for."""
     shared = None
     for block, last in item_blocks(benchmark, seed, block_bytes):
         if shared is not None:
             shared.destroy()
-        now = rows[0] if isinstance(rows, list) else rows
-        shared = now.sparkSession.sparkContext.broadcast(block)
-
-        def over(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in bounded(batches, "text"):
-                yield run(shared.value, batch)
-
-        yield text_batches(now).mapInArrow(over, schema), last
+        made, shared = _with_block(rows, block, run, schema)
+        yield made, last
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,5 +299,8 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go.
+
+    A null id or text, repeated rows and ids that tie change nothing for other rows: each is judged by its own text; no rows, no rows.
+    """
     return without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))

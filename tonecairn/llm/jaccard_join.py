@@ -594,7 +594,10 @@ def op2_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component stays: that with the smallest id. Of rows that repeat it as a whole, one stays."""
+    """One document of each component stays: that with the smallest id. Of rows that repeat it as a whole, one stays.
+
+    A null id comes after all others; texts without words are linked with nothing and all stay; no rows, no rows.
+    """
     key_id, key_hash, own = (free_name(docs, n) for n in ("_id", "_hash", "_text"))
     kept = keep_table(
         similar_components(docs).where("stays").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies")), "kept"

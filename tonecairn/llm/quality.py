@@ -15,6 +15,7 @@ Defined results
 * null id: not held out; null label: not learned from; ids that repeat in
   ``labels``: each row is learned from; a repeated document: each is scored;
 * no labels, or one class only: every score is that class's share (0.5 if none);
+* very long texts: statistics of the whole text, one text at a time if one exceeds a batch;
 * empty ``documents``: no rows; other input columns are not read and come to no harm.
 """
 
@@ -27,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from .shared import is_held_out, read_table, text_batches
 from .text_blocks import Words, bounded, lowered, text_bytes, window_hashes
@@ -198,15 +200,18 @@ def _one(out: list[list], root: int, x: np.ndarray, depth: int) -> np.ndarray:
     return tree.value[node]
 
 
-def _statistics_frame(docs: DataFrame, extra: str, kind: str) -> DataFrame:
+def _statistics_frame(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns ``keep`` and the statistics of every row."""
+    schema = docs.select(*keep).schema.add("statistics", ArrayType(DoubleType()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded(batches, "text"):
             x = statistics(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(extra), pa.array(list(x), pa.list_(pa.float64()))], names=[extra, "statistics"]
+                [*(batch.column(c) for c in keep), pa.array(list(x), pa.list_(pa.float64()))], names=[*keep, "statistics"]
             )
 
-    return text_batches(docs.select(extra, "text")).mapInArrow(run, f"{extra} {kind}, statistics array<double>")
+    return text_batches(docs.select(*keep, "text")).mapInArrow(run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Boosted:
@@ -218,7 +223,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = 12_000) -> Boos
         .limit(sample_rows)
     )
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known), "doc_id")
-    rows = _statistics_frame(picked.withColumn("label", F.col("quality")), "label", "int").toPandas()
+    found = _statistics_frame(picked.withColumn("place", F.xxhash64("doc_id")).withColumnRenamed("quality", "label"), ["place", "doc_id", "label"])
+    # ids that repeat in the documents bring more rows than labels, so the bound holds once more
+    rows = found.orderBy("place", "doc_id", "label", F.xxhash64("statistics")).limit(sample_rows).toPandas()
     if not len(rows):
         return fit(np.zeros((0, len(STATISTICS))), np.zeros(0))
     order = np.lexsort(np.stack(rows["statistics"]).T[::-1])  # the same sums whatever the partitions were
@@ -262,6 +269,9 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null or empty text has a score like any other; repeated rows and ids that tie share their text's fate; no rows, no rows.
+    """
     model = train(docs, read_table(spark, sf_dir, "labels"))
     return above(docs, model)

@@ -16,6 +16,7 @@ Defined results
   is the response, the others revisit it; rows that repeat that ``page_id``
   are responses too; a null ``page_id`` sorts last, and where all are null
   each row is a response;
+* very long pages: one record each, written and read whole;
 * empty table: no archive and no rows; other input columns are not read.
 """
 
