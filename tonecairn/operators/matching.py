@@ -5,6 +5,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..sources.tables import cut
+from .quantiles import quantiles
 
 
 def greedy_match(vectors: np.ndarray, floor_share: float = 0.2) -> list[tuple[int, int, float]]:
@@ -31,22 +35,90 @@ def greedy_match(vectors: np.ndarray, floor_share: float = 0.2) -> list[tuple[in
     return out
 
 
-def match_groups(rows: DataFrame) -> DataFrame:
-    """label, a, b, distance for rows (label, vec_id, v). A group is one wavetable set, bounded by what one device holds."""
-
-    def run(table: pa.Table) -> pa.Table:
-        ids = table.column("vec_id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        vectors = np.array(table.column("v").to_pylist(), float)[order]
-        found = greedy_match(vectors)
-        ids, label = ids[order], table.column("label")[0].as_py()
-        return pa.table(
-            {
-                "label": pa.array([label] * len(found), pa.int32()),
-                "a": pa.array([int(ids[x]) for x, _, _ in found], pa.int64()),
-                "b": pa.array([int(ids[y]) for _, y, _ in found], pa.int64()),
-                "distance": pa.array([round(d, 6) for _, _, d in found], pa.float64()),
-            }
-        )
+_BLOCK = 1024  # vectors of a block: a task compares two blocks
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` (label, vec_id, z) once for each pair of blocks of its label that it is in; ``asks`` says whether its partners are sought."""
+    blocks = rows.groupBy(F.col("label").alias("_l")).agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("blocks"))
+    own = rows.join(blocks, F.col("label").eqNullSafe(F.col("_l"))).withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("p"), F.greatest("own", o).alias("q")))
+    return own.select("label", "vec_id", "z", "asks", "own", F.explode(pair).alias("at")).select("label", "vec_id", "z", "asks", "own", "at.p", "at.q")
+
+
+def nearest_of(rows: DataFrame, floors: DataFrame | None, k: int) -> DataFrame:
+    """(label, a, near, more): for every vector that asks the ``k`` nearest others of its label, as (distance, b); whether there are more.
+
+    Vectors nearer than the label's ``floor`` don't count. Blocks meet in pairs, a task has two blocks whatever a label holds, and sends on
+    at most ``k`` partners for each vector.
+    """
+    dealt = _dealt(rows)
+    dealt = dealt.join(F.broadcast(floors), F.col("label").eqNullSafe(F.col("_l")), "left").drop("_l") if floors is not None else dealt.withColumn("floor", F.lit(0.0))
+
+    def run(key, table):
+        ids, own, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("vec_id", "own", "asks"))
+        z = np.array(table.column("z").to_pylist(), np.float64).reshape(len(ids), -1)
+        p, q, floor = key[1].as_py(), key[2].as_py(), table.column("floor")[0].as_py() or 0.0
+        sides = [(own == p, own == q)] if p == q else [(own == p, own == q), (own == q, own == p)]
+        label, a, near, more = [], [], [], []
+        for left, right in sides:
+            to = np.flatnonzero(right)
+            to = to[np.argsort(ids[to])]
+            for i in np.flatnonzero(left & asks).tolist():
+                d = np.round(np.sqrt(((z[to] - z[i]) ** 2).sum(1)), 9)
+                good = np.flatnonzero((d >= floor) & (ids[to] != ids[i]))
+                first = good[np.argsort(d[good], kind="stable")[:k]]
+                a.append(int(ids[i]))
+                near.append([{"d": x, "b": y} for x, y in zip(d[first].tolist(), ids[to[first]].tolist())])
+                more.append(len(good) > k)
+                label.append(key[0].as_py())
+        kinds = {"label": pa.int32(), "a": pa.int64(), "near": pa.list_(pa.struct([("d", pa.float64()), ("b", pa.int64())])), "more": pa.bool_()}
+        return pa.table({c: pa.array(v, t) for (c, t), v in zip(kinds.items(), (label, a, near, more), strict=True)})
+
+    found = dealt.groupBy("label", "p", "q").applyInArrow(run, "label int, a long, near array<struct<d:double,b:long>>, more boolean")
+    whole = found.groupBy("label", "a").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"), F.max("more").alias("more"))
+    return whole.select("label", "a", F.slice("near", 1, k).alias("near"), (F.col("more") | (F.size("near") > k)).alias("more"))
+
 
-    return rows.groupBy("label").applyInArrow(run, "label int, a long, b long, distance double")
+def match_groups(rows: DataFrame, floor_share: float = 0.2, k: int = 16) -> DataFrame:
+    """(label, a, b, distance) for rows (label, vec_id, z): pairs by ascending (distance, a, b), each vector used once.
+
+    Pairs below the ``floor_share`` quantile of the label's least distances are
+    passed over. A round pairs all vectors that are each other's nearest left:
+    such a pair comes before all others of both in the order of distances, so
+    rounds give what going through all pairs in that order would. A vector
+    whose ``k`` known partners are all used asks anew among those that are left.
+    Vectors are compared with all others of their label, which is quadratic in a
+    label; no task holds more than two blocks of it, and rounds move pairs only.
+    """
+    rows = cut(rows.select(F.col("label").cast("int").alias("label"), F.col("vec_id").cast("long").alias("vec_id"), "z").where("vec_id IS NOT NULL"))
+    asking = rows.withColumn("asks", F.lit(True))
+    least = nearest_of(asking, None, 1).select("label", F.get("near", F.lit(0))["d"].alias("d"))
+    floors = cut(quantiles(least, ["label"], "d", floor_share).select(F.col("label").alias("_l"), F.col("quantile").alias("floor")))
+    lists = cut(nearest_of(asking, floors, k))
+    done: DataFrame | None = None
+    while True:
+        best = lists.where(F.size("near") > 0).select("label", "a", F.get("near", F.lit(0))["d"].alias("d"), F.get("near", F.lit(0))["b"].alias("b"))
+        back = best.select(F.col("label").alias("_l"), F.col("a").alias("b"), F.col("b").alias("a"))
+        same = F.col("label").eqNullSafe(F.col("_l"))
+        pairs = cut(best.where("a < b").join(back, ["a", "b"]).where(same).select("label", "a", "b", F.col("d").alias("distance")))
+        if pairs.isEmpty():
+            break
+        done = pairs if done is None else done.union(pairs)
+        used = pairs.select("label", "a").union(pairs.select("label", "b")).select(F.col("label").alias("_l"), F.col("a").alias("_u"))
+        left = lists.join(used, same & (F.col("a") == F.col("_u")), "left_anti")
+        # partners that are used leave the lists: a row for each that stays, and one for vectors that have none
+        flat = left.select("label", "a", "more", F.explode_outer("near").alias("n"))
+        kept = flat.join(used, same & (F.col("n.b") == F.col("_u")), "left_anti")
+        lists = cut(
+            left.select("label", "a", "more")
+            .join(kept.groupBy("label", "a").agg(F.array_sort(F.collect_list("n")).alias("near")).withColumnsRenamed({"label": "_l", "a": "_a"}), same & (F.col("a") == F.col("_a")), "left")
+            .select("label", "a", F.coalesce("near", F.array().cast("array<struct<d:double,b:long>>")).alias("near"), "more")
+        )
+        dry = lists.where((F.size("near") == 0) & F.col("more"))
+        if not dry.isEmpty():
+            there = lists.select(F.col("label").alias("_l"), "a", (F.col("more") & (F.size("near") == 0)).alias("asks"))
+            again = rows.join(there, same & (F.col("vec_id") == F.col("a"))).select("label", "vec_id", "z", "asks")
+            lists = cut(lists.where((F.size("near") > 0) | ~F.col("more")).unionByName(nearest_of(again, floors, k)))
+    empty = lists.select("label", "a", F.col("a").alias("b"), F.lit(0.0).alias("distance")).limit(0)
+    return empty if done is None else done
