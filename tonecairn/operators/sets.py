@@ -9,11 +9,12 @@ samples of a set, a kit category, and the report of notes without a loop.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import signal as S
-from . import envelope, loops
+from ..sources.memo import KEY, Counted, Memo, code_digest
+from . import envelope, loops, spectra
 
 FEATURES = (
     "set_id string, sample_id long, note int, velocity int, take int, lead long, trail long, peak double, classification string, modulation_s double, "
@@ -50,6 +51,28 @@ def analyse(samples: DataFrame, loop: bool = True, bpm: float | None = None, dru
     return envelope.per_signal(samples.select(*keys, "rate", "xs", "note_off"), FEATURES, kernel)
 
 
+_IDENTITY = ["set_id", "sample_id", "note", "velocity", "take"]
+MEMO_DDL = ", ".join(c for c in FEATURES.split(", ") if c.split()[0] not in _IDENTITY)
+
+
+def memo_of(spark: SparkSession, folder: str) -> Memo:
+    """A memo of what ``analyse`` finds."""
+    return Memo(spark, folder, MEMO_DDL)
+
+
+def analyse_memoised(samples: DataFrame, kept: Memo, loop: bool = True, bpm: float | None = None, drums: bool = False) -> tuple[DataFrame, Counted]:
+    """``analyse``, but samples whose audio, note and settings have been analysed by the same code are looked up; and what the pass met."""
+
+    def kernel(missing: DataFrame) -> DataFrame:
+        found = analyse(missing.withColumn("set_id", F.col(KEY)), loop, bpm, drums)
+        return found.withColumnRenamed("set_id", KEY)
+
+    config = {"loop": loop, "bpm": bpm, "drums": drums}
+    fields = ["note", "velocity", "take", "rate", "xs", "note_off"]
+    done, met = kept.through(samples.select("set_id", "sample_id", *fields), fields, kernel, config, code_digest(envelope, loops, spectra))
+    return done.select(*(c.split()[0] for c in FEATURES.split(", "))), met
+
+
 def verdicts(features: DataFrame, seen: float = 0.30, agreed: float = 0.15) -> DataFrame:
     """(set_id, verdict, profile, period_s, rows): the most frequent class; rhythm where enough rows have a period and agree on it."""
     good = features.where("error is null").withColumn("class", F.when(F.col("classification") == "pluck", "pluck").otherwise("sustained"))

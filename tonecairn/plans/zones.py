@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.quantiles import quantiles
 from ..sources.tables import read
 
 VIEW = "WITH z AS (SELECT l_suppkey AS preset, l_partkey % 128 AS note, CAST(l_quantity AS BIGINT) AS velocity, CAST(l_linenumber AS BIGINT) AS rr, l_discount AS gain, l_returnflag = 'A' AS looped, l_orderkey AS file, l_extendedprice AS price, l_tax AS pan, l_linestatus AS status, l_shipdate AS shipped FROM lineitem)"
@@ -108,6 +109,12 @@ def medians(spark, sf_dir):
     return g.select("preset", "median", F.element_at("vs", (F.floor(F.size("vs") / 2) + 1).cast("int")).alias("upper"), F.round("fifth", 6).alias("fifth"))
 
 
+def price_quantiles(spark, sf_dir):
+    """Median, upper median and lower fifth of the prices of a whole return flag: groups that no task holds."""
+    found = quantiles(read(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 0.5, 0.2)
+    return found.select("l_returnflag", "n", F.round("quantile", 6).alias("median"), F.col("upper"), F.round("quantile_2", 6).alias("fifth"))
+
+
 def ref_gain(spark, sf_dir):
     """Gain under the preset's largest; less than a hundredth counts as none."""
     z = zones(spark, sf_dir).groupBy("preset", "note").agg(F.max("gain").alias("gain"))
@@ -178,6 +185,8 @@ SQL = {
     "thin_notes": "WITH RECURSIVE n AS (SELECT DISTINCT l_suppkey AS preset, l_partkey % 128 AS note FROM lineitem), k AS (SELECT preset, min(note) AS note FROM n GROUP BY 1 UNION ALL SELECT preset, (SELECT min(n.note) FROM n WHERE n.preset = k.preset AND n.note >= k.note + 3) FROM k WHERE note IS NOT NULL) SELECT * FROM k WHERE note IS NOT NULL",
     "loop_vote": VIEW + """ SELECT preset, note, count(*) FILTER (looped) * 2 >= count(*) AS loop_on, count(*) FILTER (looped) * 2 > count(*) AS looping_profile,
         count(*) FILTER (looped) * 2 < count(*) AS fade FROM z GROUP BY 1, 2""",
+    "price_quantiles": """SELECT l_returnflag, count(*) AS n, round(median(l_extendedprice), 6) AS median, list_sort(list(l_extendedprice))[count(*) // 2 + 1] AS upper,
+        round(quantile_cont(l_extendedprice, 0.2), 6) AS fifth FROM lineitem GROUP BY 1""",
     "medians": VIEW + " SELECT preset, median(velocity) AS median, list_sort(list(velocity))[count(*) // 2 + 1] AS upper, round(quantile_cont(velocity, 0.2), 6) AS fifth FROM z GROUP BY 1",
     "ref_gain": VIEW + """, g AS (SELECT preset, note, max(gain) AS gain FROM z GROUP BY 1, 2), d AS (SELECT preset, note, round(gain - max(gain) OVER (PARTITION BY preset), 6) AS d FROM g)
         SELECT preset, note, CASE WHEN abs(d) < 0.01 THEN 0.0 ELSE d END AS gain FROM d""",
