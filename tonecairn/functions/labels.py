@@ -37,11 +37,11 @@ NOTE_SHAPES = (
 
 
 def parsed_note(stem: Column) -> Column:
-    """Note and take number of a file's stem; the first shape that it has decides, and a note outside 0..127 is none. Without a take it is the first."""
+    """Note, take and whether a number gave the take, of a file's stem; the first shape that it has decides, and a note outside 0..127 is none. Without a take it is the first."""
     part = lambda k: F.coalesce(*(F.when(stem.rlike("(?i)" + s), F.regexp_extract(stem, "(?i)" + s, k)) for s in NOTE_SHAPES))
     letter = F.concat(F.upper(F.substring(part(1), 1, 1)), F.lower(F.substring(part(1), 2, 1)))
     note = note_of(letter, part(2).try_cast("long"))
-    return F.when(note.isNotNull(), F.struct(note.cast("int").alias("note"), F.coalesce(part(3).try_cast("int"), F.lit(1)).alias("take")))
+    return F.when(note.isNotNull(), F.struct(note.cast("int").alias("note"), F.coalesce(part(3).try_cast("int"), F.lit(1)).alias("take"), part(3).try_cast("int").isNotNull().alias("numbered")))
 
 
 # What a word is made of, and white space, in Unicode's terms.

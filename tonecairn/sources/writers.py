@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import io
 import posixpath
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import sanitised
-from . import programs, readers, riff
+from . import libraries, mappings, programs, readers, riff
 
 # Frames of a table's window, the chunk that tells a table from other files, the peak that a dump is brought to.
 WINDOW, TABLE_CHUNK, DUMP_PEAK_DB = 2048, b"clm ", -1.0
@@ -138,13 +140,13 @@ def loop_candidates(samples: DataFrame, most: int = 1_000_000) -> DataFrame:
 _SHIPPED = "plan string, name string, status string, file string, source string, note int, key_low int, key_high int, vel_low int, vel_high int, loop_start long, loop_stop long, frames long, error string"
 
 
-def _zones_of(kind: str, path: str, files: list[str] | None, note: int | None) -> list[dict]:
-    """The zones of a plan's source, whatever its kind; raises where it takes a host to render it."""
+def _zones_of(kind: str, path: str, samples: list[dict]) -> list[dict]:
+    """The zones of a plan's source, whatever its kind; raises where it takes a host to render it. ``samples``: what a library's folder plays."""
     if kind in ("wavetable", "granular"):
         return [{"file": path, "root": 60, "key_low": 0, "key_high": 127, "vel_low": 0, "vel_high": 127}]
-    if kind == "library" and files:
-        return [{"file": f, "root": 60 + k if note is None else note, "key_low": 60 + k, "key_high": 60 + k, "vel_low": 0, "vel_high": 127} for k, f in enumerate(files)]
-    read = {"sfz": readers._sfz_rows, "kontakt": readers._program_rows}.get(kind)
+    if kind == "library":
+        return [{"file": s["file"], "root": s["note"], "key_low": s["note"], "key_high": s["note"], "vel_low": 0, "vel_high": 127} for s in samples]
+    read = {"sfz": readers._sfz_rows, "kontakt": readers._program_rows, "bitwig": lambda path, raw: packed_zones(raw)}.get(kind)
     if read is None:
         raise programs.NotReadable(f"a {kind} source needs a host")
     beside = readers.Beside(path)
@@ -154,6 +156,14 @@ def _zones_of(kind: str, path: str, files: list[str] | None, note: int | None) -
     return [z for z in read(path, raw) if not z.get("error")]
 
 
+def packed_zones(archive: bytes) -> list[dict]:
+    """Zones of a multisample archive with the bytes of their samples; a sample that isn't in the archive is left out."""
+    with zipfile.ZipFile(io.BytesIO(archive)) as z:
+        inside = {n.lower(): n for n in z.namelist()}
+        found = [(zone, inside.get((zone["file"] or "").lower())) for zone in mappings.multisample_zones(archive)]
+        return [zone | {"data": z.read(name)} for zone, name in found if name is not None]
+
+
 def run_plans(plans: DataFrame, out: str) -> DataFrame:
     """Ship every plan's samples under ``out``: one row per file written, or one per plan that wasn't run, with its status.
 
@@ -185,13 +195,17 @@ def run_plans(plans: DataFrame, out: str) -> DataFrame:
                 full = [{k: r.get(k) for k in names} for r in rows]
                 yield pa.RecordBatch.from_pylist(full, pa.schema([(k, kinds[t]) for k, t in (x.split() for x in _SHIPPED.split(", "))]))
 
-    return named.select("path", "name", "source_type", "source_path", "files", "place", "nth", "error").mapInArrow(run, _SHIPPED)
+    played = libraries.samples(plans).groupBy(F.col("plan").alias("path")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("error").isNull(), F.struct("note", "take", "file")))).alias("samples"), F.max("error").alias("_unread")
+    )
+    known = named.join(played, "path", "left").withColumn("error", F.coalesce("error", "_unread"))
+    return known.select("path", "name", "source_type", "source_path", "samples", "place", "nth", "error").mapInArrow(run, _SHIPPED)
 
 
 def _ship(plan: dict, folder: str) -> list[dict]:
     rows, taken = [], set()
-    for z in _zones_of(plan["source_type"], plan["source_path"], plan["files"], None):
-        raw = readers.Beside(z["file"]).read(posixpath.basename(z["file"]))
+    for z in _zones_of(plan["source_type"], plan["source_path"], plan["samples"] or []):
+        raw = z.get("data") or readers.Beside(z["file"]).read(posixpath.basename(z["file"]))
         if raw is None:
             raise FileNotFoundError(z["file"])
         loop = (z["loop_start"], z["loop_stop"]) if z.get("loop_start") is not None else riff.loop_points(raw)
