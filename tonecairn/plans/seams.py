@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import frames as O
-from ..operators import loops
+from ..operators import loops, stretches
 from .signals import VIEW, frames
 
 # frames of the window, the shortest and longest period and the longest loop of these short signals
@@ -31,11 +31,11 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def moving_energy(spark, sf_dir):
-    """The sum of squares of every eight frames, as the difference of two running sums."""
-    total = F.sum(O.exact_square(F.col("x"))).over(O.in_order().rowsBetween(Window.unboundedPreceding, 0))
-    f = frames(spark, sf_dir).select("sample_id", "i", total.alias("total"))
-    before = F.coalesce(F.lag("total", 8).over(O.in_order()), F.lit(0))
-    return f.withColumn("energy", (F.col("total") - before).cast("double")).where("i >= 7").select("sample_id", "i", "energy")
+    """The sum of squares of every eight frames, as the difference of two running sums; a signal may be of any length."""
+    f = stretches.running(frames(spark, sf_dir).select("sample_id", "i", "x"), "sample_id", sums={"total": O.exact_square(F.col("x"))})
+    both = stretches.sliding(f, "sample_id", 8, 0, lambda w: {"before": F.first("total").over(w)})
+    energy = F.col("total") - F.when(F.col("i") >= 8, F.col("before")).otherwise(0)
+    return both.where("i >= 7").select("sample_id", "i", energy.cast("double").alias("energy"))
 
 
 def mismatch_curve(spark, sf_dir):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import labels as L
+from ..operators import stretches
 from ..operators import tables as T
 from ..sources.tables import read
 
@@ -86,11 +87,13 @@ def suffix_match(spark, sf_dir):
 
 
 def scope_inherit(spark, sf_dir):
-    """Turns take on the last system and user text before them within their conversation."""
-    w = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    c = read(spark, sf_dir, "conversations")
-    last = lambda role: F.last(F.when(F.col("role") == role, F.length("text")), ignorenulls=True).over(w).cast("long")
-    return c.select("conv_id", "turn", "role", last("system").alias("system_chars"), last("user").alias("user_chars"))
+    """Turns take on the last system and user text before them within their conversation, however long it is."""
+    c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    narrow = [F.col("turn"), F.substring("role", 1, 64), F.when(F.length("role") < 64, F.substring("text", 1, 64))]  # bounds of ranges reach the driver
+    turns = stretches.numbered(c, ["conv_id"], ["turn", "role", "text"], size_hint=narrow).select("conv_id", "turn", "role", "i", F.length("text").cast("long").alias("chars"))
+    of = lambda role: F.when(F.col("role") == role, F.col("chars"))
+    found = stretches.running(turns, "conv_id", lasts={"system_chars": of("system"), "user_chars": of("user")})
+    return found.select("conv_id", "turn", "role", "system_chars", "user_chars")
 
 
 def longest_text(spark, sf_dir):
