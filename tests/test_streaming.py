@@ -15,6 +15,21 @@ def test_upsert_stream_equals_a_batch(spark, tmp_path):
     got = changes.version(spark, table, 2)
     assert sorted(map(tuple, got.select("path", "at").collect())) == sorted(map(tuple, want.select("path", "at").collect()))
     assert changes.version(spark, table, -1) is None
+    early = sorted(map(tuple, changes.version(spark, table, 1).select("path", "at").collect()))
+    assert early != sorted(map(tuple, got.select("path", "at").collect()))
+    before = sorted(map(tuple, got.select("path", "at", "tag").collect()))
+    changes.compact(spark, table, 2)
+    after = spark.read.parquet(table)
+    assert {r["batch"] for r in after.select("batch").distinct().collect()} == {2} and sorted(map(tuple, changes.version(spark, table, 2).select("path", "at", "tag").collect())) == before
+
+
+def test_late_changes_do_not_win(spark, tmp_path):
+    source, table, ddl = str(tmp_path / "in"), str(tmp_path / "table"), "path string, at long, tag string"
+    for rows in ([("p", 9, "new"), ("q", 1, "a")], [("p", 3, "late"), ("q", 1, "b")]):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(ddl).parquet(source)
+        changes.upsert_stream(stream, table, "path", "at", str(tmp_path / "state")).awaitTermination()
+    assert sorted(map(tuple, changes.version(spark, table, 1).select("path", "at", "tag").collect())) == [("p", 9, "new"), ("q", 1, "b")]
 
 
 def test_window_levels(spark, tmp_path):

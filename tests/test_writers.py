@@ -71,3 +71,8 @@ def test_plans_run_as_a_batch(spark, tmp_path):
     assert (k["loop_start"], k["loop_stop"], k["frames"], k["note"]) == (5, 150, 200, 60)
     assert got["3", "written", "T/t.wav"]["frames"] == 4096 and "host" in got["4", "failed", ""]["error"]
     assert {s for _, s, _ in run()} == {"exists", "collision", "failed"}
+    # what fails leaves nothing, and what was left half is written anew
+    assert not [p for p in (tmp_path / "out").rglob(".staged*")] and not (tmp_path / "out/G").exists()
+    (tmp_path / "out/T/_done").unlink()
+    (tmp_path / "out/T/half.wav").write_bytes(b"x")
+    assert [s for p, s, _ in run() if p == "3"] == ["written"] and sorted(p.name for p in (tmp_path / "out/T").iterdir()) == ["_done", "t.wav"]

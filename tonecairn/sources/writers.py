@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import posixpath
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 
@@ -203,6 +204,25 @@ def run_plans(plans: DataFrame, out: str) -> DataFrame:
 
 
 def _ship(plan: dict, folder: str) -> list[dict]:
+    """Write a plan's files beside their place, in a hidden folder of this attempt, and move them there when all are written."""
+    place, _, name = folder.rpartition("/")
+    stage = f"{place}/.staged-{uuid.uuid4().hex}"
+    files, staged = readers.file_system(stage)
+    try:
+        rows = _written(plan, stage, folder)
+        _put(stage, "_done", b"")
+        root = readers.file_system(folder)[1]
+        if files.get_file_info(root).type.name == "Directory":  # what an attempt before staging left
+            files.delete_dir(root)
+        files.move(staged, root)
+    except BaseException:
+        if files.get_file_info(staged).type.name == "Directory":
+            files.delete_dir(staged)
+        raise
+    return rows
+
+
+def _written(plan: dict, stage: str, folder: str) -> list[dict]:
     rows, taken = [], set()
     for z in _zones_of(plan["source_type"], plan["source_path"], plan["samples"] or []):
         raw = z.get("data") or readers.Beside(z["file"]).read(posixpath.basename(z["file"]))
@@ -211,17 +231,17 @@ def _ship(plan: dict, folder: str) -> list[dict]:
         loop = (z["loop_start"], z["loop_stop"]) if z.get("loop_start") is not None else riff.loop_points(raw)
         data, ratio = (table_bytes(raw), 1.0) if plan["source_type"] == "wavetable" else riff.conform(raw)
         loop = riff.scaled_loop(loop, ratio) if loop else (None, None)
-        path = _put(folder, unique_name(z["file"], taken), data)
+        own = unique_name(z["file"], taken)
+        _put(stage, own, data)
         form, body = riff.wav_format(data), riff.chunk(data, b"data")
         rows.append(
             {
-                "plan": plan["path"], "name": plan["name"], "status": "written", "file": path, "source": z["file"], "note": z["root"], "loop_start": loop[0], "loop_stop": loop[1],
+                "plan": plan["path"], "name": plan["name"], "status": "written", "file": posixpath.join(readers.file_system(folder)[1], own), "source": z["file"], "note": z["root"], "loop_start": loop[0], "loop_stop": loop[1],
                 "frames": len(body) // max(1, form.channels * form.bits // 8), **{k: z[k] for k in ("key_low", "key_high", "vel_low", "vel_high")},
             }
         )
     if not rows:
         raise ValueError(f"no playable sample in {location(plan)}")
-    _put(folder, "_done", b"")
     return rows
 
 
