@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import labels as L
 from ..operators import stretches
 from ..operators import tables as T
+from ..operators.tails import longest_shared_tails
 from ..sources.tables import read
 
 # Words that stand for a tag.
@@ -86,6 +87,11 @@ def suffix_match(spark, sf_dir):
     return T.locate_other(p, "page_id").select("page_id", "found", F.col("parts").cast("long").alias("parts"))
 
 
+def tail_match(spark, sf_dir):
+    """What ``suffix_match`` finds, by sorting URLs from their end instead of by all of their tails."""
+    return longest_shared_tails(read(spark, sf_dir, "pages").select("page_id", "url"), "page_id", "url")
+
+
 def scope_inherit(spark, sf_dir):
     """Turns take on the last system and user text before them within their conversation, however long it is."""
     c = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -142,4 +148,5 @@ SQL = {
     "merged_flags": """SELECT doc_id, CASE WHEN toxic = 1 THEN 'review,toxic' WHEN quality = 0 OR n_chars > 5000 THEN 'review' ELSE '' END AS flags
         FROM labels JOIN documents USING (doc_id)""",
 }
+SQL["tail_match"] = SQL["suffix_match"]
 QUERIES = {k: f for k, f in list(globals().items()) if k in SQL}
