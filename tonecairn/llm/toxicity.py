@@ -389,8 +389,13 @@ def toxicity(
 
 
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The toxicity of every document."""
+    """The toxicity of every document, and its voters as id, label and cosine, the nearest first."""
     found = toxicity(read_table(spark, sf_dir, "documents").select("doc_id", "text"), read_table(spark, sf_dir, "labels"))
+    voter = lambda v: F.concat_ws(":", v["doc_id"].cast("string"), v["toxic"].cast("string"), F.format_string("%.4f", v["cosine"]))
     return found.select(
-        "doc_id", is_test(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("evidence").alias("n_voters")
+        "doc_id",
+        is_test(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.array_join(F.transform("evidence", voter), " ").alias("evidence"),
     )
