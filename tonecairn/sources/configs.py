@@ -126,9 +126,9 @@ def with_profile(plans_: DataFrame, only: str | None) -> DataFrame:
     return plans_ if only is None else plans_.where(F.col("profile") == only)
 
 
-def few(plans_: DataFrame, most: int = 5) -> DataFrame:
-    """A handful of plans to try things with, the same in every run: the smallest hashes of the path."""
-    return plans_.orderBy(F.xxhash64("path"), "path").limit(most)
+def few(plans_: DataFrame, most: int = 5, seed: int | None = None) -> DataFrame:
+    """A handful of plans to try things with, the same in every run: the first by path, or with a ``seed`` a sample of all of them."""
+    return plans_.orderBy(*([] if seed is None else [F.xxhash64(F.lit(seed), "path")]), "path").limit(most)
 
 
 def quoted(text: Column) -> Column:
