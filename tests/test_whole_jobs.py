@@ -39,7 +39,7 @@ def test_key_lookup_answers_every_key(spark, whole):
 def test_names_of_whole_texts(spark, whole):
     blanks = "[\\x09-\\x0D\\x1C-\\x1F\\x{85}\\p{Z}]+"
     assert rows(spark, "sanitise_names", "doc_id", "safe", "spaced") == whole(f"""SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '_', 'g'), '_+', '_', 'g'), '_'),
-        trim(regexp_replace(replace(text, '.', ''), '{blanks}', ' ', 'g')) FROM documents""")
+        trim(regexp_replace(replace(text, '.', ' '), '{blanks}', ' ', 'g')) FROM documents""")
     assert rows(spark, "xml_names", "doc_id", "escaped", "back") == whole(
         """SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), true FROM documents"""
     )
