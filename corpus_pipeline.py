@@ -1,4 +1,16 @@
-"""The corpus pipeline: stages over ``documents``, each reading what its predecessor wrote."""
+"""The corpus pipeline: stages over ``documents``, each reading what its predecessor wrote.
+
+Defined results
+---------------
+* null or empty text: a score like any other, linked with nothing, nothing to
+  remove, no item contained, no ids; such a document stays if its score says so;
+* null id: after all other ids, so others of its group stay before it; ids that
+  tie are one document to each other where earlier copies are removed;
+* repeated rows: one of rows that are equal in id and text stays, as near duplicates;
+* very long texts: whole in every stage;
+* other columns, whatever their names: kept up to the last stage, which returns ids;
+* empty ``documents``: no rows.
+"""
 
 from __future__ import annotations
 

@@ -140,3 +140,26 @@ def test_roles_of_any_characters_come_back(spark):
     done = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     for r in done.select("conv_id", chat_format.read_back(F.col("formatted")).alias("back")).collect():
         assert [(x["role"], x["text"]) for x in r["back"]] == [(odd[r["conv_id"]], t) for t in odd]
+
+
+def test_the_whole_pipeline_on_odd_and_on_no_rows(spark, tmp_path):
+    import os
+
+    import corpus_pipeline
+    from tonecairn.llm import pieces as p
+
+    if not os.path.exists(p.MODEL):
+        pytest.skip("no vocabulary")
+    ddl = "doc_id long, text string, lang string, source string, n_chars long, ids string, `class` string, digest string"
+    long = " ".join(f"word{k}" for k in range(3000))
+    rows = [(1, long), (2, long), (None, long + " more"), (3, None), (4, ""), (5, f"x {ITEM} y"), (2**63 - 1, "quite another text of some words"), (7, "seven"), (7, "seven")]
+    full = [(i, t, None, "s", len(t or ""), "a", "b", "c") for i, t in rows]
+    for name, docs in (("full", full), ("none", [])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(docs, ddl).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, ITEM), (None, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([(7, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        left = corpus_pipeline.run(spark, folder)
+        got = sorted(str(r["doc_id"]) for r in left.collect())
+        # one of the near copies, the one row that is twice there, and all that is alone stay; the item goes
+        assert got == (sorted(["1", "3", "4", "7", str(2**63 - 1)]) if docs else [])

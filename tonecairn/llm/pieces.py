@@ -516,5 +516,5 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of every document that is left."""
+    """The ids of every document that is left; null and empty texts have none, repeated rows have theirs each, no rows give no rows."""
     return with_ids(docs.select("doc_id", "text")).withColumn("n_ids", F.size("ids").cast("long"))
