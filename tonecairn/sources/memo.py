@@ -79,10 +79,11 @@ class Memo:
         seen, made = Observation(), Observation()
         keyed = rows.withColumn(KEY, memo_key(fields, config, code))
         known = self.results().select(KEY, F.lit(True).alias("_known"))
-        looked = keyed.join(known, KEY, "left").observe(
-            seen, F.count_if(F.col("_known").isNotNull()).alias("hits"), F.count_if(F.col("_known").isNull()).alias("misses")
-        )
-        missing = looked.where(F.col("_known").isNull()).drop("_known").dropDuplicates([KEY])
+        # one row for each content before it moves: a content that a third of all rows have is a row of each task
+        once = keyed.groupBy(KEY).agg(F.count(F.lit(1)).alias("_rows"), *(F.first(c).alias(c) for c in rows.columns))
+        of = lambda there: F.coalesce(F.sum(F.when(there, F.col("_rows"))), F.lit(0))
+        looked = once.join(known, KEY, "left").observe(seen, of(F.col("_known").isNotNull()).alias("hits"), of(F.col("_known").isNull()).alias("misses"))
+        missing = looked.where(F.col("_known").isNull()).drop("_known", "_rows")
         names = [c.split()[0] for c in self.ddl.split(", ")]
         results = kernel(missing).select(*names).observe(made, F.count(F.lit(1)).alias("made"))
         results.write.parquet(f"{self.folder}/part={uuid.uuid4().hex}")
