@@ -32,6 +32,15 @@ SEAM_WINDOW_S, SEAM_STEP, SEAM_VOTES = 0.3, 16.0, 3
 SHAPES = {"sustaining": (0.10, 0.35, 0.90, 0.35), "evolving": (0.75, 0.60, 1.00, 0.85), "percussive": (0.00, 0.25, 0.00, 0.15)}
 LEAST_GRAIN_S, BELIEVED = 1.5, (12, 108)
 MARGINAL = ("tonality", "movement")
+# What the review line of a plan says.
+EVOLVING = "evolving timbre (loop seam {}) — looping disabled"
+NO_DRUMS = "no drum/percussion instrument keywords recognized in any filename — verify manually"
+ONE_DRUM = "all {} files classified as '{}' — verify this is a complete kit, not a single-instrument multisample"
+NO_PITCH = "pitch detection failed — defaulted to C4, verify root note manually"
+NO_OCTAVE = "pitch detection failed — verify root note/octave manually"
+ODD_PITCH = "detected pitch implausible ({} Hz) — verify root note/octave manually"
+SHORT_GRAIN = "only {} s long -- too short to hold a grain cloud"
+FALLBACK = "no exact '{}' match for {} (used Various/any-file fallback)"
 
 _WAV = "*.[wW][aA][vV]"
 
@@ -84,6 +93,12 @@ def _review(flags: Column) -> Column:
     return F.when(F.size(flags) > 0, F.concat(F.lit("# REVIEW: "), F.array_join(flags, ", "), F.lit("\n"))).otherwise("")
 
 
+def _said(text: str, *values: Column) -> Column:
+    """``text`` with the values in its braces."""
+    pieces = text.split("{}")
+    return F.concat(F.lit(pieces[0]), *(x for value, piece in zip(values, pieces[1:], strict=True) for x in (value.cast("string"), F.lit(piece))))
+
+
 def _lines(*parts: Column | str) -> Column:
     return F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
 
@@ -142,7 +157,7 @@ def heard_profiles(files: DataFrame, detect: bool) -> DataFrame:
     first = F.when(plucked, "pluck").when(rhythm, "pad").otherwise("synth")
     evolving = ~F.col("looped") & ~plucked & (F.col("votes") >= SEAM_VOTES) & (F.col("step") > SEAM_STEP)
     profile = F.when(F.col("looped") & plucked, "synth").when(evolving, "pluck").otherwise(first)
-    flag = F.concat(F.lit("evolving timbre (loop seam "), F.bround("step").cast("long").cast("string"), F.lit(") — looping disabled"))
+    flag = _said(EVOLVING, F.bround("step").cast("long"))
     return heard.select("top", profile.alias("profile"), F.when(evolving, F.array(flag)).otherwise(none).alias("flags"))
 
 
@@ -150,9 +165,7 @@ def drum_profiles(files: DataFrame) -> DataFrame:
     """(top, profile, flags) of folders of hits, by the instruments that their names say."""
     hits = files.withColumn("category", V.drum_category(F.col("stem"))).groupBy("top", "category").agg(F.count(F.lit(1)).alias("n"))
     g = hits.groupBy("top").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"), F.min("category").alias("one"))
-    lone = F.concat(F.lit("all "), F.col("n").cast("string"), F.lit(" files classified as '"), F.col("one"), F.lit("' — verify this is a complete kit, not a single-instrument multisample"))
-    unknown = F.lit("no drum/percussion instrument keywords recognized in any filename — verify manually")
-    flag = F.when((F.col("kinds") == 1) & (F.col("one") == "other"), unknown).when(F.col("kinds") == 1, lone)
+    flag = F.when((F.col("kinds") == 1) & (F.col("one") == "other"), NO_DRUMS).when(F.col("kinds") == 1, _said(ONE_DRUM, F.col("n"), F.col("one")))
     return g.select("top", F.lit("drums").alias("profile"), F.when(flag.isNotNull(), F.array(flag)).otherwise(F.array().cast("array<string>")).alias("flags"))
 
 
@@ -202,12 +215,12 @@ def single_note(hz: float | None, pitch_class: int | None) -> tuple[int, str | N
     near = lambda note: min(range(pitch_class, 128, 12), key=lambda n: abs(n - note))
     if hz is None:
         if pitch_class is None:
-            return 60, "pitch detection failed — defaulted to C4, verify root note manually"
-        return near(60), "pitch detection failed — verify root note/octave manually"
+            return 60, NO_PITCH
+        return near(60), NO_OCTAVE
     heard = 69 + 12 * float(np.log2(hz / 440))
     note = near(heard) if pitch_class is not None else min(max(round(heard), 0), 127)
     if not BELIEVED[0] <= note <= BELIEVED[1]:
-        return note, f"detected pitch implausible ({hz:.0f} Hz) — verify root note/octave manually"
+        return note, ODD_PITCH.format(f"{hz:.0f}")
     return note, None
 
 
@@ -301,7 +314,7 @@ def scan_granular(spark: SparkSession, folder: str, out: str) -> DataFrame:
     def kernel(row: dict, raw: bytes) -> dict:
         rate, stereo = riff.decode(raw)
         seconds = stereo.shape[1] / rate
-        flags = [f"only {seconds:.1f} s long -- too short to hold a grain cloud"] if seconds < LEAST_GRAIN_S else []
+        flags = [SHORT_GRAIN.format(f"{seconds:.1f}")] if seconds < LEAST_GRAIN_S else []
         return {"at": wavetables.stillest(stereo.mean(0), rate), "flags": flags}
 
     direct = wav_files(spark, folder).where(~F.col("below").contains("/")).select("path", _stem(F.col("path")).alias("stem"))
@@ -319,7 +332,7 @@ def scan_kit_assemble(spark: SparkSession, folder: str, out: str, least: int = 2
     hits = kits.hit_tree(wav_files(spark, folder).select(F.col("below").alias("path")))
     plans = kits.kit_plans(kits.assembled(hits, kits.flavours(hits, least)))
     title, own = F.initcap("kit"), posixpath.basename(root)
-    missing = F.concat(F.lit("no exact '"), title, F.lit("' match for "), F.array_join("fallbacks", ", "), F.lit(" (used Various/any-file fallback)"))
+    missing = _said(FALLBACK, title, F.array_join("fallbacks", ", "))
     flags = F.when(F.size("fallbacks") > 0, F.array(missing)).otherwise(F.array().cast("array<string>"))
     files = F.array_join(F.transform("files", lambda f: F.concat(F.lit("    - "), configs.quoted(F.concat(F.lit(root + "/"), f)), F.lit("\n"))), "")
     name = F.concat(F.lit(f"{own} - "), title, F.lit(" Kit"))

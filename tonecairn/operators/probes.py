@@ -17,7 +17,7 @@ from pyspark.sql.types import StructType
 
 from ..sources import configs
 from . import envelope, loops
-from .folders import FIRST_NOTE, LAST_NOTE, NOTE_STEP, SEAM_STEP, SEAM_VOTES, SEAM_WINDOW_S
+from .folders import EVOLVING, FIRST_NOTE, LAST_NOTE, NOTE_STEP, SEAM_STEP, SEAM_VOTES, SEAM_WINDOW_S
 
 # How much louder a held note is than one let go to count as sustained, what of its peak is left late in the hold and what is late, the window after
 # the note's end in seconds; seconds of release that a sustained sound gets at least, and as a share of its hold; shares of classes.
@@ -62,7 +62,7 @@ def _profile(classify: list[dict], bpm: float | None) -> tuple[str, str | None]:
         return "pluck", None
     median = float(np.median(steps)) if len(steps) >= SEAM_VOTES else 0.0
     if median > SEAM_STEP:
-        return "pluck", f"evolving timbre (loop seam {median:.0f}) — looping disabled"
+        return "pluck", EVOLVING.format(f"{median:.0f}")
     agreed = max((periods.count(p) for p in periods), default=0)
     rhythm = len(periods) >= RHYTHM_SEEN * len(kinds) and agreed >= RHYTHM_AGREED * len(kinds) and agreed > 0
     return ("pad" if rhythm else "synth"), None
