@@ -47,7 +47,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from .shared import keep_table, read_table, text_batches
 from .text_blocks import Words, bounded, lowered, mix, range_hashes, text_bytes
 
-BLOCK = 64
+BLOCK = 128
 PREFIXES = (4, 5, 6)
 LEAST_G2 = (24.0, 48.0, 96.0, 192.0)
 _U = np.uint64
@@ -148,7 +148,7 @@ class BlockMaxIndex:
         cell = np.repeat(query, count) * self.block + self.at[posting]
         return np.bincount(cell, np.repeat(weights, count) * self.weight[posting], n * self.block).reshape(n, self.block)
 
-    def search(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, at_once: int = 256) -> tuple[np.ndarray, np.ndarray, int]:
+    def search(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, at_once: int = 512) -> tuple[np.ndarray, np.ndarray, int]:
         """The ``k`` best rows (-1: none) and scores above 0 of each query, ties to smaller rows; and how many blocks were scored.
 
         ``at_once`` bounds the memory: so many queries are compared with the blocks' bounds at a time.
