@@ -113,6 +113,17 @@ def test_substring_dedup_equals_brute_force(docs, batch_bytes):
     assert sorted((key(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == windows_removed(corpus())
 
 
+def test_words_that_stand_apart_in_their_source_are_removed(spark):
+    """An earlier batch has every window of a passage, but no text of it has them in a row."""
+    w, x, r = [f"w{k}" for k in range(40)], [f"x{k}" for k in range(40)], random.Random(3)
+    ends = [(0, " ".join(w[:13])), (1, " ".join(w[1:14])), (2, " ".join(x)), (3, " ".join(w[:14] + ["z"]))]
+    inside = [(0, " ".join(w[:13] + x[:5])), (1, " ".join(x[4:9] + w[1:14])), (2, " ".join(x)), (3, " ".join(w[:14] + ["z"]))]
+    pieces = [(k, " ".join(w[k : k + 14] if k % 2 else x[k : k + 13])) for k in range(26)] + [(100 + k, " ".join(r.choice([w, x])[k : k + 30])) for k in range(8)]
+    for rows in (ends, inside, pieces):
+        got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), with_text=False, batch_bytes=160).collect()
+        assert sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == windows_removed(rows)
+
+
 def test_substring_stage_leaves_clean_documents_alone(docs, spark):
     left = stage_substring_dedup(spark, docs, "")
     assert left.columns == docs.columns
