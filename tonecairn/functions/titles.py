@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,12 +52,20 @@ def fresh_labels(folders: Column) -> Column:
     return F.aggregate(folders, start, add, lambda state: state["labels"])
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named; a repeated expression is computed each time inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _ladder(labels: Column, name: Column) -> Column:
     """The name behind the last label, the last two, and so on, from the longest that fits a row; the first if none does."""
     runs = F.transform(F.sequence(F.size(labels), F.lit(1)), lambda i: F.concat(F.array_join(F.slice(labels, i, F.size(labels)), " "), F.lit(" - "), name))
-    fitting = F.filter(F.sequence(F.lit(1), F.size(labels)), lambda k: F.length(F.element_at(runs, k)) <= ROW)
-    first = F.coalesce(F.array_max(fitting), F.lit(1))
-    return F.when(F.size(labels) > 0, F.slice(runs, first, F.size(labels))).otherwise(F.array().cast("array<string>"))
+
+    def from_the_longest(runs: Column) -> Column:
+        fitting = F.filter(F.sequence(F.lit(1), F.size(runs)), lambda k: F.length(F.element_at(runs, k)) <= ROW)
+        return F.slice(runs, F.coalesce(F.array_max(fitting), F.lit(1)), F.size(runs))
+
+    return F.when(F.size(labels) > 0, _with(runs, from_the_longest)).otherwise(F.array().cast("array<string>"))
 
 
 def candidates(labels: Column, name: Column) -> Column:
@@ -65,9 +75,13 @@ def candidates(labels: Column, name: Column) -> Column:
     titles without them come first, and those with all labels after. Neither a
     name nor a label is ever clipped.
     """
-    short = F.transform(labels, abbreviated)
-    telling = F.transform(F.filter(F.arrays_zip(labels.alias("label"), short.alias("short")), lambda x: ~V.said_by_tags(x["label"])), lambda x: x["short"])
-    titles = F.array_union(_ladder(telling, name), _ladder(short, name))
+    both = F.transform(labels, lambda x: F.struct(abbreviated(x).alias("short"), V.said_by_tags(x).alias("tags")))
+
+    def ladders(both: Column) -> Column:
+        short, telling = F.transform(both, lambda x: x["short"]), F.transform(F.filter(both, lambda x: ~x["tags"]), lambda x: x["short"])
+        return F.array_union(_with(telling, lambda x: _ladder(x, name)), _with(short, lambda x: _ladder(x, name)))
+
+    titles = _with(both, ladders)
     return F.transform(F.when(F.size(labels) > 0, titles).otherwise(F.array(name)), lambda t: L.spaced(L.path_component(t)))
 
 

@@ -22,7 +22,10 @@ def patches(spark, sf_dir):
 
 def patch_titles(spark, sf_dir):
     """The title that each patch ends with once no two of a card clash, or nothing longer is left, and how far it had to climb."""
-    named = T.with_titles(patches(spark, sf_dir), F.col("folders"), F.col("name"), "rungs")
+    p = patches(spark, sf_dir)
+    # patches that say the same have the same titles, which are made once
+    titled = T.with_titles(p.select("folders", "name").distinct(), F.col("folders"), F.col("name"), "rungs").select(F.col("folders").alias("_f"), F.col("name").alias("_n"), "rungs")
+    named = p.join(titled, F.col("folders").eqNullSafe(F.col("_f")) & F.col("name").eqNullSafe(F.col("_n")))
     return climb(named.select("id", "card", "rungs"), "card").select("id", F.col("name").alias("title"), "rung")
 
 
