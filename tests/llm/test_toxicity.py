@@ -43,6 +43,30 @@ def test_the_index_equals_a_full_comparison(block):
         assert visited < 0.6 * len(full) * index.blocks  # blocks are left out
 
 
+def test_equal_vectors_are_compared_once():
+    n_terms, k, block = 40, 7, 4
+    examples = [[t, t + 1] for t in range(30) for _ in range(50)]
+    random.Random(3).shuffle(examples)
+    asked = [[t] for t in range(12) for _ in range(100)]
+    flat = lambda rows: (np.append(0, np.cumsum([len(x) for x in rows])), np.array([t for x in rows for t in x]))
+    weigh = lambda b, t: (b, t, tx.unit_vectors(b, t, np.ones(len(t)), np.ones(n_terms)))
+    index = tx.BlockMaxIndex(*weigh(*flat(examples)), n_terms, block)
+    rows, scores, visited = index.search(*weigh(*flat(asked)), k)
+    for q, (term,) in enumerate(asked):
+        assert rows[q].tolist() == [i for i, x in enumerate(examples) if term in x][:k]  # all of one score, so the smaller rows
+        assert np.allclose(scores[q], 0.5**0.5)
+    assert index.blocks == 8 and visited <= 12 * index.blocks
+
+
+def test_documents_of_a_term_are_counted_before_they_are_sent(spark):
+    lists = [[0, 2], [2], [], [1, 2]] * 25
+    table = spark.createDataFrame([(x,) for x in lists], "terms array<int>").repartition(3)
+    counted = tx.documents_with(table, 4)
+    assert {r["term"]: r["n"] for r in counted.collect()} == {0: 25, 1: 25, 2: 75}
+    assert "Generate" not in counted._jdf.queryExecution().toString()
+    assert tx.documents_with(table.where("size(terms) = 0"), 0).count() == 0
+
+
 def test_term_counts_equal_a_plain_count():
     texts = [None, "", "Hello, hello-WORLD!", "überlang überlang2 x", "a\0b " * 50, "12345 123456 1234567"]
 

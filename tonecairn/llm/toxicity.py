@@ -8,12 +8,14 @@ documents, each judged by the others. How many documents of the corpus have a
 term is counted over all of them. A document's vector has ``(1 + log tf) * idf``
 of its terms and length one.
 
-The index holds the examples in blocks of ``BLOCK``, and for every block the
-largest weight of each term. A query's terms and these bounds give the most
-that any example of a block can reach; blocks are visited from the highest
-bound down, until a query's k-th best score is above all bounds that are left.
-Scores are sums over postings in double precision, so the neighbours are those
-of a full comparison. Nothing is estimated.
+The index holds the different vectors of the examples in blocks of ``BLOCK``,
+and for every block the largest weight of each term. A query's terms and these
+bounds give the most that any example of a block can reach. The blocks with a
+query's ``FIRST_BLOCKS`` highest bounds are visited first, then all others whose
+bound is not below its k-th best score. Different vectors of a batch are
+compared once, and stand for all documents and examples that have them. Scores
+are sums over postings in double precision, so the neighbours are those of a
+full comparison. Nothing is estimated.
 
 Neighbours vote with the weight ``1 / (1 - cosine + softness)``. Votes become
 probabilities by isotonic regression over the votes that the examples get from
@@ -48,6 +50,7 @@ from .shared import keep_table, read_table, text_batches
 from .text_blocks import Words, bounded, lowered, mix, range_hashes, text_bytes
 
 BLOCK = 128
+FIRST_BLOCKS = 2
 PREFIXES = (4, 5, 6)
 LEAST_G2 = (24.0, 48.0, 96.0, 192.0)
 _U = np.uint64
@@ -101,22 +104,49 @@ def dependence(toxic: np.ndarray, clean: np.ndarray, all_toxic: int, all_clean:
     return 2 * parts.sum(0)
 
 
+def entries(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` places from each ``start`` on, in a row."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def part(bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bounds, terms and weights of ``rows`` only."""
+    count = bounds[rows + 1] - bounds[rows]
+    at = entries(bounds[rows], count)
+    return np.append(0, np.cumsum(count)), terms[at], weights[at]
+
+
+def distinct(bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first row of each different vector, ascending, and which of them each row equals."""
+    raw = np.stack([terms.astype(np.int64), weights.astype(float).view(np.int64)], 1).tobytes()
+    seen: dict[bytes, int] = {}
+    cuts = (16 * bounds).tolist()
+    kind = np.array([seen.setdefault(raw[a:z], len(seen)) for a, z in zip(cuts, cuts[1:])], int)
+    return np.unique(kind, return_index=True)[1], kind
+
+
 class BlockMaxIndex:
-    """Vectors of length one, by rows: ``bounds`` (n + 1), ``terms`` and ``weights``; each has at least one term."""
+    """Vectors of length one, by rows: ``bounds`` (n + 1), ``terms`` and ``weights``; each has at least one term.
+
+    Equal rows are indexed once, and ``members`` has the rows of each different vector.
+    """
 
     def __init__(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, n_terms: int, block: int = BLOCK) -> None:
+        first, kind = distinct(bounds, terms, weights)
+        self.members, self.member_bounds = np.argsort(kind, kind="stable"), np.append(0, np.cumsum(np.bincount(kind)))
+        bounds, terms, weights = part(bounds, terms, weights, first)
         n = len(bounds) - 1
         row = np.repeat(np.arange(n), np.diff(bounds))
-        # rows with the same strongest terms go to the same blocks, so bounds are tight
+        # vectors with the same strongest terms go to the same blocks, so bounds are tight
         by_row = np.lexsort((terms, -weights, row))
         place = np.arange(len(row)) - np.repeat(bounds[:-1], np.diff(bounds))
         strongest = np.full((3, n), n_terms)
         for k in range(3):
             own = by_row[place == k]
             strongest[k, row[own]] = terms[own]
-        self.rows = np.lexsort((np.arange(n), *strongest[::-1]))  # the row at each place
+        self.kinds = np.lexsort((np.arange(n), *strongest[::-1]))  # the vector at each place
         place_of = np.empty(n, int)
-        place_of[self.rows] = np.arange(n)
+        place_of[self.kinds] = np.arange(n)
         self.n, self.block, self.n_terms = n, block, n_terms
         self.blocks = -(-n // block)
         at = place_of[row]
@@ -131,65 +161,90 @@ class BlockMaxIndex:
         self.term_bounds = np.searchsorted(self.keys[by_term] % n_terms, np.arange(n_terms + 1))
 
     def _reach(self, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """The most that any row of a block can score, for each query and block."""
+        """The most that any vector of a block can score, for each query and block."""
         count = self.term_bounds[terms + 1] - self.term_bounds[terms]
-        at = np.repeat(self.term_bounds[terms] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        at = entries(self.term_bounds[terms], count)
         cell = np.repeat(query, count) * self.blocks + self.top_block[at]
         return np.bincount(cell, np.repeat(weights, count) * self.top[at], n * self.blocks).reshape(n, self.blocks)
 
-    def _scores(self, block: int, query: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """Exact scores of ``n`` queries with the rows of a block."""
+    def _scores(self, block: int, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Exact scores of queries with the vectors of a block."""
+        n = len(bounds) - 1
+        query = np.repeat(np.arange(n), np.diff(bounds))
         key = block * self.n_terms + terms
         at = np.searchsorted(self.keys, key)
         have = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] == key)
         at, query, weights = at[have], query[have], weights[have]
         count = self.list_bounds[at + 1] - self.list_bounds[at]
-        posting = np.repeat(self.list_bounds[at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        posting = entries(self.list_bounds[at], count)
         cell = np.repeat(query, count) * self.block + self.at[posting]
         return np.bincount(cell, np.repeat(weights, count) * self.weight[posting], n * self.block).reshape(n, self.block)
 
     def search(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int, at_once: int = 512) -> tuple[np.ndarray, np.ndarray, int]:
         """The ``k`` best rows (-1: none) and scores above 0 of each query, ties to smaller rows; and how many blocks were scored.
 
-        ``at_once`` bounds the memory: so many queries are compared with the blocks' bounds at a time.
+        Equal queries are answered once. ``at_once`` bounds the memory: so many
+        different queries are compared with the blocks' bounds at a time.
         """
-        n = len(bounds) - 1
+        first, kind = distinct(bounds, terms, weights)
         parts = []
-        for a in range(0, n, at_once):
-            own = bounds[a : a + at_once + 1]
-            parts.append(self._search(own - own[0], terms[own[0] : own[-1]], weights[own[0] : own[-1]], k))
+        for a in range(0, len(first), at_once):
+            best, score, visited = self._search(*part(bounds, terms, weights, first[a : a + at_once]), k)
+            parts.append((*self._spread(best, score), visited))
         if not parts:
             return np.full((0, k), -1), np.zeros((0, k)), 0
-        return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts]), sum(p[2] for p in parts)
+        return np.vstack([p[0] for p in parts])[kind], np.vstack([p[1] for p in parts])[kind], sum(p[2] for p in parts)
 
     def _search(self, bounds: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """The ``k`` best vectors and their scores (0: none), ties to those whose first row is smaller."""
         n = len(bounds) - 1
-        query = np.repeat(np.arange(n), np.diff(bounds))
         best, score = np.full((n, k), self.n), np.zeros((n, k))
         if not self.n:
-            return np.where(score > 0, best, -1), score, 0
-        reach = self._reach(query, terms, weights, n) * (1 + 1e-12)  # sums in another order may differ in the last digits
-        order, visited = np.argsort(-reach, 1, kind="stable"), 0
-        live = np.arange(n)
-        for step in range(self.blocks):
-            block = order[live, step]
-            most = reach[live, block]
-            going = (most > 0) & (most >= score[live, -1])
-            live, block = live[going], block[going]
-            if not len(live):
-                break
-            for b in np.unique(block).tolist():
-                own = live[block == b]
-                count = bounds[own + 1] - bounds[own]
-                entry = np.repeat(bounds[own] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-                found = self._scores(b, np.repeat(np.arange(len(own)), count), terms[entry], weights[entry], len(own))
-                rows = self.rows[b * self.block : (b + 1) * self.block]
-                all_rows = np.hstack([best[own], np.broadcast_to(rows, (len(own), len(rows)))])
-                all_scores = np.hstack([score[own], found[:, : len(rows)]])
-                first = np.lexsort((all_rows, -all_scores))[:, :k]
-                best[own], score[own] = np.take_along_axis(all_rows, first, 1), np.take_along_axis(all_scores, first, 1)
-                visited += len(own)
-        return np.where(score > 0, best, -1), score, visited
+            return best, score, 0
+        reach = self._reach(np.repeat(np.arange(n), np.diff(bounds)), terms, weights, n) * (1 + 1e-12)  # sums in another order may differ in the last digits
+        visited = 0
+
+        def visit(block: int, own: np.ndarray) -> None:
+            nonlocal visited
+            own = own[(reach[own, block] > 0) & (reach[own, block] >= score[own, -1])]
+            reach[own, block] = -1  # once only
+            if not len(own):
+                return
+            visited += len(own)
+            found = self._scores(block, *part(bounds, terms, weights, own))
+            better = (found > 0) & (found >= score[own, -1][:, None])
+            changed = np.flatnonzero(better.any(1))
+            own, (query, cell) = own[changed], np.nonzero(better[changed])
+            # the best so far and what is as good as the last of them
+            queries = np.append(np.repeat(np.arange(len(own)), k), query)
+            kinds = np.append(best[own], self.kinds[block * self.block + cell])
+            scores = np.append(score[own], found[changed][query, cell])
+            order = np.lexsort((kinds, -scores, queries))
+            first = order[np.searchsorted(queries[order], np.arange(len(own)))[:, None] + np.arange(k)]
+            best[own], score[own] = kinds[first], scores[first]
+
+        # each query's most promising blocks, so that the last of its best is high, then every block for all queries at once
+        most = np.argsort(-reach, 1, kind="stable")[:, :FIRST_BLOCKS]
+        for step in range(most.shape[1]):
+            for block in np.unique(most[:, step]).tolist():
+                visit(block, np.flatnonzero(most[:, step] == block))
+        for block in np.argsort(-reach.sum(0), kind="stable").tolist():
+            visit(block, np.arange(n))
+        return best, score, visited
+
+    def _spread(self, best: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best rows (-1: none) and scores from the best vectors: of each vector no more rows are needed than are asked for."""
+        k = best.shape[1]
+        query, place = np.nonzero(score > 0)
+        kind, own = best[query, place], score[query, place]
+        count = np.minimum(self.member_bounds[kind + 1] - self.member_bounds[kind], k)
+        row, query, own = self.members[entries(self.member_bounds[kind], count)], np.repeat(query, count), np.repeat(own, count)
+        order = np.lexsort((row, -own, query))
+        row, query, own = row[order], query[order], own[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        rows, scores, keep = np.full(best.shape, -1), np.zeros(best.shape), rank < k
+        rows[query[keep], rank[keep]], scores[query[keep], rank[keep]] = row[keep], own[keep]
+        return rows, scores
 
 
 def unit_vectors(bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -306,6 +361,19 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.append(0, np.cumsum(sizes)), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def documents_with(table: DataFrame, n_terms: int) -> DataFrame:
+    """``term`` and ``n``, the rows of ``table`` that have it; a task sends one number for each of its terms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            n += np.bincount(_flat(batch.column("terms"))[1], minlength=n_terms)
+        there = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(n[there])], names=["term", "n"])
+
+    return table.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
 def _only(bounds: np.ndarray, terms: np.ndarray, counts: np.ndarray, used: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Which rows have a used term, and bounds, terms and counts of those rows, of used terms only."""
     keep = used[terms]
@@ -351,7 +419,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int, terms: int, k: i
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     known, g2 = known_terms(texts.select("text", "toxic"), terms)
     table = keep_table(term_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known, ["doc_id"]), "terms")
-    having = table.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).toPandas()  # a number for each known term
+    having = documents_with(table, len(known)).toPandas()  # a number for each known term
     n = np.zeros(len(known))
     n[having["term"].to_numpy(int)] = having["n"].to_numpy(float)
     idf = np.log((1 + table.count()) / (1 + n)) + 1
