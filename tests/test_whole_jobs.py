@@ -87,6 +87,45 @@ def test_distances_of_all_pairs_of_all_labels(spark, monkeypatch):
     assert all(abs(d - want[k]) < 2e-6 for k, d in got)
 
 
+def shuffled(spark):
+    """Bytes that each stage so far has written to shuffles."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteBytes() for i in range(stages.size())}
+
+
+@pytest.mark.parametrize("block", [1024, 60])
+def test_distances_shuffle_no_more_than_the_input_a_few_times(spark, monkeypatch, tmp_path, block):
+    import numpy as np
+
+    from tonecairn.plans import spectral
+
+    monkeypatch.setattr(spectral, "_BLOCK", block)
+    r = np.random.default_rng(5)
+    v = r.standard_normal((2400, 32)).astype(np.float32)
+    v[100:140] = v[7]  # copies
+    v[140:180] = v[8] + 1e-4 * v[140:180]  # and nearly
+    labels = [1] * 2300 + [2] * 60 + [3] + [None] * 39
+    ids = [None if i in (5, 2310) else 3 * i for i in range(2400)]
+    rows = [(i, x.tolist(), k) for i, x, k in zip(ids, v, labels)] + [(9999, None, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    before = shuffled(spark)
+    got = catalogue.QUERIES["zscore_distance"](spark, str(tmp_path)).toArrow()
+    sent = sum(n for stage, n in shuffled(spark).items() if stage not in before)
+    assert sent < 4 * v.nbytes  # more if vectors are sent for each pair of blocks
+    assert got.schema.names == ["a", "b", "distance"] and got.num_rows == 2299 * 2298 // 2 + 59 * 58 // 2
+    a, b, d = (got.column(c).to_numpy() for c in ("a", "b", "distance"))
+    assert (a < b).all() and len(np.unique(a * 10000 + b)) == len(a)
+    z = np.empty((2400, 32))
+    for k in (1, 2):
+        at = [i for i, x in enumerate(labels) if x == k]
+        x = v[at].astype(np.float64)
+        z[at] = (x - x.mean(0)) / (x.std(0) + 1e-9)
+    for at in range(0, len(a), 1 << 18):
+        i, j = a[at : at + (1 << 18)] // 3, b[at : at + (1 << 18)] // 3
+        assert np.abs(np.sqrt(((z[i] - z[j]) ** 2).sum(1)) - d[at : at + (1 << 18)]).max() < 5.01e-7
+
+
 def test_mixdown_of_all_frames_at_even_offsets(spark, whole):
     got = rows(spark, "mixdown", "set_id", "place", "x")
     assert got == whole("""WITH f AS (SELECT user_id, event_type, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
